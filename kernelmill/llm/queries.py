@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, mixing, quality, revisits, secrets, simhash
+from . import decontam, katz, langid, lines, mixing, quality, revisits, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc(m: int) -> Column:
+    """The crc32 of the id as text, modulo m: parts off held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_benchmark(
         _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), carry=["doc_id"]
@@ -65,6 +70,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.to_json("places").alias("places"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_crc(7) == 2, F.lit(False)).alias("held_out"))
+    found = katz.score_documents(docs.withColumn("learn", ~F.col("held_out")), "learn", carry=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Archive records of each page: its response, and two revisits under other spellings of the URL.
 
@@ -112,11 +123,6 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Rows of these crc32 remainders are held out.
-def _crc(m: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
-
-
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _crc(5) == 0)
     model = langid.fit(docs.where("not held_out"), "text", "lang", F.col("doc_id"))
@@ -203,5 +209,5 @@ FROM k""",
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_simhash, op3_secrets, op5_site_lines, op6_quality, op7_mix, op9_revisits, op10_language)
+    for f in (op1_decontaminate, op2_simhash, op3_secrets, op5_site_lines, op6_quality, op7_mix, op8_katz, op9_revisits, op10_language)
 }

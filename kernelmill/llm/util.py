@@ -112,3 +112,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by key: later groupings by key read it without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, last) of ascending unsigned 64-bit keys dealt by their high bits; buckets without keys are left out."""
+    edges = [((b << 64) + buckets - 1) // buckets for b in range(1, buckets)]
+    cuts = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
+    for b in range(buckets):
+        if cuts[b] < cuts[b + 1]:
+            yield b, cuts[b], cuts[b + 1]
