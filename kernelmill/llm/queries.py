@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, lines, mixing, quality, revisits, secrets, simhash
+from . import decontam, katz, langid, lines, mixing, quality, revisits, secrets, simhash, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as pages, their source as host: lines on over a tenth of a source's documents, five at least, go."""
     found = lines.drop_boilerplate(_read(spark, sf_dir, "documents"), max_ratio=0.1, min_pages=5)
@@ -209,5 +216,5 @@ FROM k""",
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_simhash, op3_secrets, op5_site_lines, op6_quality, op7_mix, op8_katz, op9_revisits, op10_language)
+    for f in (op1_decontaminate, op2_simhash, op3_secrets, op4_substrings, op5_site_lines, op6_quality, op7_mix, op8_katz, op9_revisits, op10_language)
 }
