@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import bucketed, mix64, n_buckets, pack, pack_sorted, slices, small_batches, unpack, unpack_sorted, written
+from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, slices, small_batches, unpack, unpack_sorted, written
 
 #: Text bytes of a chunk (a longer text is a chunk of its own), and text bytes for each bucket of the tables.
-CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 12 << 20
-PIECE = 400_000
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+PIECE = 200_000
 #: Counts up to this are discounted.
 GT_MAX = 5
 END = b" "
@@ -72,6 +72,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in (rows, train, tokens, lens):
             x.clear()
         size = 0
+        release()
         return pa.RecordBatch.from_arrays(cols, names=["chunk", "rows", "train", "lens", "ids", "vocab"])
 
     for b in batches:
@@ -149,6 +150,8 @@ def _count_requests(order: int, buckets: int):
                             "n": [pack(_small(n[i:j])) for _, i, j in cut],
                         }
                     )
+                del chunk
+                release()
 
     return run
 
@@ -338,6 +341,8 @@ def score_documents(
                 for b, i, j in slices(keys[o], buckets):
                     for c, x in zip(out, (row["chunk"], k, b, pack_sorted(keys[o][i:j]), *(pack(v[i:j]) for v in values))):
                         out[c].append(x)
+                del s
+                release()
             types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
             return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
@@ -369,6 +374,8 @@ def score_documents(
                     }
                 )
             )
+            del s
+            release()
         return pa.concat_tables(out) if out else fields_type.empty_table()
 
     result = T.StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import bucketed, mix64, n_buckets, pack, pack_sorted, slices, small_batches, unpack, unpack_sorted, written
+from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, slices, small_batches, unpack, unpack_sorted, written
 
 #: Bytes of a chunk (a longer text is one of its own), of windows hashed at once, for each bucket, and of a shard's text.
 CHUNK_BYTES, SLICE, BUCKET_BYTES, SHARD_BYTES = 16 << 20, 1 << 21, 12 << 20, 4 << 20
@@ -158,6 +158,8 @@ def _requests(length: int, gram: int, buckets: int):
                         "more": [pack(np.packbits(more[i:j])) for _, i, j in cut],
                     }
                 )
+                del data, got
+                release()
 
     return run
 
