@@ -1,0 +1,23 @@
+"""Tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read back: cuts the lineage of iterative plans.
+
+    Only where that is unset, as in tests, a temporary folder is made and set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="kernelmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
