@@ -8,25 +8,50 @@ from pyspark.sql import functions as F
 from .util import SPACE
 
 # The line rules.
-ENDS = r"""[.!?:;,)\]}"'\x{2019}\x{201D}\x{2026}\x{3002}]$"""
-NAVIGATION = r"(?i)^(home|menu|search|login|log in|sign in|sign up|register|next|previous|back|top|skip to .*|read more|share|contact|about|about us|sitemap)$|[|\x{00BB}\x{203A}>].*[|\x{00BB}\x{203A}>]"
-BOILERPLATE = r"(?i)all rights reserved|terms of (use|service)|privacy policy|cookies?\b.*\b(accept|consent|use)|enable javascript|lorem ipsum|subscribe to our newsletter|copyright \(c\)"
+ENDS = [".", "!", "?", ":", ";", ",", ")", "]", "}", '"', "'", "\u2019", "\u201d", "\u2026", "\u3002"]
+LABELS = [
+    "home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back", "top",
+    "read more", "share", "contact", "about", "about us", "sitemap", "skip to content", "skip to main content",
+]
+SEPARATORS = "|\u00bb\u203a>"
+BOILERPLATE = [
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "accept cookies", "use cookies",
+    "use of cookies", "cookie consent", "enable javascript", "lorem ipsum", "subscribe to our newsletter", "copyright (c)",
+]
+BLANK = " \t\n\x0b\x0c\r"
+SYMBOLS = "#*$%&|<>"
 
 
 def _words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
-def line_fails(line: Column) -> Column:
-    """The reason why a line goes, or null: punctuation, navigation or boilerplate. Lines without words stay."""
-    t = F.regexp_replace(F.regexp_replace(line, f"^{SPACE}+", ""), f"{SPACE}+$", "")
-    symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
+def _bare(line: Column) -> Column:
+    """A line without white space at its ends; only lines that have some are trimmed, which costs more."""
+    edge = F.substring(line, 1, 1).isin(*BLANK) | F.substring(line, -1, 1).isin(*BLANK)
+    return F.when(edge, F.btrim(line, F.lit(BLANK))).otherwise(line)
+
+
+def judged_lines(text: Column) -> Column:
+    """Array of (line, t, why): t is the bare line; why, the reason why the line goes, or null: punctuation, navigation
+    or boilerplate. Lines without words stay."""
+    # one step after another, so that no part is worked out twice for a line
+    bare = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _bare(x).alias("t")))
+    low = F.transform(bare, lambda s: F.struct(s["line"].alias("line"), s["t"].alias("t"), F.lower(s["t"]).alias("low")))
+    return F.transform(low, lambda s: F.struct(s["line"].alias("line"), s["t"].alias("t"), _fails(s["t"], s["low"]).alias("why")))
+
+
+def _fails(t: Column, low: Column) -> Column:
+    count = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    phrase = low.contains(BOILERPLATE[0])
+    for x in BOILERPLATE[1:]:
+        phrase = phrase | low.contains(x)
     return (
         F.when(t == "", F.lit(None))
-        .when(10 * symbols > F.length(t), F.lit("punctuation"))
-        .when(t.rlike(NAVIGATION), F.lit("navigation"))
-        .when(t.rlike(BOILERPLATE), F.lit("boilerplate"))
-        .when(~t.rlike(ENDS) & (F.size(F.split(t, SPACE + "+")) < 3), F.lit("punctuation"))
+        .when(10 * count(SYMBOLS) > F.length(t), F.lit("punctuation"))
+        .when((count(SEPARATORS) >= 2) | ((F.length(t) <= 20) & low.isin(LABELS)), F.lit("navigation"))
+        .when(phrase, F.lit("boilerplate"))
+        .when(~F.substring(t, -1, 1).isin(ENDS) & (F.size(F.split(t, SPACE + "+")) < 3), F.lit("punctuation"))
     )
 
 
@@ -53,8 +78,8 @@ def judge_quality(docs: DataFrame, text: str = "text", max_lost: float = 0.5) ->
     Line rules come first: a line goes if over a tenth of it are symbols, if it is a navigation label
     or a row of separated labels, if it holds a boilerplate phrase, or if it is one or two words without
     closing punctuation. A document is then kept if it didn't fail the base rules and lost at most
-    max_lost of its word characters. Windows of eight words are compared within a text by their 64-bit
-    XXH64. No shuffle and no Python. A null or empty text has no words: base_failed, clean is null or
+    max_lost of its word characters. Windows of eight words are compared within a text by 64-bit
+    hashes. No shuffle and no Python. A null or empty text has no words: base_failed, clean is null or
     empty, lost is 0. Repeated rows are judged one by one.
     """
     src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"))
@@ -62,20 +87,23 @@ def judge_quality(docs: DataFrame, text: str = "text", max_lost: float = 0.5) ->
         "row",
         "t",
         _words(F.col("t")).alias("w"),
-        F.transform(F.split("t", "\n"), lambda x: F.struct(x.alias("line"), line_fails(x).alias("why"))).alias("l"),
+        judged_lines(F.col("t")).alias("l"),
     )
     n = F.coalesce(F.greatest(F.size("w"), F.lit(0)), F.lit(0))
-    hashes = F.when(n >= 9, F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice("w", i, 8))))
     chars = lambda c: F.length(F.regexp_replace(c, SPACE + "+", ""))
     src = src.select(
         "row",
         "t",
         "l",
         n.cast("long").alias("n_words"),
-        hashes.alias("h"),
+        F.when(n >= 9, F.transform("w", lambda x: F.xxhash64(x))).alias("h"),
         F.array_join(F.transform(F.filter("l", lambda x: x["why"].isNull()), lambda x: x["line"]), "\n").alias("clean"),
     )
-    worded = F.filter(F.transform("l", lambda x: x["line"]), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    for k in (1, 2, 4):  # hashes of one word, then of two, four and eight
+        size = F.size("h") - k
+        pairs = F.zip_with(F.slice("h", 1, size), F.slice("h", 1 + k, size), lambda a, b: F.xxhash64(a, b))
+        src = src.withColumn("h", F.when(F.col("h").isNotNull(), pairs))
+    worded = F.transform(F.filter("l", lambda x: x["t"] != ""), lambda x: x["line"])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     src = src.select(
         "row",

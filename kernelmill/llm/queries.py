@@ -139,6 +139,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_list(xs: list[str]) -> str:
+    return "(" + ", ".join(map(_sql_text, xs)) + ")"
+
+
 SQL = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
@@ -175,11 +185,12 @@ e AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc
 r AS (SELECT doc_id, unnest(i) AS i FROM (SELECT doc_id, list(i) AS i FROM e GROUP BY doc_id, g HAVING count(*) > 1)),
 p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r) GROUP BY 1),
 x AS (SELECT doc_id, unnest(l) AS line FROM d),
-y AS (SELECT doc_id, line, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS t FROM x),
+y AS (SELECT doc_id, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM x),
 z AS (SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS c, t <> '' AS worded,
              t <> '' AND (10 * (length(t) - length(translate(t, '#*$%&|<>', ''))) > length(t)
-               OR regexp_matches(t, '{quality.NAVIGATION}') OR regexp_matches(t, '{quality.BOILERPLATE}')
-               OR (NOT regexp_matches(t, '{quality.ENDS.replace("'", "''")}') AND len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) < 3)) AS bad FROM y),
+               OR length(t) - length(translate(t, '{quality.SEPARATORS}', '')) >= 2 OR (length(t) <= 20 AND lower(t) IN {_sql_list(quality.LABELS)})
+               OR {" OR ".join(f"contains(lower(t), {x})" for x in map(_sql_text, quality.BOILERPLATE))}
+               OR (right(t, 1) NOT IN {_sql_list(quality.ENDS)} AND len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) < 3)) AS bad FROM y),
 q AS (SELECT doc_id, count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(c) FILTER (NOT bad), 0) AS left_chars,
              count(*) FILTER (worded) - count(DISTINCT line) FILTER (worded) AS n_dup_lines FROM z GROUP BY 1),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
