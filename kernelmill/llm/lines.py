@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import SPACE
+from .util import written
+
+#: Up to this size, which is measured, the sites' lines are broadcast; beyond it, sites are salted.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 
 
 def _host(c: Column) -> Column:
@@ -22,7 +25,7 @@ def boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float,
     are made before the shuffle, so a frequent line or a large site costs no more than others.
     """
     site = _host(pages[host]).alias("site")
-    lines = F.array_distinct(F.filter(F.split(pages[text], "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    lines = F.array_distinct(F.filter(F.split(pages[text], "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     seen = (
         pages.select(site, F.explode(F.transform(lines, lambda x: F.unhex(F.md5(x)))).alias("line"))
         .groupBy("site", "line")
@@ -47,8 +50,16 @@ def drop_boilerplate(
     never dropped. A null text stays null with no lines, an empty text has one line and stays empty;
     null hosts form one site. An empty table gives an empty result.
     """
-    drop = boilerplate_lines(pages, host, text, max_ratio, min_pages)
+    drop = written(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate")
+    size = int(drop.agg(F.sum(F.size("lines") * 16 + 64)).first()[0] or 0)
+    salt = F.lit(0)
+    if size <= BROADCAST_BYTES:
+        drop = F.broadcast(drop.withColumn("salt", F.lit(0)))
+    else:  # a large site is dealt over several tasks, each with the site's lines
+        drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(pages[text]), F.lit(SALTS)).cast("int")
     src = pages.select(
+        salt.alias("salt"),
         F.struct(*[pages[c] for c in pages.columns]).alias("row"),
         _host(pages[host]).alias("site"),
         F.split(pages[text], "\n").alias("all"),
@@ -57,7 +68,7 @@ def drop_boilerplate(
         F.col("lines").isNotNull(), F.filter("all", lambda x: ~F.array_contains("lines", F.unhex(F.md5(x))))
     ).otherwise(F.col("all"))
     return (
-        src.join(drop, "site", "left")
+        src.join(drop, ["site", "salt"], "left")
         .select("row", "all", kept.alias("kept"))
         .select(
             "row",
