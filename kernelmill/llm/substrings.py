@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, slices, small_batches, unpack, unpack_sorted, written
 
 #: Bytes of a chunk (a longer text is one of its own), of windows hashed at once, for each bucket, and of a shard's text.
-CHUNK_BYTES, SLICE, BUCKET_BYTES, SHARD_BYTES = 16 << 20, 1 << 21, 12 << 20, 4 << 20
+CHUNK_BYTES, SLICE, BUCKET_BYTES, SHARD_BYTES = 6 << 20, 1 << 19, 8 << 20, 3 << 19
 #: No UTF-8 text holds this byte; it ends each segment of an index.
 STOP = 0xFF
 #: Segments of one key beyond which its windows are dealt by their own hash instead.
@@ -72,15 +72,17 @@ def _over(x: np.ndarray, w: int, least) -> np.ndarray:
     return least(y[: len(x) - w + 1], y[w - have : w - have + len(x) - w + 1])
 
 
-def _segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
+def _segments(data: np.ndarray, lens: np.ndarray, length: int, gram: int):
     """Of each slice of a chunk: (keys, starts, windows, content hashes, whether a key's string stands twice in it).
 
-    ends: for each byte, where its document ends. Windows never cross an end.
+    lens: bytes of each document. Windows never cross an end.
     """
+    ends = np.cumsum(lens)
     for a in range(0, max(0, len(data) - length + 1), SLICE):
         part = data[a : a + SLICE + length - 1]
         n = len(part) - length + 1
-        valid = ends[a : a + n] - np.arange(a, a + n) >= length
+        at = np.arange(a, a + n)
+        valid = ends[np.searchsorted(ends, at, "right")] - at >= length
         if not valid.any():
             continue
         hashes = _Hashes(part)
@@ -101,7 +103,7 @@ def _segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
 
 
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made = TaskContext.get().partitionId(), 0
+    part, made, size = TaskContext.get().partitionId(), 0, 0
     rows, texts, lens = [], [], []
 
     def close() -> pa.RecordBatch:
@@ -123,7 +125,9 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(t or b"")
             lens.append(len(t or b""))
             rows.append(b.column(0).slice(k, 1))
-            if sum(lens[-1:]) >= CHUNK_BYTES or (len(lens) % 64 == 0 and sum(lens) >= CHUNK_BYTES):
+            size += lens[-1]
+            if size >= CHUNK_BYTES:
+                size = 0
                 yield close()
     if lens:
         yield close()
@@ -140,7 +144,7 @@ def _requests(length: int, gram: int, buckets: int):
         for b in batches:
             for row in b.to_pylist():
                 data, lens = _bytes(row)
-                got = list(_segments(data, np.repeat(np.cumsum(lens), lens), length, gram))
+                got = list(_segments(data, lens, length, gram))
                 if not got:
                     continue
                 keys, starts, counts, content, more = map(np.concatenate, zip(*got))
@@ -202,6 +206,8 @@ def _classify(length: int):
             sent = int((counts[take][code[take] & DOUBT > 0] + length).sum())
             for c, x in zip(out, (*values, sent, int((code[take] & HOT_DOUBT > 0).sum()))):
                 out[c].append(x)
+        del keys, starts, counts, content, more, o, of_class, of_key
+        release()
         types = (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
@@ -243,6 +249,8 @@ def _send(length: int, split: int):
                     text = zstandard.compress(_pieces(data, s, n + length - 1).tobytes(), 1)
                     for c, x in zip(out, (int(shard[part[0]]), row["chunk"], pack(s.astype(np.int32)), pack(n.astype(np.int32)), text)):
                         out[c].append(x)
+            del data
+            release()
         types = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
@@ -340,6 +348,8 @@ def _index(length: int):
         owner = np.repeat(np.arange(len(table)), [len(x) for x in texts])
         source = np.repeat(np.concatenate(starts) - first, sizes) + np.arange(len(text))  # the place in its chunk
         hit = np.flatnonzero(found)
+        del found, left, text
+        release()
         out = {c: [] for c in ("chunk", "starts", "counts")}
         for k, chunk in enumerate(table["chunk"].to_pylist()):
             at = np.sort(source[hit[owner[hit] == k]])
@@ -460,7 +470,8 @@ def remove_repeats(
                     s, n = s[whole], n[whole]
                 np.add.at(change, s, 1)
                 np.add.at(change, s + n + length - 1, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+            del change
             spans, kept = [], []
             removed = []
             end = 0
@@ -475,6 +486,7 @@ def remove_repeats(
             rows = (rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows).slice(k, 1).flatten()
             cols = [rows, pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, arrow.field("spans").type), pa.array(kept, pa.binary())]
             out.append(pa.table(cols, names=arrow.names))
+            release()
         return pa.concat_tables(out) if out else arrow.empty_table()
 
     return chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(finish, result)
