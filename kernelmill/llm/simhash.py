@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import n_buckets, per_text, written
 
+#: A table of ids of up to so many rows, counted, is broadcast.
+BROADCAST_ROWS = 400_000
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 17
 
@@ -265,9 +267,29 @@ def near_duplicates(
     return rows.join(of_fp, "fp").select("row", "fp", "n", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each component of near duplicates: that of the smallest id, one of repeated rows, null ids last."""
-    rows = written(near_duplicates(docs, text, doc_id, **options), "simhash-rows")
-    rank = F.struct(F.col("row").getField(doc_id).isNull().alias("none"), F.col("row").getField(doc_id).alias("id"), "n")
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """docs with one row of each component of near duplicates: that of the smallest id (null ids last), one of repeated rows.
+
+    Components are found on (id, hash of the text) alone. What goes is a table of ids, broadcast
+    if it is small when measured, else joined by id; only then are texts shuffled.
+    """
+    own = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    key = F.xxhash64(docs[text]).alias("key")
+    slim = docs.select(docs[doc_id].alias("id"), key, docs[text].alias("text"))
+    rows = written(near_duplicates(slim, "text", "id", ["id", "key"], shingle, radius, seed).select("row.id", "row.key", "root"), "simhash-rows")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    return rows.join(first.select(F.col("first.n").alias("n")), "n", "left_semi").select("row.*")
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    judged = rows.join(first, "root").select("id", "key", same.alias("stays"))
+    found = written(judged.groupBy("id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "simhash-keep")
+    gone = found.where("not stays").select("id", "key")
+    match = lambda t: F.col(at[doc_id]).eqNullSafe(t["id"]) & (F.xxhash64(F.col(at[text])) == t["key"])
+    kept = docs.select(*own)
+    kept = kept.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match(gone), "left_anti")
+    twice = found.where("stays and n > 1").select("id", "key")
+    if twice.limit(1).count():  # repeated rows of a document that stays: all but one go
+        several = kept.join(twice, match(twice), "left_semi")
+        one = several.withColumn("rn", F.row_number().over(Window.partitionBy(at[doc_id], F.xxhash64(at[text])).orderBy(F.lit(0)))).where("rn = 1").drop("rn")
+        kept = kept.join(twice, match(twice), "left_anti").unionByName(one)
+    return kept.toDF(*docs.columns)
