@@ -13,6 +13,8 @@ from .util import WORD, small_batches, written
 
 #: Blocks of a source: one for this many rows, at most so many.
 BLOCK_ROWS, MOST_BLOCKS = 64, 4096
+#: Tables of sources and of blocks are broadcast up to so many rows, which are counted; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Source groups whose quotas the driver splits; the sources of a group are split in a task of its own.
 GROUPS = 64
 
@@ -130,25 +132,27 @@ def mix(
 
     A null text has size 0, a null source is a source of its own, sorted last; rows with equal order
     values, source and size are interchangeable. An empty table gives an empty result. The texts
-    are never shuffled unless they are carried; rows are joined on (source, block), so no key is hot.
+    are shuffled only with more than BROADCAST_ROWS blocks, and then by (source, block), so no key is hot.
     """
     small_batches(docs.sparkSession)
     kept = docs.columns if carry is None else list(carry)
     u = lambda *c: F.xxhash64(*c, F.lit(seed))
-    sized = docs.select(
+    full = docs.select(
         F.struct(*[docs[c] for c in kept]).alias("row"),
         _source_key(docs[source]).alias("key"),
         F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         u(docs[order].cast("string"), docs[source]).alias("h"),
     )
-    sized = written(sized, "mix-sized")
+    # Sizes are counted again when the rows themselves are dealt: cheaper than keeping the texts twice.
+    sized = written(full.select("key", "size", "h"), "mix-sized")
     targets = written(source_targets(sized, weights, share, most), "mix-targets").withColumn(
         "n_blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.col("rows").cast("long") / BLOCK_ROWS)).cast("long")
     )
     # A row's block follows from its hash alone once the source's number of blocks is known.
     block = F.pmod(F.shiftrightunsigned("h", 20), F.col("n_blocks"))
-    dealt = sized.join(F.broadcast(targets) if targets.count() < 10_000 else targets, "key").withColumn("block", block)
-    sums = dealt.groupBy("key", "block").agg(F.sum("size").alias("words"))
+    few = targets.count() <= BROADCAST_ROWS
+    deal = lambda rows: rows.join(F.broadcast(targets) if few else targets, "key").withColumn("block", block)
+    sums = deal(sized).groupBy("key", "block").agg(F.sum("size").alias("words"))
     by_source = Window.partitionBy("key").orderBy(u("key", "block"), "block")
     blocks = sums.join(targets, "key").select(
         "key",
@@ -177,7 +181,8 @@ def mix(
     placed = placed.join(quotas, "key").where("at >= first and at < last")
     where = placed.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
     whole = blocks.withColumn("border", (F.col("more") > 0) & (F.col("more") < F.col("words")))
-    rows = dealt.join(whole.join(where, ["key", "block"], "left"), ["key", "block"])
+    plan = written(whole.join(where, ["key", "block"], "left"), "mix-plan")
+    rows = deal(full).join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, ["key", "block"])
     # Only border blocks, at most one a source, need a running sum over their rows.
     inside = Window.partitionBy("key", "block").orderBy(u("h"), "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     cols = ["row", "h", "size", "source_size", "target", "passes", "shards"]
