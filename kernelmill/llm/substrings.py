@@ -33,8 +33,8 @@ from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, slices
 CHUNK_BYTES, SLICE, BUCKET_BYTES, SHARD_BYTES = 6 << 20, 1 << 19, 8 << 20, 3 << 19
 #: No UTF-8 text holds this byte; it ends each segment of an index.
 STOP = 0xFF
-#: Segments of one key beyond which its windows are dealt by their own hash instead.
-HOT = 20_000
+#: Bytes of one key's different segments beyond which its windows are dealt by their own hash instead of going to one shard.
+HOT_BYTES = 1 << 19
 
 
 @cache
@@ -174,7 +174,7 @@ _REPLY = "chunk long, bucket int, starts binary, counts binary, code binary, sal
 REPEATED, DOUBT, HOT_DOUBT = 1, 2, 4
 
 
-def _classify(length: int):
+def _classify(length: int, hot_bytes: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket of keys: which segments repeat as a whole, and which are in doubt."""
         table = table.sort_by("chunk")
@@ -194,7 +194,8 @@ def _classify(length: int):
         inner = np.bincount(of_class, more[o]) > 0
         doubt = new & ((classes[of_key] > 1) | inner[of_class])
         code = np.empty(len(keys), np.uint8)
-        code[o] = REPEATED * (members[of_class] > 1) + np.where(classes[of_key] > HOT, HOT_DOUBT, DOUBT) * doubt
+        heavy = np.bincount(of_key, (counts[o] + length) * doubt) > hot_bytes
+        code[o] = REPEATED * (members[of_class] > 1) + np.where(heavy[of_key], HOT_DOUBT, DOUBT) * doubt
         out = {c: [] for c in ("chunk", "bucket", "starts", "counts", "code", "salt", "doubt_bytes", "n_hot")}
         for chunk, (i, j) in zip(table["chunk"].to_pylist(), cut):
             take = i + np.flatnonzero(code[i:j])
@@ -403,7 +404,7 @@ def _hot_windows(table: pa.Table) -> pa.Table:
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", carry: list[str] | None = None, length: int = 200, gram: int = 120
+    docs: DataFrame, text: str = "text", carry: list[str] | None = None, length: int = 200, gram: int = 120, hot_bytes: int = HOT_BYTES
 ) -> DataFrame:
     """Struct `row` (the carried columns), n_bytes, n_removed, spans, kept.
 
@@ -413,8 +414,9 @@ def remove_repeats(
     repeated rows are copies of each other. An empty table gives an empty result.
 
     gram (at most length): bytes of the strings that serve as minimizers. Keys and contents are compared by 64-bit hashes,
-    matches in the index byte by byte. A key of over HOT classes (a passage of `gram` bytes or more with very many
-    different surroundings) doesn't go to one shard: its windows are dealt by their own 64-bit hash.
+    matches in the index byte by byte. A key whose different segments are over hot_bytes (a passage with very many
+    different surroundings, or one short piece repeated at length) doesn't go to one shard: its windows are
+    dealt by their own 64-bit hash.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -434,7 +436,7 @@ def remove_repeats(
     chunks = bucketed(src.mapInArrow(_pack_chunks, schema), "chunk", parts, "substring_chunks")
     slim = chunks.select("chunk", "lens", "text")
     asked = slim.mapInArrow(_requests(length, gram, buckets), _REQUEST)
-    replies = written(asked.groupBy("bucket").applyInArrow(_classify(length), _REPLY), "substring-replies")
+    replies = written(asked.groupBy("bucket").applyInArrow(_classify(length, hot_bytes), _REPLY), "substring-replies")
     sent, hot = replies.agg(F.sum("doubt_bytes"), F.sum("n_hot")).first()
     split = max(1, -(-int(sent or 0) // (buckets * SHARD_BYTES)))
     by_chunk = replies.select("chunk", "bucket", "starts", "counts", "code", "salt")
