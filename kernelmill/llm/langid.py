@@ -216,7 +216,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     The language is the one of lowest length-normalised cross-entropy over the whole text (ties: the
     first by name); score is its softmax share, with at most 50 characters' weight. Rejected: texts
     that are null or without a letter (lang_pred `und`, score 0), and texts whose cross-entropy is over
-    z calibrated standard deviations, for a text of this length, above the mean of the language. One
+    z calibrated standard deviations, for a text of this length, above the mean of the language, and over
+    half way from that mean to letters at random. One
     narrow pass; the model is broadcast, its size bounded by the sample. Repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -234,7 +235,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
                 own = h[np.arange(len(h)), best]
                 p = 1 / np.exp2((own[:, None] - h) * np.minimum(n, 50)[:, None]).sum(axis=1)
                 mean, wide, each = limits[best].T
-                far = own > mean + z * np.sqrt(wide + each / np.maximum(n, 1))
+                # nor is a text far off that is still nearer to the language than to letters at random
+                far = own > np.maximum(mean + z * np.sqrt(wide + each / np.maximum(n, 1)), (mean + np.log2(m.size)) / 2)
                 none = letters == 0
                 pred += ["und" if x else m.langs[j] for x, j in zip(none.tolist(), best.tolist())]
                 score += np.where(none, 0.0, p).tolist()
