@@ -72,7 +72,7 @@ def gram_dictionary(alphabet: DataFrame, n: int) -> DataFrame:
     return grams
 
 
-def _places(n: int) -> Column:
+def places(n: int) -> Column:
     """Array of (n, pos, gram) of the grams of n letters of seq."""
     size = F.length("seq")
     at = F.sequence(F.lit(1), size - (n - 1))
@@ -87,7 +87,7 @@ def gram_features(strings: DataFrame, min_n: int, max_n: int, positional: bool =
     """
     if not 1 <= min_n <= max_n:
         raise ValueError("1 <= min_n <= max_n is needed")
-    grams = F.flatten(F.array(*[_places(n) for n in range(min_n, max_n + 1)]))
+    grams = F.flatten(F.array(*[places(n) for n in range(min_n, max_n + 1)]))
     rows = strings.select("id", F.explode(grams).alias("g")).select("id", "g.n", "g.pos", "g.gram")
     if positional:
         return rows.withColumn("value", F.lit(1.0))

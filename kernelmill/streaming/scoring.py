@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_features
+from ..functions.grams import places
 
 
-def score_stream(weights: DataFrame, strings: DataFrame, max_n: int, event_time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """(id, ts, score) of a stream (id, seq, ts) of strings: stream-static join on (pos, gram), summed by (id, ts); final once the watermark passes."""
-    keyed = strings.withWatermark(event_time, late).select(F.struct("id", event_time).alias("id"), "seq", event_time)
-    grams = gram_features(keyed, max_n, max_n).select(F.col("id.id").alias("key"), F.col(f"id.{event_time}").alias(event_time), "pos", "gram")
-    grams = grams.withWatermark(event_time, late)
-    return grams.join(weights.select("pos", "gram", "w"), ["pos", "gram"]).groupBy(F.col("key").alias("id"), event_time).agg(F.sum("w").alias("score"))
+def score_stream(weights: DataFrame, strings: DataFrame, n: int, event_time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """(id, event_time, score) of a stream of strings (id, seq, event_time), by weights (pos, gram, w) of grams of n letters.
+
+    A stream-static join on (pos, gram), summed by string; a score is final once the watermark has passed it.
+    """
+    rows = strings.withWatermark(event_time, late).select("id", event_time, F.explode(places(n)).alias("g"))
+    rows = rows.select("id", event_time, "g.pos", "g.gram")
+    return rows.join(weights.select("pos", "gram", "w"), ["pos", "gram"]).groupBy("id", event_time).agg(F.sum("w").alias("score"))
