@@ -99,7 +99,8 @@ def _segments(data: np.ndarray, lens: np.ndarray, length: int, gram: int):
         keys = key[first]
         own, at, segs = np.unique(keys, return_inverse=True, return_counts=True)
         more = places[np.searchsorted(chosen, own)] > segs
-        yield keys, first + a, last - first + 1, hashes.of(first, last + length) ^ mix64((last - first).astype(np.uint64)), more[at]
+        # least hashes are small numbers: scrambled again, they deal evenly
+        yield mix64(~keys), first + a, last - first + 1, hashes.of(first, last + length) ^ mix64((last - first).astype(np.uint64)), more[at]
 
 
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
