@@ -127,13 +127,13 @@ def fit(train: DataFrame, text: str, lang: str, order_by: Column, max_chars: int
     Rows with null text or lang are left out. The sample takes whole rows whose hash of order_by (a
     column that tells rows apart) falls below the share of its language; of it, a fifth is kept back
     to calibrate rejection. The bound makes what the driver gathers and broadcasts at most max_chars
-    n-grams of 16 bytes. Raises ValueError where no labelled row has a letter.
+    n-grams of 16 bytes. Where no labelled row has a letter, the model knows no language.
     """
     small_batches(train.sparkSession)
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     sizes = {r[0]: int(r[1] or 0) for r in rows.groupBy(F.col(lang)).agg(F.sum(F.length(text))).collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn from")
+        return Model(np.empty(0, np.int64), {})
     share = {k: min(1.0, max_chars / len(sizes) / max(v, 1)) for k, v in sizes.items()}
     u = F.pmod(F.xxhash64(order_by, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     part = F.pmod(F.xxhash64(order_by, F.lit("part")), F.lit(5)) == 0
@@ -150,8 +150,6 @@ def fit(train: DataFrame, text: str, lang: str, order_by: Column, max_chars: int
 
     letters = sample.mapInPandas(count_letters, "cp long, n long").where("cp > 0").groupBy("cp").agg(F.sum("n").alias("n"))
     found = letters.orderBy(F.desc("n"), "cp").limit((1 << 15) - 2).collect()
-    if not found:
-        raise ValueError("no letters to learn from")
     shell = Model(np.array([r["cp"] for r in found], np.int64), {})
 
     def count_grams(batches):
@@ -176,9 +174,9 @@ def fit(train: DataFrame, text: str, lang: str, order_by: Column, max_chars: int
     for name, part in grams.groupby("lang"):
         part = part.sort_values("gram")
         counts[name] = (part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy().astype(np.float64))
-    if not counts:  # so few rows that all were kept back
-        raise ValueError("too few labelled texts to learn from")
     model = Model(shell.alphabet, counts)
+    if not counts:
+        return model
 
     def own_entropy(batches):
         import pandas as pd
@@ -218,7 +216,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     that are null or without a letter (lang_pred `und`, score 0), and texts whose cross-entropy is over
     z calibrated standard deviations, for a text of this length, above the mean of the language, and over
     half way from that mean to letters at random. One
-    narrow pass; the model is broadcast, its size bounded by the sample. Repeated rows are scored alike.
+    narrow pass; a model without languages gives `und` and rejects only texts without letters; the model is broadcast, its size bounded by the sample. Repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -231,6 +229,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
             pred, score, entropy, rejected = [], [], [], []
             for a, b in _pieces(texts):
                 h, n, letters = m.entropies(texts[a:b])
+                if not m.langs:
+                    k = b - a
+                    pred, score, entropy, rejected = pred + ["und"] * k, score + [0.0] * k, entropy + [0.0] * k, rejected + (letters == 0).tolist()
+                    continue
                 best = h.argmin(axis=1)
                 own = h[np.arange(len(h)), best]
                 p = 1 / np.exp2((own[:, None] - h) * np.minimum(n, 50)[:, None]).sum(axis=1)

@@ -189,8 +189,14 @@ def test_empty_tables(empty):
     assert quality.judge_quality(empty).count() == 0
     assert mixing.mix(empty).count() == 0
     assert katz.score_documents(empty.withColumn("learn", F.lit(True)), "learn").count() == 0
-    with pytest.raises(ValueError):
-        langid.fit(empty, "text", "lang", F.col("doc_id"))
+    none = langid.fit(empty, "text", "lang", F.col("doc_id"))
+    assert langid.identify(empty, none).count() == 0 and none.langs == []
+
+
+def test_language_without_labels(spark):
+    df = make(spark, [(1, "abc", None, None), (2, None, "en", None), (3, "12", None, None)])
+    got = langid.identify(df, langid.fit(df, "text", "lang", F.col("doc_id"))).select("row.doc_id", "lang_pred", "rejected").collect()
+    assert {r.doc_id: (r.lang_pred, r.rejected) for r in got} == {1: ("und", False), 2: ("und", True), 3: ("und", True)}
 
 
 @pytest.mark.parametrize("small", [True, False])
