@@ -68,13 +68,14 @@ def debruijn_nodes(counts: DataFrame) -> DataFrame:
     return ends.groupBy("target", "node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def _trail(edges: dict[str, list[str]], start: str) -> list[str]:
-    """A walk from start over unused edges that can't be made longer, with all closed walks on its way spliced in; uses up edges."""
-    stack, out = [start], []
+def _trail(edges: dict[str, list[str]], start: str) -> list[tuple[str | None, str]]:
+    """(from, to) of the edges of a walk from start that can't be made longer, with all closed walks on its way spliced in;
+    the first has no from. Uses up edges. Where no Euler path begins at start, some edges don't follow the one before."""
+    stack, out = [(None, start)], []
     while stack:
-        left = edges.get(stack[-1])
+        left = edges.get(stack[-1][1])
         if left:
-            stack.append(left.pop())
+            stack.append((stack[-1][1], left.pop()))
         else:
             out.append(stack.pop())
     return out[::-1]
@@ -106,8 +107,13 @@ def _euler_string(grams: list[str], counts: list[int], merge: bool) -> str:
     for nodes in by_part.values():
         while any(edges[a] for a in nodes):
             live = [a for a in nodes if edges[a]]
-            starts = [a for a in live if len(edges[a]) > inward.get(a, 0)] or live
-            walk = _valid(_trail(edges, starts[0]), edges)
+            starts = [a for a in live if len(edges[a]) > inward.get(a, 0)] or live[:1]
+            tries = []
+            for a in starts:  # one at most where there is an Euler path
+                left = {x: list(edges[x]) for x in live}
+                tries.append((_valid(_trail(left, a), left), left))
+            walk, left = max(tries, key=lambda t: len(t[0]))
+            edges.update(left)
             for a in walk[1:]:
                 inward[a] -= 1
             walks.append(walk)
@@ -118,17 +124,20 @@ def _euler_string(grams: list[str], counts: list[int], merge: bool) -> str:
     return "".join(map(word, walks)) if merge else word(walks[0])
 
 
-def _valid(walk: list[str], edges: dict[str, list[str]]) -> list[str]:
-    """The longest stretch of a walk whose neighbours overlap; edges beyond it are put back. (A part without an
-    Euler path gives a sequence with breaks.)"""
-    cut = [0, *[i for i in range(1, len(walk)) if walk[i - 1][1:] != walk[i][:-1]], len(walk)]
-    pieces = [walk[a:b] for a, b in zip(cut, cut[1:])]
+def _valid(trail: list[tuple[str | None, str]], edges: dict[str, list[str]]) -> list[str]:
+    """The nodes of the longest stretch of a trail whose edges follow each other; all other edges are put back."""
+    cut = [0, *[i for i in range(1, len(trail)) if trail[i][0] != trail[i - 1][1]], len(trail)]
+    pieces = [trail[a:b] for a, b in zip(cut, cut[1:])]
     best = max(pieces, key=len)
     for p in pieces:
-        if p is not best:
-            for a, b in zip(p, p[1:]):
+        for a, b in p[:1] if p is best else p:
+            if a is not None:
                 edges.setdefault(a, []).append(b)
-    return best
+    if best[0][0] is not None and len(best) == 1:  # a lone edge
+        a, b = best[0]
+        edges[a].remove(b)
+        return [a, b]
+    return [b for _, b in best]
 
 
 def euler_strings(counts: DataFrame, merge: bool = True, length: int | None = None) -> DataFrame:

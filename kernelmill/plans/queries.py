@@ -59,7 +59,7 @@ def score_all_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, {_W2}, s AS (SELECT g.id, round(sum(w.w) / 1000, 6) AS score FROM g JOIN w ON g.pos = w.pos AND g.gram = w.gram GROUP BY g.id)
-SELECT id // 1000 AS user_id, id, score, row_number() OVER (PARTITION BY id // 1000 ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 2""")
+SELECT id // 1000 AS user_id, id, score, CAST(row_number() OVER (PARTITION BY id // 1000 ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 2""")
 def best_string_of_each_user(spark: SparkSession, d: str) -> DataFrame:
     scores = score_all_strings(spark, d).withColumn("user_id", F.floor(F.col("id") / 1000))
     return design.rank_candidates(scores, 2, by="user_id")
