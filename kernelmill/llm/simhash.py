@@ -280,9 +280,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     rows = written(near_duplicates(slim, "text", "id", ["id", "key"], shingle, radius, seed).select("row.id", "row.key", "root"), "simhash-rows")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    judged = rows.join(first, "root").select("id", "key", same.alias("stays"))
-    found = written(judged.groupBy("id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "simhash-keep")
+    # (id, key) has few rows where a component may have very many
+    first = first.select(F.col("first.id").alias("i"), F.col("first.key").alias("k"))
+    each = rows.groupBy("id", "key").agg(F.count("*").alias("n"))
+    each = each.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    found = written(each.select("id", "key", "n", F.col("k").isNotNull().alias("stays")), "simhash-keep")
     gone = found.where("not stays").select("id", "key")
     match = lambda t: F.col(at[doc_id]).eqNullSafe(t["id"]) & (F.xxhash64(F.col(at[text])) == t["key"])
     kept = docs.select(*own)
