@@ -50,7 +50,7 @@ def strings(spark):
     return spark.createDataFrame(list(zip(range(6), SEQS, YS, [1.0, 2.0, 0.5, 1.0, 1.0, 3.0])), "id long, seq string, y double, s double")
 
 
-@pytest.mark.parametrize("n,normalized,block", [(1, False, 2), (2, True, 4), (3, False, 100)])
+@pytest.mark.parametrize("n,normalized,block", [(2, True, 4), (3, False, 100)])
 def test_gram(strings, desc, n, normalized, block):
     p = KernelParams(1.3, 0.9, n, normalized)
     for right in (None, strings):
@@ -99,7 +99,7 @@ def dense(p, center, weights, alpha, y):
     return K @ c + mean, c
 
 
-@pytest.mark.parametrize("normalized,center,weighted", list(itertools.product((False, True), repeat=3)))
+@pytest.mark.parametrize("normalized,center,weighted", [(False, False, False), (True, False, True), (False, True, True), (True, True, False)])
 def test_ridge_equals_the_dense_solution(strings, desc, normalized, center, weighted):
     p = KernelParams(1.3, 0.9, 2, normalized)
     model = learn.fit_ridge(strings, desc, p, 0.7, center, "s" if weighted else None)
@@ -129,10 +129,10 @@ def all_strings(n):
 def test_weights_score_like_the_model(spark, strings, desc):
     p = KernelParams(1.3, 0.9, 2)
     train = strings.withColumnRenamed("y", "coef")
-    w = W.gram_weights(train, desc, p, 4, True)
-    every = spark.createDataFrame(list(enumerate(all_strings(4))), "id long, seq string")
+    w = W.gram_weights(train, desc, p, 3, True)
+    every = spark.createDataFrame(list(enumerate(all_strings(3))), "id long, seq string")
     got = {r.id: r.score for r in W.score_strings(w, every).collect()}
-    for i, x in enumerate(all_strings(4)):
+    for i, x in enumerate(all_strings(3)):
         assert got[i] == pytest.approx(sum(c * k(z, x, 1.3, 0.9, 2) for c, z in zip(YS, SEQS)), abs=1e-9)
 
 
@@ -140,15 +140,15 @@ def test_weights_score_like_the_model(spark, strings, desc):
 def test_designs_equal_full_enumeration(spark, strings, desc, shift):
     p = KernelParams(1.3, 0.9, 2)
     train = strings.select("id", "seq", (F.col("y") + shift).alias("coef"))
-    w = W.gram_weights(train, desc, p, 4, True).cache()
-    value = {x: sum((c + shift) * k(z, x, 1.3, 0.9, 2) for c, z in zip(YS, SEQS)) for x in all_strings(4)}
+    w = W.gram_weights(train, desc, p, 3, True).cache()
+    value = {x: sum((c + shift) * k(z, x, 1.3, 0.9, 2) for c, z in zip(YS, SEQS)) for x in all_strings(3)}
     plain = sorted(value.values(), reverse=True)[:7]
-    assert [r.score for r in design.k_best_strings(w, 4, 7).orderBy("rank").collect()] == pytest.approx(plain)
+    assert [r.score for r in design.k_best_strings(w, 3, 7).orderBy("rank").collect()] == pytest.approx(plain)
     norm = sorted((v / math.sqrt(k(x, x, 1.3, 0.9, 2)) for x, v in value.items()), reverse=True)[:5]
-    got = design.k_best_normalized(w, desc, p, 4, 5).orderBy("rank").collect()
+    got = design.k_best_normalized(w, desc, p, 3, 5).orderBy("rank").collect()
     assert [r.score for r in got] == pytest.approx(norm) and got[0].is_exact
     best = min((k(x, x, 1.3, 0, 2, exact=True) - 2 * v, x) for x, v in value.items())
-    assert design.best_distance({4: w}, desc, p).first().distance == pytest.approx(best[0])
+    assert design.best_distance({3: w}, desc, p).first().distance == pytest.approx(best[0])
 
 
 def test_design_limits(spark, strings, desc):
@@ -178,7 +178,7 @@ def test_folds_grid_and_nested_search(strings, desc, spark):
 
 def test_svm_separates(spark, desc):
     rows = spark.createDataFrame([(0, "AAAA", 0.0), (1, "AABA", 0.0), (2, "CCCC", 1.0), (3, "CCBC", 1.0), (4, "BBBB", 2.0), (5, "BBBA", 2.0)], "id long, seq string, y double")
-    model = learn.fit_svm(rows, desc, KernelParams(1.0, 0.5, 2, True), 10.0)
+    model = learn.fit_svm(rows, desc, KernelParams(1.0, 0.5, 2, True), 10.0, max_iter=20)
     assert {r.id: r.label for r in learn.predict_svm(model, rows).collect()} == {0: 0.0, 1: 0.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0}
 
 
