@@ -273,11 +273,16 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     Components are found on (id, hash of the text) alone. What goes is a table of ids, broadcast
     if it is small when measured, else joined by id; only then are texts shuffled.
     """
-    own = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]
-    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     key = F.xxhash64(docs[text]).alias("key")
     slim = docs.select(docs[doc_id].alias("id"), key, docs[text].alias("text"))
     rows = written(near_duplicates(slim, "text", "id", ["id", "key"], shingle, radius, seed).select("row.id", "row.key", "root"), "simhash-rows")
+    return keep_one(docs, rows, text, doc_id)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with one row of each root of rows (id, key, root), a row for each of docs; key is the hash of its text."""
+    own = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
     # (id, key) has few rows where a component may have very many
