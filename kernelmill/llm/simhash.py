@@ -104,23 +104,21 @@ def _vantage(points: np.ndarray, radius: int) -> tuple:
     return best[1], best[2]
 
 
-def _route(fps: np.ndarray, nodes: list[tuple], radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, fingerprints, whether the shard is their own). One that may have a partner across a bound goes to both sides:
+def _route(fps: np.ndarray, nodes: list[tuple], radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, fingerprints). One that may have a partner across a bound goes to both sides:
     by the triangle inequality, a point farther than bound + radius from the vantage has none inside."""
-    todo = [(0 if nodes else -1, fps, np.ones(len(fps), bool))]
+    todo = [(0 if nodes else -1, fps)]
     while todo:
-        at, points, own = todo.pop()
+        at, points = todo.pop()
         if not len(points):
             continue
         if at < 0:
-            yield -1 - at, points, own
+            yield -1 - at, points
             continue
         v, bound, inner, outer = nodes[at]
         d = _distance(points, v)
-        near = d <= bound + radius
-        todo.append((inner, points[near], own[near] & (d[near] <= bound)))
-        far = d > bound
-        todo.append((outer, points[far], own[far]))
+        todo.append((inner, points[d <= bound + radius]))
+        todo.append((outer, points[d > bound]))
 
 
 class _Forest:
@@ -142,20 +140,16 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _link(fps: np.ndarray, own: np.ndarray, radius: int, forest: _Forest, leaf: int = 256) -> None:
-    """Joins all pairs within radius of which one at least is own: a vantage-point tree down to leaves compared outright."""
-    todo = [(np.arange(len(fps)), own)]
+def _link(fps: np.ndarray, radius: int, forest: _Forest, leaf: int = 256) -> None:
+    """Joins all pairs within radius: a vantage-point tree down to leaves compared outright."""
+    todo = [np.arange(len(fps))]
     while todo:
-        at, mine = todo.pop()
-        if not mine.any():
-            continue
+        at = todo.pop()
         points = fps[at]
         v, bound = _vantage(points, radius) if len(at) > leaf else (None, None)
         if v is not None:
             d = _distance(points, v)
-            near, far = d <= bound + radius, d > bound
-            todo.append((at[near], mine[near] & (d[near] <= bound)))
-            todo.append((at[far], mine[far]))
+            todo.extend((at[d <= bound + radius], at[d > bound]))
             continue
         for k in range(0, len(at), 256):  # rows against themselves and all later ones
             close = np.bitwise_count(points[k : k + 256, None] ^ points[None, k:]) <= radius
@@ -184,13 +178,13 @@ def near_links(fps: DataFrame, radius: int = 2, shard: int = 8_000, sample: int
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for s, p, own in _route(points, nodes, radius):
+            for s, p in _route(points, nodes, radius):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), s, np.int64)), pa.array(p.view(np.int64)), pa.array(own)],
-                    names=["shard", "fp", "own"],
+                    [pa.array(np.full(len(p), s, np.int64)), pa.array(p.view(np.int64))],
+                    names=["shard", "fp"],
                 )
 
-    routed = written(fps.select("fp").mapInArrow(route, "shard long, fp long, own boolean"), "vp-routed")
+    routed = written(fps.select("fp").mapInArrow(route, "shard long, fp long"), "vp-routed")
     cap = 2 * shard
     large = {r[0]: -(-r[1] // shard) for r in routed.groupBy("shard").count().where(F.col("count") > cap).collect()}
     if large:
@@ -201,14 +195,12 @@ def near_links(fps: DataFrame, radius: int = 2, shard: int = 8_000, sample: int
         n = F.lit(1)
     block = F.pmod(F.xxhash64("fp"), n).cast("int")
     dealt = routed.withColumn("n", n).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("shard", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "fp", "own")
+    dealt = dealt.select("shard", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "fp")
 
     def link(table: pa.Table) -> pa.Table:
-        f = table["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(f)
-        f, own = f[order], table["own"].to_numpy(zero_copy_only=False)[order]
+        f = np.sort(table["fp"].to_numpy().view(np.uint64))
         forest = _Forest(len(f))
-        _link(f, own, radius, forest)
+        _link(f, radius, forest)
         roots = np.fromiter((forest.root(k) for k in range(len(f))), np.int64, len(f))
         linked = np.flatnonzero(roots != np.arange(len(f)))
         return pa.table({"a": f[roots[linked]].view(np.int64), "b": f[linked].view(np.int64)})
