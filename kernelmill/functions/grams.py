@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A dictionary of more grams than this is refused.
-MOST_GRAMS = 4_000_000
+from ..shared import at_most
+
+#: Larger alphabets, and dictionaries of more grams, are refused.
+MOST_LETTERS, MOST_GRAMS = 1000, 4_000_000
 
 
 def letters_of(alphabet: DataFrame) -> list[str]:
     """The letters in order of letter_idx; an alphabet is a few dozen rows."""
-    letters = [r[0] for r in alphabet.orderBy("letter_idx").select("letter").limit(1000).collect()]
+    rows = at_most(alphabet.select("letter_idx", "letter"), MOST_LETTERS, "letters")
+    letters = [r["letter"] for r in sorted(rows, key=lambda r: r["letter_idx"])]
     if not letters or any(len(x) != 1 for x in letters) or len(set(letters)) < len(letters):
         raise ValueError("an alphabet needs different single letters")
     return letters

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grams import letters_of
 from ..params import KernelParams
-from ..plans.shared import materialized
+from ..shared import at_most, materialized
 from ._blocks import letter_matrix, position_matrix
 from .kernels import descriptor_matrix
 
@@ -107,7 +107,7 @@ def k_best_strings(weights: DataFrame, length: int, k: int, ends: DataFrame | No
     if forbidden is not None:
         start = _allowed(start.withColumnRenamed("gram", "next"), forbidden, 0, n).withColumnRenamed("next", "gram")
     last = max(0, length - n)
-    layer = _grow(start, weights, 1, last, n, k if length >= n else k * 1, ["model_id"], forbidden, by_pos)
+    layer = _grow(start, weights, 1, last, n, k, ["model_id"], forbidden, by_pos)
     return _finish(layer, ends, length, k, ["model_id"])
 
 
@@ -152,15 +152,16 @@ def best_string_in_range(weights: DataFrame, ends: DataFrame, shortest: int, lon
 def complete_prefix(weights: DataFrame, prefixes: DataFrame, length: int, k: int) -> DataFrame:
     """(prefix_id, model_id, rank, seq, score): the k best strings of `length` letters that start with each prefix (prefix_id, prefix) of n or more letters."""
     n = _gram_length(weights)
-    sizes = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(1000).collect())
-    if sizes and (sizes[0] < n or sizes[-1] > length):
+    size = F.length("prefix")
+    shortest, longest = prefixes.agg(F.min(size), F.max(size)).first()
+    if shortest is not None and not n <= shortest <= longest <= length:
         raise ValueError("prefixes need n to length letters")
     by, layer = ["prefix_id", "model_id"], None
     places = F.explode(F.sequence(F.lit(0), F.length("prefix") - n)).alias("pos")
     grams = prefixes.select("prefix_id", "prefix", places).withColumn("gram", F.expr(f"substring(prefix, pos + 1, {n})"))
     scored = grams.join(weights, ["pos", "gram"]).groupBy("prefix_id", "prefix", "model_id").agg(F.sum("w").alias("score"))
     ready = scored.select(*by, F.substring("prefix", -n, n).alias("gram"), "score", F.col("prefix").alias("seq"))
-    for size in range(sizes[0] if sizes else length, length + 1):
+    for size in range(length if shortest is None else shortest, length + 1):
         new = ready.where(F.length("seq") == size)
         if layer is not None:
             new = new.unionByName(_grow(layer, weights, size - n, size - n, n, k, by, None, True))

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import encode, gram_features
+from ..functions.grams import MOST_LETTERS, encode, gram_features
 from ..params import KernelParams
+from ..shared import at_most
 from ._blocks import letter_matrix, padded, pair_kernel, self_kernel
 
 #: Strings of a block: a task holds two of them.
@@ -19,8 +20,8 @@ BLOCK = 1000
 
 def descriptor_matrix(descriptors: DataFrame) -> np.ndarray:
     """The descriptors of a few dozen letters, in order of letter_idx."""
-    rows = descriptors.orderBy("letter_idx").select("descriptors").limit(1000).collect()
-    return np.array([r[0] for r in rows], float)
+    rows = at_most(descriptors.select("letter_idx", "descriptors"), MOST_LETTERS, "letters")
+    return np.array([r["descriptors"] for r in sorted(rows, key=lambda r: r["letter_idx"])], float)
 
 
 def gs_self(strings: DataFrame, descriptors: DataFrame, params: KernelParams) -> DataFrame:
@@ -38,9 +39,22 @@ def gs_self(strings: DataFrame, descriptors: DataFrame, params: KernelParams) ->
 
 
 def _blocked(strings: DataFrame, descriptors: DataFrame, name: str, block: int) -> DataFrame:
-    """(block, ids, codes): strings of like length together, at most about `block` in a row."""
-    n = max(1, -(-strings.count() // block))
-    coded = encode(strings, descriptors).select("id", "codes", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    """(block, rows of (id, codes)): strings of like length together, so that few are padded; about `block` in a row."""
+    sizes = sorted((r["len"] or 0, r["n"]) for r in at_most(strings.groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("n")), 1_000_000, "different lengths"))
+    groups: list[list] = []  # [lengths, strings, first block] of neighbouring lengths with enough strings for a block
+    for size, n in sizes:
+        if not groups or groups[-1][1] >= block:
+            groups.append([[], 0])
+        groups[-1][0].append(size)
+        groups[-1][1] += n
+    table, first = [], 0
+    for own, n in groups:
+        parts = -(-n // block)
+        table += [(size, first, parts) for size in own]
+        first += parts
+    dealt = strings.sparkSession.createDataFrame(table, "len int, first int, parts int")
+    coded = encode(strings, descriptors).select("id", "codes", F.size("codes").alias("len")).join(F.broadcast(dealt), "len")
+    coded = coded.withColumn("b", F.col("first") + F.pmod(F.xxhash64("id"), "parts").cast("int"))
     return coded.groupBy(F.col("b").alias(f"{name}_block")).agg(
         F.collect_list(F.struct("id", "codes")).alias(f"{name}_rows")
     )
@@ -103,7 +117,7 @@ def neighbors(
     """(id_a, id_b, k, rank): for each string of left, the k most similar of right, or all of at least min_sim.
 
     Every pair is compared, but each pair of blocks gives back only what can still be among the best:
-    the full table of pairs is never written. Ties by id_b.
+    the full table of pairs is never written. Values are rounded to 12 decimals, ties by id_b.
     """
     if (k is None) == (min_sim is None):
         raise ValueError("give one of k and min_sim")
@@ -113,6 +127,7 @@ def neighbors(
         for batch in batches:
             for a, b in zip(batch["a_rows"], batch["b_rows"]):
                 i, j, s = _kernel_rows(a, b, letters, params)
+                s = s.round(12)
                 o = np.argsort(j, kind="stable")
                 j, s = j[o], s[:, o]
                 if k is None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grams import chars, gram_features, letters_of
 from ..params import KernelParams
-from ..plans.shared import materialized
+from ..shared import at_most, materialized
 from ._blocks import letter_matrix, padded, self_kernel
 from .kernels import descriptor_matrix
 
@@ -360,7 +360,7 @@ def grid_search(df: DataFrame, descriptors: DataFrame, grid: DataFrame, normaliz
     One pass over the strings for each gram length (normalised: each kernel) gives the sums by fold; training sums are the
     total less the fold, and scores come from the sums too, so no string is read again. The sets are solved in parallel.
     """
-    sets = grid.limit(100_000).toPandas().sort_values("param_id")
+    sets = pd.DataFrame([r.asDict() for r in at_most(grid, 100_000, "parameter sets")]).sort_values("param_id")
     spark, out = df.sparkSession, None
     for n, by_n in sets.groupby("n"):
         f = _observed(df, descriptors, int(n))

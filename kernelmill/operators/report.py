@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grams import positional_grams
+from ..shared import at_most
+
+#: Columns of a pivoted report.
+MOST_COLUMNS = 5000
 
 
 def search_summary(log: DataFrame) -> DataFrame:
@@ -19,8 +23,8 @@ def search_summary(log: DataFrame) -> DataFrame:
 
 
 def score_heatmap(cv: DataFrame, a: str, b: str, phase: str, score: str = "score") -> DataFrame:
-    """Mean score by a (rows) and b (columns): at most 1000 values of b."""
-    values = [r[0] for r in cv.select(b).distinct().orderBy(b).limit(1000).collect()]
+    """Mean score by a (rows) and b (a column for each value; an error beyond MOST_COLUMNS, for which `score_heatmaps` has the long form)."""
+    values = sorted((r[0] for r in at_most(cv.select(b).distinct(), MOST_COLUMNS, f"values of {b}")), key=lambda v: (v is None, v))
     return cv.where(F.col("phase") == phase).groupBy(a).pivot(b, values).agg(F.avg(score))
 
 

@@ -4,31 +4,38 @@ from __future__ import annotations
 
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def round_to_count(spectra: DataFrame, length: int) -> DataFrame:
-    """(target, gram, count): weights clipped at 0, rounded half to even, and scaled up by the least steps until they sum to the number of
-    grams of a string of `length`. Raises where no weight is positive. One group is one spectrum, bounded by |A|^n."""
+    """(target, gram, count): weights, clipped at 0, times one factor, rounded half to even. The factor is 1 if the counts then reach
+    the number of grams of a string of `length`; else it grows from step to step until they do, each step taking the
+    weight that is nearest to its next half 0.01 beyond it. An error where no weight is positive.
+
+    All steps that a spectrum can take are listed and folded in DataFrame functions; one group is one spectrum, bounded by |A|^n,
+    with at most `length` steps a gram.
+    """
     if length < 1:
         raise ValueError("length must be positive")
-
-    def scale(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
-        need = length - len(part["gram"].iloc[0]) + 1
-        w = np.maximum(part["w"].to_numpy(float), 0)
-        while np.round(w).sum() < need:
-            positive = w[w > 0]
-            if not len(positive):
-                raise ValueError(f"no positive weight for target {key[0]}")
-            up = (np.ceil(positive + 0.5) - 0.49) / positive  # what takes each weight just past its next half
-            w = w * up[up > 1].min()
-        return pd.DataFrame({"target": key[0], "gram": part["gram"], "count": np.round(w).astype("int64")})
-
-    kind = dict(spectra.dtypes)["target"]
-    return spectra.groupBy("target").applyInPandas(scale, f"target {kind}, gram string, count long")
+    weight = F.greatest(F.coalesce(F.col("w"), F.lit(0.0)), F.lit(0.0))
+    whole = spectra.groupBy("target").agg(F.collect_list(F.struct("gram", weight.alias("w"))).alias("g"), (length + 1 - F.first(F.length("gram"))).alias("need"))
+    rounded = lambda factor: F.aggregate("g", F.lit(0).cast("long"), lambda n, x: n + F.bround(x["w"] * factor).cast("long"))
+    positive = F.filter("g", lambda x: x["w"] > 0)
+    # a weight passes its half at `half`; the step that takes it there ends at `to`
+    steps = F.transform(positive, lambda x: F.transform(F.sequence(F.lit(0), F.greatest("need", F.lit(0))), lambda k: F.named_struct(F.lit("to"), (k + 0.51) / x["w"], F.lit("half"), (k + 0.5) / x["w"])))
+    state = lambda factor: F.named_struct(F.lit("factor"), factor, F.lit("n"), rounded(factor))
+
+    def step(at, e):
+        taken = (at["n"] < F.col("need")) & (e["half"] >= at["factor"])
+        return F.when(taken, state(e["to"])).otherwise(at)
+
+    end = F.aggregate(F.array_sort(F.flatten(steps)), state(F.lit(1.0)), step)
+    stuck = F.raise_error(F.concat(F.lit("no positive weight for target "), F.coalesce(F.col("target").cast("string"), F.lit("null"))))
+    factor = F.when((F.size(positive) == 0) & (F.col("need") > 0), stuck.cast("double")).otherwise(end["factor"])
+    found = whole.select("target", factor.alias("factor"), F.explode("g").alias("x"))
+    return found.select("target", "x.gram", F.bround(F.col("x.w") * F.col("factor")).cast("long").alias("count"))
 
 
 def round_by_threshold(spectra: DataFrame, thresholds: DataFrame, min_count: int) -> DataFrame:

@@ -149,8 +149,8 @@ def score_strings(weights: DataFrame, strings: DataFrame) -> DataFrame:
 
     weights: grams of one length (model_id, pos, gram, w), or of several (model_id, n, pos, gram, w).
     """
-    sizes = [r[0] for r in weights.select(F.length("gram").alias("n")).distinct().limit(100).collect()]
-    if not sizes:
+    shortest, longest = weights.agg(F.min(F.length("gram")), F.max(F.length("gram"))).first()
+    if shortest is None:
         return strings.select(F.lit(0).alias("model_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    grams = gram_features(strings, min(sizes), max(sizes)).select("id", "pos", "gram")
+    grams = gram_features(strings, shortest, longest).select("id", "pos", "gram")
     return grams.join(weights, ["pos", "gram"]).groupBy("model_id", "id").agg(F.sum("w").alias("score"))

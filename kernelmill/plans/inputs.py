@@ -33,12 +33,6 @@ def event_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, seq, y): the different part names as strings of capital letters; y is their mean price in thousands."""
-    p = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.avg("p_retailprice").alias("y"))
-    return p.select("id", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("seq"), (F.col("y") / 1000).alias("y"))
-
-
 def part_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(letter, letter_idx, descriptors): letters of the part names, described by mean size, price and place of the parts that hold them."""
     p = read(spark, sf_dir, "part").select("p_size", "p_retailprice", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("seq"))
@@ -61,16 +55,11 @@ _VALUES = ", ".join(f"('{c}', {i}, {v})" for c, i, v in EVENT_LETTERS)
 EV = """ev AS (SELECT user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS id,
   string_agg(upper(event_type[1]), '' ORDER BY ts, event_id) AS seq, sum(value) AS y FROM events GROUP BY user_id, CAST(ts AS DATE))"""
 LETTERS = f"letters(letter, letter_idx, d) AS (VALUES {_VALUES})"
-PN = """pn AS (SELECT min(p_partkey) AS id, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS seq, avg(p_retailprice) / 1000 AS y FROM part GROUP BY p_name)"""
 PL = """pl0 AS (SELECT seq[i] AS letter, avg(p_size) / 10 AS a, avg(p_retailprice) / 500 AS b, avg(i - 1) AS c
   FROM (SELECT p_size, p_retailprice, seq, unnest(range(1, length(seq) + 1)) AS i FROM (SELECT p_size, p_retailprice, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS seq FROM part)) GROUP BY 1),
 pl AS (SELECT letter, a / sqrt(a*a + b*b + c*c) AS a, b / sqrt(a*a + b*b + c*c) AS b, c / sqrt(a*a + b*b + c*c) AS c FROM pl0)"""
 
 
-def part_sim(sigma: float) -> str:
-    return f"sim AS (SELECT x.letter AS a, z.letter AS b, exp(-((x.a-z.a)**2 + (x.b-z.b)**2 + (x.c-z.c)**2) / {2 * sigma**2}) AS s FROM pl x, pl z)"
-
-
 def grams(source: str, n: int, columns: str = "id") -> str:
     """The (columns, pos, gram) of all places of a table of strings."""
     return f"(SELECT {columns}, i - 1 AS pos, substr(seq, i, {n}) AS gram FROM (SELECT *, unnest(range(1, length(seq) - {n} + 2)) AS i FROM {source}))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,15 @@ from ..functions import similarity as S
 from ..operators import design, kernels, learn, report, spectrum
 from ..operators import weights as W
 from ..params import KernelParams
-from ..sources.tables import normalize_descriptors
+from ..shared import materialized, shared_dir
+from ..sources.tables import normalize_descriptors, read_descriptors, read_labelled, write_table
 from . import inputs as I
-from .inputs import EV, LETTERS, PL, PN, part_sim
+from .inputs import EV, LETTERS, PL
 from .inputs import grams as sql_grams
-from .shared import materialized
 
+_MEANS_SQL = "m AS (SELECT CAST(label AS VARCHAR) AS letter, i, avg(x::DOUBLE) AS x FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2)"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-PART = KernelParams(2.0, 0.5, 2)
 EVENT = KernelParams(1.5, 1.2, 2)
 
 
@@ -39,11 +41,14 @@ def r6(c):
 # -- the flagship: weights from labelled strings, scores of all strings, the best of them --------------------------------
 
 _W2 = f"""g AS {sql_grams("ev", 2, "id, y")}, c AS (SELECT pos, gram, sum(y) AS c FROM g GROUP BY 1, 2),
-w AS (SELECT p AS pos, gram, sum(c * exp(-((p - pos) ** 2) / 4.5)) AS w FROM c, (SELECT unnest(range(0, 20)) AS p) GROUP BY 1, 2)"""
+w AS (SELECT p AS pos, gram, sum(c * exp(-((p - pos) ** 2) / 4.5)) AS w FROM c, (SELECT unnest(range(0, n)) AS p FROM (SELECT max(length(seq)) - 1 AS n FROM ev)) GROUP BY 1, 2)"""
 
 
-def _event_weights(spark: SparkSession, d: str, n: int = 2, length: int = 21) -> DataFrame:
-    return W.exact_gram_weights(I.event_strings(spark, d).withColumnRenamed("y", "coef"), 1.5, n, length)
+def _event_weights(spark: SparkSession, d: str, n: int = 2) -> DataFrame:
+    """Weights for strings as long as the longest."""
+    s = I.event_strings(spark, d)
+    longest = G.length_range(s).first()["max_len"]
+    return W.exact_gram_weights(s.withColumnRenamed("y", "coef"), 1.5, n, max(n, longest))
 
 
 @query(f"""WITH {EV}, {_W2} SELECT g.id, round(sum(w.w) / 1000, 6) AS score FROM g JOIN w ON g.pos = w.pos AND g.gram = w.gram
@@ -65,6 +70,34 @@ def best_string_of_each_user(spark: SparkSession, d: str) -> DataFrame:
     return design.rank_candidates(scores, 2, by="user_id")
 
 
+# -- sources and sinks -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EV} SELECT seq, count(*) AS n, round(sum(y), 4) AS y FROM ev GROUP BY 1")
+def labelled_strings_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """All strings and their values, written as tab-separated text and read again."""
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    I.event_strings(spark, d).select("seq", "y").write.csv(path, sep="\t", quote="")
+    return read_labelled(spark, path).groupBy("seq").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("y"))
+
+
+@query(f"WITH {_MEANS_SQL} SELECT letter, CAST(dense_rank() OVER (ORDER BY letter) - 1 AS INTEGER) AS letter_idx, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM m")
+def descriptors_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding label's mean vector, written as a text file of blank-separated columns and read again."""
+    path = f"{shared_dir(spark)}/descriptors-{uuid.uuid4().hex}"
+    line = F.concat_ws("  ", "letter", F.array_join(F.transform("descriptors", lambda x: x.cast("string")), " \t"))
+    I.label_letters(spark, d).select(line.alias("value"), "letter").coalesce(1).sortWithinPartitions("letter").select("value").write.text(path)
+    return read_descriptors(spark, path).select("letter", "letter_idx", F.posexplode("descriptors").alias("i", "x")).withColumn("x", r6("x"))
+
+
+@query(f"WITH {EV} SELECT id, seq, round(y, 6) AS y, CAST(length(seq) AS INTEGER) AS len FROM ev")
+def table_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """All strings, written as Parquet in folders by length and read again."""
+    path = f"{shared_dir(spark)}/by-length-{uuid.uuid4().hex}"
+    write_table(I.event_strings(spark, d).withColumn("len", F.length("seq")), path, ["len"])
+    return spark.read.parquet(path).select("id", "seq", r6("y").alias("y"), "len")
+
+
 # -- strings, letters, grams ---------------------------------------------------------------------------------------
 
 
@@ -178,75 +211,87 @@ def weights_of_position(spark: SparkSession, d: str) -> DataFrame:
     return S.position_weights(spark, 2, n, 2.0).withColumn("weight", r6("weight"))
 
 
-_PAIR = f"""{PN}, {PL}, {part_sim(0.5)},
-l AS (SELECT id, i - 1 AS pos, seq[i] AS c, CASE WHEN i < length(seq) THEN seq[i + 1] END AS c2 FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM pn)),
-k AS (SELECT x.id AS id_a, z.id AS id_b, sum(exp(-((x.pos - z.pos) ** 2) / 8.0) * s.s * (1 + coalesce(t.s, 0))) AS k
-      FROM l x, l z JOIN sim s ON s.a = x.c AND s.b = z.c LEFT JOIN sim t ON t.a = x.c2 AND t.b = z.c2 GROUP BY 1, 2)"""
-_NORM = "nk AS (SELECT k.id_a, k.id_b, k.k / sqrt(a.k * b.k) AS k FROM k JOIN k a ON a.id_a = k.id_a AND a.id_b = k.id_a JOIN k b ON b.id_a = k.id_b AND b.id_b = k.id_b)"
+# Kernels of the strings whose id is divisible by 100 with all strings; those of one table are of these strings among each other.
+_E_SIM = f"{LETTERS}, sim AS (SELECT x.letter AS a, z.letter AS b, exp(-((x.d[1]-z.d[1])**2 + (x.d[2]-z.d[2])**2 + (x.d[3]-z.d[3])**2) / 2.88) AS s FROM letters x, letters z)"
+_CELLS = "sum(exp(-((x.pos - z.pos) ** 2) / 4.5) * s.s * (1 + coalesce(t.s, 0)))"
+_SIMS = "JOIN sim s ON s.a = x.c AND s.b = z.c LEFT JOIN sim t ON t.a = x.c2 AND t.b = z.c2"
+_OWN = f"""{EV}, {_E_SIM},
+l AS (SELECT id, i - 1 AS pos, seq[i] AS c, CASE WHEN i < length(seq) THEN seq[i + 1] END AS c2 FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM ev)),
+own AS (SELECT x.id, {_CELLS} AS k FROM l x JOIN l z ON x.id = z.id {_SIMS} GROUP BY 1)"""
+_PAIR = f"{_OWN}, k AS (SELECT x.id AS id_a, z.id AS id_b, {_CELLS} AS k FROM l x CROSS JOIN l z {_SIMS} WHERE x.id % 100 = 0 GROUP BY 1, 2)"
+_NORM = "nk AS (SELECT k.id_a, k.id_b, k.k / sqrt(a.k * b.k) AS k FROM k JOIN own a ON a.id = k.id_a JOIN own b ON b.id = k.id_b)"
+_SQUARE = "sq AS (SELECT * FROM nk WHERE id_b % 100 = 0)"
+COSINE = KernelParams(1.5, 1.2, 2, True)
 
 
 def _k6(df: DataFrame) -> DataFrame:
     return df.withColumn("k", r6("k"))
 
 
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The strings whose id is divisible by 100, all strings, and the letters."""
+    s = materialized(I.event_strings(spark, d), "strings")
+    return s.where("id % 100 = 0"), s, I.event_letters(spark)
+
+
 @query(f"WITH {_PAIR} SELECT id_a, id_b, round(k, 6) AS k FROM k")
 def kernel_of_two_tables(spark: SparkSession, d: str) -> DataFrame:
-    p = I.part_names(spark, d)
-    return _k6(kernels.gs_gram(p, I.part_letters(spark, d), PART, p, block=20))
+    few, every, letters = _sides(spark, d)
+    return _k6(kernels.gs_gram(few, letters, EVENT, every))
 
 
-@query(f"WITH {_PAIR} SELECT id_a, id_b, round(k, 6) AS k FROM k")
+@query(f"WITH {_PAIR} SELECT id_a, id_b, round(k, 6) AS k FROM k WHERE id_b % 100 = 0")
 def kernel_of_one_table(spark: SparkSession, d: str) -> DataFrame:
-    return _k6(kernels.gs_gram(I.part_names(spark, d), I.part_letters(spark, d), PART, block=20))
+    few, _, letters = _sides(spark, d)
+    return _k6(kernels.gs_gram(few, letters, EVENT))
 
 
-@query(f"WITH {_PAIR} SELECT id_a AS id, round(k, 6) AS k FROM k WHERE id_a = id_b")
+@query(f"WITH {_OWN} SELECT id, round(k, 6) AS k FROM own")
 def self_kernel(spark: SparkSession, d: str) -> DataFrame:
-    return _k6(kernels.gs_self(I.part_names(spark, d), I.part_letters(spark, d), PART))
+    return _k6(kernels.gs_self(I.event_strings(spark, d), I.event_letters(spark), EVENT))
 
 
 @query(f"WITH {_PAIR}, {_NORM} SELECT id_a, id_b, round(k, 6) AS k FROM nk")
 def normalized_kernel(spark: SparkSession, d: str) -> DataFrame:
-    return _k6(kernels.gs_gram(I.part_names(spark, d), I.part_letters(spark, d), KernelParams(2.0, 0.5, 2, True), block=20))
+    few, every, letters = _sides(spark, d)
+    return _k6(kernels.gs_gram(few, letters, COSINE, every))
 
 
 @query(f"""WITH {_PAIR}, {_NORM} SELECT id_a, id_b, round(k, 6) AS k, CAST(row_number() OVER (PARTITION BY id_a ORDER BY round(k, 9) DESC, id_b) AS INTEGER) AS rank FROM nk QUALIFY rank <= 3""")
 def nearest_strings(spark: SparkSession, d: str) -> DataFrame:
-    p = I.part_names(spark, d)
-    return _k6(kernels.neighbors(p, p, I.part_letters(spark, d), KernelParams(2.0, 0.5, 2, True), k=3, block=20))
+    few, every, letters = _sides(spark, d)
+    return _k6(kernels.neighbors(few, every, letters, COSINE, k=3))
 
 
 @query(f"WITH {_PAIR}, {_NORM} SELECT id_a, id_b, round(k, 6) AS k FROM nk WHERE k >= 0.9")
 def strings_within(spark: SparkSession, d: str) -> DataFrame:
-    p = I.part_names(spark, d)
-    return _k6(kernels.neighbors(p, p, I.part_letters(spark, d), KernelParams(2.0, 0.5, 2, True), min_sim=0.9, block=20)).drop("rank")
+    few, every, letters = _sides(spark, d)
+    return _k6(kernels.neighbors(few, every, letters, COSINE, min_sim=0.9)).drop("rank")
 
 
-@query(f"""WITH {PN}, f AS ({" UNION ALL ".join(f"SELECT id, {n} AS n, pos, gram FROM {sql_grams('pn', n)}" for n in (1, 2, 3))})
-SELECT x.id AS id_a, z.id AS id_b, round(sum(exp(-((x.pos - z.pos) ** 2) / 8.0)), 6) AS k FROM f x JOIN f z ON x.n = z.n AND x.gram = z.gram GROUP BY 1, 2""")
+@query(f"""WITH {EV}, f AS ({" UNION ALL ".join(f"SELECT id, {n} AS n, pos, gram FROM {sql_grams('ev', n)}" for n in (1, 2, 3))})
+SELECT x.id AS id_a, z.id AS id_b, round(sum(exp(-((x.pos - z.pos) ** 2) / 8.0)), 6) AS k FROM f x JOIN f z ON x.n = z.n AND x.gram = z.gram WHERE x.id % 100 = 0 GROUP BY 1, 2""")
 def exact_kernel(spark: SparkSession, d: str) -> DataFrame:
-    p = I.part_names(spark, d)
-    return _k6(kernels.exact_gram(p, p, 2.0, 1, 3))
+    few, every, _ = _sides(spark, d)
+    return _k6(kernels.exact_gram(few, every, 2.0, 1, 3))
 
 
-@query(f"""WITH {_PAIR}, {_NORM}, a AS (SELECT avg(k) AS mean_k, avg(k) FILTER (id_a = id_b) - avg(k) AS variance FROM nk)
-SELECT round(mean_k, 6) AS mean_k, round(variance, 6) AS variance, round(avg(y), 6) AS y_mean, round(stddev_pop(y), 6) AS y_std FROM a, pn GROUP BY 1, 2""")
+@query(f"""WITH {_PAIR}, {_NORM}, {_SQUARE}, a AS (SELECT avg(k) AS mean_k, avg(k) FILTER (id_a = id_b) - avg(k) AS variance FROM sq)
+SELECT round(mean_k, 6) AS mean_k, round(variance, 6) AS variance, round(avg(y), 6) AS y_mean, round(stddev_pop(y), 6) AS y_std FROM a, (SELECT y FROM ev WHERE id % 100 = 0) GROUP BY 1, 2""")
 def centering_statistics(spark: SparkSession, d: str) -> DataFrame:
-    p = I.part_names(spark, d)
-    k = kernels.gs_gram(p, I.part_letters(spark, d), KernelParams(2.0, 0.5, 2, True), block=20)
-    return kernels.centering_stats(k, p).select(*[r6(c).alias(c) for c in ("mean_k", "variance", "y_mean", "y_std")])
+    few, _, letters = _sides(spark, d)
+    return kernels.centering_stats(kernels.gs_gram(few, letters, COSINE), few).select(*[r6(c).alias(c) for c in ("mean_k", "variance", "y_mean", "y_std")])
 
 
-@query(f"""WITH {_PAIR}, {_NORM}, a AS (SELECT avg(k) AS m, avg(k) FILTER (id_a = id_b) - avg(k) AS v FROM nk), r AS (SELECT id_a AS id, avg(k) AS m FROM nk GROUP BY 1)
-SELECT nk.id_a, nk.id_b, round((nk.k - x.m - z.m + a.m) / a.v, 6) AS k FROM a, nk JOIN r x ON x.id = nk.id_a JOIN r z ON z.id = nk.id_b""")
+@query(f"""WITH {_PAIR}, {_NORM}, {_SQUARE}, a AS (SELECT avg(k) AS m, avg(k) FILTER (id_a = id_b) - avg(k) AS v FROM sq), r AS (SELECT id_a AS id, avg(k) AS m FROM sq GROUP BY 1)
+SELECT sq.id_a, sq.id_b, round((sq.k - x.m - z.m + a.m) / a.v, 6) AS k FROM a, sq JOIN r x ON x.id = sq.id_a JOIN r z ON z.id = sq.id_b""")
 def centered_kernel(spark: SparkSession, d: str) -> DataFrame:
-    k = kernels.gs_gram(I.part_names(spark, d), I.part_letters(spark, d), KernelParams(2.0, 0.5, 2, True), block=20)
-    return _k6(kernels.center_gram(materialized(k, "gram")))
+    few, _, letters = _sides(spark, d)
+    return _k6(kernels.center_gram(materialized(kernels.gs_gram(few, letters, COSINE), "gram")))
 
 
 # -- weights ---------------------------------------------------------------------------------------------------------
 
-_E_SIM = f"{LETTERS}, sim AS (SELECT x.letter AS a, z.letter AS b, exp(-((x.d[1]-z.d[1])**2 + (x.d[2]-z.d[2])**2 + (x.d[3]-z.d[3])**2) / 2.88) AS s FROM letters x, letters z)"
 _E_W = f"""{EV}, {_E_SIM}, p AS (SELECT unnest(range(0, 5)) AS p),
 w1 AS (SELECT p AS pos, a AS gram, sum(y * exp(-((p - pos) ** 2) / 4.5) * s) AS w FROM {sql_grams("ev", 1, "y")} g JOIN sim ON b = gram, p GROUP BY 1, 2),
 c2 AS (SELECT pos, gram, sum(y) AS y FROM {sql_grams("ev", 2, "y")} GROUP BY 1, 2),
@@ -275,10 +320,9 @@ def weights_with_last_folded(spark: SparkSession, d: str) -> DataFrame:
     return _weights(spark, d).select("pos", "gram", r6("w").alias("w"))
 
 
-@query(f"WITH {_PAIR} SELECT pn.id, round(pn.y / sqrt(k.k), 6) AS coef FROM pn JOIN k ON k.id_a = pn.id AND k.id_b = pn.id")
+@query(f"WITH {_OWN} SELECT id, round(y / sqrt(k), 6) AS coef FROM ev JOIN own USING (id)")
 def coefficients_normalized(spark: SparkSession, d: str) -> DataFrame:
-    train = I.part_names(spark, d).withColumnRenamed("y", "coef")
-    return W.normalized_coef(train, I.part_letters(spark, d), PART).select("id", r6("coef").alias("coef"))
+    return W.normalized_coef(_coef(spark, d), I.event_letters(spark), EVENT).select("id", r6("coef").alias("coef"))
 
 
 @query(f"WITH {EV}, {_W2} SELECT CAST(pos AS INTEGER) AS pos, gram, round(w / 1000, 6) AS w FROM w")
@@ -375,28 +419,60 @@ def best_string_over_lengths(spark: SparkSession, d: str) -> DataFrame:
     return best.select("length", "seq", r6("value").alias("value"))
 
 
-def _centred_weights(spark: SparkSession, d: str, length: int) -> DataFrame:
+def _centred_coefs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, seq, coef): the strings' values less their mean, in thousands."""
     s = I.event_strings(spark, d)
     mean = s.agg(F.avg("y").alias("m"))
-    coef = s.crossJoin(F.broadcast(mean)).select("id", "seq", ((F.col("y") - F.col("m")) / 1000).alias("coef"))
-    return materialized(W.gram_weights(coef, I.event_letters(spark), EVENT, length, True), "weights")
+    return s.crossJoin(F.broadcast(mean)).select("id", "seq", ((F.col("y") - F.col("m")) / 1000).alias("coef"))
 
 
-@query()
+def _centred_weights(spark: SparkSession, d: str, length: int) -> DataFrame:
+    return materialized(W.gram_weights(_centred_coefs(spark, d), I.event_letters(spark), EVENT, length, True), "weights")
+
+
+def _designs_sql(sizes: tuple[int, ...], coef: str = "(y - avg(y) OVER ()) / 1000", exact: bool = False) -> str:
+    """Table d (seq, score, norm) of all strings of the given lengths: scores by the model of coefficients coef, and the kernel with itself."""
+    every = " UNION ALL ".join(f"SELECT {' || '.join(f'l{i}.letter' for i in range(n))} AS seq FROM {', '.join(f'letters l{i}' for i in range(n))}" for n in sizes)
+    same = "CASE WHEN {0} = {1} THEN 1.0 ELSE 0.0 END"
+    cell = f"{same.format('x.c', 'z.c')} * (1 + CASE WHEN x.c2 = z.c2 THEN 1.0 ELSE 0.0 END)" if exact else "s.s * (1 + coalesce(t.s, 0))"
+    return f"""{_OWN}, cf AS (SELECT ev.id, seq, {coef} AS y FROM ev JOIN own USING (id)), pz AS (SELECT unnest(range(0, {max(sizes)})) AS p),
+v1 AS (SELECT p AS pos, a AS gram, sum(y * exp(-((p - pos) ** 2) / 4.5) * s) AS w FROM (SELECT pos, gram, sum(y) AS y FROM {sql_grams("cf", 1, "y")} GROUP BY 1, 2) JOIN sim ON b = gram, pz GROUP BY 1, 2),
+v2 AS (SELECT p AS pos, s.a || t.a AS gram, sum(y * exp(-((p - pos) ** 2) / 4.5) * s.s * t.s) AS w FROM (SELECT pos, gram, sum(y) AS y FROM {sql_grams("cf", 2, "y")} GROUP BY 1, 2) JOIN sim s ON s.b = gram[1] JOIN sim t ON t.b = gram[2], pz GROUP BY 1, 2),
+a AS ({every}), m AS (SELECT seq, i - 1 AS pos, seq[i] AS c, CASE WHEN i < length(seq) THEN seq[i + 1] END AS c2 FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM a)),
+sc AS (SELECT m.seq, sum(v1.w + coalesce(v2.w, 0)) AS score FROM m JOIN v1 ON v1.pos = m.pos AND v1.gram = m.c LEFT JOIN v2 ON v2.pos = m.pos AND v2.gram = m.c || m.c2 GROUP BY 1),
+nm AS (SELECT x.seq, sum(exp(-((x.pos - z.pos) ** 2) / 4.5) * {cell}) AS norm FROM m x JOIN m z ON x.seq = z.seq {_SIMS} GROUP BY 1),
+d AS (SELECT * FROM sc JOIN nm USING (seq))"""
+
+
+_BEST10 = "SELECT CAST(row_number() OVER (ORDER BY score / sqrt(norm) DESC, seq) AS INTEGER) AS rank, seq, round(score / sqrt(norm), 6) AS score, TRUE AS is_exact FROM d QUALIFY rank <= 10"
+
+
+@query(f"WITH {_designs_sql((5,))} {_BEST10}")
 def best_normalized_strings(spark: SparkSession, d: str) -> DataFrame:
-    return design.k_best_normalized(_centred_weights(spark, d, 5), I.event_letters(spark), EVENT, 5, 10)
+    return design.k_best_normalized(_centred_weights(spark, d, 5), I.event_letters(spark), EVENT, 5, 10).withColumn("score", r6("score"))
 
 
-@query()
+@query(f"WITH {_designs_sql((5,), exact=True)} {_BEST10}")
+def best_normalized_by_matches(spark: SparkSession, d: str) -> DataFrame:
+    found = design.k_best_normalized(_centred_weights(spark, d, 5), I.event_letters(spark), EVENT, 5, 10, kernel="exact")
+    return found.withColumn("score", r6("score"))
+
+
+@query(f"WITH {_designs_sql((3, 4, 5))} SELECT seq, round(score / sqrt(norm), 6) AS score, CAST(length(seq) AS INTEGER) AS length, TRUE AS is_exact FROM d ORDER BY score / sqrt(norm) DESC, length(seq), seq LIMIT 1")
 def best_normalized_over_lengths(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: _centred_weights(spark, d, n) for n in (3, 4, 5)}
-    return design.best_normalized_in_range(tables, I.event_letters(spark), EVENT)
+    return design.best_normalized_in_range(tables, I.event_letters(spark), EVENT).withColumn("score", r6("score"))
 
 
-@query()
+@query(f"WITH {_designs_sql((3, 4, 5), exact=True)} SELECT seq, round(norm - 2 * score, 6) AS distance, CAST(length(seq) AS INTEGER) AS length, TRUE AS is_exact FROM d ORDER BY norm - 2 * score, length(seq), seq LIMIT 1")
 def least_distance_string(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: _centred_weights(spark, d, n) for n in (3, 4, 5)}
-    return design.best_distance(tables, I.event_letters(spark), EVENT)
+    return design.best_distance(tables, I.event_letters(spark), EVENT).withColumn("distance", r6("distance"))
+
+
+@query(f"WITH {_designs_sql((5,), '(y - avg(y) OVER ()) / 1000 / sqrt(k)')} {_BEST10}")
+def designed_from_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    return design.design(_centred_coefs(spark, d), "coef", I.event_letters(spark), COSINE, 5, 10).withColumn("score", r6("score"))
 
 
 # -- learning --------------------------------------------------------------------------------------------------------
@@ -411,8 +487,8 @@ def ridge_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ridge_coefficients(spark: SparkSession, d: str) -> DataFrame:
-    s = I.part_names(spark, d)
-    model = learn.fit_ridge(s, I.part_letters(spark, d), PART, 1.0)
+    s = I.event_strings(spark, d)
+    model = learn.fit_ridge(s, I.event_letters(spark), EVENT, 1.0)
     return learn.dual_coefficients(model, s).select("id", r6("coef").alias("coef"))
 
 
@@ -423,6 +499,46 @@ def ridge_targets(spark: SparkSession, d: str) -> DataFrame:
     return learn.predict_ridge(model, s).select("id", "target", r6("prediction").alias("prediction"))
 
 
+def _kernel_sums(spark: SparkSession, s: DataFrame, coef: DataFrame) -> DataFrame:
+    """(id, f): sums of coefficients times kernel over all strings, by weights of grams: another path than a fit and its predictions."""
+    longest = G.length_range(s).first()["max_len"]
+    w = W.length_weights(coef.join(s.select("id", "seq"), "id").select("id", "seq", "coef"), I.event_letters(spark), EVENT, longest)
+    return W.score_strings(materialized(w, "sums"), s).select("id", F.col("score").alias("f"))
+
+
+@query(f"WITH {EV} SELECT id, t AS target, 0.0::DOUBLE AS residual FROM ev, (VALUES ('len'), ('y')) x(t)")
+def ridge_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the equations (K + alpha / s) c = y of a weighted fit of two targets: zero for every string."""
+    s = I.event_strings(spark, d).withColumn("len", F.length("seq").cast("double")).withColumn("s", F.lit(0.5) + F.col("len"))
+    s = materialized(s.withColumn("y", F.col("y") / 1000), "ridge")
+    alpha = {"y": 1.0, "len": 10.0}
+    model = learn.fit_ridge(s, I.event_letters(spark), EVENT, list(alpha.values()), sample_weight="s", targets=list(alpha))
+    coef = materialized(learn.dual_coefficients(model, s, "s"), "duals")
+    out = None
+    for t, a in alpha.items():
+        own = coef.where(F.col("target") == t)
+        rows = s.join(own, "id").join(_kernel_sums(spark, s, own), "id")
+        rows = rows.select("id", "target", (F.round(F.col("f") + a * F.col("coef") / F.col("s") - F.col(t), 5) + 0.0).alias("residual"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {EV} SELECT id, 0.0::DOUBLE AS residual FROM ev")
+def ridge_residuals_centred(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a fit with a centred kernel: (C + alpha) c = y - mean, where C c comes from sums over the plain kernel."""
+    s = materialized(I.event_strings(spark, d).withColumn("y", F.col("y") / 1000), "ridge")
+    model = learn.fit_ridge(s, I.event_letters(spark), EVENT, 1.0, center=True)
+    coef = materialized(learn.dual_coefficients(model, s), "duals")
+    ones = _kernel_sums(spark, s, s.select("id", F.lit(1.0).alias("coef")))
+    own = kernels.gs_self(s, I.event_letters(spark), EVENT)
+    n = s.count()
+    variance = own.agg(F.avg("k")).first()[0] - ones.agg(F.avg("f")).first()[0] / n
+    rows = s.join(coef, "id").join(_kernel_sums(spark, s, coef), "id")
+    means = rows.agg(F.avg("f"), F.avg("y")).first()
+    left = (F.col("f") - means[0]) / variance + F.col("coef") - (F.col("y") - means[1])
+    return rows.select("id", (F.round(left, 5) + 0.0).alias("residual"))
+
+
 @query()
 def svm_classes(spark: SparkSession, d: str) -> DataFrame:
     s = I.event_strings(spark, d)
@@ -546,7 +662,9 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.debruijn_nodes(_counts(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPEC}, st AS (SELECT target, 0 AS step, list(gram ORDER BY gram) AS g, list(w ORDER BY gram) AS w FROM spec GROUP BY 1
+UNION ALL SELECT target, step + 1, g, list_transform(w, lambda x: x * list_min(list_transform(w, lambda v: (ceil(v + 0.5) - 0.49) / v))) FROM st WHERE list_sum(list_transform(w, lambda x: round_even(x, 0))) < 39)
+SELECT target, unnest(g) AS gram, CAST(round_even(unnest(w), 0) AS BIGINT) AS count FROM st QUALIFY row_number() OVER (PARTITION BY target ORDER BY step DESC) = 1""")
 def spectra_rounded(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.round_to_count(_spectra(spark, d), 40)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """(id, seq, y) of a tab-separated file without header; id orders rows as read, and is stable for the same files."""
-    rows = spark.read.schema("seq string, y double").csv(path, sep="\t")
+    rows = spark.read.schema("seq string, y double").csv(path, sep="\t", quote="")
     return rows.select(F.monotonically_increasing_id().alias("id"), "seq", "y")
 
 

@@ -28,9 +28,12 @@ def test_spectra_without_a_path(spark):
 
 
 def test_rounding(spark):
-    rows = spark.createDataFrame([(1, "AB", 0.5), (1, "BA", 2.5), (1, "BB", -1.0), (2, "AB", 0.2), (2, "BA", 0.1)], "target int, gram string, w double")
-    got = {(r.target, r.gram): r["count"] for r in spectrum.round_to_count(rows, 3).collect()}
-    assert got == {(1, "AB"): 0, (1, "BA"): 2, (1, "BB"): 0, (2, "AB"): 2, (2, "BA"): 1} or sum(v for (t, _), v in got.items() if t == 2) >= 2
+    rows = [(1, "AB", 0.5), (1, "BA", 2.5), (1, "BB", -1.0), (2, "AB", 0.2), (2, "BA", 0.1), (3, "AA", 0.3), (3, "AB", 0.3), (3, "BB", None)]
+    df = spark.createDataFrame(rows, "target int, gram string, w double")
+    got = {(r.target, r.gram): r["count"] for r in spectrum.round_to_count(df, 3).collect()}
+    # 1 needs two and has 0 + 2; 2 passes 0.51 and 1.51 with AB, 0.755 with BA; both weights of 3 pass their half at once
+    assert got == {(1, "AB"): 0, (1, "BA"): 2, (1, "BB"): 0, (2, "AB"): 1, (2, "BA"): 1, (3, "AA"): 1, (3, "AB"): 1, (3, "BB"): 0}
+    assert {(r.gram, r["count"]) for r in spectrum.round_to_count(df.where("target = 2"), 4).collect()} == {("AB", 2), ("BA", 1)}
     with pytest.raises(Exception, match="no positive weight"):
         spectrum.round_to_count(spark.createDataFrame([(1, "AB", -1.0)], "target int, gram string, w double"), 4).collect()
 
