@@ -662,7 +662,7 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.debruijn_nodes(_counts(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_SPEC}, st AS (SELECT target, 0 AS step, list(gram ORDER BY gram) AS g, list(w ORDER BY gram) AS w FROM spec GROUP BY 1
+@query(f"""WITH RECURSIVE {_SPEC}, st AS (SELECT target, 0 AS step, list(gram ORDER BY gram) AS g, list(w::DOUBLE ORDER BY gram) AS w FROM spec GROUP BY 1
 UNION ALL SELECT target, step + 1, g, list_transform(w, lambda x: x * list_min(list_transform(w, lambda v: (ceil(v + 0.5) - 0.49) / v))) FROM st WHERE list_sum(list_transform(w, lambda x: round_even(x, 0))) < 39)
 SELECT target, unnest(g) AS gram, CAST(round_even(unnest(w), 0) AS BIGINT) AS count FROM st QUALIFY row_number() OVER (PARTITION BY target ORDER BY step DESC) = 1""")
 def spectra_rounded(spark: SparkSession, d: str) -> DataFrame:
