@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from itertools import repeat
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import per_text
+from .util import per_text, word_pieces
 
 #: Bytes to words: A-Z become a-z, and all ASCII but digits and letters becomes a space.
 _TABLE = bytes(
@@ -89,7 +87,7 @@ class WuManber:
         return np.concatenate(out_e), np.concatenate(out_p)
 
 
-def _tables(block: list[tuple[str, list[bytes]]], window: int) -> dict:
+def _tables(block: list[tuple[str | None, list[bytes]]], window: int) -> dict:
     """The vocabulary, and a WuManber for each number of words that a test string of the block has."""
     vocab: dict[bytes, int] = {}
     by_len: dict[int, tuple[list, list]] = {}
@@ -118,13 +116,13 @@ def _blocks(bench: DataFrame, item: str, text: str, window: int, block_words: in
         if block and n + len(ws) > block_words:
             yield _tables(block, window)
             block, n = [], 0
-        block.append((r["i"] or "", ws))
+        block.append((r["i"], ws))
         n += len(ws)
     yield _tables(block, window)
 
 
-def _scan(shared, before: bool):
-    """A pass that finds one block of test strings; adds to the spans and items of earlier blocks if any."""
+def _scan(shared):
+    """A pass that finds one block of test strings."""
 
     def start():
         t = shared.value
@@ -133,16 +131,18 @@ def _scan(shared, before: bool):
         def run(texts: list) -> dict:
             n_words, spans, items = [], [], []
             done = 0
-            while done < len(texts):  # pieces of about a million words
-                flat, starts, first = [], [], done
-                while done < len(texts) and len(flat) < 1_000_000:
-                    ws = words(texts[done])
-                    starts.append(len(flat))
-                    flat.extend(map(get, ws, repeat(-1)))
-                    flat.append(-1)
-                    n_words.append(len(ws))
+            while done < len(texts):  # runs of texts of some hundred thousand words; a longer text is a run of its own
+                parts, starts, first, size = [], [], done, 0
+                while done < len(texts) and size < 200_000:
+                    starts.append(size)
+                    for ws in word_pieces((texts[done] or b"").translate(_TABLE)):
+                        parts.append(np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)))
+                        size += len(ws)
+                    n_words.append(size - starts[-1])
+                    parts.append(np.full(1, -1, np.int32))
+                    size += 1
                     done += 1
-                ids = np.array(flat, np.int64)
+                ids = np.concatenate(parts)
                 starts = np.array(starts)
                 per: list[list[tuple[int, int, int]]] = [[] for _ in range(done - first)]
                 for s in t["searches"]:
@@ -152,7 +152,7 @@ def _scan(shared, before: bool):
                         per[d].append((e - s.m + 1, e + 1, k))
                 for hits in per:
                     spans.append([{"start": a, "end": b} for a, b in sorted({(a, b) for a, b, _ in hits})])
-                    items.append(sorted({t["names"][k] for *_, k in hits}))
+                    items.append(sorted({t["names"][k] for *_, k in hits}, key=lambda x: (x is None, x or "")))
             return {"n_words": n_words, "spans": spans, "items": items}
 
         return run
@@ -176,7 +176,7 @@ def find_benchmark(
     one, as strings. The benchmark is a stated query set: it is cut into blocks of at most block_words
     words, each broadcast by itself (some 60 MB at most) and searched in one more narrow pass; the
     documents are never shuffled. A null or empty text has no words; items without words have no
-    windows; a null item id counts as the empty string; repeated rows are judged one by one.
+    windows; a null item id is an item of its own, listed last; repeated rows are judged one by one.
     """
     spark = docs.sparkSession
     fields = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -186,11 +186,11 @@ def find_benchmark(
     for k, b in enumerate(blocks):
         last = k + 1 == len(blocks)
         if found is None and last:
-            found = per_text(docs, text, cols, fields, _scan(b, False))
+            found = per_text(docs, text, cols, fields, _scan(b))
             break
         if found is None:
             src = docs.select(F.struct(*[docs[c] for c in cols]).alias("r"), docs[text].alias("t"))
-        got = per_text(src, "t", None, fields, _scan(b, True)).select(
+        got = per_text(src, "t", None, fields, _scan(b)).select(
             F.col("row.r").alias("r"),
             F.col("row.t").alias("t"),
             "n_words",

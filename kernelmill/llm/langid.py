@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .util import per_text, small_batches, written
 
 ORDER = 4
+#: Different letters that a model tells apart: four of them fill a 64-bit number. The rarer ones of a larger alphabet are one symbol.
+MOST_LETTERS = (1 << 15) - 2
 #: Characters coded at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @cache
@@ -126,8 +128,8 @@ def fit(train: DataFrame, text: str, lang: str, order_by: Column, max_chars: int
 
     Rows with null text or lang are left out. The sample takes whole rows whose hash of order_by (a
     column that tells rows apart) falls below the share of its language; of it, a fifth is kept back
-    to calibrate rejection. The bound makes what the driver gathers and broadcasts at most max_chars
-    n-grams of 16 bytes. Where no labelled row has a letter, the model knows no language.
+    to calibrate rejection. The bound makes what the driver gathers at most max_chars n-grams. Of alphabets
+    beyond MOST_LETTERS letters, the rarest share one symbol. Where no labelled row has a letter, the model knows no language.
     """
     small_batches(train.sparkSession)
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
@@ -149,7 +151,7 @@ def fit(train: DataFrame, text: str, lang: str, order_by: Column, max_chars: int
                 yield pd.DataFrame({"cp": cp.astype(np.int64), "n": n})
 
     letters = sample.mapInPandas(count_letters, "cp long, n long").where("cp > 0").groupBy("cp").agg(F.sum("n").alias("n"))
-    found = letters.orderBy(F.desc("n"), "cp").limit((1 << 15) - 2).collect()
+    found = letters.orderBy(F.desc("n"), "cp").limit(MOST_LETTERS).collect()
     shell = Model(np.array([r["cp"] for r in found], np.int64), {})
 
     def count_grams(batches):

@@ -11,6 +11,19 @@ from .util import written
 BROADCAST_BYTES, SALTS = 8 << 20, 32
 
 
+# What of a page is no text, and the tags that end a line.
+NO_TEXT = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+BLOCK_TAGS = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+
+
+def page_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """pages with host (the lower-case host of the URL, null where it has none) and text (a line for each block of the page, tags removed)."""
+    host = F.nullif(F.lower(F.regexp_extract(pages[url], r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1)), F.lit(""))
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(pages[html], NO_TEXT, ""), BLOCK_TAGS, "\n"), "<[^>]*>", "")
+    text = F.regexp_replace(lines, r"\n[\x20\x09-\x0D]+", "\n")
+    return pages.withColumns({"host": host, "text": text})
+
+
 def _host(c: Column) -> Column:
     """A join key of the host; a null host is a site of its own."""
     return F.coalesce(F.concat(F.lit("h"), c), F.lit("n"))

@@ -59,10 +59,15 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A line on more than one in twenty of a site's pages, five at least, belongs to the site, not to its pages.
+SITE_LINES = {"max_ratio": 0.05, "min_pages": 5}
+
+
 def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as pages, their source as host: lines on over a tenth of a source's documents, five at least, go."""
-    found = lines.drop_boilerplate(_read(spark, sf_dir, "documents"), max_ratio=0.1, min_pages=5)
-    return found.select("row.doc_id", F.col("clean").alias("text"), "n_lines", "n_dropped")
+    """pages by the host of their URL: the text of each without the lines of its site."""
+    pages = lines.page_text(_read(spark, sf_dir, "pages"))
+    found = lines.drop_boilerplate(pages.select("page_id", "host", "text"), "host", **SITE_LINES)
+    return found.select("row.page_id", "row.host", F.col("clean").alias("text"), "n_lines", "n_dropped")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,19 +170,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
-    "op5_site_lines": r"""
-WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
-s AS (SELECT source, line, count(*) AS n
-      FROM (SELECT source, unnest(list_distinct(l)) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
-t AS (SELECT source, count(*) AS total FROM documents GROUP BY 1),
-x AS (SELECT s.source, line FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1::DOUBLE * total),
-e AS (SELECT doc_id, source, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM d),
-k AS (SELECT e.doc_id, e.i, e.line, x.line IS NOT NULL AS gone
-      FROM e LEFT JOIN x ON e.source IS NOT DISTINCT FROM x.source AND e.line = x.line)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
+    "op5_site_lines": rf"""
+WITH d AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)), '') AS host, string_split(regexp_replace(
+             regexp_replace(regexp_replace(regexp_replace(html, {_sql_text(lines.NO_TEXT)}, '', 'g'), {_sql_text(lines.BLOCK_TAGS)}, chr(10), 'g'), '<[^>]*>', '', 'g'),
+             '\n[\x20\x09-\x0D]+', chr(10), 'g'), chr(10)) AS l FROM pages),
+s AS (SELECT host, line, count(*) AS n
+      FROM (SELECT host, unnest(list_distinct(l)) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+t AS (SELECT host, count(*) AS total FROM d GROUP BY 1),
+x AS (SELECT s.host, line FROM s JOIN t ON s.host IS NOT DISTINCT FROM t.host WHERE n >= {SITE_LINES["min_pages"]} AND n > {SITE_LINES["max_ratio"]}::DOUBLE * total),
+e AS (SELECT page_id, host, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM d),
+k AS (SELECT e.page_id, e.host, e.i, e.line, x.line IS NOT NULL AS gone
+      FROM e LEFT JOIN x ON e.host IS NOT DISTINCT FROM x.host AND e.line = x.line)
+SELECT page_id, host, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
        count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
-FROM k GROUP BY doc_id
-UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL""",
+FROM k GROUP BY page_id, host
+UNION ALL SELECT page_id, host, NULL, 0, 0 FROM d WHERE l IS NULL""",
     "op6_quality": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                   string_split(coalesce(text, ''), chr(10)) AS l FROM documents),

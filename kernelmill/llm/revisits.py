@@ -30,9 +30,13 @@ def _weak(tag: Column) -> Column:
 
 def merge_headers(stored: Column, fresh: Column) -> Column:
     """The stored headers, with those of the not-modified response that it may update (names in lower case)."""
-    low = lambda m: F.map_from_entries(
-        F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]), e["value"]))
-    )
+
+    def low(m: Column) -> Column:
+        """Names in lower case; of names that differ only by case, the last one's value."""
+        rows = F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        names = F.transform(rows, lambda e: e["key"])
+        return F.map_from_entries(F.filter(rows, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])))
+
     allowed = F.map_filter(low(fresh), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     base = F.map_filter(low(stored), lambda k, v: ~F.map_contains_key(allowed, k))
     return F.map_concat(base, allowed)
@@ -42,7 +46,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     """Each revisit with what it stands for: struct `row`, canonical, response_id, verdict, merged_headers, digest.
 
     records: record_id, url, ts (seconds, long), kind ('response' or 'revisit'), etag, last_modified, digest,
-    headers (map, names different but for their case); more columns may stand beside them and stay in `row`. A revisit
+    headers (a map; of names that differ only by case, the last counts); more columns may stand beside them and stay in `row`. A revisit
     takes the latest full response of its canonical URL with a smaller ts (of equal ts: the largest
     record_id). verdict: `resolved` if the validators agree (entity tags by weak comparison where both
     have one, else Last-Modified where both have one), `changed` if they differ, `unchecked` if there are

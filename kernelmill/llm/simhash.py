@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import n_buckets, per_text, written
+from .util import PIECE_BYTES, per_text, release, word_pieces, written
 
 #: A table of ids of up to so many rows, counted, is broadcast.
 BROADCAST_ROWS = 400_000
@@ -18,6 +18,21 @@ BROADCAST_ROWS = 400_000
 PIECE = 1 << 17
 
 
+def shingles(text: bytes | None, shingle: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, repeats included, piece by piece; a text of fewer words is one shingle, one without words has none."""
+    kept: list[bytes] = []  # the last words of the piece before, which shingles go on from
+    total = 0
+    for w in word_pieces(text.lower() if text else b""):
+        total += len(w)
+        w = kept + w
+        if total >= shingle:
+            yield list(map(b" ".join, zip(*[w[k:] for k in range(shingle)])))
+            w = w[len(w) - shingle + 1 :]
+        kept = w
+    if 0 < total < shingle:
+        yield [b" ".join(kept)]
+
+
 def _fingerprints(texts: list, shingle: int, seed: int) -> list[int]:
     """The signed 64-bit fingerprints of UTF-8 texts."""
     out: list[int] = []
@@ -36,14 +51,23 @@ def _fingerprints(texts: list, shingle: int, seed: int) -> list[int]:
 
     h = xxhash.xxh64_intdigest
     for t in texts:
-        w = t.lower().split() if t else []
-        if not w:
+        if t and len(t) > PIECE_BYTES:  # counted in pieces, as a bit's count adds up over them
+            close()
+            n, count = 0, np.zeros(64, np.int64)
+            for grams in shingles(t, shingle):
+                part = np.fromiter((h(g, seed) for g in grams), np.uint64)
+                n += len(part)
+                if len(part):
+                    count += np.unpackbits(part.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * count > n)[::-1].copy().view(np.int64)[0]))
+            continue
+        grams = [g for piece in shingles(t, shingle) for g in piece]
+        if not grams:
             close()
             out.append(0)
             continue
-        grams = map(b" ".join, zip(*[w[k:] for k in range(shingle)])) if len(w) >= shingle else [b" ".join(w)]
         hashes.extend(h(g, seed) for g in grams)
-        lens.append(max(1, len(w) - shingle + 1))
+        lens.append(len(grams))
         if len(hashes) >= PIECE:
             close()
     close()
@@ -203,7 +227,10 @@ def near_links(fps: DataFrame, radius: int = 2, shard: int = 8_000, sample: int
         _link(f, radius, forest)
         roots = np.fromiter((forest.root(k) for k in range(len(f))), np.int64, len(f))
         linked = np.flatnonzero(roots != np.arange(len(f)))
-        return pa.table({"a": f[roots[linked]].view(np.int64), "b": f[linked].view(np.int64)})
+        out = pa.table({"a": f[roots[linked]].view(np.int64), "b": f[linked].view(np.int64)})
+        del f, forest, roots
+        release()
+        return out
 
     return dealt.groupBy("shard", "i", "j").applyInArrow(link, "a long, b long")
 

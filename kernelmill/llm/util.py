@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,28 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import materialized, shared_dir
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: White space of every contract that takes words `[^\x20\x09-\x0D]+`; bytes.split() cuts at just these.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes that one Arrow batch may hold, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 4000, 32 << 20
-
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Bytes of a text that are cut into words at once.
+PIECE_BYTES = 1 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="kernelmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+written = materialized
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def word_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, cut at ASCII white space, in lists of about PIECE_BYTES bytes each."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        end = at + PIECE_BYTES
+        if cut := _BLANK.search(text, end):
+            end = cut.start()
+        else:
+            break
+        yield text[at:end].split()
+        at = end
+    yield (text[at:] if at else text).split()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,14 +66,22 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        f = start()
+        f, seen = start(), 0
         for b in batches:
             out = f(b.column(1).to_pylist())
+            seen += b.nbytes
             cols = [b.column(0)] + [
                 v if isinstance(v := out[x.name], pa.Array) else pa.array(v, type=to_arrow_type(x.dataType))
                 for x in new.fields
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", *[x.name for x in new.fields]])
+            out = pa.RecordBatch.from_arrays(cols, names=["row", *[x.name for x in new.fields]])
+            del b, cols
+            yield out
+            if seen > 4 * BATCH_BYTES:
+                release()
+                seen = 0
+        del f
+        release()
 
     return src.mapInArrow(run, schema)
 
@@ -128,7 +140,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """df as a table in the shared folder, bucketed by key: later groupings by key read it without a shuffle."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    path = f"{shared_dir(spark)}/{table}"
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 

@@ -70,8 +70,8 @@ def test_decontamination(spark, rows, docs, empty):
                 for p in range(len(w) - m + 1):
                     if w[p : p + m] == b[k : k + m]:
                         hit |= set(range(p, p + m))
-                        items.add("" if item is None else str(item))
-        want.append((i, len(w), len(hit), tuple(sorted(items))))
+                        items.add(None if item is None else str(item))
+        want.append((i, len(w), len(hit), tuple(sorted(items, key=lambda x: (x is None, x or "")))))
     for block in (500_000, 3):  # one block of test strings, and one for each item
         got = [(a, b, c, tuple(d)) for a, b, c, d in by_id(decontam.find_benchmark(docs, table, block_words=block), "n_words", "n_hit", "items")]
         assert got == sorted(want, key=repr)
@@ -314,6 +314,21 @@ def test_revisits(spark):
     assert got[3].merged_headers == {"content-type": "text/html", "etag": '"1"', "date": "new"} and got[3].digest == "d1"
     assert got[6].merged_headers == {"expires": "x"} and got[4].digest is None
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
+    twice = df.where("record_id in (1, 3)").withColumn("headers", F.when(F.col("record_id") == 1, F.col("headers")).otherwise(F.create_map(F.lit("Date"), F.lit("first"), F.lit("date"), F.lit("last"))))
+    assert revisits.resolve_revisits(twice).first().merged_headers["date"] == "last"
+
+
+def test_long_texts_are_cut_into_pieces(monkeypatch):
+    from kernelmill.llm import nearsets
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)).encode() for n in (0, 1, 2, 3, 9, 400)] + [b"x" * 90, b" \n", b"a b" + b" " * 60]
+    want = [(simhash._fingerprints([t], 3, 42), nearsets.shingle_set(t, 5, 42).tolist()) for t in texts]
+    for size in (1, 7, 40):
+        for m in (util, simhash):
+            monkeypatch.setattr(m, "PIECE_BYTES", size)
+        assert [w for t in texts for p in util.word_pieces(t) for w in p] == [w for t in texts for w in t.split()]
+        assert [(simhash._fingerprints([t], 3, 42), nearsets.shingle_set(t, 5, 42).tolist()) for t in texts] == want
 
 
 def test_language(spark):
