@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of a text that are cut into words at once.
 PIECE_BYTES = 1 << 20
+#: Buckets of a table.
+MOST_BUCKETS = 50_000
 
 written = materialized
 
@@ -137,12 +139,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by key: later groupings by key read it without a shuffle."""
+    """df as files in the shared folder, bucketed by key: later groupings by key read them without a shuffle.
+
+    Spark takes at most 100,000 buckets; a bucket then holds more than was asked for. The catalog entry that
+    writing needs is dropped again, which leaves the files.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    df.write.bucketBy(min(buckets, MOST_BUCKETS), key).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved now, while the entry is there
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:

@@ -161,25 +161,50 @@ def plain_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length,gram,hot", [(200, 120, 1 << 19), (40, 24, 1 << 19), (40, 24, 100), (9, 9, 1 << 19)])
-def test_substrings(rows, docs, length, gram, hot):
+def runs_of(mask):
+    return [(m.start(), m.end()) for m in re.finditer(b"\1+", mask)]
+
+
+@pytest.mark.parametrize("length,gram,shard,rows_of_class", [(200, 24, 1 << 20, 64), (40, 8, 1 << 20, 64), (40, 8, 100, 1), (9, 9, 1 << 20, 64)])
+def test_substrings(rows, docs, length, gram, shard, rows_of_class):
     texts = [(r[1] or "").encode() for r in rows]
-    want = [(r[0], len(t), sum(m), bytes(c for c, x in zip(t, m) if not x)) for r, t, m in zip(rows, texts, plain_repeats(texts, length))]
-    got = [(a, b, c, bytes(d)) for a, b, c, d in by_id(substrings.remove_repeats(docs, length=length, gram=gram, hot_bytes=hot), "n_bytes", "n_removed", "kept")]
+    want = [(r[0], len(t), sum(m), bytes(c for c, x in zip(t, m) if not x), runs_of(m)) for r, t, m in zip(rows, texts, plain_repeats(texts, length))]
+    found = substrings.remove_repeats(docs, length=length, gram=gram, shard_bytes=shard, class_rows=rows_of_class)
+    got = [(a, b, c, bytes(d), [tuple(x) for x in e]) for a, b, c, d, e in by_id(found, "n_bytes", "n_removed", "kept", "spans")]
     assert got == sorted(want, key=repr)
 
 
+def test_a_passage_in_thousands_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 3000)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, short = say(260), say(190)  # one goes, of the other only what surroundings repeat
+    texts = [say(rng.randrange(30)) + (long, short)[k % 2] + say(rng.randrange(9)) for k in range(2000)] + [say(400)] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    masks = plain_repeats([t.encode() for t in texts], 200)
+    want = [(k, sum(m), len(runs_of(m))) for k, m in enumerate(masks)]
+    found = substrings.remove_repeats(df, shard_bytes=20_000, class_rows=16)
+    got = sorted((a, b, len(c)) for a, b, c in found.select("row.doc_id", "n_removed", "spans").collect())
+    assert got == want and sum(n for _, n, _ in want) > 260_000
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(1)
     for trial in range(100):
         base = rng.integers(97, 99 + trial % 3, 60).astype(np.uint8)
-        parts = [base[a : a + 1 + rng.integers(30)] for a in rng.integers(0, 30, 1 + trial % 7)]
-        text = np.concatenate([np.append(p, substrings.STOP) for p in parts]).astype(np.uint8)
+        parts = list(dict.fromkeys(base[a : a + 1 + rng.integers(30)].tobytes() for a in rng.integers(0, 30, 1 + trial % 7)))
+        copies = rng.integers(1, 4, len(parts))
+        text = np.frombuffer(b"".join(p + bytes([substrings.STOP]) for p in parts), np.uint8)
         sizes = np.array([len(p) + 1 for p in parts])
-        left = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(len(text))
-        got, b = substrings.matching_statistics(text, left), text.tobytes()
+        index = substrings.RunIndex(text, np.cumsum(sizes) - sizes, copies)
+        assert index.lengths.sum() == (sizes * copies).sum() and len(index.heads) <= len(text)
+        got, b, left = index.matching_statistics(), text.tobytes(), index.left
+        many = np.repeat(copies, sizes)
         for n in (1, 3, 8, 11):
-            seen = Counter(b[i : i + n] for i in range(len(b)) if left[i] >= n)
+            seen = Counter()
+            for i in range(len(b)):
+                if left[i] >= n:
+                    seen[b[i : i + n]] += int(many[i])
             assert [bool(got[i] >= n) for i in range(len(b)) if left[i] >= n] == [seen[b[i : i + n]] > 1 for i in range(len(b)) if left[i] >= n]
 
 
