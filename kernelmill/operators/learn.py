@@ -1,59 +1,95 @@
 """Kernel ridge and SVM models in feature form: work linear in the number of strings, no Gram matrix.
 
 A string's features are its (n, pos, gram). With M the kernel between features, K = F M F', so a fit needs only the sums
-G = F'SF and b = F'Sy over the training rows and a solve in the number of observed features.
+G = F'SF and b = F'Sy over the training rows and a solve in the observed features. With more than MOST_DENSE features G is never
+formed: up to MOST_ROWS strings are solved among themselves, more by conjugate gradients that pass over the strings once a step.
+M is never formed there either, as it is a product of one factor for the positions and one for each letter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import chars, gram_features, letters_of
+from ..functions.grams import gram_features, length_range, letters_of
 from ..params import KernelParams
 from ..shared import at_most, materialized
-from ._blocks import letter_matrix, padded, self_kernel
+from ._blocks import letter_matrix, padded, pair_kernel, self_kernel
 from .kernels import descriptor_matrix
 
-#: Observed features that a fit takes; the solve is cubic in them.
-MOST_FEATURES = 3000
+#: Features of which all pairs are summed up, strings whose pairs are, features that a model may hold, and cells of a table of weights.
+MOST_DENSE, MOST_ROWS, MOST_FEATURES, MOST_CELLS = 1000, 3000, 5_000_000, 20_000_000
+#: Doubles of a piece of a sum, and groups that pieces are first added up in.
+PIECE, GROUPS = 12_000, 256
 
 
 @dataclass
 class Features:
-    """The observed (n, pos, gram) in order, and the letters."""
+    """The observed (n, pos, gram) in order, and the letters. A gram is numbered in base |A|."""
 
     letters: list[str]
     vectors: np.ndarray
     n: np.ndarray
     pos: np.ndarray
-    codes: list[tuple]
-
-    @property
-    def index(self) -> dict:
-        return {(p, c): k for k, (p, c) in enumerate(zip(self.pos.tolist(), self.codes))}
-
-    def kernel(self, pos: np.ndarray, codes: list[tuple], params: KernelParams) -> np.ndarray:
-        """[given, observed] kernel between features; 0 for grams of different length."""
-        s = letter_matrix(self.vectors, params.sigma_c)
-        out = np.zeros((len(codes), len(self.codes)))
-        size = np.array([len(c) for c in codes])
-        for n in np.unique(self.n):
-            a, b = np.flatnonzero(size == n), np.flatnonzero(self.n == n)
-            if not len(a):
-                continue
-            part = np.exp(-((pos[a][:, None] - self.pos[b][None, :]) ** 2) / (2 * params.sigma_p**2))
-            x, z = np.array([codes[i] for i in a]), np.array([self.codes[i] for i in b])
+    num: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def keys(self, n: int) -> tuple[np.ndarray, int]:
+        """(ascending pos · |A|^n + number of the grams of n letters, index of the first of them)."""
+        of = np.flatnonzero(self.n == n)
+        return self.pos[of] * len(self.letters) ** n + self.num[of], int(of[0]) if len(of) else 0
+
+    def digits(self, n: int, num: np.ndarray) -> np.ndarray:
+        size = len(self.letters)
+        return np.stack([num // size ** (n - 1 - t) % size for t in range(n)], axis=1)
+
+    def smoothed(self, v: np.ndarray, n: int, pos: np.ndarray, num: np.ndarray, params: KernelParams) -> np.ndarray:
+        """M v at the given (pos, gram) of n letters; v: a value of each observed feature, or columns of them."""
+        of, size = np.flatnonzero(self.n == n), len(self.letters)
+        v = v.reshape(len(v), -1)
+        out = np.zeros((len(pos), v.shape[1]))
+        if not len(of) or not len(pos):
+            return out
+        s, far = letter_matrix(self.vectors, params.sigma_c)[:-1, :-1], int(max(pos.max(), self.pos[of].max())) + 1
+        if far * size**n <= MOST_CELLS and far <= 5000:
+            p = np.exp(-((np.arange(far)[:, None] - np.arange(far)) ** 2) / (2 * params.sigma_p**2))
+            for j in range(v.shape[1]):
+                out[:, j] = self._grid(v[:, j], of, n, far, p, s)[pos, num]
+            return out
+        given, own = self.digits(n, num), self.digits(n, self.num[of])
+        for a in range(0, len(pos), max(1, 4_000_000 // len(of))):  # no table of all grams: a block against the observed ones
+            b = slice(a, a + max(1, 4_000_000 // len(of)))
+            m = np.exp(-((pos[b][:, None] - self.pos[of][None, :]) ** 2) / (2 * params.sigma_p**2))
             for t in range(n):
-                part *= s[x[:, t][:, None], z[:, t][None, :]]
-            out[np.ix_(a, b)] = part
+                m *= s[given[b, t][:, None], own[:, t][None, :]]
+            out[b] = m @ v[of]
         return out
 
+    def _grid(self, v: np.ndarray, of: np.ndarray, n: int, far: int, p: np.ndarray, s: np.ndarray) -> np.ndarray:
+        size = len(self.letters)
+        grid = np.zeros((far, size**n))
+        grid[self.pos[of], self.num[of]] = v[of]
+        grid = (p @ grid).reshape((far, *[size] * n))
+        for t in range(n):
+            grid = np.moveaxis(np.tensordot(s, grid, (1, t + 1)), 0, t + 1)
+        return grid.reshape(far, size**n)
+
+    def apply(self, v: np.ndarray, params: KernelParams) -> np.ndarray:
+        """M v at the observed features."""
+        out = np.zeros((len(self), v.reshape(len(v), -1).shape[1]))
+        for n in np.unique(self.n):
+            of = np.flatnonzero(self.n == n)
+            out[of] = self.smoothed(v, int(n), self.pos[of], self.num[of], params)
+        return out.reshape(v.shape)
+
 
 @dataclass
 class StringModel:
@@ -72,36 +108,57 @@ class StringModel:
 def _observed(df: DataFrame, descriptors: DataFrame, n: int) -> Features:
     letters = letters_of(descriptors)
     number = {c: i for i, c in enumerate(letters)}
-    rows = gram_features(df.select("id", "seq"), 1, n).select("n", "pos", "gram").distinct().orderBy("n", "pos", "gram").limit(MOST_FEATURES + 1).collect()
-    if len(rows) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} observed features: use shorter strings or a smaller n")
+    rows = at_most(gram_features(df.select("id", "seq"), 1, n).select("n", "pos", "gram").distinct(), MOST_FEATURES, "features")
     if any(c not in number for r in rows for c in r["gram"]):
         raise ValueError("letter outside the alphabet")
-    codes = [tuple(number[c] for c in r["gram"]) for r in rows]
-    return Features(letters, descriptor_matrix(descriptors), np.array([r["n"] for r in rows]), np.array([r["pos"] for r in rows]), codes)
-
-
-def _matrix(seqs: list[str], f: Features, params: KernelParams) -> tuple[list[np.ndarray], np.ndarray]:
-    """(observed features of each string, divisor of each: sqrt(k(x, x)) if normalised, and k(x, x))."""
-    number, index = {c: i for i, c in enumerate(f.letters)}, f.index
-    codes = [tuple(number[c] for c in s) for s in seqs]
-    idx = []
-    for c in codes:
-        own = ((p, c[p : p + n]) for n in range(1, params.n + 1) for p in range(len(c) - n + 1))
-        idx.append(np.array([index[x] for x in own if x in index], int))
-    k = np.zeros(len(codes))
-    size = np.array([len(c) for c in codes])
+    found = []
+    for r in rows:
+        num = 0
+        for c in r["gram"]:
+            num = num * len(letters) + number[c]
+        found.append((r["n"], r["pos"], num))
+    n, pos, num = np.array(sorted(found), np.int64).reshape(-1, 3).T
+    return Features(letters, descriptor_matrix(descriptors), n, pos, num)
+
+
+def _numbers(codes: np.ndarray, n: int, size: int) -> np.ndarray:
+    """[strings, positions] numbers of the grams of n letters of strings of one length."""
+    out = np.zeros((len(codes), codes.shape[1] - n + 1), np.int64)
+    for t in range(n):
+        out = out * size + codes[:, t : t + out.shape[1]]
+    return out
+
+
+def _by_length(seqs: list[str], letters: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in seqs, [strings, positions] letter codes) of the strings of each length."""
+    number = {c: i for i, c in enumerate(letters)}
+    size = np.fromiter(map(len, seqs), np.int64, len(seqs))
     for m in np.unique(size):
         of = np.flatnonzero(size == m)
-        k[of] = self_kernel(padded([codes[i] for i in of]), letter_matrix(f.vectors, params.sigma_c), params.sigma_p, params.n)
-    return idx, k
+        flat = np.fromiter((number.get(c, -1) for k in of.tolist() for c in seqs[k]), np.int64, len(of) * int(m))
+        if (flat < 0).any():
+            raise ValueError("letter outside the alphabet")
+        yield of, flat.reshape(len(of), int(m))
+
+
+def _matrix(seqs: list[str], f: Features, params: KernelParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strings of one length at a time: (places in seqs, [strings, grams] observed features, len(f) for others, k(x, x))."""
+    size, letters = len(f.letters), letter_matrix(f.vectors, params.sigma_c)
+    for of, codes in _by_length(seqs, f.letters):
+        idx = [np.empty((len(of), 0), np.int64)]
+        for n in range(1, min(params.n, codes.shape[1]) + 1):
+            known, first = f.keys(n)
+            keys = np.arange(codes.shape[1] - n + 1) * size**n + _numbers(codes, n, size)
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            idx.append(np.where(known[at] == keys, at + first, len(f)) if len(known) else np.full(keys.shape, len(f)))
+        yield of, np.concatenate(idx, axis=1), self_kernel(codes, letters, params.sigma_p, params.n)
 
 
 @dataclass
 class _Sums:
-    """Sums over rows: G = F'SF, b = F'SY, g = F's, f = F'1, and scalars."""
+    """Sums over rows: G = F'SF (None where it is not formed), b = F'SY, g = F's, f = F'1, and scalars."""
 
-    G: np.ndarray
+    G: np.ndarray | None
     b: np.ndarray
     g: np.ndarray
     f: np.ndarray
@@ -119,68 +176,93 @@ class _Sums:
         return _Sums(*(a + b for a, b in zip(vars(self).values(), vars(o).values())))
 
 
+def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """The sum for each fold of flat arrays that tasks give in pieces (fold, piece, part, data): in groups of tasks first, then whole."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float64) for x in table["data"].to_pylist()], axis=0)
+        return pa.table({"fold": table["fold"][:1], "piece": table["piece"][:1], "part": table["part"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "fold int, piece int, part int, data binary"
+    grouped = parts.withColumn("part", F.pmod("part", F.lit(GROUPS))).groupBy("fold", "piece", "part").applyInArrow(add, kind)
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for r in grouped.groupBy("fold", "piece").applyInArrow(add, kind).collect():
+        found.setdefault(r["fold"], {})[r["piece"]] = np.frombuffer(r["data"], np.float64)
+    return {k: np.concatenate([own[p] for p in sorted(own)]) for k, own in found.items()}
+
+
+def _pieces(fold: int, flat: np.ndarray) -> pd.DataFrame:
+    from pyspark import TaskContext
+
+    at = range(0, len(flat), PIECE)
+    return pd.DataFrame({"fold": fold, "piece": range(len(at)), "part": TaskContext.get().partitionId(), "data": [flat[a : a + PIECE].tobytes() for a in at]})
+
+
+def _training(df: DataFrame, targets: Sequence[str], weight: str | None, fold: str | None = None) -> DataFrame:
+    cols = [df[x].cast("double").alias(f"y{j}") for j, x in enumerate(targets)]
+    s = F.lit(1.0) if weight is None else df[weight].cast("double")
+    return df.select("seq", *cols, s.alias("s"), (F.lit(0) if fold is None else df[fold].cast("int")).alias("fold"))
+
+
 def _sums(df: DataFrame, f: Features, params: KernelParams, targets: Sequence[str], weight: str | None, fold: str | None = None) -> dict[int, _Sums]:
-    """The sums for each value of the fold column (0 without one). Each task adds up its rows first; what is
-    shuffled is bounded by features squared times tasks, and what reaches the driver by features squared."""
-    d, t = len(f.codes), len(targets)
-    width = d + 2 * t + 4  # columns: features, S·Y, plain sums
+    """The sums for each value of the fold column (0 without one). Each task adds up its rows first; G only with MOST_DENSE features or fewer."""
+    d, t = len(f), len(targets)
+    pairs = d <= MOST_DENSE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, tuple] = {}
         for b in batches:
             for which, part in b.groupby("fold"):
-                m = total.setdefault(int(which), np.zeros((d + 1, width)))
-                idx, k = _matrix(part["seq"].tolist(), f, params)
-                y = part[[f"y{j}" for j in range(t)]].to_numpy(float)
-                for i, s, own, yi in zip(idx, part["s"].to_numpy(float), k, y):
-                    v = 1 / np.sqrt(own) if params.normalized else 1.0
-                    m[np.ix_(i, i)] += s * v * v
-                    m[i, d : d + t] += s * v * yi
-                    m[i, d + t] += s * v
-                    m[i, d + t + 1] += v
-                    m[d, d : d + t] += s * yi
-                    m[d, d + t : d + 2 * t] += yi
-                    m[d, :t] += s * yi * yi
-                    m[d, d + 2 * t :] += [1, s, 1.0 if params.normalized else own, 0]
-        for which, m in total.items():
-            r, c = np.nonzero(m)
-            yield pd.DataFrame({"fold": which, "r": r, "c": c, "v": m[r, c]})
+                G, b_, rest = total.setdefault(int(which), (np.zeros((d + 1) * (d + 1) if pairs else 0), np.zeros((d + 1, t + 2)), np.zeros(3 + 3 * t)))
+                ys, s = part[[f"y{j}" for j in range(t)]].to_numpy(float), part["s"].to_numpy(float)
+                for of, idx, own in _matrix(part["seq"].tolist(), f, params):
+                    v = 1 / np.sqrt(own) if params.normalized else np.ones(len(own))
+                    y, w = ys[of], s[of]
+                    if pairs:
+                        for k in range(0, len(of), 1000):
+                            i = idx[k : k + 1000]
+                            at = i[:, :, None] * (d + 1) + i[:, None, :]
+                            np.add.at(G, at.reshape(-1), np.broadcast_to((w * v * v)[k : k + 1000, None, None], at.shape).reshape(-1))
+                    cols = np.concatenate([(w * v)[:, None] * y, (w * v)[:, None], v[:, None]], axis=1)
+                    for j in range(t + 2):
+                        b_[:, j] += np.bincount(idx.reshape(-1), np.repeat(cols[:, j], idx.shape[1]), d + 1)
+                    rest += np.concatenate([[len(of), w.sum(), len(of) if params.normalized else own.sum()], w @ y, y.sum(axis=0), w @ (y * y)])
+        for which, (G, b_, rest) in total.items():
+            yield _pieces(which, np.concatenate([G, b_.reshape(-1), rest]))
 
-    cols = [df[x].cast("double").alias(f"y{j}") for j, x in enumerate(targets)]
-    src = df.select(
-        "seq",
-        *cols,
-        (F.lit(1.0) if weight is None else df[weight].cast("double")).alias("s"),
-        (F.lit(0) if fold is None else df[fold].cast("int")).alias("fold"),
-    )
-    found = src.mapInPandas(run, "fold int, r int, c int, v double").groupBy("fold", "r", "c").agg(F.sum("v").alias("v")).toPandas()
     out = {}
-    for which, part in found.groupby("fold"):
-        m = np.zeros((d + 1, width))
-        m[part["r"], part["c"]] = part["v"]
-        rows, s, k, _ = m[d, d + 2 * t :]
-        out[int(which)] = _Sums(m[:d, :d], m[:d, d : d + t], m[:d, d + t].copy(), m[:d, d + t + 1].copy(), rows, s, m[d, d : d + t], m[d, d + t : d + 2 * t], m[d, :t].copy(), k)
+    for which, flat in _added(_training(df, targets, weight, fold).mapInPandas(run, "fold int, piece int, part int, data binary")).items():
+        n = (d + 1) ** 2 if pairs else 0
+        m, rest = flat[n : n + (d + 1) * (t + 2)].reshape(d + 1, t + 2)[:d], flat[n + (d + 1) * (t + 2) :]
+        G = flat[:n].reshape(d + 1, d + 1)[:d, :d] if pairs else None
+        out[which] = _Sums(G, m[:, :t], m[:, t], m[:, t + 1], rest[0], rest[1], rest[3 : 3 + t], rest[3 + t : 3 + 2 * t], rest[3 + 2 * t :], rest[2])
     return out
 
 
 def _root(f: Features, params: KernelParams) -> np.ndarray:
     """R with M = R R'."""
-    m = f.kernel(f.pos, f.codes, params)
+    m = f.apply(np.eye(len(f)), params)
     w, v = np.linalg.eigh((m + m.T) / 2)
     keep = w > w.max() * 1e-13
     return v[:, keep] * np.sqrt(w[keep])
 
 
+def _centre(x: _Sums, f: Features, params: KernelParams) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean features, M times them, 1 / variance of the kernel)."""
+    mean = x.f / x.rows
+    smooth = f.apply(mean, params)
+    variance = x.k / x.rows - mean @ smooth
+    if variance <= 0:
+        raise ValueError("the kernel has no variance over these strings")
+    return mean, smooth, 1 / variance
+
+
 def _solve(x: _Sums, f: Features, params: KernelParams, alpha: np.ndarray, center: bool, targets: list[str]) -> StringModel:
     r, G, b = _root(f, params), x.G, x.b
     intercept, scale, mean = np.zeros(b.shape[1]), 1.0, None
     if center:
-        mean, y_mean = x.f / x.rows, x.y / x.rows
-        rm = r.T @ mean
-        variance = x.k / x.rows - rm @ rm
-        if variance <= 0:
-            raise ValueError("the kernel has no variance over these strings")
-        scale = 1 / variance
+        mean, _, scale = _centre(x, f, params)
+        y_mean = x.y / x.rows
         G = G - np.outer(mean, x.g) - np.outer(x.g, mean) + x.s * np.outer(mean, mean)
         b = b - np.outer(x.g, y_mean) - np.outer(mean, x.sy - y_mean * x.s)
         intercept = y_mean
@@ -196,6 +278,106 @@ def _solve(x: _Sums, f: Features, params: KernelParams, alpha: np.ndarray, cente
     return StringModel(params, f, u, alpha, intercept, scale, targets)
 
 
+def _rows_kernel(rows: list, f: Features, params: KernelParams) -> tuple[np.ndarray, np.ndarray]:
+    """(kernel, [strings, features] values) of a few thousand strings at most."""
+    seqs = [r["seq"] for r in rows]
+    codes: list = [None] * len(seqs)
+    x = np.zeros((len(seqs), len(f) + 1))
+    for of, c in _by_length(seqs, f.letters):
+        for k, own in zip(of.tolist(), c):
+            codes[k] = own
+    own_k = np.zeros(len(seqs))
+    for of, idx, own in _matrix(seqs, f, params):
+        np.add.at(x, (of[:, None], idx), 1.0)
+        own_k[of] = own
+    z = padded(codes)
+    k = pair_kernel(z, z, letter_matrix(f.vectors, params.sigma_c), params.sigma_p, params.n)
+    if params.normalized:
+        v = 1 / np.sqrt(own_k)
+        return k * np.outer(v, v), x[:, :-1] * v[:, None]
+    return k, x[:, :-1]
+
+
+def _solve_rows(rows: list, f: Features, params: KernelParams, alpha: np.ndarray, center: bool, targets: list[str]) -> StringModel:
+    """The fit of a few thousand strings at most, from their own kernel."""
+    k, x = _rows_kernel(rows, f, params)
+    y, s = np.array([[r[f"y{j}"] for j in range(len(targets))] for r in rows]), np.sqrt(np.array([r["s"] for r in rows]))
+    scale, y_mean, means = 1.0, np.zeros(len(targets)), k.mean(axis=0)
+    if center:
+        variance = np.mean(np.diag(k)) - k.mean()
+        if variance <= 0:
+            raise ValueError("the kernel has no variance over these strings")
+        k, scale, y_mean = (k - means[:, None] - means[None, :] + k.mean()) / variance, 1 / variance, y.mean(axis=0)
+    u, intercept = np.empty((len(f), len(targets))), y_mean.copy()
+    for j, a in enumerate(alpha):
+        c = s * np.linalg.solve(k * np.outer(s, s) + a * np.eye(len(k)), s * (y[:, j] - y_mean[j]))
+        u[:, j] = x.T @ c
+        if center:
+            u[:, j] -= x.mean(axis=0) * c.sum()
+            intercept[j] -= scale * (means @ c - means.mean() * c.sum())
+    return StringModel(params, f, u, alpha, intercept, scale, targets)
+
+
+def _solve_passes(df: DataFrame, x: _Sums, f: Features, params: KernelParams, alpha: np.ndarray, center: bool, targets: list[str], weight: str | None, most: int = 2000, tol: float = 1e-11) -> StringModel:
+    """(G M + alpha) u = b by conjugate gradients in the inner product of M: one pass over the strings a step, and never a matrix."""
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = b["s"].to_numpy(float)
+            for of, idx, own in _matrix(b["seq"].tolist(), f, params):
+                yield pd.DataFrame({"w": s[of] / (own if params.normalized else 1.0), "idx": list(idx.astype(np.int32))})
+
+    rows = materialized(_training(df, targets, weight).select("seq", "s").mapInPandas(coded, "w double, idx array<int>"), "ridge-rows")
+    d, spark = len(f), df.sparkSession
+    mean, scale, b, intercept = np.zeros(d), 1.0, x.b, np.zeros(x.b.shape[1])
+    if center:
+        mean, _, scale = _centre(x, f, params)
+        y_mean = x.y / x.rows
+        b = b - np.outer(x.g, y_mean) - np.outer(mean, x.sy - y_mean * x.s)
+        intercept = y_mean.copy()
+
+    def gram(t: np.ndarray) -> np.ndarray:
+        """G t, centred if the kernel is."""
+        shared = spark.sparkContext.broadcast(np.append(t, 0.0))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            values, total = shared.value, np.zeros(d + 1)
+            for part in batches:
+                n = part["idx"].str.len().to_numpy()
+                part, n = part[n > 0], n[n > 0]
+                if len(part):
+                    idx = np.concatenate(part["idx"].tolist())
+                    dot = np.add.reduceat(values[idx], np.cumsum(n) - n) * part["w"].to_numpy()
+                    total += np.bincount(idx, np.repeat(dot, n), d + 1)
+            yield _pieces(0, total)
+
+        got = _added(rows.mapInPandas(run, "fold int, piece int, part int, data binary"))[0][:d]
+        shared.destroy()
+        return got - mean * (x.g @ t) - x.g * (mean @ t) + x.s * mean * (mean @ t) if center else got
+
+    u = np.zeros_like(b)
+    for j, a in enumerate(alpha):
+        r = b[:, j].copy()
+        p, mr = r.copy(), f.apply(r, params) * scale
+        now = first = r @ mr
+        mp = mr.copy()
+        for _ in range(most):
+            if now <= tol**2 * first:
+                break
+            ap = a * p + gram(mp)
+            step = now / (mp @ ap)
+            u[:, j] += step * p
+            r -= step * ap
+            mr = f.apply(r, params) * scale
+            was, now = now, r @ mr
+            p, mp = r + now / was * p, mr + now / was * mp
+        else:
+            raise RuntimeError(f"the fit did not settle in {most} steps")
+        if center:
+            intercept[j] -= mean @ f.apply(u[:, j], params) * scale
+    return StringModel(params, f, u, alpha, intercept, scale, targets)
+
+
 def fit_ridge(
     df: DataFrame,
     descriptors: DataFrame,
@@ -207,16 +389,23 @@ def fit_ridge(
 ) -> StringModel:
     """Kernel ridge regression of the columns `targets` on the strings of df (id, seq, ...), one alpha for all or for each.
 
-    center: the kernel is centred and scaled by its variance, targets by their mean (all unweighted).
+    center: the kernel is centred and scaled by its variance, targets by their mean (all unweighted). Any number of
+    strings fits; a model may hold MOST_FEATURES different (n, pos, gram).
     """
     targets = list(targets)
     alphas = np.broadcast_to(np.asarray(alpha, float), (len(targets),)).copy()
     if (alphas <= 0).any():
         raise ValueError("alpha must be positive")
     f = _observed(df, descriptors, params.n)
+    if len(f) > MOST_DENSE:
+        few = _training(df, targets, sample_weight).limit(MOST_ROWS + 1).collect()
+        if len(few) <= MOST_ROWS and len(few) * len(f) <= MOST_CELLS:
+            return _solve_rows(few, f, params, alphas, center, targets)
     found = _sums(df, f, params, targets, sample_weight)
     if not found:
         raise ValueError("no rows to fit")
+    if found[0].G is None:
+        return _solve_passes(df, found[0], f, params, alphas, center, targets, sample_weight)
     return _solve(found[0], f, params, alphas, center, targets)
 
 
@@ -226,36 +415,68 @@ def model_weights(model: StringModel, grams: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 2000):
-                part = b.iloc[k : k + 2000]
+            for n, part in b.groupby("n"):
                 if any(c not in number for g in part["gram"] for c in g):
                     raise ValueError("letter outside the alphabet")
-                codes = [tuple(number[c] for c in g) for g in part["gram"]]
-                w = f.kernel(part["pos"].to_numpy(), codes, model.params) @ model.u * model.scale
+                codes = np.array([[number[c] for c in g] for g in part["gram"]])
+                num = _numbers(codes, int(n), len(f.letters))[:, 0]
+                w = f.smoothed(model.u, int(n), part["pos"].to_numpy(np.int64), num, model.params) * model.scale
                 for j, name in enumerate(model.targets):
                     yield part.assign(target=name, w=w[:, j])
 
     return grams.select("n", "pos", "gram").mapInPandas(run, "n int, pos int, gram string, target string, w double")
 
 
+def _weight_grids(model: StringModel, longest: int) -> list[np.ndarray] | None:
+    """For each gram length, [targets, positions, grams] weights for strings of up to `longest` letters; None where they would be too many."""
+    f, out = model.features, []
+    for n in range(1, model.params.n + 1):
+        places, size = max(0, longest - n + 1), len(f.letters) ** n
+        if places * size * len(model.targets) > MOST_CELLS // 4:
+            return None
+        pos, num = np.divmod(np.arange(places * size), size)
+        w = f.smoothed(model.u, n, pos, num, model.params) * model.scale
+        out.append(w.T.reshape(len(model.targets), places, size))
+    return out
+
+
 def predict_ridge(model: StringModel, df: DataFrame) -> DataFrame:
     """(id, target, prediction) for every string of df (id, seq); ids must be different.
 
-    Weights are made once for each distinct gram, then joined; work is independent of the training size.
+    Work is independent of the training size: weights of all grams at all positions go out with the tasks, whose one narrow pass adds
+    them up. Where such a table would be too large, weights are made for the grams that occur, then joined.
     """
     from .kernels import gs_self
 
+    longest = length_range(df).first()["max_len"] or 0
+    grids = _weight_grids(model, longest)
+    spark, params, letters = df.sparkSession, model.params, model.features.letters
+    if grids is not None:
+        sim = letter_matrix(model.features.vectors, params.sigma_c)
+        shared = spark.sparkContext.broadcast(grids)
+        targets, intercept = model.targets, model.intercept
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                total = np.zeros((len(targets), len(b)))
+                for of, codes in _by_length(b["seq"].tolist(), letters):
+                    for n in range(1, min(params.n, codes.shape[1]) + 1):
+                        num = _numbers(codes, n, len(letters))
+                        total[:, of] += shared.value[n - 1][:, np.arange(num.shape[1]), num].sum(axis=2)
+                    if params.normalized and codes.shape[1]:
+                        total[:, of] /= np.sqrt(self_kernel(codes, sim, params.sigma_p, params.n))
+                for j, name in enumerate(targets):
+                    yield pd.DataFrame({"id": b["id"], "target": name, "prediction": total[j] + intercept[j]})
+
+        return df.select("id", "seq").mapInPandas(run, f"id {dict(df.dtypes)['id']}, target string, prediction double")
     feats = gram_features(df.select("id", "seq"), 1, model.params.n)
     weights = model_weights(model, feats.select("n", "pos", "gram").distinct())
     sums = feats.join(weights, ["n", "pos", "gram"]).groupBy("id", "target").agg(F.sum("w").alias("sum"))
-    named = df.sparkSession.createDataFrame([(t, float(b)) for t, b in zip(model.targets, model.intercept)], "target string, b double")
+    named = spark.createDataFrame([(t, float(b)) for t, b in zip(model.targets, model.intercept)], "target string, b double")
     rows = df.select("id").crossJoin(F.broadcast(named)).join(sums, ["id", "target"], "left")
-    if model.params.normalized:
-        letters = df.sparkSession.createDataFrame(
-            [(c, i, v) for i, (c, v) in enumerate(zip(model.features.letters, model.features.vectors.tolist()))],
-            "letter string, letter_idx int, descriptors array<double>",
-        )
-        rows = rows.join(gs_self(df, letters, model.params), "id").withColumn("sum", F.col("sum") / F.sqrt("k"))
+    if params.normalized:
+        table = spark.createDataFrame([(c, i, v) for i, (c, v) in enumerate(zip(letters, model.features.vectors.tolist()))], "letter string, letter_idx int, descriptors array<double>")
+        rows = rows.join(gs_self(df, table, params), "id").withColumn("sum", F.col("sum") / F.sqrt("k"))
     return rows.select("id", "target", (F.coalesce("sum", F.lit(0.0)) + F.col("b")).alias("prediction"))
 
 
@@ -270,37 +491,72 @@ def dual_coefficients(model: StringModel, df: DataFrame, sample_weight: str | No
     return out
 
 
-def fit_svm(df: DataFrame, descriptors: DataFrame, params: KernelParams, C: float = 1.0, sample_weight: str | None = None, max_iter: int = 200) -> StringModel:
-    """Support vector classifier of column y on the strings of df: one model for each pair of classes.
+def fit_svm(df: DataFrame, descriptors: DataFrame, params: KernelParams, C: float = 1.0, sample_weight: str | None = None, max_iter: int = 200, center: bool = False) -> StringModel:
+    """Support vector classifier of column y on the strings of df: one model for each pair of classes. center: the kernel is centred and scaled by its variance.
 
-    Strings become vectors F R with M = R R', so a linear SVM on them is the kernel's; solved by ml's LinearSVC.
+    Strings become vectors F R with M = R R', so a linear SVM on them is the kernel's; solved by ml's LinearSVC. With more than
+    MOST_ROWS features the vectors come from the kernel of the strings among themselves, which then may be MOST_ROWS at most.
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    f = _observed(df, descriptors, params.n)
-    root = _root(f, params)
-    classes = sorted(r[0] for r in df.select("y").distinct().limit(101).collect())
-    if not 2 <= len(classes) <= 100:
-        raise ValueError("2 to 100 classes are needed")
+    f, spark = _observed(df, descriptors, params.n), df.sparkSession
+    classes = sorted(r[0] for r in at_most(df.select("y").distinct(), 100, "classes"))
+    if len(classes) < 2:
+        raise ValueError("two classes are needed")
+    s = F.lit(1.0) if sample_weight is None else F.col(sample_weight).cast("double")
+    source = df.select("seq", F.col("y").cast("double").alias("y"), s.alias("s"))
+    if len(f) > MOST_ROWS:
+        own = [r.asDict() for r in at_most(source, MOST_ROWS, "strings, nor features, can be solved together")]
+        k, x = _rows_kernel(own, f, params)
+        w, v = np.linalg.eigh((k + k.T) / 2)
+        keep = w > w.max() * 1e-13
+        z = v[:, keep] * np.sqrt(w[keep])
+        rows = spark.createDataFrame([(r["y"], r["s"], v.tolist()) for r, v in zip(own, z)], "y double, s double, z array<double>")
+        back = x.T @ (v[:, keep] / np.sqrt(w[keep]))  # coefficients of features for a weight vector
+    else:
+        root = _root(f, params)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = np.concatenate([root, np.zeros((1, root.shape[1]))])
+            for b in batches:
+                z = np.zeros((len(b), root.shape[1]))
+                for of, idx, own in _matrix(b["seq"].tolist(), f, params):
+                    for j in range(idx.shape[1]):
+                        z[of] += table[idx[:, j]]
+                    z[of] /= np.sqrt(own)[:, None] if params.normalized else 1.0
+                yield pd.DataFrame({"y": b["y"], "s": b["s"], "z": z.tolist()})
+
+        rows = source.mapInPandas(run, "y double, s double, z array<double>")
+        back = root / (root**2).sum(axis=0)  # divided by the eigenvalues
+    rows = materialized(rows, "svm")
+    mean, scale = np.zeros(back.shape[1]), 1.0
+    if center:
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            idx, k = _matrix(b["seq"].tolist(), f, params)
-            z = [root[i].sum(axis=0) / (np.sqrt(own) if params.normalized else 1.0) for i, own in zip(idx, k)]
-            yield pd.DataFrame({"y": b["y"], "s": b["s"], "z": [v.tolist() for v in z]})
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(back.shape[1] + 2)
+            for b in batches:
+                z = np.array(b["z"].tolist()).reshape(len(b), -1)
+                total += np.concatenate([z.sum(axis=0), [len(b), (z * z).sum()]]) if len(b) else 0.0
+            yield _pieces(0, total)
 
-    s = F.lit(1.0) if sample_weight is None else F.col(sample_weight).cast("double")
-    rows = materialized(df.select("seq", F.col("y").cast("double"), s.alias("s")).mapInPandas(run, "y double, s double, z array<double>"), "svm")
+        total = _added(rows.mapInPandas(add, "fold int, piece int, part int, data binary"))[0]
+        mean = total[:-2] / total[-2]
+        variance = total[-1] / total[-2] - mean @ mean
+        if variance <= 0:
+            raise ValueError("the kernel has no variance over these strings")
+        scale = 1 / variance
+    shift = F.array(*[F.lit(float(v)) for v in mean])
+    centred = F.zip_with("z", shift, lambda a, b: (a - b) * scale**0.5) if center else F.col("z")
     pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
     u, intercept = [], []
     for a, b in pairs:
-        part = rows.where(F.col("y").isin(float(a), float(b))).select((F.col("y") == float(b)).cast("double").alias("label"), "s", array_to_vector("z").alias("features"))
+        part = rows.where(F.col("y").isin(float(a), float(b))).select((F.col("y") == float(b)).cast("double").alias("label"), "s", array_to_vector(centred).alias("features"))
         mass = part.agg(F.sum("s")).first()[0]
         svm = LinearSVC(regParam=1 / (C * mass), standardization=False, weightCol="s", maxIter=max_iter, tol=1e-9).fit(part)
-        norm = (root**2).sum(axis=0)  # the eigenvalues
-        u.append((root / norm) @ svm.coefficients.toArray())
-        intercept.append(svm.intercept)
+        w = svm.coefficients.toArray() * scale**0.5
+        u.append(back @ w)
+        intercept.append(svm.intercept - mean @ w)
     return StringModel(params, f, np.array(u).T, np.full(len(pairs), C), np.array(intercept), 1.0, [f"{a}|{b}" for a, b in pairs], pairs)
 
 
@@ -364,6 +620,10 @@ def grid_search(df: DataFrame, descriptors: DataFrame, grid: DataFrame, normaliz
     spark, out = df.sparkSession, None
     for n, by_n in sets.groupby("n"):
         f = _observed(df, descriptors, int(n))
+        if len(f) > MOST_DENSE:
+            got = _grid_of_fits(df, descriptors, by_n, normalized, center, fold)
+            out = got if out is None else out.unionByName(got)
+            continue
         keys = ["sigma_p", "sigma_c"] if normalized or center else ["n"]
         for _, part in by_n.groupby(keys):
             params = KernelParams(part["sigma_p"].iloc[0], part["sigma_c"].iloc[0], int(n), normalized)
@@ -378,11 +638,32 @@ def grid_search(df: DataFrame, descriptors: DataFrame, grid: DataFrame, normaliz
                         for k, test in folds.items():
                             train = total - test
                             m = _solve(train, f, own, np.array([p.alpha]), center, ["y"])
-                            w = f.kernel(f.pos, f.codes, own) @ m.u[:, 0] * m.scale
+                            w = f.apply(m.u[:, 0], own) * m.scale
                             yield pd.DataFrame([{**p._asdict(), "fold": k, **_score(x, w, m.intercept[0]), "phase": ph} for ph, x in (("train", train), ("test", test))]).drop(columns="Index")
 
             rows = spark.createDataFrame(part[["param_id", "sigma_p", "sigma_c", "n", "alpha"]]).repartition(max(1, min(len(part), 64)))
-            got = rows.mapInPandas(solve, "param_id long, sigma_p double, sigma_c double, n double, alpha double, fold int, phase string, r2 double, mse double, rows double")
+            got = materialized(rows.mapInPandas(solve, _GRID_ROWS), "grid")
+            sums.destroy()
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+_GRID_ROWS = "param_id long, sigma_p double, sigma_c double, n double, alpha double, fold int, phase string, r2 double, mse double, rows double"
+
+
+def _grid_of_fits(df: DataFrame, descriptors: DataFrame, sets: pd.DataFrame, normalized: bool, center: bool, fold: str) -> DataFrame:
+    """The same rows where features are too many for sums of their pairs: a fit for each parameter set and fold, scored by its predictions."""
+    out = None
+    folds = [r[0] for r in at_most(df.select(fold).distinct(), 1000, "folds")]
+    for p in sets.itertuples():
+        for k in folds:
+            model = fit_ridge(df.where(F.col(fold) != k), descriptors, KernelParams(p.sigma_p, p.sigma_c, int(p.n), normalized), p.alpha, center)
+            phase = F.when(F.col(fold) == k, "test").otherwise("train").alias("phase")
+            scored = predict_ridge(model, df).join(df.select("id", "y", phase), "id")
+            counted = scored.groupBy("phase").agg(F.count("*").cast("double").alias("rows"))
+            got = regression_metrics(scored, ["phase"]).join(counted, "phase")
+            own = [F.lit(float(x)).alias(c) for c, x in (("sigma_p", p.sigma_p), ("sigma_c", p.sigma_c), ("n", p.n), ("alpha", p.alpha))]
+            got = got.select(F.lit(int(p.param_id)).cast("long").alias("param_id"), *own, F.lit(int(k)).cast("int").alias("fold"), "phase", "r2", "mse", "rows")
             out = got if out is None else out.unionByName(got)
     return materialized(out, "grid")
 

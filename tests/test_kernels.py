@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kernelmill.functions import grams as G
-from kernelmill.operators import design, kernels, learn
+from kernelmill.operators import _blocks, design, kernels, learn
 from kernelmill.operators import weights as W
 from kernelmill.params import KernelParams
 from kernelmill.sources.tables import normalize_descriptors, read_descriptors, read_labelled, write_table
@@ -176,6 +176,65 @@ def test_folds_grid_and_nested_search(strings, desc, spark):
     assert rows.count() == 6 and chosen.count() == 3
 
 
+@pytest.mark.parametrize("rows", [3000, 0])
+def test_fits_of_many_features(spark, monkeypatch, rows):
+    """600 random peptides have more features than are summed in pairs: solved by rows, and by passes over the strings."""
+    monkeypatch.setattr(learn, "MOST_ROWS", rows)
+    rng = np.random.default_rng(7)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    vec = {c: rng.normal(size=3) for c in letters}
+    table = spark.createDataFrame([(c, i, v.tolist()) for i, (c, v) in enumerate(vec.items())], "letter string, letter_idx int, descriptors array<double>")
+    seqs = ["".join(rng.choice(list(letters), 15)) for _ in range(600 if rows else 150)]
+    if not rows:
+        monkeypatch.setattr(learn, "MOST_DENSE", 500)
+    y, s = rng.normal(size=len(seqs)), rng.uniform(0.5, 2, len(seqs))
+    df = spark.createDataFrame([(i, x, float(a), float(b)) for i, (x, a, b) in enumerate(zip(seqs, y, s))], "id long, seq string, y double, s double")
+    p, alpha = KernelParams(2.0, 1.0, 2, True), 0.5 if rows else 30.0
+    codes = np.array([[letters.index(c) for c in x] for x in seqs])
+    sim = _blocks.letter_matrix(np.array(list(vec.values())), 1.0)
+    K = _blocks.pair_kernel(codes, codes, sim, 2.0, 2)
+    K = K / np.sqrt(np.outer(np.diag(K), np.diag(K)))
+    K = (K - K.mean(1)[:, None] - K.mean(0)[None, :] + K.mean()) / (np.mean(np.diag(K)) - K.mean())
+    r = np.sqrt(s)
+    want = K @ (r * np.linalg.solve(K * np.outer(r, r) + alpha * np.eye(len(K)), r * (y - y.mean()))) + y.mean()
+    model = learn.fit_ridge(df, table, p, alpha, center=True, sample_weight="s")
+    assert len(model.features) > learn.MOST_DENSE
+    got = {r.id: r.prediction for r in learn.predict_ridge(model, df).collect()}
+    assert [got[i] for i in range(len(seqs))] == pytest.approx(list(want), abs=1e-7)
+    if rows:
+        monkeypatch.setattr(learn, "MOST_CELLS", 0)  # no table of all weights: they are made for the grams that occur
+        again = {r.id: r.prediction for r in learn.predict_ridge(model, df.limit(20)).collect()}
+        assert [again[i] for i in again] == pytest.approx([got[i] for i in again])
+
+
+def test_grid_of_many_features_equals_the_sums(spark, strings, desc, monkeypatch):
+    folds = learn.kfold(strings, 3, "id")
+    grid = learn.random_search(spark, {"sigma_p": [1.3], "sigma_c": [0.9], "n": [1, 2], "alpha": [0.7, 3.0]}, 2, seed=1)
+    assert grid.count() == 2 and {r.param_id for r in grid.collect()} == {r.param_id for r in learn.random_search(spark, {"sigma_p": [1.3], "sigma_c": [0.9], "n": [1, 2], "alpha": [0.7, 3.0]}, 2, seed=1).collect()}
+    key = lambda df: sorted((r.param_id, r.fold, r.phase, round(r.r2, 6), round(r.mse, 6), r.rows) for r in df.collect())
+    want = key(learn.grid_search(folds, desc, grid, normalized=True))
+    monkeypatch.setattr(learn, "MOST_DENSE", 0)
+    assert key(learn.grid_search(folds, desc, grid, normalized=True)) == want
+
+
+@pytest.mark.parametrize("most", [3000, 0])
+def test_centred_svm(spark, desc, monkeypatch, most):
+    """Centring moves and scales the vectors; as an SVM without a penalty on its intercept, it equals a plain one with C by the variance."""
+    monkeypatch.setattr(learn, "MOST_ROWS", most or 3000)
+    rows = spark.createDataFrame([(0, "AAAA", 0.0), (1, "AABA", 0.0), (2, "CCCC", 1.0), (3, "CCBC", 1.0), (4, "ABAC", 0.0), (5, "CABC", 1.0)], "id long, seq string, y double")
+    p = KernelParams(1.0, 0.5, 2, True)
+    if not most:
+        monkeypatch.setattr(learn, "_root", None)  # must not be needed
+        monkeypatch.setattr(learn, "MOST_ROWS", 10)
+    xs = [r.seq for r in rows.orderBy("id").collect()]
+    K = np.array([[k(a, b, 1.0, 0.5, 2) / math.sqrt(k(a, a, 1.0, 0.5, 2) * k(b, b, 1.0, 0.5, 2)) for b in xs] for a in xs])
+    variance = np.mean(np.diag(K)) - K.mean()
+    margin = lambda m: [r.prediction for r in learn.predict_ridge(m, rows).orderBy("id").collect()]
+    centred = learn.fit_svm(rows, desc, p, 2.0, max_iter=40, center=True)
+    plain = learn.fit_svm(rows, desc, p, 2.0 / variance, max_iter=40)
+    assert margin(centred) == pytest.approx(margin(plain), abs=1e-3)
+
+
 def test_svm_separates(spark, desc):
     rows = spark.createDataFrame([(0, "AAAA", 0.0), (1, "AABA", 0.0), (2, "CCCC", 1.0), (3, "CCBC", 1.0), (4, "BBBB", 2.0), (5, "BBBA", 2.0)], "id long, seq string, y double")
     model = learn.fit_svm(rows, desc, KernelParams(1.0, 0.5, 2, True), 10.0, max_iter=20)
