@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import PIECE_BYTES, per_text, release, word_pieces, written
+from .util import PIECE_BYTES, mix64, per_text, release, word_pieces, written
 
 #: A table of ids of up to so many rows, counted, is broadcast.
 BROADCAST_ROWS = 400_000
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 17
+#: Fingerprints that a plan parts at least, that are routed in one task, and levels of plans (one parts some hundred times).
+LEAF, ROUTED_ROWS, MOST_LEVELS = 64, 1_000_000, 40
 
 
 def shingles(text: bytes | None, shingle: int) -> Iterator[list[bytes]]:
@@ -145,6 +149,35 @@ def _route(fps: np.ndarray, nodes: list[tuple], radius: int) -> Iterator[tuple[i
         todo.append((outer, points[d > bound]))
 
 
+def _planner(shard: int, sample: int, radius: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The tree of one large shard from its sample; none where no vantage point parts it."""
+        n = table["n"][0].as_py()
+        points = np.random.default_rng(0).permutation(np.sort(table["fp"].to_numpy().view(np.uint64)))
+        nodes = _plan(points, max(LEAF, int(shard * min(1.0, sample / n))), radius)
+        return pa.table({"shard": table["shard"][:1], "n": table["n"][:1], "plan": pa.array([pickle.dumps(nodes) if nodes else None], pa.binary())})
+
+    return run
+
+
+def _router(shard: int, radius: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The rows of a large shard in its parts, or with the number of blocks it is dealt into if there are none."""
+        points, plan = left["fp"].to_numpy().view(np.uint64), right["plan"][0].as_py() if len(right) else None
+        if plan is None:
+            blocks = -(-left["n"][0].as_py() // shard) if len(left) else 1
+            return pa.table({"shard": left["shard"], "fp": left["fp"], "blocks": pa.array(np.full(len(left), blocks, np.int64))})
+        found = list(_route(points, pickle.loads(plan), radius)) if len(left) else []
+        old = np.uint64(right["shard"][0].as_py() & (2**64 - 1))
+        with np.errstate(over="ignore"):
+            new = [np.full(len(p), mix64(np.array([old + np.uint64(k + 1)]))[0]) for k, p in found]
+        to = np.concatenate([np.empty(0, np.uint64), *new]).view(np.int64)
+        fp = np.concatenate([np.empty(0, np.uint64), *[p for _, p in found]]).view(np.int64)
+        return pa.table({"shard": pa.array(to), "fp": pa.array(fp), "blocks": pa.array(np.zeros(len(fp), np.int64))})
+
+    return run
+
+
 class _Forest:
     """Union-find over positions of an array."""
 
@@ -185,40 +218,35 @@ def _link(fps: np.ndarray, radius: int, forest: _Forest, leaf: int = 256) -> Non
 def near_links(fps: DataFrame, radius: int = 2, shard: int = 8_000, sample: int = 50_000) -> DataFrame:
     """Links (a, b) between different fingerprints whose components are those of all pairs within radius bits.
 
-    fps: distinct fingerprints in column fp. A tree planned on a sample of at most about `sample`
-    fingerprints parts them into shards; those near a bound go to the shards on both sides. Each shard
-    finds its exact pairs by a tree of its own and gives back only a spanning forest, so near copies
-    by the thousand give links by the thousand, not pairs by the million. Fingerprints of a shard beyond
-    twice its planned size (a cluster that no vantage point parts) are dealt into blocks, and each pair of
-    blocks is a group of its own: exact, with bounded memory.
+    fps: distinct fingerprints in column fp. Shards of more than twice `shard` fingerprints are parted by a tree planned on a sample
+    of their own, of about `sample` at most; those near a bound go to the shards on both sides; what is still too large is
+    parted again, level by level, so plans grow with the input. Each shard finds its exact pairs by a tree of its own and gives
+    back only a spanning forest, so near copies by the thousand give links by the thousand, not pairs by the million. A shard that no
+    vantage point parts (a tight cluster) is dealt into blocks, and each pair of blocks is a group of its own: exact, with bounded memory.
     """
-    total = fps.count()
-    share = min(1.0, sample / max(total, 1))
-    u = F.pmod(F.xxhash64("fp", F.lit("vp")), F.lit(1 << 30)) < int(share * (1 << 30))
-    taken = np.sort(np.array([r[0] for r in fps.where(u).collect()], np.int64).view(np.uint64)) if total else np.empty(0, np.uint64)
-    taken = np.random.default_rng(0).permutation(taken)
-    nodes = _plan(taken, max(64, int(shard * share)), radius)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for s, p in _route(points, nodes, radius):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), s, np.int64)), pa.array(p.view(np.int64))],
-                    names=["shard", "fp"],
-                )
-
-    routed = written(fps.select("fp").mapInArrow(route, "shard long, fp long"), "vp-routed")
-    cap = 2 * shard
-    large = {r[0]: -(-r[1] // shard) for r in routed.groupBy("shard").count().where(F.col("count") > cap).collect()}
-    if large:
-        n = F.coalesce(
-            F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("shard")), F.lit(1)
-        ).cast("int")
+    cap, ready = 2 * shard, []
+    one, level = F.lit(1).cast("long"), written(fps.select(F.lit(0).cast("long").alias("shard"), "fp"), "vp-level")
+    for depth in range(MOST_LEVELS):
+        sizes = written(level.groupBy("shard").agg(F.count("*").alias("n")), "vp-sizes")
+        if not sizes.where(F.col("n") > cap).limit(1).count():
+            ready.append(level.select("shard", "fp", one.alias("blocks")))
+            break
+        sized = level.join(sizes, "shard")
+        ready.append(sized.where(F.col("n") <= cap).select("shard", "fp", one.alias("blocks")))
+        large = sized.where(F.col("n") > cap)
+        u = F.pmod(F.xxhash64("fp", F.lit(depth)), F.lit(1 << 30)) / float(1 << 30)
+        plans = written(large.where(u < sample / F.col("n")).groupBy("shard").applyInArrow(_planner(shard, sample, radius), "shard long, n long, plan binary"), "vp-plans")
+        parts = F.ceil(F.col("n") / ROUTED_ROWS)
+        rows = large.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), parts))
+        plans = plans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        routed = rows.groupBy("shard", "salt").cogroup(plans.groupBy("shard", "salt")).applyInArrow(_router(shard, radius), "shard long, fp long, blocks long")
+        routed = written(routed, "vp-routed")
+        ready.append(routed.where("blocks > 0"))
+        level = routed.where("blocks = 0").select("shard", "fp")
     else:
-        n = F.lit(1)
-    block = F.pmod(F.xxhash64("fp"), n).cast("int")
-    dealt = routed.withColumn("n", n).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        raise RuntimeError("shards did not become small")
+    dealt = reduce(DataFrame.unionByName, ready).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("shard", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "fp")
 
     def link(table: pa.Table) -> pa.Table:

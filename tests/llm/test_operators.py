@@ -110,15 +110,17 @@ def test_simhash(rows, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-def test_pairs_of_clustered_fingerprints(spark):
+def test_pairs_of_clustered_fingerprints(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, 30, np.uint64)
     fps = {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centre for a, b in rng.integers(0, 62, (40, 2))} | {int(x) for x in rng.integers(0, 2**63, 500)}
     fps = sorted(fps)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     want = plain_components(fps)
-    for shard in (100, 8000):  # many shards with blocks of pairs, and one
-        comp = {r.node: r.root for r in simhash.components(simhash.near_links(df, 2, shard)).collect()}
+    for shard, sample, leaf in ((100, 50_000, 64), (100, 120, 30), (8000, 50_000, 64)):  # shards with blocks of pairs, plans from small samples in levels, and one shard
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        monkeypatch.setattr(simhash, "ROUTED_ROWS", 300)
+        comp = {r.node: r.root for r in simhash.components(simhash.near_links(df, 2, shard, sample)).collect()}
         least = {}
         for x, c in zip(fps, want):
             least[c] = min(least.get(c, x), x)
@@ -373,6 +375,62 @@ def test_language(spark):
     assert [r[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(r[i].rejected for i in (1, 2, 3, 4)) and r[5].lang_pred == "xx"
 
 
+def plain_entropy(texts, own, alphabet, t):
+    """Bits a character of t under an interpolated Kneser-Ney model of `order` characters learned from texts[own], by plain counting."""
+    order, size = langid.ORDER, len(alphabet) + 2
+
+    def code(x):
+        out = []
+        for c in x.lower():
+            k = (alphabet.index(c) + 2 if c in alphabet else 1) if c.isalpha() else 0
+            if k or not out or out[-1]:
+                out.append(k)
+        return out
+
+    grams = lambda x: [tuple(([0] * order + x)[i + 1 : i + 1 + order]) for i in range(len(x))]
+    counts = {order: Counter(g for x in texts[own] for g in grams(code(x)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    tables = {}
+    for k, c in counts.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        total, kinds = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        tables[k] = (c, ones / (ones + 2 * twos) if ones and twos else 0.5, total, kinds)
+
+    def prob(g):
+        p = 1 / size
+        for k in range(1, order + 1):
+            c, d, total, kinds = tables[k]
+            h = g[order - k : -1]
+            if total[h]:
+                p = d * kinds[h] / total[h] * p + (max(0, c[g[order - k :]] - d) / total[h] if c[g[order - k :]] else 0)
+        return p
+
+    x = grams(code(t))
+    return -sum(math.log2(prob(g)) for g in x) / len(x)
+
+
+def test_entropies_equal_plain_counting(spark):
+    rng = random.Random(4)
+    vocab = {"xx": "abra kad abrak dab é", "yy": "zyl wux oqo ylz ab"}
+    texts = {k: [" ".join(rng.choice(v.split()) for _ in range(rng.randrange(3, 12))) + "!! 12." for _ in range(60)] for k, v in vocab.items()}
+    rows = [(i * 2 + j, t, k, None) for j, k in enumerate(texts) for i, t in enumerate(texts[k])]
+    model = langid.fit(make(spark, rows), "text", "lang", F.col("doc_id"))
+    part = {r.doc_id: r.x for r in make(spark, rows).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0).alias("x")).collect()}
+    used = {k: [t for i, t, x, _ in rows if x == k and not part[i]] for k in texts}
+    alphabet = sorted({c for v in texts.values() for t in v for c in t.lower() if c.isalpha()})
+    for t in ("kad abra zyl", "Abrak! ylz, qqq é", "x", "12 a"):
+        h, _, _ = model.entropies([t])
+        assert h[0].tolist() == pytest.approx([plain_entropy(used, k, alphabet, t) for k in model.langs])
+    got = langid.identify(make(spark, [(1, "kad abra", None, None)]), model).first()
+    h = [plain_entropy(used, k, alphabet, "kad abra") for k in model.langs]
+    assert got.lang_pred == model.langs[h.index(min(h))] and got.entropy == pytest.approx(min(h))
+    assert got.score == pytest.approx(1 / sum(2 ** ((min(h) - x) * 8) for x in h))
+
+
 def test_packing():
     a = np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64)
     assert (util.unpack(util.pack(a)) == a).all() and (util.unpack_sorted(util.pack_sorted(np.sort(a))) == np.sort(a)).all()
