@@ -124,7 +124,7 @@ def mix(
     """Struct `row` (the carried columns), size, source_size, target, taken, places.
 
     size: words of the text; taken: words that the mix takes, repeats counted; places: the output shard
-    and the sort key in it of each copy. Every source is cut into blocks by hash. Whole blocks are taken in
+    and the sort key in it of each copy, and the words taken of it. Every source is cut into blocks by hash. Whole blocks are taken in
     a random order, once for each full pass and then until the target is reached; the block at the border
     is taken row by row, its last row only as far as the target needs. A splitting tree of
     multivariate-hypergeometric draws fixes how many of a source's blocks each shard gets; the shards
@@ -204,6 +204,17 @@ def mix(
         taken.alias("taken"),
         F.transform(
             F.filter(F.coalesce("shards", F.array().cast("array<struct<copy:bigint,shard:int>>")), lambda s: s["copy"] <= n),
-            lambda s: F.struct(s["shard"].alias("shard"), u("h", s["copy"]).alias("sort_key")),
+            lambda s: F.struct(
+                s["shard"].alias("shard"), u("h", s["copy"]).alias("sort_key"), F.when(s["copy"] <= F.col("passes"), F.col("size")).otherwise(F.col("extra")).alias("words")
+            ),
         ).alias("places"),
     )
+
+
+def write_shards(mixed: DataFrame, path: str, files: int = 200) -> None:
+    """The output shards of a mix as Parquet in folders by shard, each shuffled: a row for each copy that the mix takes, in the order of its
+    sort key, with the carried columns as struct `row`, the words taken of it and the sort key. A shard is dealt by ranges of the sort key,
+    so it may be of any size; a mix that takes nothing writes no rows."""
+    rows = mixed.select("row", F.explode("places").alias("p")).select("row", "p.shard", "p.sort_key", "p.words")
+    dealt = rows.repartitionByRange(files, "shard", "sort_key").sortWithinPartitions("shard", "sort_key")
+    dealt.write.partitionBy("shard").parquet(path)

@@ -283,6 +283,20 @@ def test_mixing(rows, docs):
     assert sorted(map(repr, again)) == sorted(repr(r) for r in mixing.mix(docs, shards=4).select("row.doc_id", "taken", "places").collect())
 
 
+def test_shards_of_a_mix(docs, tmp_path):
+    mixed = mixing.mix(docs, shards=4, carry=["doc_id"])
+    mixing.write_shards(mixed, str(tmp_path / "mix"), 6)
+    got = docs.sparkSession.read.parquet(str(tmp_path / "mix"))
+    want = mixed.select("row.doc_id", F.explode("places").alias("p")).select("doc_id", "p.*")
+    pick = lambda df: sorted(map(tuple, df.select("doc_id", "shard", "sort_key", "words").collect()), key=repr)
+    assert pick(got.select("row.doc_id", "shard", "sort_key", "words")) == pick(want)
+    assert got.agg(F.sum("words")).first()[0] == mixed.where("taken > 0").agg(F.sum("taken")).first()[0]
+    assert got.select("shard").distinct().count() == 4
+    for part in (tmp_path / "mix").glob("shard=*/*.parquet"):
+        keys = [r.sort_key for r in docs.sparkSession.read.parquet(str(part)).collect()]
+        assert keys == sorted(keys)
+
+
 def test_split_tree_keeps_the_sums():
     colours, rng = np.array([5, 0, 17, 3]), np.random.default_rng(0)
     q = mixing.split_tree(colours, np.array([7, 6, 6, 6]), rng)
