@@ -3,10 +3,13 @@
 Documents are packed into chunks. A chunk asks the tables for each of its different n-grams once, so what
 is shuffled is pre-aggregated and no frequent word makes a hot key: n-grams are dealt by their hash.
 
-1. `chunks`: the token sequence of some tens of MB of text in one row, in a table bucketed by chunk;
-2. `counts`: (order, bucket) tables of training counts, and each chunk's answers from them;
-3. `backoff`: for each order from 2 up, (order, bucket) tables of context totals and backoff weights;
+1. `chunks`: the token sequence of some MB of text in one row, in a table bucketed by chunk;
+2. `counts`: tables of training counts by order and hash, and each chunk's answers from them;
+3. `backoff`: for each order from 2 up, tables of context totals and backoff weights by hash, and each chunk's answers;
 4. each chunk scores its tokens, recursively from the highest order down.
+
+A chunk deals its keys to a fixed number of ranges of hashes. Where a range is too large for one task, the rows of many chunks are
+dealt again to its parts together, and answers come back the same way: rows stay in proportion to the input (`exchanged`).
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, slices, small_batches, unpack, unpack_sorted, written
+from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, small_batches, unpack, unpack_sorted, written
 
 #: Text bytes of a chunk (a longer text is a chunk of its own), and text bytes for each bucket of the tables.
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+#: Ranges to which a chunk deals its keys, and chunks whose rows are dealt again together.
+RANGES, GROUP_CHUNKS = 256, 256
 PIECE = 200_000
 #: Counts up to this are discounted.
 GT_MAX = 5
@@ -132,58 +137,124 @@ def _small(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max(initial=0))))
 
 
-def _count_requests(order: int, buckets: int):
+_ASKED = "chunk long, ord int, range int, keys binary, v array<binary>"
+_ANSWER = "chunk long, ord int, range int, v array<binary>, stats array<long>"
+
+
+def _range(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each ascending 64-bit key, of so many equal ranges."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, last) of runs of equal numbers."""
+    at = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, int)
+    return [(int(part[i]), int(i), int(j)) for i, j in zip(at, at[1:])]
+
+
+def _asking(chunk: int, k: int, keys: np.ndarray, values: list[np.ndarray], ranges: int) -> dict:
+    """The rows by which a chunk asks for ascending keys of order k."""
+    cut = _cuts(_range(keys, ranges))
+    return {
+        "chunk": [chunk] * len(cut),
+        "ord": [k] * len(cut),
+        "range": [r for r, *_ in cut],
+        "keys": [pack_sorted(keys[i:j]) for _, i, j in cut],
+        "v": [[pack(x[i:j]) for x in values] for _, i, j in cut],
+    }
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+
+
+def _table(rows: dict, ddl: str) -> pa.Table:
+    """Columns as an Arrow table of the types and the order of ddl."""
+    return pa.table({c: pa.array(rows[c], _ARROW[kind]) for c, kind in map(str.split, ddl.split(", "))})
+
+
+def exchanged(asked: DataFrame, answer, ranges: int, parts: int, name: str) -> DataFrame:
+    """The answers (_ANSWER) to all rows asked (_ASKED), and rows of chunk -1 with a table's own sums.
+
+    answer(keys of each row, values of each row) gives the values for each row's keys, and sums; it sees all rows of a part of a range.
+    parts: of each range; with more than one, GROUP_CHUNKS chunks or so are dealt to the parts together.
+    """
+    if parts == 1:
+        one = lambda t: _answered(t, answer, "chunk")
+        return written(asked.groupBy("ord", "range").applyInArrow(one, _ANSWER), name)
+    grouped = asked.withColumn("grp", F.pmod(F.xxhash64("chunk"), F.ceil(F.lit(asked.select("chunk").distinct().count() / GROUP_CHUNKS))))
+    together = "grp long, ord int, range int, part int, keys binary, who binary, v array<binary>"
+
+    def deal(table: pa.Table) -> pa.Table:
+        keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+        who = np.repeat(table["chunk"].to_numpy(), [len(x) for x in keys])
+        values = [np.concatenate(x) for x in zip(*[[unpack(a) for a in v] for v in table["v"].to_pylist()])]
+        keys = np.concatenate(keys)
+        o = np.lexsort((who, keys))
+        cut = _cuts(_range(keys[o], ranges * parts) % parts)
+        rows = {
+            **{c: [table[c][0].as_py()] * len(cut) for c in ("grp", "ord", "range")},
+            "part": [x for x, *_ in cut],
+            "keys": [pack_sorted(keys[o[i:j]]) for _, i, j in cut],
+            "who": [pack(who[o[i:j]]) for _, i, j in cut],
+            "v": [[pack(x[o[i:j]]) for x in values] for _, i, j in cut],
+        }
+        return _table(rows, together)
+
+    back = "grp long, ord int, range int, part int, who binary, v array<binary>, stats array<long>"
+    solved = written(grouped.groupBy("ord", "range", "grp").applyInArrow(deal, together).groupBy("ord", "range", "part").applyInArrow(lambda t: _answered(t, answer, "grp", back), back), f"{name}-parts")
+
+    def undeal(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        who = np.concatenate([unpack(r["who"]) for r in rows])
+        values = [np.concatenate(x) for x in zip(*[[unpack(a) for a in r["v"]] for r in rows])]
+        o = np.argsort(who, kind="stable")
+        cut = _cuts(who[o])
+        out = {"chunk": [c for c, *_ in cut], "ord": [rows[0]["ord"]] * len(cut), "range": [rows[0]["range"]] * len(cut)}
+        return _table({**out, "v": [[pack(x[o[i:j]]) for x in values] for _, i, j in cut], "stats": [None] * len(cut)}, _ANSWER)
+
+    sums = solved.where("grp < 0").select(F.col("grp").alias("chunk"), "ord", "range", "v", "stats")
+    return written(solved.where("grp >= 0").groupBy("ord", "range", "grp").applyInArrow(undeal, _ANSWER).unionByName(sums), name)
+
+
+def _answered(table: pa.Table, answer, src: str, ddl: str = _ANSWER) -> pa.Table:
+    """The rows of a part of a range with their answers, and one (of source -1) with its sums."""
+    table = table.sort_by(src)
+    keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+    values = [np.concatenate(x) for x in zip(*[[unpack(a) for a in v] for v in table["v"].to_pylist()])]
+    found, stats = answer(keys, values)
+    ends = np.cumsum([len(x) for x in keys])
+    cut = list(zip([0, *ends[:-1]], ends))
+    rows = {c: [*table[c].to_pylist(), table[c][0].as_py()] for c in table.column_names if c not in ("keys", "v", src)}
+    rows |= {src: [*table[src].to_pylist(), -1], "v": [*([pack(x[i:j]) for x in found] for i, j in cut), None], "stats": [None] * len(cut) + [stats]}
+    out = _table(rows, ddl)
+    del keys, values, found, rows
+    release()
+    return out
+
+
+def _count_requests(order: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.select(["chunk", "train", "lens", "ids", "vocab"]).to_pylist():
                 chunk = _Chunk(row, order)
                 for k in range(1, order + 1):
                     o = np.argsort(chunk.keys[k - 1])
-                    keys, n = chunk.keys[k - 1][o], chunk.train_counts(k)[o]
-                    cut = list(slices(keys, buckets))
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "chunk": [row["chunk"]] * len(cut),
-                            "ord": pa.array([k] * len(cut), pa.int32()),
-                            "bucket": pa.array([x for x, *_ in cut], pa.int32()),
-                            "keys": [pack_sorted(keys[i:j]) for _, i, j in cut],
-                            "n": [pack(_small(n[i:j])) for _, i, j in cut],
-                        }
-                    )
+                    rows = _asking(row["chunk"], k, chunk.keys[k - 1][o], [_small(chunk.train_counts(k)[o])], ranges)
+                    yield from _table(rows, _ASKED).combine_chunks().to_batches()
                 del chunk
                 release()
 
     return run
 
 
-_ANSWER = "chunk long, ord int, bucket int, keys binary, n binary, own binary, stats array<long>"
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket of one order: adds up the chunks' counts; a row of answers for each chunk, and one (chunk -1) of the table itself."""
-    table = table.sort_by("chunk")
-    asked = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-    n = np.concatenate([unpack(x).astype(np.int64) for x in table["n"].to_pylist()])
+def _count(asked: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """Adds up counts; of the rows that have an n-gram, the first answers for it when contexts are summed up."""
     keys, one, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-    total = np.bincount(at, n, minlength=len(keys)).astype(np.int64)
+    total = np.bincount(at, values[0], len(keys)).astype(np.int64)
     own = np.zeros(len(at), np.uint8)
-    own[one] = 1  # of the chunks that have an n-gram, the first answers for it when contexts are summed up
-    ends = np.cumsum([len(x) for x in asked])
-    cut = list(zip([0, *ends[:-1]], ends))
-    seen = total > 0
-    stats = [int(total.sum()), int(seen.sum()), *np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)[1 : GT_MAX + 2].tolist()]
-    m = len(cut) + 1
-    return pa.table(
-        {
-            "chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()),
-            "ord": pa.array([table["ord"][0].as_py()] * m, pa.int32()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * m, pa.int32()),
-            "keys": pa.array([None] * len(cut) + [pack_sorted(keys[seen])], pa.binary()),
-            "n": pa.array([pack(_small(total[at[i:j]])) for i, j in cut] + [pack(_small(total[seen]))], pa.binary()),
-            "own": pa.array([pack(np.packbits(own[i:j])) for i, j in cut] + [None], pa.binary()),
-            "stats": pa.array([None] * len(cut) + [stats], pa.list_(pa.int64())),
-        }
-    )
+    own[one] = 1
+    kinds = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)[1 : GT_MAX + 2]
+    return [_small(total[at]), own], [int(total.sum()), int((total > 0).sum()), *kinds.tolist()]
 
 
 def good_turing(n: list[int]) -> np.ndarray:
@@ -206,21 +277,19 @@ class _Scorer:
 
     def __init__(self, row: dict, answers: list[dict], model: dict, order: int):
         self.chunk, self.model = _Chunk(row, order), model
-        by = {}
-        for a in sorted(answers, key=lambda a: a["bucket"]):
-            by.setdefault((a["ord"], a["own"] is None), []).append(a)
+        by: dict[int, list[dict]] = {}
+        for a in sorted(answers, key=lambda a: a["range"]):
+            by.setdefault(a["ord"], []).append(a)
+        values = lambda k, j: np.concatenate([unpack(a["v"][j]) for a in by[k]])
         self.counts, self.own, self.context = [], [], [None]
         for k in range(1, order + 1):
-            got = by[k, False]
-            n = [unpack(a["n"]).astype(np.int64) for a in got]
-            own = [np.unpackbits(unpack(a["own"]))[: len(x)] for a, x in zip(got, n)]
             o = np.argsort(self.chunk.keys[k - 1])
-            self.counts.append(self._placed(o, np.concatenate(n)))
-            self.own.append(self._placed(o, np.concatenate(own)).astype(bool))
+            self.counts.append(self._placed(o, values(k, 0).astype(np.int64)))
+            self.own.append(self._placed(o, values(k, 1)).astype(bool))
         for k in range(2, order + 1):
-            if got := by.get((k, True)):
+            if CONTEXT + k in by:
                 o = np.argsort(self.chunk.contexts(k))
-                self.context.append([self._placed(o, np.concatenate([unpack(a[x]) for a in got])) for x in ("total", "alpha")])
+                self.context.append([self._placed(o, values(CONTEXT + k, j)) for j in (0, 1)])
         self.prob = [self._unigrams()]
         for k in range(2, len(self.context) + 1):
             total, alpha = self.context[k - 1]
@@ -251,33 +320,20 @@ class _Scorer:
         return tuple(np.bincount(hist, x[take] if len(x) != len(hist) else x, n) for x in (self.counts[k - 1], self.discounted(k), low))
 
 
-_SUMS = "chunk long, ord int, bucket int, keys binary, count binary, kept binary, low binary"
-_WEIGHTS = "chunk long, ord int, bucket int, total binary, alpha binary"
+#: Answers about the contexts of order k have the order CONTEXT + k.
+CONTEXT = 1000
 
 
-def _backoff(table: pa.Table) -> pa.Table:
-    """One bucket of contexts: totals, and the weights that make each context's probabilities sum to 1."""
-    table = table.sort_by("chunk")
-    asked = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+def _backoff(asked: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """Totals of contexts, and the weights that make each context's probabilities sum to 1."""
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    add = lambda c: np.bincount(at, np.concatenate([unpack(x) for x in table[c].to_pylist()]), len(keys))
-    total, kept, low = add("count"), add("kept"), add("low")
+    total, kept, low = (np.bincount(at, x, len(keys)) for x in values)
     # A context of which no count was discounted keeps back one count, so that unseen words stay possible.
     spare = (total > 0) & (total - kept < 1e-9)
     total, kept = np.where(spare, total + 1, total), np.where(spare, total, kept)
     with np.errstate(divide="ignore", invalid="ignore"):
         alpha = np.where(total > 0, (1 - kept / total) / np.maximum(1 - low, 1e-12), 1.0)
-    ends = np.cumsum([len(x) for x in asked])
-    cut = list(zip([0, *ends[:-1]], ends))
-    return pa.table(
-        {
-            "chunk": table["chunk"],
-            "ord": table["ord"],
-            "bucket": table["bucket"],
-            "total": pa.array([pack(total[at[i:j]]) for i, j in cut], pa.binary()),
-            "alpha": pa.array([pack(alpha[at[i:j]]) for i, j in cut], pa.binary()),
-        }
-    )
+    return [total[at], alpha[at]], []
 
 
 def score_documents(
@@ -293,7 +349,7 @@ def score_documents(
     they stand; with nothing to learn from, every token has probability 1 in the model.
 
     Counting, discounts and weights cover all training rows; all tables grow with the corpus and are dealt
-    by hash. The chunk table is bucketed, so that the passes over it don't shuffle it. Every sum is made in
+    by hash, so a frequent word or context is one key. The chunk table is bucketed, so that the passes over it don't shuffle it. Every sum is made in
     a fixed order: reruns agree.
     """
     spark = docs.sparkSession
@@ -303,16 +359,16 @@ def score_documents(
         F.struct(*[docs[c] for c in kept]).alias("row"), docs[text].cast("binary").alias("text"), F.coalesce(docs[learn], F.lit(False)).alias("learn")
     )
     size = int(docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0)
-    buckets, parts = n_buckets(size, BUCKET_BYTES), n_buckets(size, CHUNK_BYTES // 2)
+    chunk_parts = n_buckets(size, CHUNK_BYTES // 2)
+    ranges = min(RANGES, n_buckets(size, BUCKET_BYTES))
+    parts = n_buckets(size, BUCKET_BYTES * ranges, 1)
     row_type = src.schema["row"].dataType
     schema = T.StructType.fromDDL("chunk long, train binary, lens binary, ids binary, vocab binary")
     schema = T.StructType([schema["chunk"], T.StructField("rows", T.ArrayType(row_type)), *schema.fields[1:]])
-    chunks = bucketed(src.mapInArrow(_pack_chunks, schema), "chunk", parts, "katz_chunks")
+    chunks = bucketed(src.mapInArrow(_pack_chunks, schema), "chunk", chunk_parts, "katz_chunks")
 
-    asked = chunks.select("chunk", "train", "lens", "ids", "vocab").mapInArrow(
-        _count_requests(order, buckets), "chunk long, ord int, bucket int, keys binary, n binary"
-    )
-    counts = written(asked.groupBy("ord", "bucket").applyInArrow(_count, _ANSWER), "katz-counts")
+    asked = chunks.select("chunk", "train", "lens", "ids", "vocab").mapInArrow(_count_requests(order, ranges), _ASKED)
+    counts = exchanged(asked, _count, ranges, parts, "katz-counts")
     stats = counts.where("chunk = -1").select("ord", F.posexplode("stats").alias("i", "x")).groupBy("ord", "i").agg(F.sum("x").alias("x"))
     found = np.zeros((order + 1, GT_MAX + 3), np.int64)
     for r in stats.collect():
@@ -325,34 +381,28 @@ def score_documents(
         if model["unknown"] <= 0:
             model |= {"total": total + 1.0, "unknown": 1 / (total + 1.0)}
 
-    answers = counts.where("chunk >= 0").select(
-        "chunk", "ord", "bucket", "n", "own", F.lit(None).cast("binary").alias("total"), F.lit(None).cast("binary").alias("alpha")
-    )
+    answers = counts.where("chunk >= 0").drop("stats")
     slim = chunks.select("chunk", "train", "lens", "ids", "vocab")
 
     def summing(k: int):
         def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = {c: [] for c in ("chunk", "ord", "bucket", "keys", "count", "kept", "low")}
+            out = []
             for row in left.to_pylist():
                 s = _Scorer(row, right.to_pylist(), model, k)
                 keys = s.chunk.contexts(k)
                 o = np.argsort(keys)
-                values = [x[o] for x in s.context_sums(k)]
-                for b, i, j in slices(keys[o], buckets):
-                    for c, x in zip(out, (row["chunk"], k, b, pack_sorted(keys[o][i:j]), *(pack(v[i:j]) for v in values))):
-                        out[c].append(x)
+                out.append(_table(_asking(row["chunk"], CONTEXT + k, keys[o], [x[o] for x in s.context_sums(k)], ranges), _ASKED))
                 del s
                 release()
-            types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
-            return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
+            return pa.concat_tables(out) if out else _table({c: [] for c in ("chunk", "ord", "range", "keys", "v")}, _ASKED)
 
         return sums
 
     for k in range(2, order + 1):
-        partial = slim.groupBy("chunk").cogroup(answers.where(f"ord <= {k}").groupBy("chunk")).applyInArrow(summing(k), _SUMS)
-        weights = written(partial.groupBy("ord", "bucket").applyInArrow(_backoff, _WEIGHTS), "katz-backoff")
-        none = F.lit(None).cast("binary")
-        answers = answers.unionByName(weights.select("chunk", "ord", "bucket", none.alias("n"), none.alias("own"), "total", "alpha"))
+        known = answers.where(f"ord <= {k} or ord > {CONTEXT}")
+        partial = slim.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(summing(k), _ASKED)
+        weights = exchanged(partial, _backoff, ranges, parts, "katz-backoff")
+        answers = answers.unionByName(weights.where("chunk >= 0").drop("stats"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

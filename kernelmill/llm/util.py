@@ -152,12 +152,3 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     found.schema  # resolved now, while the entry is there
     spark.sql(f"DROP TABLE {table}")
     return found
-
-
-def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, last) of ascending unsigned 64-bit keys dealt by their high bits; buckets without keys are left out."""
-    edges = [((b << 64) + buckets - 1) // buckets for b in range(1, buckets)]
-    cuts = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, cuts[b], cuts[b + 1]

@@ -303,33 +303,56 @@ def test_split_tree_keeps_the_sums():
     assert q.sum(0).tolist() == [5, 0, 17, 3] and q.sum(1).tolist() == [7, 6, 6, 6] and (q >= 0).all()
 
 
-def test_katz(rows, docs):
+def plain_katz(train, order):
+    """p(word, history) of a Katz model by plain counting; histories begin with a sign for the start of the text."""
+    grams = [None, *(Counter(tuple(t[max(0, i - k + 1) : i + 1]) if i >= k - 1 else ("<s>", *t[: i + 1]) for t in train for i in range(len(t))) for k in range(1, order + 1))]
+    n = sum(grams[1].values())
+    d = [None, *(katz.good_turing([sum(c == r for c in grams[k].values()) for r in range(1, katz.GT_MAX + 2)]) for k in range(1, order + 1))]
+    disc = lambda c, k: c * d[k][min(c, katz.GT_MAX + 1)]
+    unknown = 1 - sum(disc(c, 1) for c in grams[1].values()) / n
+    known = {k: {} for k in range(2, order + 1)}
+
+    def p(k, hist, w):
+        """hist: the words before, the start sign first if it is near enough."""
+        if k == 1:
+            return disc(grams[1][w,], 1) / n if (w,) in grams[1] else unknown
+        h = hist[-(k - 1) :] if hist and hist[-1] != "<s>" or k == 2 else ("<s>",)
+        c = grams[k][(*h, w)]
+        if h not in known[k]:
+            return p(k - 1, hist, w)
+        total, alpha = known[k][h]
+        return disc(c, k) / total if c else alpha * p(k - 1, hist, w)
+
+    for k in range(2, order + 1):
+        sums = {}
+        for g, c in grams[k].items():
+            x = sums.setdefault(g[:-1], [0, 0.0, 0.0])
+            x[0], x[1], x[2] = x[0] + c, x[1] + disc(c, k), x[2] + p(k - 1, g[:-1], g[-1])
+        for h, (total, kept, low) in sums.items():
+            total, kept = (total + 1, total) if total - kept < 1e-9 else (total, kept)
+            known[k][h] = total, (1 - kept / total) / max(1 - low, 1e-12)
+    return p, grams[1], n
+
+
+@pytest.mark.parametrize("order,ranges,parts", [(2, 256, 1), (3, 256, 1), (3, 3, 4)])
+def test_katz(rows, docs, monkeypatch, order, ranges, parts):
+    monkeypatch.setattr(katz, "RANGES", ranges)
+    if parts > 1:  # ranges too large for a task, and few chunks in a group
+        monkeypatch.setattr(katz, "BUCKET_BYTES", sum(len((r[1] or "").encode()) for r in rows) // (ranges * parts) + 1)
+        monkeypatch.setattr(katz, "CHUNK_BYTES", 3000)
+        monkeypatch.setattr(katz, "GROUP_CHUNKS", 2)
     learn = lambda i: i is not None and i % 4 != 1
     df = docs.withColumn("learn", F.coalesce(F.col("doc_id") % 4 != 1, F.lit(False)))
     toks = [words((t or "").translate(LOW)) + [" "] for _, t, *_ in rows]
-    train = [t for r, t in zip(rows, toks) if learn(r[0])]
-    uni, bi = Counter(w for t in train for w in t), Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = (katz.good_turing([sum(c == k for c in x.values()) for k in range(1, katz.GT_MAX + 2)]) for x in (uni, bi))
-    disc = lambda c, d: c * d[min(c, katz.GT_MAX + 1)]
-    unknown = 1 - sum(disc(c, d1) for c in uni.values()) / n
-    p1 = lambda w: disc(uni[w], d1) / n if w in uni else unknown
-    ctx = {}
-    for (a, b), c in bi.items():
-        x = ctx.setdefault(a, [0, 0.0, 0.0])
-        x[0], x[1], x[2] = x[0] + c, x[1] + disc(c, d2), x[2] + p1(b)
-    for a, x in ctx.items():
-        if x[0] - x[1] < 1e-9:
-            x[0], x[1] = x[0] + 1, x[0]
-    p2 = lambda a, b: p1(b) if a not in ctx else disc(bi[a, b], d2) / ctx[a][0] if (a, b) in bi else (1 - ctx[a][1] / ctx[a][0]) / (1 - ctx[a][2]) * p1(b)
-    for a in list(ctx)[:5]:  # probabilities of a context sum to 1, the unknown word included
-        assert sum(p2(a, w) for w in uni) + p2(a, "never seen") == pytest.approx(1.0)
-    want = sorted(((r[0], len(t), sum(w in uni for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *t], t))) for r, t in zip(rows, toks)), key=lambda r: (repr(r[0]), r[1]))
-    got = sorted(by_id(katz.score_documents(df, "learn"), "n_tokens", "n_known", "train_tokens", "base_score", "score"), key=lambda r: (repr(r[0]), r[1]))
+    p, uni, n = plain_katz([t for r, t in zip(rows, toks) if learn(r[0])], order)
+    v = len(uni)
+    for h in (("<s>",), ("w1",), ("w2", "w3")[-(order - 1) :]):  # probabilities of a context sum to 1, the unknown word included
+        assert sum(p(order, h, w) for (w,) in uni) + p(order, h, "never seen") == pytest.approx(1.0)
+    hist = lambda t, i: ("<s>", *t[:i])[-(order - 1) :]
+    want = sorted(((r[0], len(t), sum((w,) in uni for w in t), n, sum(math.log10((uni[w,] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(order, hist(t, i), w)) for i, w in enumerate(t))) for r, t in zip(rows, toks)), key=lambda r: (repr(r[0]), r[1]))
+    got = sorted(by_id(katz.score_documents(df, "learn", order=order), "n_tokens", "n_known", "train_tokens", "base_score", "score"), key=lambda r: (repr(r[0]), r[1]))
     assert [r[:4] for r in got] == [r[:4] for r in want]
     assert [x for r in got for x in r[4:]] == pytest.approx([x for r in want for x in r[4:]])
-    three = by_id(katz.score_documents(df, "learn", order=3), "score")
-    assert len(three) == len(rows) and all(np.isfinite(x[1]) for x in three)
 
 
 def test_revisits(spark):
@@ -449,5 +472,6 @@ def test_packing():
     a = np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64)
     assert (util.unpack(util.pack(a)) == a).all() and (util.unpack_sorted(util.pack_sorted(np.sort(a))) == np.sort(a)).all()
     assert len(util.unpack(util.pack(a[:0]))) == 0
-    got = [x for b, i, j in util.slices(np.sort(a), 7) for x in np.sort(a)[i:j]]
-    assert got == np.sort(a).tolist()
+    parts = katz._range(np.sort(a), 7)
+    assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == set(range(7))
+    assert [x for _, i, j in katz._cuts(parts) for x in parts[i:j]] == parts.tolist()
