@@ -38,6 +38,18 @@ def gs_self(strings: DataFrame, descriptors: DataFrame, params: KernelParams) ->
     return encode(strings, descriptors).select("id", "codes").mapInPandas(run, "id long, k double")
 
 
+def _folded(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, seq) of the different strings, (rep, id) of all rows): pairs of equal strings are worked out once."""
+    reps = strings.groupBy("seq").agg(F.min("id").alias("rep"))
+    return reps.select(F.col("rep").alias("id"), "seq"), strings.select("id", "seq").join(reps, "seq").select("rep", "id")
+
+
+def _unfolded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id_a, id_b, k) of all rows from those of the different strings."""
+    a, b = (df.select(F.col("rep").alias(f"id_{s}"), F.col("id").alias(f"own_{s}")) for df, s in ((left, "a"), (right, "b")))
+    return pairs.join(a, "id_a").join(b, "id_b").select(F.col("own_a").alias("id_a"), F.col("own_b").alias("id_b"), "k")
+
+
 def _blocked(strings: DataFrame, descriptors: DataFrame, name: str, block: int) -> DataFrame:
     """(block, rows of (id, codes)): strings of like length together, so that few are padded; about `block` in a row."""
     sizes = sorted((r["len"] or 0, r["n"]) for r in at_most(strings.groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("n")), 1_000_000, "different lengths"))
@@ -137,7 +149,12 @@ def neighbors(
                     x, y = np.repeat(np.arange(len(i)), y.shape[1]), y.reshape(-1)
                 yield pd.DataFrame({"id_a": i[x], "id_b": j[y], "k": s[x, y]})
 
-    best = _blocks_of_pairs(left, right, descriptors, block).mapInPandas(_one_row(run), "id_a long, id_b long, k double")
+    (few, of_left), (every, of_right) = _folded(left), _folded(right)
+    best = _blocks_of_pairs(few, every, descriptors, block).mapInPandas(_one_row(run), "id_a long, id_b long, k double")
+    if k is not None:  # the k best of the different strings, before their rows are put in their place
+        first = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("k"), "id_b"))
+        best = best.withColumn("rank", first).where(F.col("rank") <= k).drop("rank")
+    best = _unfolded(best, of_left, of_right)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("k"), "id_b")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
@@ -145,15 +162,17 @@ def neighbors(
 def exact_gram(left: DataFrame, right: DataFrame, sigma_p: float, min_n: int, max_n: int) -> DataFrame:
     """(id_a, id_b, k) for pairs that share a gram: position-weighted matches of equal grams of min_n to max_n letters.
 
-    A gram's positions in a string are gathered before the join, so that it has one row for each (id, gram);
-    skewed grams are left to adaptive skew joins.
+    Equal strings are one until the end, and a gram's positions in a string are gathered before the join, so that it has one
+    row for each (string, gram); skewed grams are left to adaptive skew joins.
     """
+    (left, of_left), (right, of_right) = _folded(left), _folded(right)
     at = lambda df, s: gram_features(df, min_n, max_n).groupBy("id", "n", "gram").agg(F.collect_list("pos").alias(f"pos_{s}")).withColumnRenamed("id", f"id_{s}")
     weight = lambda i, j: F.exp(-F.pow((i - j).cast("double"), F.lit(2)) / (2 * sigma_p**2))
     total = F.aggregate(
         "pos_a", F.lit(0.0), lambda s, i: s + F.aggregate("pos_b", F.lit(0.0), lambda t, j: t + weight(i, j))
     )
-    return at(left, "a").join(at(right, "b"), ["n", "gram"]).groupBy("id_a", "id_b").agg(F.sum(total).alias("k"))
+    pairs = at(left, "a").join(at(right, "b"), ["n", "gram"]).groupBy("id_a", "id_b").agg(F.sum(total).alias("k"))
+    return _unfolded(pairs, of_left, of_right)
 
 
 def exact_self(strings: DataFrame, sigma_p: float, min_n: int, max_n: int) -> DataFrame:
