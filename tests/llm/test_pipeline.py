@@ -44,3 +44,16 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert (rows["taken"] <= 2 * n).all() and (rows["size"] == n).all()
     by = rows.groupby("source", dropna=False)
     assert ((by["taken"].sum() - by["target"].first()).abs() <= 1).all()
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, size long"
+    say = "one two three four five six seven eight nine ten"
+    rows = [(1, say, "en", None, 1, "x", 5), (1, say, "en", None, 1, "x", 5), (None, "other words stand here, " + say, None, "s", None, None, None), (3, None, "en", "s", 0, None, None), (4, "", None, None, None, None, None)]
+    for k, table in enumerate(([], rows)):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, DATA).write.parquet(str(tmp_path / f"{k}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
+            if name == "near_dedup":
+                assert sorted((r.doc_id for r in docs.collect()), key=repr) == ([1, None] if table else [])
