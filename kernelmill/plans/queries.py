@@ -707,6 +707,12 @@ def series_of_groups(spark: SparkSession, d: str) -> DataFrame:
     return s.select("label", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), ",").alias("points"))
 
 
+@query("SELECT event_type AS label, user_id AS x, value AS y FROM events")
+def series_as_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = I.read(spark, d, "events").select(F.col("event_type").alias("label"), F.col("user_id").alias("x"), F.col("value").alias("y"))
+    return report.ordered_series(rows)
+
+
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
 v AS (SELECT event_type, value, q1, m, q3, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM events JOIN q USING (event_type))
 SELECT event_type, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(min(value) FILTER (ok), 6) AS low_whisker, round(max(value) FILTER (ok), 6) AS high_whisker,
