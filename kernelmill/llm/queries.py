@@ -191,13 +191,16 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 e AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 r AS (SELECT doc_id, unnest(i) AS i FROM (SELECT doc_id, list(i) AS i FROM e GROUP BY doc_id, g HAVING count(*) > 1)),
 p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r) GROUP BY 1),
-x AS (SELECT doc_id, unnest(l) AS line FROM d),
-y AS (SELECT doc_id, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM x),
+x AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM d),
+y AS (SELECT doc_id, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM x),
+v AS (SELECT *, len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) AS n, length(t) - length(translate(t, '{quality.SEPARATORS}', '')) AS seps,
+             t <> '' AND right(t, 1) NOT IN {_sql_list(quality.ENDS)} AND len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) <= {quality.MENU_WORDS} AS short FROM y),
+o AS (SELECT *, coalesce(lag(short) OVER s, false) OR coalesce(lead(short) OVER s, false) AS beside FROM v WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
 z AS (SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS c, t <> '' AS worded,
-             t <> '' AND (10 * (length(t) - length(translate(t, '#*$%&|<>', ''))) > length(t)
-               OR length(t) - length(translate(t, '{quality.SEPARATORS}', '')) >= 2 OR (length(t) <= 20 AND lower(t) IN {_sql_list(quality.LABELS)})
-               OR {" OR ".join(f"contains(lower(t), {x})" for x in map(_sql_text, quality.BOILERPLATE))}
-               OR (right(t, 1) NOT IN {_sql_list(quality.ENDS)} AND len(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) < 3)) AS bad FROM y),
+             t <> '' AND (10 * (length(t) - length(translate(t, '{quality.SYMBOLS}', ''))) > length(t)
+               OR 2 * (length(t) - length(translate(t, {_sql_text(quality.SIGNS)}, ''))) > length(t)
+               OR (seps >= 2 AND n <= {quality.FIELD_WORDS} * (seps + 1)) OR (short AND beside) OR (short AND n < 3)
+               OR (length(t) <= {quality.NOTICE_CHARS} AND (regexp_matches(t, {_sql_text(quality.NOTICE)}) OR {" OR ".join(f"contains(lower(t), {x})" for x in map(_sql_text, quality.PHRASES))}))) AS bad FROM o),
 q AS (SELECT doc_id, count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(c) FILTER (NOT bad), 0) AS left_chars,
              count(*) FILTER (worded) - count(DISTINCT line) FILTER (worded) AS n_dup_lines FROM z GROUP BY 1),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

@@ -252,10 +252,15 @@ def test_quality(rows, docs):
 
 def test_quality_lines(spark):
     prose = " ".join(["Prose goes on and on here."] + [f"word{i}" for i in range(30)]) + "."
-    text = f"Home\n{prose}\nA | B | C\nAll Rights Reserved.\nshort\nOk."
+    bad = ["Home", "Our products", "Startseite", "A | B | C", "All Rights Reserved.", "\u00a9 2021 Somebody and others of the firm.", "Datenschutzerkl\u00e4rung lesen Sie bitte hier.", "12 345 - 678 (99) of.", "short"]
+    mere = " ".join(["It says all rights reserved"] + [f"other{i}" for i in range(30)]) + "."
+    good = [prose, "", "Ok.", "A title of four words", "He said: a > b and so on for quite some more words than a menu > has in it, which goes on.", mere]
+    text = "\n".join([*bad[:4], good[0], *bad[4:8], *good[1:], bad[8]])
     r = quality.judge_quality(make(spark, [(1, text, None, None), (2, "a*** b### c$$$ " * 10 + "\nx y z.", None, None)])).orderBy("row.doc_id").collect()
-    assert r[0].clean == f"{prose}\nOk." and r[0].n_bad_lines == 4 and r[0].kept
+    assert r[0].clean == "\n".join(good) and r[0].n_bad_lines == len(bad) and r[0].kept
     assert not r[1].kept
+    own = quality.judge_quality(make(spark, [(1, f"{prose}\nClick here now, please.", None, None)]), phrases=["click here"]).collect()
+    assert own[0].clean == prose and own[0].n_bad_lines == 1
 
 
 def test_mixing(rows, docs):
