@@ -79,6 +79,10 @@ class Model:
             keys, n = np.unique(keys % np.uint64(self.size ** (order - 1)), return_counts=True)
         return out[::-1]
 
+    def kinds(self) -> np.ndarray:
+        """How many different letters each language has in training, the break between words among them, and one for all others."""
+        return np.array([len(tables[0][0]) + 1 for tables in self.tables])
+
     def logprob(self, keys: np.ndarray) -> np.ndarray:
         """log2 probability of the last character of each ORDER-gram, a column per language."""
         out = np.empty((len(keys), len(self.langs)))
@@ -128,7 +132,7 @@ def fit(train: DataFrame, text: str, lang: str, order_by: Column, max_chars: int
 
     Rows with null text or lang are left out. The sample takes whole rows whose hash of order_by (a
     column that tells rows apart) falls below the share of its language; of it, a fifth is kept back
-    to calibrate rejection. The bound makes what the driver gathers at most max_chars n-grams. Of alphabets
+    to calibrate rejection; a language of which fewer than five texts are kept back rejects nothing. The bound makes what the driver gathers at most max_chars n-grams. Of alphabets
     beyond MOST_LETTERS letters, the rarest share one symbol. Where no labelled row has a letter, the model knows no language.
     """
     small_batches(train.sparkSession)
@@ -217,13 +221,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     first by name); score is its softmax share, with at most 50 characters' weight. Rejected: texts
     that are null or without a letter (lang_pred `und`, score 0), and texts whose cross-entropy is over
     z calibrated standard deviations, for a text of this length, above the mean of the language, and over
-    half way from that mean to letters at random. One
+    half way from that mean to the language's own letters at random. One
     narrow pass; a model without languages gives `und` and rejects only texts without letters; the model is broadcast, its size bounded by the sample. Repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
         m = shared.value
+        kinds = m.kinds()
         limits = np.array([m.limits.get(x, (np.inf, 0.0, 0.0)) for x in m.langs])
 
         def run(texts: list) -> dict:
@@ -240,7 +245,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
                 p = 1 / np.exp2((own[:, None] - h) * np.minimum(n, 50)[:, None]).sum(axis=1)
                 mean, wide, each = limits[best].T
                 # nor is a text far off that is still nearer to the language than to letters at random
-                far = own > np.maximum(mean + z * np.sqrt(wide + each / np.maximum(n, 1)), (mean + np.log2(m.size)) / 2)
+                far = own > np.maximum(mean + z * np.sqrt(wide + each / np.maximum(n, 1)), (mean + np.log2(kinds[best])) / 2)
                 none = letters == 0
                 pred += ["und" if x else m.langs[j] for x, j in zip(none.tolist(), best.tolist())]
                 score += np.where(none, 0.0, p).tolist()

@@ -480,3 +480,16 @@ def test_packing():
     parts = katz._range(np.sort(a), 7)
     assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == set(range(7))
     assert [x for _, i, j in katz._cuts(parts) for x in parts[i:j]] == parts.tolist()
+
+
+def test_rejection_by_own_letters(spark):
+    """A language of thousands of letters doesn't keep random letters of another one in."""
+    rng = random.Random(5)
+    own = lambda: " ".join(rng.choice(["bana", "nabana", "banana", "na"]) for _ in range(60))
+    wide = lambda: "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(200))
+    noise = lambda: "".join(rng.choice("abn ") + rng.choice("nab") for _ in range(150))
+    train = [(i, own(), "x", "s") for i in range(60)] + [(100 + i, wide(), "y", "s") for i in range(60)]
+    test = [(200 + i, own(), None, "s") for i in range(20)] + [(300 + i, noise(), None, "s") for i in range(20)]
+    model = langid.fit(make(spark, train), "text", "lang", F.col("doc_id"))
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in langid.identify(make(spark, test), model).select("row.doc_id", "lang_pred", "rejected").collect()}
+    assert got == {i: ("x", i >= 300) for i in got} and len(got) == 40
