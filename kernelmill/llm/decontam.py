@@ -8,17 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import per_text, word_pieces
+from .util import WORD_TABLE, per_text, word_pieces
 
-#: Bytes to words: A-Z become a-z, and all ASCII but digits and letters becomes a space.
-_TABLE = bytes(
-    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
-)
 _BITS = 18
 
 
 def words(text: bytes | None) -> list[bytes]:
-    return text.translate(_TABLE).split() if text else []
+    return text.translate(WORD_TABLE).split() if text else []
 
 
 def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,7 +131,7 @@ def _scan(shared):
                 parts, starts, first, size = [], [], done, 0
                 while done < len(texts) and size < 200_000:
                     starts.append(size)
-                    for ws in word_pieces((texts[done] or b"").translate(_TABLE)):
+                    for ws in word_pieces((texts[done] or b"").translate(WORD_TABLE)):
                         parts.append(np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)))
                         size += len(ws)
                     n_words.append(size - starts[-1])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, lines, mixing, quality, revisits, secrets, simhash, substrings
+from . import decontam, katz, langid, lexical, lines, mixing, quality, revisits, secrets, simhash, substrings, topk, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,33 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.coalesce("row.held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    found = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=8)
+    found, error = whitening.whiten(vectors, model, carry=["vec_id"])
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    rows = found.select("row.vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("i") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("i")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -233,9 +260,25 @@ SELECT record_id, canonical, response_id, verdict, CASE WHEN verdict = 'resolved
        CASE WHEN verdict = 'resolved' THEN 'cache-control=max-age=' || (p % 60) || ';content-length=' || fn || ';content-type=text/html;date=' || (t0 + 86400)
             || ';etag=' || coalesce(f_etag, '-') END AS headers
 FROM k""",
+    "op11_topk": """
+WITH v AS (SELECT vec_id, len(embedding) AS d, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.d = c.d AND q.vec_id IS DISTINCT FROM c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op12_lexical": f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+i AS (SELECT DISTINCT item_id, unnest({_WORDS.format("text")}) AS term FROM benchmark),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM n, g),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM f JOIN w USING (term) JOIN m USING (doc_id) JOIN i USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_simhash, op3_secrets, op4_substrings, op5_site_lines, op6_quality, op7_mix, op8_katz, op9_revisits, op10_language)
+    for f in (op1_decontaminate, op2_simhash, op3_secrets, op4_substrings, op5_site_lines, op6_quality, op7_mix, op8_katz, op9_revisits, op10_language, op11_topk, op12_lexical, op13_whitening)
 }

@@ -20,6 +20,8 @@ _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: White space of every contract that takes words `[^\x20\x09-\x0D]+`; bytes.split() cuts at just these.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes to words of digits, letters and all beyond ASCII: A-Z become a-z, and all other ASCII becomes a space.
+WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Rows and bytes that one Arrow batch may hold, so that a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of a text that are cut into words at once.
