@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD_TABLE, per_text, word_pieces
+from .util import WORD_TABLE, per_text, word_pieces, written
 
 _BITS = 18
 
@@ -170,32 +170,38 @@ def find_benchmark(
 
     spans: (start, end) word positions of every occurrence, end exclusive; items: ids of the items with
     one, as strings. The benchmark is a stated query set: it is cut into blocks of at most block_words
-    words, each broadcast by itself (some 60 MB at most) and searched in one more narrow pass; the
-    documents are never shuffled. A null or empty text has no words; items without words have no
-    windows; a null item id is an item of its own, listed last; repeated rows are judged one by one.
+    words, each broadcast by itself (some 60 MB at most) and searched in one more narrow pass; with one block, the
+    documents are not shuffled. A null or empty text has no words; items without words have no
+    windows; a null item id is an item of its own, listed last; repeated rows are judged one by one. With several blocks the texts are
+    written once under a number, each block adds its hits by number, and only one block's tables are held at a time.
     """
     spark = docs.sparkSession
     fields = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    out, cols = docs, list(docs.columns) if carry is None else list(carry)
-    blocks = [spark.sparkContext.broadcast(t) for t in _blocks(bench, item, item_text, window, block_words)]
-    found = None
-    for k, b in enumerate(blocks):
-        last = k + 1 == len(blocks)
-        if found is None and last:
-            found = per_text(docs, text, cols, fields, _scan(b))
-            break
-        if found is None:
-            src = docs.select(F.struct(*[docs[c] for c in cols]).alias("r"), docs[text].alias("t"))
-        got = per_text(src, "t", None, fields, _scan(b)).select(
-            F.col("row.r").alias("r"),
-            F.col("row.t").alias("t"),
-            "n_words",
-            F.array_union("row.spans", "spans").alias("spans") if found is not None else F.col("spans"),
-            F.array_union("row.items", "items").alias("items") if found is not None else F.col("items"),
-        )
-        found = src = got
-        if last:
-            found = got.select(F.col("r").alias("row"), "n_words", "spans", "items")
+    cols = list(docs.columns) if carry is None else list(carry)
+    blocks = _blocks(bench, item, item_text, window, block_words)
+    shared, later = spark.sparkContext.broadcast(next(blocks)), next(blocks, None)
+    if later is None:
+        found = per_text(docs, text, cols, fields, _scan(shared))
+    else:  # a pass for each block, which writes what it finds and lets go of its tables
+        src = docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*[docs[c] for c in cols]).alias("r"), docs[text].alias("t"))
+        src, hits, first = written(src, "bench-texts"), None, None
+        while shared is not None:
+            got = per_text(src, "t", ["n"], fields, _scan(shared)).select("row.n", "n_words", "spans", "items")
+            if first is None:
+                got = first = written(got, "bench-first")
+            else:
+                got = written(got.where(F.size("items") > 0), "bench-hits")
+            shared.destroy()
+            got = got.where(F.size("items") > 0).drop("n_words")
+            hits = got if hits is None else hits.unionByName(got)
+            shared = None if later is None else spark.sparkContext.broadcast(later)
+            later = None if later is None else next(blocks, None)
+        # a document's hits are a row for each block that has some
+        together = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        hits = hits.groupBy("n").agg(together("spans"), together("items"))
+        sized = first.select("n", "n_words").join(hits, "n", "left")
+        none = {c: F.array().cast(t) for c, t in hits.dtypes if c != "n"}
+        found = src.select("n", F.col("r").alias("row")).join(sized, "n").select("row", "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
     ordered = F.array_sort("spans")
     covered = F.aggregate(
         ordered,

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, small_batches, unpack, unpack_sorted, written
+from .util import bucketed, mix64, n_buckets, pack, pack_sorted, release, small_batches, unpack, unpack_sorted, word_pieces, written
 
 #: Text bytes of a chunk (a longer text is a chunk of its own), and text bytes for each bucket of the tables.
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
@@ -47,12 +47,14 @@ def _hashes(texts: list) -> tuple[list[np.ndarray], list[int]]:
         flat.clear()
 
     for t in texts:
-        w = t.lower().split() if t else []
-        lens.append(len(w) + 1)
-        flat.extend(w)
+        n = 1
+        for w in word_pieces(t.lower() if t else b""):
+            n += len(w)
+            flat.extend(w)
+            if len(flat) >= PIECE:
+                close()
+        lens.append(n)
         flat.append(END)
-        if len(flat) >= PIECE:
-            close()
     if flat:
         close()
     return out, lens
@@ -172,16 +174,16 @@ def _table(rows: dict, ddl: str) -> pa.Table:
     return pa.table({c: pa.array(rows[c], _ARROW[kind]) for c, kind in map(str.split, ddl.split(", "))})
 
 
-def exchanged(asked: DataFrame, answer, ranges: int, parts: int, name: str) -> DataFrame:
+def exchanged(asked: DataFrame, answer, ranges: int, parts: int, chunks: int, name: str) -> DataFrame:
     """The answers (_ANSWER) to all rows asked (_ASKED), and rows of chunk -1 with a table's own sums.
 
     answer(keys of each row, values of each row) gives the values for each row's keys, and sums; it sees all rows of a part of a range.
-    parts: of each range; with more than one, GROUP_CHUNKS chunks or so are dealt to the parts together.
+    parts: of each range; with more than one, GROUP_CHUNKS of the chunks (so many there are) or so are dealt to the parts together.
     """
     if parts == 1:
         one = lambda t: _answered(t, answer, "chunk")
         return written(asked.groupBy("ord", "range").applyInArrow(one, _ANSWER), name)
-    grouped = asked.withColumn("grp", F.pmod(F.xxhash64("chunk"), F.ceil(F.lit(asked.select("chunk").distinct().count() / GROUP_CHUNKS))))
+    grouped = asked.withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(max(1, -(-chunks // GROUP_CHUNKS)))))
     together = "grp long, ord int, range int, part int, keys binary, who binary, v array<binary>"
 
     def deal(table: pa.Table) -> pa.Table:
@@ -366,9 +368,10 @@ def score_documents(
     schema = T.StructType.fromDDL("chunk long, train binary, lens binary, ids binary, vocab binary")
     schema = T.StructType([schema["chunk"], T.StructField("rows", T.ArrayType(row_type)), *schema.fields[1:]])
     chunks = bucketed(src.mapInArrow(_pack_chunks, schema), "chunk", chunk_parts, "katz_chunks")
+    n_chunks = chunks.count() if parts > 1 else 0
 
     asked = chunks.select("chunk", "train", "lens", "ids", "vocab").mapInArrow(_count_requests(order, ranges), _ASKED)
-    counts = exchanged(asked, _count, ranges, parts, "katz-counts")
+    counts = exchanged(asked, _count, ranges, parts, n_chunks, "katz-counts")
     stats = counts.where("chunk = -1").select("ord", F.posexplode("stats").alias("i", "x")).groupBy("ord", "i").agg(F.sum("x").alias("x"))
     found = np.zeros((order + 1, GT_MAX + 3), np.int64)
     for r in stats.collect():
@@ -401,7 +404,7 @@ def score_documents(
     for k in range(2, order + 1):
         known = answers.where(f"ord <= {k} or ord > {CONTEXT}")
         partial = slim.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(summing(k), _ASKED)
-        weights = exchanged(partial, _backoff, ranges, parts, "katz-backoff")
+        weights = exchanged(partial, _backoff, ranges, parts, n_chunks, "katz-backoff")
         answers = answers.unionByName(weights.where("chunk >= 0").drop("stats"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .util import written
 
-#: Up to this size, which is measured, the sites' lines are broadcast; beyond it, sites are salted.
-BROADCAST_BYTES, SALTS = 8 << 20, 32
+#: Up to this size, which is measured, the sites' lines are broadcast; beyond it, a site is dealt over a task for each SITE_PAGES of its pages.
+BROADCAST_BYTES, SITE_PAGES = 8 << 20, 20_000
+#: Sites of more pages are broadcast up to so many, which are counted.
+BROADCAST_SITES = 200_000
 
 
 # What of a page is no text, and the tags that end a line.
@@ -30,7 +32,7 @@ def _host(c: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """(site, lines): the MD5 digests of each site's boilerplate lines.
+    """(site, total, lines): the pages of each site that has boilerplate lines, and the MD5 digests of those.
 
     A line is boilerplate where it stands on at least min_pages pages of the site and on more than
     max_ratio of all its pages. A site has at most (mean lines a page) / max_ratio of them, so the
@@ -50,10 +52,16 @@ def boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float,
         .join(totals, "site")
         .where(F.col("n") > F.lit(float(max_ratio)) * F.col("total"))
         .groupBy("site")
-        .agg(F.collect_list("line").alias("lines"))
+        .agg(F.first("total").alias("total"), F.collect_list("line").alias("lines"))
     )
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns; maps and other types that can't be hashed are left out."""
+    own = [df[f.name] for f in df.schema.fields if "map<" not in (t := f.dataType.simpleString()) and "variant" not in t]
+    return F.xxhash64(*own) if own else F.lit(0).cast("long")
+
+
 def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.01, min_pages: int = 5
 ) -> DataFrame:
@@ -65,18 +73,24 @@ def drop_boilerplate(
     """
     drop = written(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate")
     size = int(drop.agg(F.sum(F.size("lines") * 16 + 64)).first()[0] or 0)
-    salt = F.lit(0)
+    large = None
     if size <= BROADCAST_BYTES:
         drop = F.broadcast(drop.withColumn("salt", F.lit(0)))
-    else:  # a large site is dealt over several tasks, each with the site's lines
-        drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(pages[text]), F.lit(SALTS)).cast("int")
+    else:  # a large site is dealt over several tasks by a hash of the whole row, each with the site's lines
+        salts = F.ceil(F.col("total") / SITE_PAGES).cast("int")
+        large = drop.where(salts > 1).select(F.col("site").alias("of"), salts.alias("salts"))
+        large = F.broadcast(large) if large.count() <= BROADCAST_SITES else large
+        drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     src = pages.select(
-        salt.alias("salt"),
+        _row_hash(pages).alias("hash"),
         F.struct(*[pages[c] for c in pages.columns]).alias("row"),
         _host(pages[host]).alias("site"),
         F.split(pages[text], "\n").alias("all"),
     )
+    if large is None:
+        src = src.withColumn("salt", F.lit(0))
+    else:
+        src = src.join(large, F.col("site") == F.col("of"), "left").withColumn("salt", F.pmod("hash", F.coalesce("salts", F.lit(1))).cast("int"))
     kept = F.when(
         F.col("lines").isNotNull(), F.filter("all", lambda x: ~F.array_contains("lines", F.unhex(F.md5(x))))
     ).otherwise(F.col("all"))

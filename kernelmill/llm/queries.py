@@ -92,11 +92,11 @@ def captures(pages: DataFrame) -> DataFrame:
     """Archive records of each page: its response, and two revisits under other spellings of the URL.
 
     Times, validators and spellings follow from page_id alone. Every seventh first revisit carries another
-    entity tag, every fifth second revisit has only a date, every ninth page has no tag.
+    entity tag, every fifth second revisit has only a date, every ninth page has no tag, every eleventh no date.
     """
     p = F.col("page_id")
     tag = F.when(p % 9 != 0, F.concat(F.lit('"'), F.md5("html"), F.lit('"')))
-    date = F.concat(F.lit("day "), (p % 700).cast("string"))
+    date = F.when(p % 11 != 0, F.concat(F.lit("day "), (p % 700).cast("string")))
     ts = F.lit(1_700_000_000) + (p * 7919) % 250_000 * 60
 
     def record(k: int, kind: str, url: Column, at: Column, etag: Column, headers: dict[str, Column]) -> Column:
@@ -255,7 +255,7 @@ j AS (SELECT v.record_id, v.canonical, v.etag, v.p, v.t0, f.record_id AS respons
       QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) = 1),
 k AS (SELECT *, CASE WHEN response_id IS NULL THEN 'orphan'
                      WHEN etag IS NOT NULL AND f_etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(f_etag, '^W/', '') THEN 'resolved' ELSE 'changed' END
-                     WHEN p % 700 = fp % 700 THEN 'resolved' ELSE 'changed' END AS verdict FROM j)
+                     WHEN p % 11 = 0 OR fp % 11 = 0 THEN 'unchecked' WHEN p % 700 = fp % 700 THEN 'resolved' ELSE 'changed' END AS verdict FROM j)
 SELECT record_id, canonical, response_id, verdict, CASE WHEN verdict = 'resolved' THEN fh END AS digest,
        CASE WHEN verdict = 'resolved' THEN 'cache-control=max-age=' || (p % 60) || ';content-length=' || fn || ';content-type=text/html;date=' || (t0 + 86400)
             || ';etag=' || coalesce(f_etag, '-') END AS headers

@@ -56,7 +56,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     The join runs in two levels so that one URL with very many captures isn't one group: within (URL,
     time bucket) by a window, and over a table of each bucket's last response by a second window, whose
     rows a URL are bounded by the number of buckets. Nothing but these columns is shuffled; payloads stay
-    where they are, and can be fetched by response_id.
+    where they are, and can be fetched by response_id. Rows of null url or ts go to no join or window, so they make no hot key.
     """
     own = ["record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers"]
     full = F.struct(*[F.col(c) for c in ("ts", "record_id", "etag", "last_modified", "digest", "headers")])
@@ -65,14 +65,15 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
         canonical_url(records["url"]).alias("canonical"),
         *[records[c] for c in own if c != "url"],
     )
-    src = src.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
-    is_full = (F.col("kind") == "response") & F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    light = src.withColumn("full", F.when(is_full, full))
+    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    lost = src.where(~placed & (F.col("kind") == "revisit"))
+    src = src.where(placed).withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    light = src.withColumn("full", F.when(F.col("kind") == "response", full))
     last = light.where("full is not null").groupBy("canonical", "bucket").agg(
         F.max_by("full", F.struct("ts", "record_id")).alias("last")
     )
     # The last response of the nearest earlier bucket, for buckets that hold any record.
-    seen = light.where("canonical is not null and ts is not null").groupBy("canonical", "bucket").agg(F.count("*").alias("n")).drop("n")
+    seen = light.groupBy("canonical", "bucket").agg(F.count("*").alias("n")).drop("n")
     earlier = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = seen.join(last, ["canonical", "bucket"], "left").select(
         "canonical", "bucket", F.last("last", ignorenulls=True).over(earlier).alias("carried")
@@ -96,7 +97,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
         F.when(F.col("hit").isNull(), "orphan").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("changed")
     )
     ok = F.col("verdict") == "resolved"
-    return joined.withColumn("verdict", verdict).select(
+    out = joined.withColumn("verdict", verdict).select(
         "row",
         "canonical",
         F.col("hit.record_id").alias("response_id"),
@@ -104,3 +105,5 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
         F.when(ok, merge_headers(F.col("hit.headers"), F.col("headers"))).alias("merged_headers"),
         F.when(ok, F.col("hit.digest")).alias("digest"),
     )
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in out.dtypes}
+    return out.unionByName(lost.select("row", "canonical", none["response_id"], F.lit("orphan").alias("verdict"), none["merged_headers"], none["digest"]))

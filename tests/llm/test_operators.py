@@ -72,7 +72,7 @@ def test_decontamination(spark, rows, docs, empty):
                         hit |= set(range(p, p + m))
                         items.add(None if item is None else str(item))
         want.append((i, len(w), len(hit), tuple(sorted(items, key=lambda x: (x is None, x or "")))))
-    for block in (500_000, 3):  # one block of test strings, and one for each item
+    for block in (500_000, 3):  # one block of test strings, and several, each with a pass of its own
         got = [(a, b, c, tuple(d)) for a, b, c, d in by_id(decontam.find_benchmark(docs, table, block_words=block), "n_words", "n_hit", "items")]
         assert got == sorted(want, key=repr)
     assert decontam.find_benchmark(empty, table).count() == 0
@@ -228,8 +228,9 @@ def test_language_without_labels(spark):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_site_lines(spark, docs, small, monkeypatch):
-    if not small:
+    if not small:  # sites of more than three pages are dealt over several tasks
         monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(lines, "SITE_PAGES", 3)
     rows = [(i, f"top\nbody {i}\n\ntop" if i < 9 else f"body {i}", None, "a" if i < 10 else None) for i in range(12)]
     rows += [(50, "top\nx", None, "b"), (51, None, None, "a"), (52, "", None, "a")]
     got = {r.doc_id: r for r in lines.drop_boilerplate(make(spark, rows), max_ratio=0.5, min_pages=3).select("row.doc_id", "clean", "n_lines", "n_dropped").collect()}
@@ -383,6 +384,10 @@ def test_revisits(spark):
     assert got[3].merged_headers == {"content-type": "text/html", "etag": '"1"', "date": "new"} and got[3].digest == "d1"
     assert got[6].merged_headers == {"expires": "x"} and got[4].digest is None
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
+    lost = spark.range(10_000).select((F.col("id") + 100).alias("record_id"), F.when(F.col("id") % 2 == 0, "http://a.org/x?b=2&a=1").alias("url"), F.lit(None).cast("long").alias("ts"), F.lit("revisit").alias("kind"),
+                                      *[F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified", "digest")], F.lit(None).cast("map<string,string>").alias("headers"))
+    found = revisits.resolve_revisits(df.unionByName(lost)).groupBy("verdict").count().collect()
+    assert {r[0]: r[1] for r in found} == {"orphan": 10_003, "resolved": 3, "changed": 1, "unchecked": 1}
     twice = df.where("record_id in (1, 3)").withColumn("headers", F.when(F.col("record_id") == 1, F.col("headers")).otherwise(F.create_map(F.lit("Date"), F.lit("first"), F.lit("date"), F.lit("last"))))
     assert revisits.resolve_revisits(twice).first().merged_headers["date"] == "last"
 
@@ -393,9 +398,13 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)).encode() for n in (0, 1, 2, 3, 9, 400)] + [b"x" * 90, b" \n", b"a b" + b" " * 60]
     want = [(simhash._fingerprints([t], 3, 42), nearsets.shingle_set(t, 5, 42).tolist()) for t in texts]
+    hashes = lambda: np.concatenate(katz._hashes(texts)[0]).tolist() + katz._hashes(texts)[1]
+    tokens = hashes()
     for size in (1, 7, 40):
         for m in (util, simhash):
             monkeypatch.setattr(m, "PIECE_BYTES", size)
+        monkeypatch.setattr(katz, "PIECE", size)
+        assert hashes() == tokens
         assert [w for t in texts for p in util.word_pieces(t) for w in p] == [w for t in texts for w in t.split()]
         assert [(simhash._fingerprints([t], 3, 42), nearsets.shingle_set(t, 5, 42).tolist()) for t in texts] == want
 
@@ -465,7 +474,7 @@ def test_entropies_equal_plain_counting(spark):
     used = {k: [t for i, t, x, _ in rows if x == k and not part[i]] for k in texts}
     alphabet = sorted({c for v in texts.values() for t in v for c in t.lower() if c.isalpha()})
     for t in ("kad abra zyl", "Abrak! ylz, qqq é", "x", "12 a"):
-        h, _, _ = model.entropies([t])
+        h, _, _ = model.entropies([t.encode()])
         assert h[0].tolist() == pytest.approx([plain_entropy(used, k, alphabet, t) for k in model.langs])
     got = langid.identify(make(spark, [(1, "kad abra", None, None)]), model).first()
     h = [plain_entropy(used, k, alphabet, "kad abra") for k in model.langs]
@@ -473,6 +482,29 @@ def test_entropies_equal_plain_counting(spark):
     assert got.score == pytest.approx(1 / sum(2 ** ((min(h) - x) * 8) for x in h))
 
 
+def test_language_of_bytes_and_of_long_texts(spark, monkeypatch):
+    """Bytes that are no UTF-8 count as other characters; parts of a long text add up to what it has as a whole."""
+    rng = random.Random(8)
+    vocab = {"xx": "abra kad abrak dab é İx", "yy": "zyl wux oqo ylz ΑΣ ΣΑΣ"}
+    say = lambda k, n: " ".join(rng.choice(vocab[k].split()) for _ in range(n))
+    train = make(spark, [(i, say(k, 12), k, None) for i in range(200) for k in [sorted(vocab)[i % 2]]])
+    broken = train.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.expr("cast(concat(cast(text as binary), unhex('20FF20')) as string)")).otherwise(F.col("text")))
+    model = langid.fit(broken.withColumn("lang", F.when(F.col("doc_id") == 7, F.expr("cast(unhex('FF') as string)")).otherwise(F.col("lang"))), "text", "lang", F.col("doc_id"))
+    assert set(model.langs) >= {"xx", "yy"}
+    odd = make(spark, [(1, "", None, None), (2, "", None, None)]).withColumn("text", F.expr("case doc_id when 1 then cast(unhex('61627261FF206B6164') as string) else cast(unhex('FFFE') as string) end"))
+    got = {r.doc_id: r for r in langid.identify(odd, model).select("row.doc_id", "lang_pred", "rejected").collect()}
+    assert (got[1].lang_pred, got[2].lang_pred, got[2].rejected) == ("xx", "und", True)
+    texts = [say("xx", 200), "", say("yy", 3), "12 " * 70 + say("yy", 90), "é" * 150 + "." * 90 + "abra", None, say("yy", 400)]
+    texts = [None if t is None else t.encode() for t in texts] + [b"kad \xff\xc3 abra" * 30]
+    h, n, letters = model.entropies(texts)
+    for size in (1, 2, 5, 64):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert [b"".join(langid._cut(t)) for t in texts if t] == [t for t in texts if t]
+        again = model.entropies(texts)
+        if size > 2:  # a cut inside a word may tell a final sigma only where words are longer than a part
+            assert again[0] == pytest.approx(h) and again[1].tolist() == n.tolist() and again[2].tolist() == letters.tolist()
+
+
 def test_packing():
     a = np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64)
     assert (util.unpack(util.pack(a)) == a).all() and (util.unpack_sorted(util.pack_sorted(np.sort(a))) == np.sort(a)).all()
