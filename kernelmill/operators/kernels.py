@@ -13,6 +13,7 @@ from ..functions.grams import MOST_LETTERS, encode, gram_features
 from ..params import KernelParams
 from ..shared import at_most
 from ._blocks import letter_matrix, padded, pair_kernel, self_kernel
+from .metric import cosine, near_pairs
 
 #: Strings of a block: a task holds two of them.
 BLOCK = 1000
@@ -86,10 +87,7 @@ def _blocks_of_pairs(left: DataFrame, right: DataFrame | None, descriptors: Data
 
 def _kernel_rows(a, b, letters: np.ndarray, params: KernelParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x, z = padded([r["codes"] for r in a]), padded([r["codes"] for r in b])
-    k = pair_kernel(x, z, letters, params.sigma_p, params.n)
-    if params.normalized:
-        norm = [self_kernel(v, letters, params.sigma_p, params.n) for v in (x, z)]
-        k /= np.sqrt(norm[0][:, None] * norm[1][None, :])
+    k = cosine(x, z, letters, params) if params.normalized else pair_kernel(x, z, letters, params.sigma_p, params.n)
     return np.array([r["id"] for r in a]), np.array([r["id"] for r in b]), k
 
 
@@ -98,8 +96,8 @@ def gs_gram(
 ) -> DataFrame:
     """(id_a, id_b, k) for all pairs of two tables, or of one with itself (each computed once and mirrored).
 
-    The result has a row for each pair: for large tables use `neighbors`. Normalised kernels take both
-    self values from the block itself.
+    The result has a row for each pair: for large tables use `neighbors`. Pairs of equal strings are worked out once. Normalised kernels take
+    both self values from the block itself; an empty string has similarity 0 to all.
     """
     letters, mirror = letter_matrix(descriptor_matrix(descriptors), params.sigma_c), right is None
 
@@ -111,7 +109,10 @@ def gs_gram(
                 if mirror and not same:
                     yield pd.DataFrame({"id_a": np.repeat(j, len(i)), "id_b": np.tile(i, len(j)), "k": k.T.reshape(-1)})
 
-    return _blocks_of_pairs(left, right, descriptors, block).mapInPandas(_one_row(run), "id_a long, id_b long, k double")
+    few, of_left = _folded(left)
+    every, of_right = (None, of_left) if mirror else _folded(right)
+    pairs = _blocks_of_pairs(few, every, descriptors, block).mapInPandas(_one_row(run), "id_a long, id_b long, k double")
+    return _unfolded(pairs, of_left, of_right)
 
 
 def _one_row(run):
@@ -128,9 +129,21 @@ def neighbors(
 ) -> DataFrame:
     """(id_a, id_b, k, rank): for each string of left, the k most similar of right, or all of at least min_sim.
 
-    Every pair is compared, but each pair of blocks gives back only what can still be among the best:
-    the full table of pairs is never written. Values are rounded to 12 decimals, ties by id_b.
+    Normalised kernels are searched by a metric join, which compares only what pivots don't rule out; of others every pair is compared, block by
+    block, each of which gives back only what can still be among the best. Different strings are searched once; of the copies of a string only the k
+    with the least ids are put in its place. Values are rounded to 12 decimals, ties by id_b.
     """
+    return _neighbors(left, right, descriptors, params, k, min_sim, block)[0]
+
+
+def share_compared(left: DataFrame, right: DataFrame, descriptors: DataFrame, params: KernelParams, k: int | None = None, min_sim: float | None = None, block: int = BLOCK) -> tuple[int, int]:
+    """(pairs of different strings that neighbors compares, pairs there are), for a normalised kernel."""
+    if not params.normalized:
+        raise ValueError("only normalised kernels are searched by pivots")
+    return _neighbors(left, right, descriptors, params, k, min_sim, block)[1]()
+
+
+def _neighbors(left: DataFrame, right: DataFrame, descriptors: DataFrame, params: KernelParams, k: int | None, min_sim: float | None, block: int):
     if (k is None) == (min_sim is None):
         raise ValueError("give one of k and min_sim")
     letters = letter_matrix(descriptor_matrix(descriptors), params.sigma_c)
@@ -150,13 +163,20 @@ def neighbors(
                 yield pd.DataFrame({"id_a": i[x], "id_b": j[y], "k": s[x, y]})
 
     (few, of_left), (every, of_right) = _folded(left), _folded(right)
-    best = _blocks_of_pairs(few, every, descriptors, block).mapInPandas(_one_row(run), "id_a long, id_b long, k double")
-    if k is not None:  # the k best of the different strings, before their rows are put in their place
-        first = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("k"), "id_b"))
-        best = best.withColumn("rank", first).where(F.col("rank") <= k).drop("rank")
-    best = _unfolded(best, of_left, of_right)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("k"), "id_b")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    if params.normalized:
+        best, compared = near_pairs(few, every, descriptors, letters, params, _one_row(run), k, min_sim, block)
+    else:
+        best, compared = _blocks_of_pairs(few, every, descriptors, block).mapInPandas(_one_row(run), "id_a long, id_b long, k double"), None
+    ranked = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("k"), by)))
+    if k is None:
+        return ranked(_unfolded(best, of_left, of_right), "id_b"), compared
+    # the k best different strings, then of their rows the k best, then these for each row of left: never more than k at a time
+    best = ranked(best, "id_b").where(F.col("rank") <= k).drop("rank")
+    copies = of_right.withColumn("copy", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("copy") <= k)
+    best = best.join(copies.select(F.col("rep").alias("id_b"), F.col("id").alias("own")), "id_b").select("id_a", F.col("own").alias("id_b"), "k")
+    best = ranked(best, "id_b").where(F.col("rank") <= k)
+    rows = best.join(of_left.withColumnRenamed("rep", "id_a"), "id_a")
+    return rows.select(F.col("id").alias("id_a"), "id_b", "k", "rank"), compared
 
 
 def exact_gram(left: DataFrame, right: DataFrame, sigma_p: float, min_n: int, max_n: int) -> DataFrame:

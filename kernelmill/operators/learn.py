@@ -1,4 +1,4 @@
-"""Kernel ridge and SVM models in feature form: work linear in the number of strings, no Gram matrix.
+"""Kernel ridge models in feature form: work linear in the number of strings, no Gram matrix.
 
 A string's features are its (n, pos, gram). With M the kernel between features, K = F M F', so a fit needs only the sums
 G = F'SF and b = F'Sy over the training rows and a solve in the observed features. With more than MOST_DENSE features G is never
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_features, length_range, letters_of
+from ..functions.grams import chars, gram_features, length_range, letters_of
 from ..params import KernelParams
 from ..shared import at_most, materialized
 from ._blocks import letter_matrix, padded, pair_kernel, self_kernel
@@ -107,18 +107,17 @@ class StringModel:
 
 def _observed(df: DataFrame, descriptors: DataFrame, n: int) -> Features:
     letters = letters_of(descriptors)
-    number = {c: i for i, c in enumerate(letters)}
-    rows = at_most(gram_features(df.select("id", "seq"), 1, n).select("n", "pos", "gram").distinct(), MOST_FEATURES, "features")
-    if any(c not in number for r in rows for c in r["gram"]):
-        raise ValueError("letter outside the alphabet")
-    found = []
-    for r in rows:
-        num = 0
-        for c in r["gram"]:
-            num = num * len(letters) + number[c]
-        found.append((r["n"], r["pos"], num))
-    n, pos, num = np.array(sorted(found), np.int64).reshape(-1, 3).T
-    return Features(letters, descriptor_matrix(descriptors), n, pos, num)
+    if len(letters) ** n >= 2**62:
+        raise ValueError("grams of so many letters have no 64-bit number")
+    table = F.create_map(*[F.lit(x) for i, c in enumerate(letters) for x in (c, i)])
+    unknown = F.raise_error(F.lit("letter outside the alphabet")).cast("int")
+    num = F.aggregate(chars("gram"), F.lit(0).cast("long"), lambda a, c: a * len(letters) + F.coalesce(table[c], unknown))
+    found = gram_features(df.select("id", "seq"), 1, n).select("n", "pos", num.alias("num")).distinct().limit(MOST_FEATURES + 1).toArrow()
+    if len(found) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features")
+    cols = [found[c].to_numpy().astype(np.int64) for c in ("n", "pos", "num")]
+    order = np.lexsort(cols[::-1])
+    return Features(letters, descriptor_matrix(descriptors), *(c[order] for c in cols))
 
 
 def _numbers(codes: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -491,83 +490,6 @@ def dual_coefficients(model: StringModel, df: DataFrame, sample_weight: str | No
     return out
 
 
-def fit_svm(df: DataFrame, descriptors: DataFrame, params: KernelParams, C: float = 1.0, sample_weight: str | None = None, max_iter: int = 200, center: bool = False) -> StringModel:
-    """Support vector classifier of column y on the strings of df: one model for each pair of classes. center: the kernel is centred and scaled by its variance.
-
-    Strings become vectors F R with M = R R', so a linear SVM on them is the kernel's; solved by ml's LinearSVC. With more than
-    MOST_ROWS features the vectors come from the kernel of the strings among themselves, which then may be MOST_ROWS at most.
-    """
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-
-    f, spark = _observed(df, descriptors, params.n), df.sparkSession
-    classes = sorted(r[0] for r in at_most(df.select("y").distinct(), 100, "classes"))
-    if len(classes) < 2:
-        raise ValueError("two classes are needed")
-    s = F.lit(1.0) if sample_weight is None else F.col(sample_weight).cast("double")
-    source = df.select("seq", F.col("y").cast("double").alias("y"), s.alias("s"))
-    if len(f) > MOST_ROWS:
-        own = [r.asDict() for r in at_most(source, MOST_ROWS, "strings, nor features, can be solved together")]
-        k, x = _rows_kernel(own, f, params)
-        w, v = np.linalg.eigh((k + k.T) / 2)
-        keep = w > w.max() * 1e-13
-        z = v[:, keep] * np.sqrt(w[keep])
-        rows = spark.createDataFrame([(r["y"], r["s"], v.tolist()) for r, v in zip(own, z)], "y double, s double, z array<double>")
-        back = x.T @ (v[:, keep] / np.sqrt(w[keep]))  # coefficients of features for a weight vector
-    else:
-        root = _root(f, params)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table = np.concatenate([root, np.zeros((1, root.shape[1]))])
-            for b in batches:
-                z = np.zeros((len(b), root.shape[1]))
-                for of, idx, own in _matrix(b["seq"].tolist(), f, params):
-                    for j in range(idx.shape[1]):
-                        z[of] += table[idx[:, j]]
-                    z[of] /= np.sqrt(own)[:, None] if params.normalized else 1.0
-                yield pd.DataFrame({"y": b["y"], "s": b["s"], "z": z.tolist()})
-
-        rows = source.mapInPandas(run, "y double, s double, z array<double>")
-        back = root / (root**2).sum(axis=0)  # divided by the eigenvalues
-    rows = materialized(rows, "svm")
-    mean, scale = np.zeros(back.shape[1]), 1.0
-    if center:
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(back.shape[1] + 2)
-            for b in batches:
-                z = np.array(b["z"].tolist()).reshape(len(b), -1)
-                total += np.concatenate([z.sum(axis=0), [len(b), (z * z).sum()]]) if len(b) else 0.0
-            yield _pieces(0, total)
-
-        total = _added(rows.mapInPandas(add, "fold int, piece int, part int, data binary"))[0]
-        mean = total[:-2] / total[-2]
-        variance = total[-1] / total[-2] - mean @ mean
-        if variance <= 0:
-            raise ValueError("the kernel has no variance over these strings")
-        scale = 1 / variance
-    shift = F.array(*[F.lit(float(v)) for v in mean])
-    centred = F.zip_with("z", shift, lambda a, b: (a - b) * scale**0.5) if center else F.col("z")
-    pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
-    u, intercept = [], []
-    for a, b in pairs:
-        part = rows.where(F.col("y").isin(float(a), float(b))).select((F.col("y") == float(b)).cast("double").alias("label"), "s", array_to_vector(centred).alias("features"))
-        mass = part.agg(F.sum("s")).first()[0]
-        svm = LinearSVC(regParam=1 / (C * mass), standardization=False, weightCol="s", maxIter=max_iter, tol=1e-9).fit(part)
-        w = svm.coefficients.toArray() * scale**0.5
-        u.append(back @ w)
-        intercept.append(svm.intercept - mean @ w)
-    return StringModel(params, f, np.array(u).T, np.full(len(pairs), C), np.array(intercept), 1.0, [f"{a}|{b}" for a, b in pairs], pairs)
-
-
-def predict_svm(model: StringModel, df: DataFrame) -> DataFrame:
-    """(id, label): the class with most votes of the pairwise models; ties go to the first class."""
-    pairs = df.sparkSession.createDataFrame([(t, float(a), float(b)) for t, (a, b) in zip(model.targets, model.classes)], "target string, a double, b double")
-    votes = predict_ridge(model, df).join(F.broadcast(pairs), "target").select("id", F.when(F.col("prediction") > 0, F.col("b")).otherwise(F.col("a")).alias("label"))
-    counted = votes.groupBy("id", "label").agg(F.count("*").alias("n"))
-    return counted.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-
-
 def kfold(df: DataFrame, k: int, order_col: str) -> DataFrame:
     """Adds fold: contiguous parts in the order of order_col, the first N % k one row larger. No row goes through one task:
     rows are numbered within range partitions, moved on by the sizes of those before."""

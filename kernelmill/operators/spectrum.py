@@ -34,8 +34,10 @@ def round_to_count(spectra: DataFrame, length: int) -> DataFrame:
     end = F.aggregate(F.array_sort(F.flatten(steps)), state(F.lit(1.0)), step)
     stuck = F.raise_error(F.concat(F.lit("no positive weight for target "), F.coalesce(F.col("target").cast("string"), F.lit("null"))))
     factor = F.when((F.size(positive) == 0) & (F.col("need") > 0), stuck.cast("double")).otherwise(end["factor"])
-    found = whole.select("target", factor.alias("factor"), F.explode("g").alias("x"))
-    return found.select("target", "x.gram", F.bround(F.col("x.w") * F.col("factor")).cast("long").alias("count"))
+    # the factor is the field of one struct, so that it is worked out once for a spectrum and not for each gram
+    once = F.array(F.struct(factor.alias("factor"), F.col("g")))
+    counted = F.transform(once, lambda s: F.transform(s["g"], lambda x: F.struct(x["gram"].alias("gram"), F.bround(x["w"] * s["factor"]).cast("long").alias("count"))))
+    return whole.select("target", F.explode(F.flatten(counted)).alias("x")).select("target", "x.gram", "x.count")
 
 
 def round_by_threshold(spectra: DataFrame, thresholds: DataFrame, min_count: int) -> DataFrame:

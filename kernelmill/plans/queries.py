@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grams as G
 from ..functions import similarity as S
-from ..operators import design, kernels, learn, report, spectrum
+from ..operators import centering, design, kernels, learn, report, spectrum, svm
 from ..operators import weights as W
 from ..params import KernelParams
 from ..shared import materialized, shared_dir
@@ -211,7 +211,7 @@ def weights_of_position(spark: SparkSession, d: str) -> DataFrame:
     return S.position_weights(spark, 2, n, 2.0).withColumn("weight", r6("weight"))
 
 
-# Kernels of the strings whose id is divisible by 100 with all strings; those of one table are of these strings among each other.
+# Kernels of the strings whose id is divisible by 100 with all strings; of a symmetric kernel these are rows.
 _E_SIM = f"{LETTERS}, sim AS (SELECT x.letter AS a, z.letter AS b, exp(-((x.d[1]-z.d[1])**2 + (x.d[2]-z.d[2])**2 + (x.d[3]-z.d[3])**2) / 2.88) AS s FROM letters x, letters z)"
 _CELLS = "sum(exp(-((x.pos - z.pos) ** 2) / 4.5) * s.s * (1 + coalesce(t.s, 0)))"
 _SIMS = "JOIN sim s ON s.a = x.c AND s.b = z.c LEFT JOIN sim t ON t.a = x.c2 AND t.b = z.c2"
@@ -220,7 +220,11 @@ l AS (SELECT id, i - 1 AS pos, seq[i] AS c, CASE WHEN i < length(seq) THEN seq[i
 own AS (SELECT x.id, {_CELLS} AS k FROM l x JOIN l z ON x.id = z.id {_SIMS} GROUP BY 1)"""
 _PAIR = f"{_OWN}, k AS (SELECT x.id AS id_a, z.id AS id_b, {_CELLS} AS k FROM l x CROSS JOIN l z {_SIMS} WHERE x.id % 100 = 0 GROUP BY 1, 2)"
 _NORM = "nk AS (SELECT k.id_a, k.id_b, k.k / sqrt(a.k * b.k) AS k FROM k JOIN own a ON a.id = k.id_a JOIN own b ON b.id = k.id_b)"
-_SQUARE = "sq AS (SELECT * FROM nk WHERE id_b % 100 = 0)"
+# mean kernels of each string with all, from sums over their letters at each place
+_SUMS = """ag AS (SELECT pos, c, c2, sum(1 / sqrt(own.k)) AS v FROM l JOIN own USING (id) GROUP BY ALL),
+mn AS (SELECT x.id, sum(z.v * exp(-((x.pos - z.pos) ** 2) / 4.5) * s.s * (1 + coalesce(t.s, 0))) / any_value(sqrt(own.k)) / (SELECT count(*) FROM ev) AS m
+  FROM l x JOIN own ON own.id = x.id CROSS JOIN ag z JOIN sim s ON s.a = x.c AND s.b = z.c LEFT JOIN sim t ON t.a = x.c2 AND t.b = z.c2 GROUP BY 1),
+st AS (SELECT avg(m) AS mean_k, 1 - avg(m) AS variance FROM mn)"""
 COSINE = KernelParams(1.5, 1.2, 2, True)
 
 
@@ -240,10 +244,11 @@ def kernel_of_two_tables(spark: SparkSession, d: str) -> DataFrame:
     return _k6(kernels.gs_gram(few, letters, EVENT, every))
 
 
-@query(f"WITH {_PAIR} SELECT id_a, id_b, round(k, 6) AS k FROM k WHERE id_b % 100 = 0")
+@query(f"WITH {_PAIR} SELECT id_a, id_b, round(k, 6) AS k FROM k")
 def kernel_of_one_table(spark: SparkSession, d: str) -> DataFrame:
-    few, _, letters = _sides(spark, d)
-    return _k6(kernels.gs_gram(few, letters, EVENT))
+    """The rows of the symmetric kernel of all strings whose id is divisible by 100."""
+    _, every, letters = _sides(spark, d)
+    return _k6(kernels.gs_gram(every, letters, EVENT)).where("id_a % 100 = 0")
 
 
 @query(f"WITH {_OWN} SELECT id, round(k, 6) AS k FROM own")
@@ -276,18 +281,19 @@ def exact_kernel(spark: SparkSession, d: str) -> DataFrame:
     return _k6(kernels.exact_gram(few, every, 2.0, 1, 3))
 
 
-@query(f"""WITH {_PAIR}, {_NORM}, {_SQUARE}, a AS (SELECT avg(k) AS mean_k, avg(k) FILTER (id_a = id_b) - avg(k) AS variance FROM sq)
-SELECT round(mean_k, 6) AS mean_k, round(variance, 6) AS variance, round(avg(y), 6) AS y_mean, round(stddev_pop(y), 6) AS y_std FROM a, (SELECT y FROM ev WHERE id % 100 = 0) GROUP BY 1, 2""")
+@query(f"""WITH {_OWN}, {_SUMS} SELECT round(mean_k, 6) AS mean_k, round(variance, 6) AS variance, round(avg(y), 6) AS y_mean, round(stddev_pop(y), 6) AS y_std FROM st, ev GROUP BY 1, 2""")
 def centering_statistics(spark: SparkSession, d: str) -> DataFrame:
-    few, _, letters = _sides(spark, d)
-    return kernels.centering_stats(kernels.gs_gram(few, letters, COSINE), few).select(*[r6(c).alias(c) for c in ("mean_k", "variance", "y_mean", "y_std")])
+    _, every, letters = _sides(spark, d)
+    means = centering.kernel_means(every, letters, COSINE)
+    return centering.centering_stats_of(every, means).select(*[r6(c).alias(c) for c in ("mean_k", "variance", "y_mean", "y_std")])
 
 
-@query(f"""WITH {_PAIR}, {_NORM}, {_SQUARE}, a AS (SELECT avg(k) AS m, avg(k) FILTER (id_a = id_b) - avg(k) AS v FROM sq), r AS (SELECT id_a AS id, avg(k) AS m FROM sq GROUP BY 1)
-SELECT sq.id_a, sq.id_b, round((sq.k - x.m - z.m + a.m) / a.v, 6) AS k FROM a, sq JOIN r x ON x.id = sq.id_a JOIN r z ON z.id = sq.id_b""")
+@query(f"""WITH {_PAIR}, {_NORM}, {_SUMS} SELECT id_a, id_b, round((nk.k - x.m - z.m + mean_k) / variance, 6) AS k FROM st, nk JOIN mn x ON x.id = id_a JOIN mn z ON z.id = id_b""")
 def centered_kernel(spark: SparkSession, d: str) -> DataFrame:
-    few, _, letters = _sides(spark, d)
-    return _k6(kernels.center_gram(materialized(kernels.gs_gram(few, letters, COSINE), "gram")))
+    """The rows of the centred kernel of all strings whose id is divisible by 100."""
+    few, every, letters = _sides(spark, d)
+    means = materialized(centering.kernel_means(every, letters, COSINE), "means")
+    return _k6(centering.center_pairs(kernels.gs_gram(few, letters, COSINE, every), means, centering.centering_stats_of(every, means)))
 
 
 # -- weights ---------------------------------------------------------------------------------------------------------
@@ -539,13 +545,31 @@ def ridge_residuals_centred(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", (F.round(left, 5) + 0.0).alias("residual"))
 
 
-@query()
-def svm_classes(spark: SparkSession, d: str) -> DataFrame:
+def _above_mean(spark: SparkSession, d: str) -> DataFrame:
+    """The strings, with y 1 where their value is above the mean."""
     s = I.event_strings(spark, d)
     mean = s.agg(F.avg("y")).first()[0]
-    rows = s.withColumn("y", (F.col("y") > mean).cast("double"))
-    model = learn.fit_svm(rows, I.event_letters(spark), KernelParams(1.5, 1.2, 2, True), 1.0, max_iter=30)
-    return learn.predict_svm(model, rows)
+    return materialized(s.withColumn("y", (F.col("y") > mean).cast("double")), "classes")
+
+
+@query()
+def svm_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _above_mean(spark, d)
+    return svm.predict_svm(svm.fit_svm(rows, I.event_letters(spark), COSINE, 1.0), rows)
+
+
+@query(f"WITH {EV} SELECT id, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS balance, TRUE AS agrees FROM ev")
+def svm_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the conditions of the least penalty: f - b = K c with c from the slopes of the loss, and sum c = 0, which decide a
+    convex problem; and whether the class is the sign of f. Kernel sums come by weights of grams, another path than the fit's."""
+    s = _above_mean(spark, d)
+    model = svm.fit_svm(s, I.event_letters(spark), EVENT, 0.01)
+    coef = materialized(svm.svm_coefficients(model, s).select("id", "coef"), "duals")
+    total = coef.agg(F.sum("coef")).first()[0]
+    rows = learn.predict_ridge(model, s).join(_kernel_sums(spark, s, coef), "id").join(svm.predict_svm(model, s), "id")
+    left = F.col("prediction") - float(model.intercept[0]) - F.col("f")
+    agrees = (F.col("label") == 1.0) == (F.col("prediction") > 0)
+    return rows.select("id", (F.round(left, 5) + 0.0).alias("residual"), (F.round(F.lit(total), 5) + 0.0).alias("balance"), agrees.alias("agrees"))
 
 
 @query()
@@ -662,13 +686,25 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.debruijn_nodes(_counts(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_SPEC}, st AS (SELECT target, 0 AS step, list(gram ORDER BY gram) AS g, list(w::DOUBLE ORDER BY gram) AS w FROM spec GROUP BY 1
-UNION ALL SELECT target, step + 1, g, list_transform(w, lambda x: x * list_min(list_transform(w, lambda v: (ceil(v + 0.5) - 0.49) / v))) FROM st WHERE list_sum(list_transform(w, lambda x: round_even(x, 0))) < 39)
-SELECT target, unnest(g) AS gram, CAST(round_even(unnest(w), 0) AS BIGINT) AS count FROM st QUALIFY row_number() OVER (PARTITION BY target ORDER BY step DESC) = 1""")
+_ROUNDED = f"""WITH RECURSIVE {_SPEC}, st AS (SELECT target, 0 AS step, list(gram ORDER BY gram) AS g, list(w::DOUBLE ORDER BY gram) AS w FROM spec GROUP BY 1
+UNION ALL SELECT target, step + 1, g, list_transform(w, lambda x: x * list_min(list_transform(w, lambda v: (ceil(v + 0.5) - 0.49) / v))) FROM st WHERE list_sum(list_transform(w, lambda x: round_even(x, 0))) < 39),
+rd AS (SELECT target, unnest(g) AS gram, CAST(round_even(unnest(w), 0) AS BIGINT) AS count FROM st QUALIFY row_number() OVER (PARTITION BY target ORDER BY step DESC) = 1)"""
+
+
+@query(f"{_ROUNDED} SELECT target, gram, count FROM rd")
 def spectra_rounded(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.round_to_count(_spectra(spark, d), 40)
 
 
+@query(f"{_ROUNDED} SELECT target, gram, count, CAST(0 AS BIGINT) AS missing FROM rd WHERE count > 0")
+def grams_of_spectrum_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Of each gram of a rounded spectrum, how many of its repetitions the spectrum's string lacks: none."""
+    counts = materialized(spectrum.round_to_count(_spectra(spark, d), 40), "rounded")
+    found = G.gram_counts(spectrum.euler_strings(counts).withColumnRenamed("target", "id"), 2).withColumnRenamed("id", "target")
+    rows = counts.where("count > 0").join(found, ["target", "gram"], "left")
+    return rows.select("target", "gram", "count", F.greatest(F.lit(0).cast("long"), F.col("count") - F.coalesce("value", F.lit(0.0)).cast("long")).alias("missing"))
+
+
 @query()
 def strings_of_spectra(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.euler_strings(spectrum.round_to_count(_spectra(spark, d), 40))

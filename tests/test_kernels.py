@@ -217,30 +217,6 @@ def test_grid_of_many_features_equals_the_sums(spark, strings, desc, monkeypatch
     assert key(learn.grid_search(folds, desc, grid, normalized=True)) == want
 
 
-@pytest.mark.parametrize("most", [3000, 0])
-def test_centred_svm(spark, desc, monkeypatch, most):
-    """Centring moves and scales the vectors; as an SVM without a penalty on its intercept, it equals a plain one with C by the variance."""
-    monkeypatch.setattr(learn, "MOST_ROWS", most or 3000)
-    rows = spark.createDataFrame([(0, "AAAA", 0.0), (1, "AABA", 0.0), (2, "CCCC", 1.0), (3, "CCBC", 1.0), (4, "ABAC", 0.0), (5, "CABC", 1.0)], "id long, seq string, y double")
-    p = KernelParams(1.0, 0.5, 2, True)
-    if not most:
-        monkeypatch.setattr(learn, "_root", None)  # must not be needed
-        monkeypatch.setattr(learn, "MOST_ROWS", 10)
-    xs = [r.seq for r in rows.orderBy("id").collect()]
-    K = np.array([[k(a, b, 1.0, 0.5, 2) / math.sqrt(k(a, a, 1.0, 0.5, 2) * k(b, b, 1.0, 0.5, 2)) for b in xs] for a in xs])
-    variance = np.mean(np.diag(K)) - K.mean()
-    margin = lambda m: [r.prediction for r in learn.predict_ridge(m, rows).orderBy("id").collect()]
-    centred = learn.fit_svm(rows, desc, p, 2.0, max_iter=40, center=True)
-    plain = learn.fit_svm(rows, desc, p, 2.0 / variance, max_iter=40)
-    assert margin(centred) == pytest.approx(margin(plain), abs=1e-3)
-
-
-def test_svm_separates(spark, desc):
-    rows = spark.createDataFrame([(0, "AAAA", 0.0), (1, "AABA", 0.0), (2, "CCCC", 1.0), (3, "CCBC", 1.0), (4, "BBBB", 2.0), (5, "BBBA", 2.0)], "id long, seq string, y double")
-    model = learn.fit_svm(rows, desc, KernelParams(1.0, 0.5, 2, True), 10.0, max_iter=20)
-    assert {r.id: r.label for r in learn.predict_svm(model, rows).collect()} == {0: 0.0, 1: 0.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0}
-
-
 def test_letters_outside_the_alphabet(spark, desc):
     s = spark.createDataFrame([(0, "AB"), (1, "AX"), (2, None), (3, "")], "id long, seq string")
     good, bad = G.split_valid(s, desc)
