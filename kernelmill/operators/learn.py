@@ -105,7 +105,7 @@ class StringModel:
     classes: list[tuple] | None = None
 
 
-def _observed(df: DataFrame, descriptors: DataFrame, n: int) -> Features:
+def observed_features(df: DataFrame, descriptors: DataFrame, n: int) -> Features:
     letters = letters_of(descriptors)
     if len(letters) ** n >= 2**62:
         raise ValueError("grams of so many letters have no 64-bit number")
@@ -140,7 +140,7 @@ def _by_length(seqs: list[str], letters: list[str]) -> Iterator[tuple[np.ndarray
         yield of, flat.reshape(len(of), int(m))
 
 
-def _matrix(seqs: list[str], f: Features, params: KernelParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def coded_matrix(seqs: list[str], f: Features, params: KernelParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Strings of one length at a time: (places in seqs, [strings, grams] observed features, len(f) for others, k(x, x))."""
     size, letters = len(f.letters), letter_matrix(f.vectors, params.sigma_c)
     for of, codes in _by_length(seqs, f.letters):
@@ -169,13 +169,13 @@ class _Sums:
     k: float
 
     def __sub__(self, o: "_Sums") -> "_Sums":
-        return _Sums(*(a - b for a, b in zip(vars(self).values(), vars(o).values())))
+        return _Sums(*(None if a is None else a - b for a, b in zip(vars(self).values(), vars(o).values())))
 
     def __add__(self, o: "_Sums") -> "_Sums":
-        return _Sums(*(a + b for a, b in zip(vars(self).values(), vars(o).values())))
+        return _Sums(*(None if a is None else a + b for a, b in zip(vars(self).values(), vars(o).values())))
 
 
-def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+def added(parts: DataFrame) -> dict[int, np.ndarray]:
     """The sum for each fold of flat arrays that tasks give in pieces (fold, piece, part, data): in groups of tasks first, then whole."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -197,16 +197,16 @@ def _pieces(fold: int, flat: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"fold": fold, "piece": range(len(at)), "part": TaskContext.get().partitionId(), "data": [flat[a : a + PIECE].tobytes() for a in at]})
 
 
-def _training(df: DataFrame, targets: Sequence[str], weight: str | None, fold: str | None = None) -> DataFrame:
+def training_rows(df: DataFrame, targets: Sequence[str], weight: str | None, fold: str | None = None) -> DataFrame:
     cols = [df[x].cast("double").alias(f"y{j}") for j, x in enumerate(targets)]
     s = F.lit(1.0) if weight is None else df[weight].cast("double")
     return df.select("seq", *cols, s.alias("s"), (F.lit(0) if fold is None else df[fold].cast("int")).alias("fold"))
 
 
-def _sums(df: DataFrame, f: Features, params: KernelParams, targets: Sequence[str], weight: str | None, fold: str | None = None) -> dict[int, _Sums]:
-    """The sums for each value of the fold column (0 without one). Each task adds up its rows first; G only with MOST_DENSE features or fewer."""
+def sums_by_fold(df: DataFrame, f: Features, params: KernelParams, targets: Sequence[str], weight: str | None, fold: str | None = None, pairs: bool = True) -> dict[int, _Sums]:
+    """The sums for each value of the fold column (0 without one). Each task adds up its rows first; G only with MOST_DENSE features or fewer, and pairs."""
     d, t = len(f), len(targets)
-    pairs = d <= MOST_DENSE
+    pairs = pairs and d <= MOST_DENSE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, tuple] = {}
@@ -214,7 +214,7 @@ def _sums(df: DataFrame, f: Features, params: KernelParams, targets: Sequence[st
             for which, part in b.groupby("fold"):
                 G, b_, rest = total.setdefault(int(which), (np.zeros((d + 1) * (d + 1) if pairs else 0), np.zeros((d + 1, t + 2)), np.zeros(3 + 3 * t)))
                 ys, s = part[[f"y{j}" for j in range(t)]].to_numpy(float), part["s"].to_numpy(float)
-                for of, idx, own in _matrix(part["seq"].tolist(), f, params):
+                for of, idx, own in coded_matrix(part["seq"].tolist(), f, params):
                     v = 1 / np.sqrt(own) if params.normalized else np.ones(len(own))
                     y, w = ys[of], s[of]
                     if pairs:
@@ -230,7 +230,7 @@ def _sums(df: DataFrame, f: Features, params: KernelParams, targets: Sequence[st
             yield _pieces(which, np.concatenate([G, b_.reshape(-1), rest]))
 
     out = {}
-    for which, flat in _added(_training(df, targets, weight, fold).mapInPandas(run, "fold int, piece int, part int, data binary")).items():
+    for which, flat in added(training_rows(df, targets, weight, fold).mapInPandas(run, "fold int, piece int, part int, data binary")).items():
         n = (d + 1) ** 2 if pairs else 0
         m, rest = flat[n : n + (d + 1) * (t + 2)].reshape(d + 1, t + 2)[:d], flat[n + (d + 1) * (t + 2) :]
         G = flat[:n].reshape(d + 1, d + 1)[:d, :d] if pairs else None
@@ -246,7 +246,7 @@ def _root(f: Features, params: KernelParams) -> np.ndarray:
     return v[:, keep] * np.sqrt(w[keep])
 
 
-def _centre(x: _Sums, f: Features, params: KernelParams) -> tuple[np.ndarray, np.ndarray, float]:
+def centre_of(x: _Sums, f: Features, params: KernelParams) -> tuple[np.ndarray, np.ndarray, float]:
     """(mean features, M times them, 1 / variance of the kernel)."""
     mean = x.f / x.rows
     smooth = f.apply(mean, params)
@@ -260,7 +260,7 @@ def _solve(x: _Sums, f: Features, params: KernelParams, alpha: np.ndarray, cente
     r, G, b = _root(f, params), x.G, x.b
     intercept, scale, mean = np.zeros(b.shape[1]), 1.0, None
     if center:
-        mean, _, scale = _centre(x, f, params)
+        mean, _, scale = centre_of(x, f, params)
         y_mean = x.y / x.rows
         G = G - np.outer(mean, x.g) - np.outer(x.g, mean) + x.s * np.outer(mean, mean)
         b = b - np.outer(x.g, y_mean) - np.outer(mean, x.sy - y_mean * x.s)
@@ -286,7 +286,7 @@ def _rows_kernel(rows: list, f: Features, params: KernelParams) -> tuple[np.ndar
         for k, own in zip(of.tolist(), c):
             codes[k] = own
     own_k = np.zeros(len(seqs))
-    for of, idx, own in _matrix(seqs, f, params):
+    for of, idx, own in coded_matrix(seqs, f, params):
         np.add.at(x, (of[:, None], idx), 1.0)
         own_k[of] = own
     z = padded(codes)
@@ -323,14 +323,14 @@ def _solve_passes(df: DataFrame, x: _Sums, f: Features, params: KernelParams, al
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = b["s"].to_numpy(float)
-            for of, idx, own in _matrix(b["seq"].tolist(), f, params):
+            for of, idx, own in coded_matrix(b["seq"].tolist(), f, params):
                 yield pd.DataFrame({"w": s[of] / (own if params.normalized else 1.0), "idx": list(idx.astype(np.int32))})
 
-    rows = materialized(_training(df, targets, weight).select("seq", "s").mapInPandas(coded, "w double, idx array<int>"), "ridge-rows")
+    rows = materialized(training_rows(df, targets, weight).select("seq", "s").mapInPandas(coded, "w double, idx array<int>"), "ridge-rows")
     d, spark = len(f), df.sparkSession
     mean, scale, b, intercept = np.zeros(d), 1.0, x.b, np.zeros(x.b.shape[1])
     if center:
-        mean, _, scale = _centre(x, f, params)
+        mean, _, scale = centre_of(x, f, params)
         y_mean = x.y / x.rows
         b = b - np.outer(x.g, y_mean) - np.outer(mean, x.sy - y_mean * x.s)
         intercept = y_mean.copy()
@@ -350,7 +350,7 @@ def _solve_passes(df: DataFrame, x: _Sums, f: Features, params: KernelParams, al
                     total += np.bincount(idx, np.repeat(dot, n), d + 1)
             yield _pieces(0, total)
 
-        got = _added(rows.mapInPandas(run, "fold int, piece int, part int, data binary"))[0][:d]
+        got = added(rows.mapInPandas(run, "fold int, piece int, part int, data binary"))[0][:d]
         shared.destroy()
         return got - mean * (x.g @ t) - x.g * (mean @ t) + x.s * mean * (mean @ t) if center else got
 
@@ -395,12 +395,12 @@ def fit_ridge(
     alphas = np.broadcast_to(np.asarray(alpha, float), (len(targets),)).copy()
     if (alphas <= 0).any():
         raise ValueError("alpha must be positive")
-    f = _observed(df, descriptors, params.n)
+    f = observed_features(df, descriptors, params.n)
     if len(f) > MOST_DENSE:
-        few = _training(df, targets, sample_weight).limit(MOST_ROWS + 1).collect()
+        few = training_rows(df, targets, sample_weight).limit(MOST_ROWS + 1).collect()
         if len(few) <= MOST_ROWS and len(few) * len(f) <= MOST_CELLS:
             return _solve_rows(few, f, params, alphas, center, targets)
-    found = _sums(df, f, params, targets, sample_weight)
+    found = sums_by_fold(df, f, params, targets, sample_weight)
     if not found:
         raise ValueError("no rows to fit")
     if found[0].G is None:
@@ -536,20 +536,23 @@ def grid_search(df: DataFrame, descriptors: DataFrame, grid: DataFrame, normaliz
     """(param_id, sigma_p, sigma_c, n, alpha, fold, phase, r2, mse, rows) for every parameter set and fold of df.
 
     One pass over the strings for each gram length (normalised: each kernel) gives the sums by fold; training sums are the
-    total less the fold, and scores come from the sums too, so no string is read again. The sets are solved in parallel.
+    total less the fold, and scores come from the sums too, so no string is read again. The sets are solved in parallel. Beyond MOST_DENSE
+    features all sets and folds are solved together by passes over the strings (shifted.py).
     """
     sets = pd.DataFrame([r.asDict() for r in at_most(grid, 100_000, "parameter sets")]).sort_values("param_id")
     spark, out = df.sparkSession, None
     for n, by_n in sets.groupby("n"):
-        f = _observed(df, descriptors, int(n))
+        f = observed_features(df, descriptors, int(n))
         if len(f) > MOST_DENSE:
-            got = _grid_of_fits(df, descriptors, by_n, normalized, center, fold)
+            from .shifted import grid_of_shifts
+
+            got = spark.createDataFrame(grid_of_shifts(df, f, by_n, normalized, center, fold), _GRID_ROWS)
             out = got if out is None else out.unionByName(got)
             continue
         keys = ["sigma_p", "sigma_c"] if normalized or center else ["n"]
         for _, part in by_n.groupby(keys):
             params = KernelParams(part["sigma_p"].iloc[0], part["sigma_c"].iloc[0], int(n), normalized)
-            sums = spark.sparkContext.broadcast(_sums(df, f, params, ["y"], None, fold))
+            sums = spark.sparkContext.broadcast(sums_by_fold(df, f, params, ["y"], None, fold))
 
             def solve(batches: Iterator[pd.DataFrame], f=f, sums=sums, n=int(n)) -> Iterator[pd.DataFrame]:
                 folds = sums.value
@@ -573,23 +576,6 @@ def grid_search(df: DataFrame, descriptors: DataFrame, grid: DataFrame, normaliz
 _GRID_ROWS = "param_id long, sigma_p double, sigma_c double, n double, alpha double, fold int, phase string, r2 double, mse double, rows double"
 
 
-def _grid_of_fits(df: DataFrame, descriptors: DataFrame, sets: pd.DataFrame, normalized: bool, center: bool, fold: str) -> DataFrame:
-    """The same rows where features are too many for sums of their pairs: a fit for each parameter set and fold, scored by its predictions."""
-    out = None
-    folds = [r[0] for r in at_most(df.select(fold).distinct(), 1000, "folds")]
-    for p in sets.itertuples():
-        for k in folds:
-            model = fit_ridge(df.where(F.col(fold) != k), descriptors, KernelParams(p.sigma_p, p.sigma_c, int(p.n), normalized), p.alpha, center)
-            phase = F.when(F.col(fold) == k, "test").otherwise("train").alias("phase")
-            scored = predict_ridge(model, df).join(df.select("id", "y", phase), "id")
-            counted = scored.groupBy("phase").agg(F.count("*").cast("double").alias("rows"))
-            got = regression_metrics(scored, ["phase"]).join(counted, "phase")
-            own = [F.lit(float(x)).alias(c) for c, x in (("sigma_p", p.sigma_p), ("sigma_c", p.sigma_c), ("n", p.n), ("alpha", p.alpha))]
-            got = got.select(F.lit(int(p.param_id)).cast("long").alias("param_id"), *own, F.lit(int(k)).cast("int").alias("fold"), "phase", "r2", "mse", "rows")
-            out = got if out is None else out.unionByName(got)
-    return materialized(out, "grid")
-
-
 def _score(x: _Sums, w: np.ndarray, intercept: float) -> dict:
     """r2 and mse of predictions features · w + intercept, from the sums of the rows."""
     sse = x.yy[0] - 2 * (w @ x.b[:, 0] + intercept * x.y[0]) + w @ x.G @ w + 2 * intercept * (w @ x.f) + intercept**2 * x.rows

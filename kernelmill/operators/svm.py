@@ -12,21 +12,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import KernelParams
-from ..shared import at_most, materialized
-from .learn import MOST_CELLS, MOST_DENSE, PIECE, StringModel, _added, _centre, _matrix, _observed, _sums, predict_ridge
+from ..shared import at_most
+from ._passes import CodedRows, padded_rows
+from .learn import MOST_CELLS, MOST_DENSE, StringModel, centre_of, coded_matrix, observed_features, predict_ridge, sums_by_fold
 
 #: Classes at most, and widths of the smoothed corner of the hinge: each fit starts from the one before.
 MOST_CLASSES, WIDTHS = 100, (3.0, 1.0, 0.3, 0.1, 0.03, 0.01)
 #: Newton steps for a width, products of a step, step lengths tried, and how far the gradient has to fall.
 NEWTON, PRODUCTS, LENGTHS, TOL = 60, 400, 0.5 ** np.arange(12), 1e-8
-#: Rows of a batch that are worked on at once, by pairs of classes.
-CELLS = 2_000_000
 
 
 def _loss(margin: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,77 +36,28 @@ def _loss(margin: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarr
     return np.where(t >= 1, 1 - margin, np.where(inside, width * t**2, 0.0)), -np.clip(t, 0, 1), inside / (2 * width)
 
 
-class _Rows:
-    """The strings as written rows of observed features, and sums over them."""
+def _coded(df: DataFrame, f, params: KernelParams, weight: str | None, classes: list) -> CodedRows:
+    """Rows with meta: the class's place, the weight, and 1 / sqrt(k(x, x)), or 1 where the kernel is not normalised."""
+    s = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    code = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, k)])[F.col("y")]
 
-    def __init__(self, df: DataFrame, f, params: KernelParams, weight: str | None, classes: list):
-        s = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-        number = {c: k for k, c in enumerate(classes)}
-        code = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[F.col("y")]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c, s = b["c"].to_numpy(float), b["s"].to_numpy(float)
+            for of, idx, own in coded_matrix(b["seq"].tolist(), f, params):
+                v = 1 / np.sqrt(np.where(own > 0, own, np.inf)) if params.normalized else np.ones(len(of))
+                yield pd.DataFrame({"meta": np.column_stack([c[of], s[of], v]).tolist(), "idx": list(idx.astype(np.int32))})
 
-        def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for of, idx, own in _matrix(b["seq"].tolist(), f, params):
-                    v = 1 / np.sqrt(own) if params.normalized else np.ones(len(of))
-                    yield pd.DataFrame({"c": b["c"].to_numpy()[of], "s": b["s"].to_numpy()[of], "v": v, "idx": list(idx.astype(np.int32))})
+    return CodedRows(df.select("seq", code.cast("int").alias("c"), s.alias("s")).mapInPandas(run, "meta array<double>, idx array<int>"), "svm-rows")
 
-        src = df.select("seq", code.cast("int").alias("c"), s.alias("s"))
-        self.rows = materialized(src.mapInPandas(coded, "c int, s double, v double, idx array<int>"), "svm-rows")
-        self.d, self.spark = len(f), df.sparkSession
-        self.parts = max(1, self.rows.select(F.spark_partition_id().alias("p")).distinct().count())
-        pairs = [(i, j) for i in range(len(classes)) for j in range(i + 1, len(classes))]
-        self.sign = np.zeros((len(classes), len(pairs)))  # of each class in each pair, 0 in those of others
-        for k, (i, j) in enumerate(pairs):
-            self.sign[i, k], self.sign[j, k] = -1.0, 1.0
 
-    def sums(self, given: tuple, shapes: list[tuple], add: Callable) -> list[np.ndarray]:
-        """Arrays of these shapes, added to by add(totals, given, sign * 1, s, v, lens, idx, dots) for blocks of rows; dots(x) are the rows' features
-        times the columns of x."""
-        shared, sign, pairs = self.spark.sparkContext.broadcast(given), self.sign, self.sign.shape[1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals, own = [np.zeros(x) for x in shapes], shared.value
-            for b in batches:
-                step = max(1, CELLS // max(1, pairs))
-                for a in range(0, b.num_rows, step):
-                    part = b.slice(a, step)
-                    c, s, v = (part.column(j).to_numpy() for j in range(3))
-                    lens = part.column(3).value_lengths().to_numpy()
-                    idx = part.column(3).flatten().to_numpy().astype(np.int64)
-                    row = np.repeat(np.arange(len(lens)), lens)
-
-                    def dots(x: np.ndarray, row=row, idx=idx, n=len(lens), v=v) -> np.ndarray:
-                        return np.stack([np.bincount(row, x[idx, j], n) for j in range(x.shape[1])], axis=1) * v[:, None]
-
-                    add(totals, own, sign[c], s[:, None], v, row, idx, dots)
-            flat = np.concatenate([x.reshape(-1) for x in totals])
-            at = range(0, len(flat), PIECE)
-            cols = [[0] * len(at), list(range(len(at))), [TaskContext.get().partitionId()] * len(at)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in cols), pa.array([flat[x : x + PIECE].tobytes() for x in at], pa.binary())], names=["fold", "piece", "part", "data"])
-
-        pieces = self.rows.mapInArrow(run, "fold int, piece int, part int, data binary")
-        size = sum(int(np.prod(x)) for x in shapes)
-        if self.parts * size <= MOST_CELLS // 10:  # few and small: added up in the driver
-            total = np.zeros(size)
-            for r in pieces.collect():
-                x = np.frombuffer(r["data"])
-                total[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] += x
-        else:
-            total = _added(pieces)[0]
-        shared.destroy()
-        ends = np.cumsum([int(np.prod(x)) for x in shapes])
-        return [total[e - int(np.prod(x)) : e].reshape(x) for e, x in zip(ends, shapes)]
-
-
-def _scatter(total: np.ndarray, values: np.ndarray, row: np.ndarray, idx: np.ndarray) -> None:
-    """Adds each row's values to its features."""
-    for j in range(values.shape[1]):
-        total[:, j] += np.bincount(idx, values[row, j], len(total))
-
-
-def _padded(x: np.ndarray) -> np.ndarray:
-    """With a row of zeros for what isn't observed."""
-    return np.concatenate([x, np.zeros((1, x.shape[1]))])
+def _signs(n: int) -> np.ndarray:
+    """[classes, pairs]: the sign of a class in each pair, 0 in those of others."""
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    out = np.zeros((n, len(pairs)))
+    for k, (i, j) in enumerate(pairs):
+        out[i, k], out[j, k] = -1.0, 1.0
+    return out
 
 
 def fit_svm(
@@ -126,14 +74,14 @@ def fit_svm(
         raise ValueError("loss is hinge or squared")
     if C <= 0:
         raise ValueError("C must be positive")
-    f = _observed(df, descriptors, params.n)
+    f = observed_features(df, descriptors, params.n)
     classes = sorted(r[0] for r in at_most(df.select("y").where("y is not null").distinct(), MOST_CLASSES, "classes"))
     if len(classes) < 2:
         raise ValueError("two classes are needed")
     df = df.where("y is not null")
-    scale = _centre(_sums(df.withColumn("y", F.lit(0.0)), f, params, ["y"], None)[0], f, params)[2] if center else 1.0
-    rows = _Rows(df, f, params, sample_weight, classes)
-    d, pairs = len(f), rows.sign.shape[1]
+    scale = centre_of(sums_by_fold(df.withColumn("y", F.lit(0.0)), f, params, ["y"], None)[0], f, params)[2] if center else 1.0
+    rows, sign = _coded(df, f, params, sample_weight, classes), _signs(len(classes))
+    d, pairs = len(f), sign.shape[1]
     if (d + 1) * pairs > MOST_CELLS:
         raise ValueError("more coefficients than a model may hold")
     dense = d <= MOST_DENSE and pairs * d * d <= MOST_CELLS // 4
@@ -141,54 +89,57 @@ def fit_svm(
     u, b = np.zeros((d, pairs)), np.zeros(pairs)
     for width in (None,) if loss == "squared" else WIDTHS:
         last = width in (None, WIDTHS[-1])
-        u, b = _newton(rows, u, b, smooth, C, width, dense, max_iter, TOL if last else 1e-3)
+        u, b = _newton(rows, sign, u, b, smooth, C, width, dense, max_iter, TOL if last else 1e-3)
     names = [(x, y) for i, x in enumerate(classes) for y in classes[i + 1 :]]
     return StringModel(params, f, u, np.full(pairs, float(C)), b, scale, [f"{x}|{y}" for x, y in names], names)
 
 
-def _newton(rows: _Rows, u: np.ndarray, b: np.ndarray, smooth: Callable, C: float, width: float | None, dense: bool, most: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+def _newton(rows: CodedRows, signs: np.ndarray, u: np.ndarray, b: np.ndarray, smooth: Callable, C: float, width: float | None, dense: bool, most: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     d, pairs = u.shape
     mu, first = smooth(u), None
     inner = lambda x, mx, xb, y, yb: (mx * y).sum(axis=0) + xb * yb
 
-    def slopes(t, given, sign, s, v, row, idx, dots):
+    def slopes(t, given, meta, block):
         mu, b = given
-        value, slope, curve = _loss(sign * (dots(mu) + b), width)
+        sign, s, v = signs[meta[:, 0].astype(int)], meta[:, 1:2], meta[:, 2:]
+        value, slope, curve = _loss(sign * (block.dots(mu) * v + b), width)
         used = sign != 0
         t[0] += (C * s * value * used).sum(axis=0)
         g = C * s * slope * sign
         t[1] += g.sum(axis=0)
-        _scatter(t[2], g * v[:, None], row, idx)
+        block.scatter(t[2], g * v)
         c = C * s * curve * used
         t[3] += c.sum(axis=0)
         if dense:  # sums over pairs of features, too
-            _scatter(t[4], c * v[:, None], row, idx)
+            block.scatter(t[4], c * v)
             place = np.cumsum(c.any(axis=1)) - 1  # rows without curvature add nothing
-            some, of = np.flatnonzero(c.any(axis=1)), c.any(axis=1)[row]
-            row, idx = place[row[of]], idx[of]
+            some, of = np.flatnonzero(c.any(axis=1)), c.any(axis=1)[block.row]
+            row, idx = place[block.row[of]], block.idx[of]
             for a in range(0, len(some), 2000):
                 own, of = some[a : a + 2000], (row >= a) & (row < a + 2000)
                 x = np.zeros((len(own), d + 1))
                 np.add.at(x, (row[of] - a, idx[of]), 1.0)
                 for j in range(c.shape[1]):
-                    t[5][j] += x.T @ (x * (c[own, j] * v[own] ** 2)[:, None])
+                    t[5][j] += x.T @ (x * (c[own, j] * v[own, 0] ** 2)[:, None])
 
-    def products(t, given, sign, s, v, row, idx, dots):
+    def products(t, given, meta, block):
         mu, b, mp, pb = given
-        _, _, curve = _loss(sign * (dots(mu) + b), width)
-        q = C * s * curve * (sign != 0) * (dots(mp) + pb)
+        sign, s, v = signs[meta[:, 0].astype(int)], meta[:, 1:2], meta[:, 2:]
+        _, _, curve = _loss(sign * (block.dots(mu) * v + b), width)
+        q = C * s * curve * (sign != 0) * (block.dots(mp) * v + pb)
         t[0] += q.sum(axis=0)
-        _scatter(t[1], q * v[:, None], row, idx)
+        block.scatter(t[1], q * v)
 
-    def lengths(t, given, sign, s, v, row, idx, dots):
+    def lengths(t, given, meta, block):
         mu, b, mp, pb = given
-        at, move, used = dots(mu) + b, dots(mp) + pb, sign != 0
+        sign, s, v = signs[meta[:, 0].astype(int)], meta[:, 1:2], meta[:, 2:]
+        at, move, used = block.dots(mu) * v + b, block.dots(mp) * v + pb, sign != 0
         for k, x in enumerate(LENGTHS):
             t[0][k] += (C * s * _loss(sign * (at + x * move), width)[0] * used).sum(axis=0)
 
     shapes = [(pairs,), (pairs,), (d + 1, pairs), (pairs,)] + ([(d + 1, pairs), (pairs, d + 1, d + 1)] if dense else [])
     for _ in range(most):
-        found = rows.sums((_padded(mu), b), shapes, slopes)
+        found = rows.sums((padded_rows(mu), b), shapes, slopes, pairs)
         value, gb, gu = found[0] + (u * mu).sum(axis=0) / 2, found[1], u + found[2][:d]
         mg = smooth(gu)
         norm = np.sqrt(np.maximum(inner(gu, mg, gb, gu, gb), 0))
@@ -212,7 +163,7 @@ def _newton(rows: _Rows, u: np.ndarray, b: np.ndarray, smooth: Callable, C: floa
                 qu = np.stack([h[j] @ mp[:, j] + found[4][:d, j] * pb[j] for j in range(pairs)], axis=1)
                 qb = np.array([found[4][:d, j] @ mp[:, j] for j in range(pairs)]) + found[3] * pb
             else:
-                qb, q = rows.sums((_padded(mu), b, _padded(mp), pb), [(pairs,), (d + 1, pairs)], products)
+                qb, q = rows.sums((padded_rows(mu), b, padded_rows(mp), pb), [(pairs,), (d + 1, pairs)], products, pairs)
                 qu = q[:d]
             qu, qb = qu + p, qb + damp * pb
             curve = (mp * qu).sum(axis=0) + pb * qb
@@ -223,7 +174,7 @@ def _newton(rows: _Rows, u: np.ndarray, b: np.ndarray, smooth: Callable, C: floa
             beta = np.where(open_, now / np.where(was > 0, was, 1.0), 0.0)
             p, pb, mp = r + beta * p, rb + beta * pb, mr + beta * mp
         mx = smooth(x)
-        (tried,) = rows.sums((_padded(mu), b, _padded(mx), xb), [(len(LENGTHS), pairs)], lengths)
+        (tried,) = rows.sums((padded_rows(mu), b, padded_rows(mx), xb), [(len(LENGTHS), pairs)], lengths, pairs)
         t = LENGTHS[:, None]
         tried = tried + ((u * mu).sum(axis=0) + 2 * t * (x * mu).sum(axis=0) + t**2 * (x * mx).sum(axis=0)) / 2
         best = tried.argmin(axis=0)

@@ -505,10 +505,10 @@ def ridge_targets(spark: SparkSession, d: str) -> DataFrame:
     return learn.predict_ridge(model, s).select("id", "target", r6("prediction").alias("prediction"))
 
 
-def _kernel_sums(spark: SparkSession, s: DataFrame, coef: DataFrame) -> DataFrame:
+def _kernel_sums(spark: SparkSession, s: DataFrame, coef: DataFrame, params: KernelParams = EVENT) -> DataFrame:
     """(id, f): sums of coefficients times kernel over all strings, by weights of grams: another path than a fit and its predictions."""
     longest = G.length_range(s).first()["max_len"]
-    w = W.length_weights(coef.join(s.select("id", "seq"), "id").select("id", "seq", "coef"), I.event_letters(spark), EVENT, longest)
+    w = W.length_weights(coef.join(s.select("id", "seq"), "id").select("id", "seq", "coef"), I.event_letters(spark), params, longest)
     return W.score_strings(materialized(w, "sums"), s).select("id", F.col("score").alias("f"))
 
 
@@ -618,6 +618,46 @@ def random_grid_scores(spark: SparkSession, d: str) -> DataFrame:
     return learn.grid_search(s, I.event_letters(spark), learn.random_search(spark, _GRID, 4, 7), normalized=False).select("param_id", "fold", "phase", r6("r2").alias("r2"))
 
 
+@query(f"""WITH {EV}, fo AS (SELECT unnest(range(0, 3)) AS fold), ph(phase) AS (VALUES ('train'), ('test')), ty AS (SELECT unnest(range(0, 2)) AS n_)
+SELECT CAST(n_ * 3 + a_ AS BIGINT) AS param_id, CAST(fold AS INTEGER) AS fold, phase, 0.0::DOUBLE AS r2_gap, 0.0::DOUBLE AS mse_gap FROM ty, (SELECT unnest(range(0, 3)) AS a_), fo, ph""")
+def grid_scores_of_fits(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of a grid, less those of a fit of its own for each set and fold, scored by its predictions: no difference."""
+    s = materialized(learn.kfold(I.event_strings(spark, d).withColumn("y", F.col("y") / 1000), 3, "id"), "folds")
+    grid = learn.param_grid(spark, _GRID | {"sigma_p": [2.0]})
+    found, out = learn.grid_search(s, I.event_letters(spark), grid, normalized=True), None
+    for p in grid.collect():
+        for k in range(3):
+            params = KernelParams(p["sigma_p"], p["sigma_c"], int(p["n"]), True)
+            model = learn.fit_ridge(s.where(F.col("fold") != k), I.event_letters(spark), params, p["alpha"])
+            phase = F.when(F.col("fold") == k, "test").otherwise("train").alias("phase")
+            scored = learn.predict_ridge(model, s).join(s.select("id", "y", phase), "id")
+            got = learn.regression_metrics(scored, ["phase"]).select(F.lit(p["param_id"]).alias("param_id"), F.lit(k).alias("fold"), "phase", F.col("r2").alias("own_r2"), F.col("mse").alias("own_mse"))
+            out = got if out is None else out.unionByName(got)
+    gap = lambda c: (F.round((F.col(c) - F.col(f"own_{c}")) / F.greatest(F.lit(1.0), F.abs(c)), 6) + 0.0).alias(f"{c}_gap")
+    return found.join(out, ["param_id", "fold", "phase"]).select("param_id", "fold", "phase", gap("r2"), gap("mse"))
+
+
+@query(f"""WITH {EV}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM ev)
+SELECT id, CAST(CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE n % 3 + (i - (n % 3) * (n // 3 + 1)) // (n // 3) END AS INTEGER) AS fold, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS lead FROM r""")
+def nested_predictions_of_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions out of fold, less kernel sums with the coefficients of a fit of the chosen set on the other folds (another path than a
+    model's predictions); and by how much another set's mean score is above that of the chosen one in the fold's search: nothing."""
+    s, letters = materialized(I.event_strings(spark, d).withColumn("y", F.col("y") / 1000), "nested"), I.event_letters(spark)
+    rows, chosen = learn.nested_cv(s, letters, _GRID, 3, 3, normalized=False)
+    rows, sets, out = materialized(rows, "nested-rows"), {r["param_id"]: r for r in learn.param_grid(spark, _GRID).collect()}, None
+    for c in chosen.collect():
+        p = sets[c["param_id"]]
+        params = KernelParams(p["sigma_p"], p["sigma_c"], int(p["n"]))
+        train = s.join(rows.where(F.col("fold") != c["fold"]).select("id"), "id")
+        scores = learn.grid_search(learn.kfold(train, 3, "id"), letters, learn.param_grid(spark, _GRID), normalized=False).where("phase = 'test'").groupBy("param_id").agg(F.avg("r2").alias("r2"))
+        lead = float(scores.agg(F.max("r2")).first()[0]) - c["score"]
+        coef = materialized(learn.dual_coefficients(learn.fit_ridge(train, letters, params, p["alpha"]), train).select("id", "coef"), "nested-duals")
+        sums = _kernel_sums(spark, s, coef, params)
+        got = rows.where(F.col("fold") == c["fold"]).join(sums, "id").select("id", "fold", (F.round(F.col("prediction") - F.col("f"), 5) + 0.0).alias("gap"), (F.round(F.lit(lead), 9) + 0.0).alias("lead"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 #: Results of a parameter search, as the reports take them: made of the events' values.
 _CV = """cv AS (SELECT user_id % 4 AS a, event_id % 3 AS b, user_id % 3 AS c, (user_id % 4) * 3 + event_id % 3 AS param_id, CAST(event_id % 5 AS INTEGER) AS fold,
 CASE WHEN event_id % 2 = 0 THEN 'test' ELSE 'train' END AS phase, value AS score FROM events)"""

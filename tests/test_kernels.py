@@ -207,14 +207,54 @@ def test_fits_of_many_features(spark, monkeypatch, rows):
         assert [again[i] for i in again] == pytest.approx([got[i] for i in again])
 
 
-def test_grid_of_many_features_equals_the_sums(spark, strings, desc, monkeypatch):
+@pytest.mark.parametrize("normalized,center", [(True, False), (False, True)])
+def test_grid_of_many_features_equals_the_sums(spark, strings, desc, monkeypatch, normalized, center):
     folds = learn.kfold(strings, 3, "id")
-    grid = learn.random_search(spark, {"sigma_p": [1.3], "sigma_c": [0.9], "n": [1, 2], "alpha": [0.7, 3.0]}, 2, seed=1)
-    assert grid.count() == 2 and {r.param_id for r in grid.collect()} == {r.param_id for r in learn.random_search(spark, {"sigma_p": [1.3], "sigma_c": [0.9], "n": [1, 2], "alpha": [0.7, 3.0]}, 2, seed=1).collect()}
-    key = lambda df: sorted((r.param_id, r.fold, r.phase, round(r.r2, 6), round(r.mse, 6), r.rows) for r in df.collect())
-    want = key(learn.grid_search(folds, desc, grid, normalized=True))
+    values = {"sigma_p": [1.3, 0.4], "sigma_c": [0.9], "n": [1, 2], "alpha": [3.0, 0.7, 20.0]}
+    grid = learn.random_search(spark, values, 7, seed=1)
+    ids = [r.param_id for r in grid.collect()]
+    assert len(ids) == 7 and set(ids) == {r.param_id for r in learn.random_search(spark, values, 7, seed=1).collect()}
+    key = lambda df: sorted((r.param_id, r.fold, r.phase, r.alpha, r.rows, round(r.r2, 6), round(r.mse, 6)) for r in df.collect())
+    want = key(learn.grid_search(folds, desc, grid, normalized, center))
     monkeypatch.setattr(learn, "MOST_DENSE", 0)
-    assert key(learn.grid_search(folds, desc, grid, normalized=True)) == want
+    assert key(learn.grid_search(folds, desc, grid, normalized, center)) == want
+
+
+def dense_ridge(train, test, sp, sc, n, alpha):
+    """Predictions for the strings of test of a fit on (seq, y) of train."""
+    K = np.array([[k(a, b, sp, sc, n) for b, _ in train] for a, _ in train])
+    c = np.linalg.solve(K + alpha * np.eye(len(K)), np.array([y for _, y in train]))
+    return np.array([sum(v * k(a, b, sp, sc, n) for v, (b, _) in zip(c, train)) for a, _ in test])
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_nested_search_equals_dense_fits(spark, desc, monkeypatch, most):
+    """Each fold's best set, its score and the predictions out of fold, by dense ridge alone."""
+    monkeypatch.setattr(learn, "MOST_DENSE", most)
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("ABC"), rng.integers(2, 5))), float(rng.standard_normal())) for i in range(13)]
+    rows = [(i, x, y + x.count("A")) for i, x, y in rows]
+    values = {"sigma_p": [0.5, 2.0], "sigma_c": [0.9], "n": [2], "alpha": [0.3, 3.0]}
+    sets = list(itertools.product(*values.values()))
+    parts = lambda t, k: [list(x) for x in np.array_split(np.array(t, object), k)]
+    got, chosen = learn.nested_cv(spark.createDataFrame(rows, "id long, seq string, y double").repartition(2), desc, values, 3, 2, normalized=False)
+    got, chosen = {r.id: (r.fold, r.prediction) for r in got.collect()}, {r.fold: (r.param_id, r.score) for r in chosen.collect()}
+    pair = lambda t: [(r[1], r[2]) for r in t]
+    for fold, test in enumerate(parts(rows, 3)):
+        train = [r for r in rows if r[0] not in {x[0] for x in test}]
+        scores = []
+        for sp, sc, n, alpha in sets:
+            r2 = []
+            for own in parts(train, 2):
+                rest = [r for r in train if r[0] not in {x[0] for x in own}]
+                y, f = np.array([r[2] for r in own]), dense_ridge(pair(rest), pair(own), sp, sc, n, alpha)
+                r2.append(1 - ((y - f) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+            scores.append(np.mean(r2))
+        best = int(np.argmax(scores))
+        assert chosen[fold] == (best, pytest.approx(scores[best]))
+        sp, sc, n, alpha = sets[best]
+        assert [got[r[0]][1] for r in test] == pytest.approx(dense_ridge(pair(train), pair(test), sp, sc, n, alpha).tolist())
+        assert {got[r[0]][0] for r in test} == {fold}
 
 
 def test_letters_outside_the_alphabet(spark, desc):

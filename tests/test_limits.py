@@ -42,7 +42,7 @@ def test_pivoted_columns(spark, monkeypatch):
 def test_features_of_a_model(spark, letters, monkeypatch):
     monkeypatch.setattr(learn, "MOST_FEATURES", 2)
     with pytest.raises(ValueError, match="features"):
-        learn._observed(spark.createDataFrame([(0, "ABC")], "id long, seq string"), letters, 1)
+        learn.observed_features(spark.createDataFrame([(0, "ABC")], "id long, seq string"), letters, 1)
 
 
 def test_grams_of_over_a_hundred_lengths(spark):
