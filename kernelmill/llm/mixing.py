@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .util import WORD, small_batches, written
 
-#: Blocks of a source: one for this many rows, at most so many.
-BLOCK_ROWS, MOST_BLOCKS = 64, 4096
+#: Blocks of a source: one for this many rows, at most so many. A block at the border is cut in one of 2^RANGE_BITS ranges of its order.
+BLOCK_ROWS, MOST_BLOCKS, RANGE_BITS = 64, 4096, 12
 #: Tables of sources and of blocks are broadcast up to so many rows, which are counted; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Source groups whose quotas the driver splits; the sources of a group are split in a task of its own.
@@ -182,15 +182,23 @@ def mix(
     where = placed.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
     whole = blocks.withColumn("border", (F.col("more") > 0) & (F.col("more") < F.col("words")))
     plan = written(whole.join(where, ["key", "block"], "left"), "mix-plan")
+    # Where a border block is cut is found on slim rows: by the sums of ranges of its order first, so that only the rows of one range need a running sum.
+    place = F.shiftright(u("h"), 64 - RANGE_BITS)
+    slim = deal(sized).join(whole.where("border").select("key", "block", "more"), ["key", "block"])
+    sums = slim.groupBy("key", "block", "more", place.alias("cut")).agg(F.sum("size").alias("words"))
+    earlier = F.coalesce(F.sum("words").over(Window.partitionBy("key", "block").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = sums.withColumn("rest", F.col("more") - earlier).where("rest > 0 and rest <= words").select("key", "block", "cut", "rest")
+    plan = written(plan.join(cuts, ["key", "block"], "left"), "mix-cuts")
     rows = deal(full).join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, ["key", "block"])
-    # Only border blocks, at most one a source, need a running sum over their rows.
     inside = Window.partitionBy("key", "block").orderBy(u("h"), "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     cols = ["row", "h", "size", "source_size", "target", "passes", "shards"]
-    full = rows.where("not border").select(*cols, F.when(F.col("more") > 0, F.col("size")).otherwise(F.lit(0)).alias("extra"))
-    part = rows.where("border").select(
+    at_cut = F.col("border") & (place == F.col("cut"))
+    taken_whole = F.when(F.col("border"), place < F.col("cut")).otherwise(F.col("more") > 0)
+    full = rows.where(~at_cut | at_cut.isNull()).select(*cols, F.when(taken_whole, F.col("size")).otherwise(F.lit(0)).alias("extra"))
+    part = rows.where(at_cut).select(
         *cols,
         F.greatest(
-            F.lit(0).cast("long"), F.least(F.col("size"), F.col("more") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
         ).alias("extra"),
     )
     both = full.unionByName(part)

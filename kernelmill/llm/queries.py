@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from . import decontam, katz, langid, lexical, lines, mixing, quality, revisits, secrets, simhash, substrings, topk, whitening
+from .util import written
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +82,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"), carry=["doc_id"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.to_json("places").alias("places"))
+    """The mix, written as shuffled output shards; the words taken of each document are those read back from the shards."""
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), carry=["doc_id"]).withColumn("n", F.monotonically_increasing_id())
+    mixed = written(mixed, "mixed")
+    path = f"{shared_dir(spark)}/mix-shards-{uuid.uuid4().hex}"
+    files = max(16, mixed.count() // 100_000)
+    mixing.write_shards(mixed.select(F.struct("n", "row.doc_id").alias("row"), "places"), path, files)
+    back = spark.read.parquet(path).groupBy("row.n").agg(F.sum("words").alias("taken"), F.count("*").alias("copies"))
+    rows = mixed.drop("taken").join(back, "n", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("row.doc_id", "size", "source_size", "target", none("taken"), none("copies"), F.to_json("places").alias("places"))
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

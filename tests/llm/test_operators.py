@@ -303,6 +303,15 @@ def test_shards_of_a_mix(docs, tmp_path):
         assert keys == sorted(keys)
 
 
+def test_cuts_of_border_blocks(docs, monkeypatch):
+    """However many ranges a border block is searched in, the same rows are taken."""
+    taken = []
+    for bits in (1, 12, 40):
+        monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+        taken.append(sorted(map(repr, mixing.mix(docs, shards=4, carry=["doc_id", "text"]).select("row", "taken", "places").collect())))
+    assert taken[0] == taken[1] == taken[2]
+
+
 def test_split_tree_keeps_the_sums():
     colours, rng = np.array([5, 0, 17, 3]), np.random.default_rng(0)
     q = mixing.split_tree(colours, np.array([7, 6, 6, 6]), rng)
