@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_features
+from ..functions.grams import gram_dictionary, gram_features
 from ..functions.similarity import letter_similarity, position_similarity
 from ..params import KernelParams
 from .kernels import gs_self
@@ -99,32 +99,60 @@ def exact_gram_weights(train: DataFrame, sigma_p: float, n: int, length: int) ->
 
 
 def _all_grams(weights: DataFrame, letters: DataFrame, max_n: int) -> DataFrame:
-    """(model_id, gram) of all grams of max_n letters for each model of the table."""
-    one = letters.select("letter").distinct()
-    grams = one.select(F.col("letter").alias("gram"))
-    for _ in range(max_n - 1):
-        grams = grams.crossJoin(one).select(F.concat("gram", "letter").alias("gram"))
+    """(model_id, gram) of all grams of max_n letters for each model of the table; an error for more than MOST_GRAMS."""
+    grams = gram_dictionary(letters.select("letter").distinct().withColumn("letter_idx", F.lit(0)), max_n).select("gram")
     return weights.select("model_id").distinct().crossJoin(grams)
 
 
-def rollup_weights(weights: DataFrame, min_n: int, max_n: int, length: int, letters: DataFrame) -> DataFrame:
-    """(model_id, pos, gram, w): at positions 0 to max(length - max_n, 0), the weights of all grams of min_n to max_n letters that a gram starts with."""
+def weight_trie(weights: DataFrame, min_n: int, max_n: int) -> DataFrame:
+    """(model_id, pos, prefix, w): for each (pos, gram) with a weight of its own, and each prefix of one, the weights of all grams of min_n letters or more
+    that it starts with.
+
+    A gram's rolled-up weight is that of its longest prefix in the table, so all grams that go on from there without weights of their own share one
+    row: the table is as large as the weights times max_n, whatever the number of possible grams.
+    """
+    own = weights.where(F.col("n").between(min_n, max_n)).select("model_id", "n", "pos", "gram", "w")
+    below = own.select("model_id", "pos", "gram", "w", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("size"))
+    prefix = F.expr("substring(gram, 1, size)").alias("prefix")
+    nodes = below.groupBy("model_id", "pos", prefix).agg(F.sum(F.when(F.length("gram") == F.col("size"), F.col("w")).otherwise(0.0)).alias("w"))
+    # each node gives its weight to itself and takes those of its prefixes
+    up = nodes.select("model_id", "pos", F.col("prefix").alias("node"), F.explode(F.sequence(F.lit(1), F.length("prefix"))).alias("size"))
+    up = up.select("model_id", "pos", "node", F.expr("substring(node, 1, size)").alias("prefix"))
+    return up.join(nodes, ["model_id", "pos", "prefix"]).groupBy("model_id", "pos", F.col("node").alias("prefix")).agg(F.sum("w").alias("w"))
+
+
+def rolled_up(trie: DataFrame, asked: DataFrame) -> DataFrame:
+    """(model_id, pos, gram, w) for the grams asked for (pos, gram), under each model of a weight trie; 0 where no prefix has a weight."""
+    models = trie.select("model_id").distinct()
+    every = models.crossJoin(asked.select("pos", "gram").distinct())
+    steps = every.withColumn("size", F.explode(F.sequence(F.lit(1), F.length("gram")))).withColumn("prefix", F.expr("substring(gram, 1, size)"))
+    found = steps.join(trie, ["model_id", "pos", "prefix"], "left")
+    return found.groupBy("model_id", "pos", "gram").agg(F.coalesce(F.max_by("w", F.when(F.col("w").isNotNull(), F.col("size"))), F.lit(0.0)).alias("w"))
+
+
+def rollup_weights(weights: DataFrame, min_n: int, max_n: int, length: int, letters: DataFrame | None, asked: DataFrame | None = None) -> DataFrame:
+    """(model_id, pos, gram, w): at positions 0 to max(length - max_n, 0), the weights of all grams of min_n to max_n letters that a gram starts with.
+
+    Of all grams of max_n letters over the alphabet, or of those asked for (gram) alone, which takes no table of all.
+    """
     last = max(length - max_n, 0)
-    full = _all_grams(weights, letters, max_n).crossJoin(weights.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("pos")))
-    by_n = full.withColumn("n", F.explode(F.sequence(F.lit(min_n), F.lit(max_n)))).withColumn("part", F.expr("substring(gram, 1, n)"))
-    small = weights.select("model_id", "n", "pos", F.col("gram").alias("part"), "w")
-    return by_n.join(small, ["model_id", "n", "pos", "part"], "left").groupBy("model_id", "pos", "gram").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    every = weights.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("pos"))
+    trie = weight_trie(weights.where(F.col("pos") <= last), min_n, max_n)
+    if asked is None:
+        asked = _all_grams(weights, letters, max_n).select("gram").distinct()
+    return rolled_up(trie, asked.select("gram").distinct().crossJoin(F.broadcast(every)))
 
 
-def end_weights(weights: DataFrame, min_n: int, max_n: int, length: int, letters: DataFrame) -> DataFrame:
-    """(model_id, gram, w): for each final gram, the weights of the shorter grams that start after its first letter."""
+def end_weights(weights: DataFrame, min_n: int, max_n: int, length: int, letters: DataFrame | None, asked: DataFrame | None = None) -> DataFrame:
+    """(model_id, gram, w): for each final gram, the weights of the shorter grams that start after its first letter; of all grams, or of those asked for (gram)."""
     last = max(length - max_n, 0)
     steps = [
         F.struct(F.lit(n).alias("n"), F.lit(last + 1 + i).alias("pos"), F.substring("gram", i + 2, n).alias("part"))
         for n in range(min_n, max_n + 1)
         for i in range(min(max_n, length) - n)
     ]
-    full = _all_grams(weights, letters, max_n)
+    models = weights.select("model_id").distinct()
+    full = _all_grams(weights, letters, max_n) if asked is None else models.crossJoin(asked.select("gram").distinct())
     if not steps:
         return full.withColumn("w", F.lit(0.0))
     parts = full.withColumn("s", F.explode(F.array(*steps))).select("model_id", "gram", "s.n", "s.pos", "s.part")

@@ -352,6 +352,14 @@ def weights_rolled_up(spark: SparkSession, d: str) -> DataFrame:
     return W.rollup_weights(_lengths(spark, d, 5), 1, 3, 5, I.event_letters(spark)).select("pos", "gram", r6("w").alias("w"))
 
 
+@query(f"""WITH {_X_W.replace("{L}", "5")}, ask AS (SELECT DISTINCT gram FROM {sql_grams("ev", 3)})
+SELECT CAST(q.p AS INTEGER) AS pos, ask.gram, round(coalesce(sum(w.w), 0), 6) AS w FROM ask, (SELECT p FROM p WHERE p < 3) q LEFT JOIN w ON w.pos = q.p AND w.gram = ask.gram[1 : w.n] GROUP BY 1, 2""")
+def weights_of_asked_grams(spark: SparkSession, d: str) -> DataFrame:
+    """Rolled-up weights of the grams that occur, without a table of all grams."""
+    asked = G.positional_grams(I.event_strings(spark, d), 3).select("gram").distinct()
+    return W.rollup_weights(_lengths(spark, d, 5), 1, 3, 5, None, asked).select("pos", "gram", r6("w").alias("w"))
+
+
 def _ends_sql(size: int) -> str:
     steps = [(n, size - 3 + 1 + i, i) for n in (1, 2, 3) for i in range(3 - n)]
     rows = ", ".join(map(str, steps))
@@ -798,6 +806,11 @@ def boxes_of_groups(spark: SparkSession, d: str) -> DataFrame:
     return b.select("event_type", *[r6(c).alias(c) for c in ("q1", "median", "q3", "low_whisker", "high_whisker")], "n_outliers")
 
 
+@query("SELECT event_type, share::DOUBLE AS share, round(quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])[i], 6) AS q FROM events, (VALUES (0.1, 1), (0.25, 2), (0.5, 3), (0.75, 4), (0.9, 5)) x(share, i) GROUP BY event_type, share, i")
+def quantiles_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    return report.quantiles(I.read(spark, d, "events"), "event_type", "value", (0.1, 0.25, 0.5, 0.75, 0.9)).withColumn("q", r6("q"))
+
+
 @query("""WITH s AS (SELECT event_type, min(value) AS lo, (max(value) - min(value)) / 50 AS w, count(*) AS total FROM events GROUP BY 1),
 c AS (SELECT event_type, CAST(least(49, floor((value - lo) / w)) AS INTEGER) AS bin, count(*) AS n FROM events JOIN s USING (event_type) GROUP BY 1, 2),
 g AS (SELECT *, unnest(range(0, 50)) AS bin FROM s)

@@ -257,6 +257,26 @@ def test_nested_search_equals_dense_fits(spark, desc, monkeypatch, most):
         assert {got[r[0]][0] for r in test} == {fold}
 
 
+def test_sparse_roll_up(spark):
+    """Asked grams over twenty letters with n = 6 (64 million in all), and all grams of a small alphabet, against sums over prefixes."""
+    rng = np.random.default_rng(6)
+    for letters, n, length, grams in (("ACDEFGHIKLMNPQRSTVWY", 6, 9, 60), ("ABC", 3, 5, 20)):
+        word = lambda m: "".join(rng.choice(list(letters), m))
+        base = [word(n) for _ in range(grams)]
+        own = {(k, p, b[:k]): float(rng.standard_normal()) for b in base for k in range(1, n + 1) for p in range(length - k + 1) if rng.random() < 0.4}
+        w = spark.createDataFrame([(0, k, p, g, v) for (k, p, g), v in own.items()], "model_id int, n int, pos int, gram string, w double")
+        asked = base + [b[: n - 2] + word(2) for b in base] + [word(n) for _ in range(20)] if n == 6 else ["".join(x) for x in itertools.product(letters, repeat=n)]
+        table = spark.createDataFrame([(g,) for g in asked], "gram string") if n == 6 else None
+        alphabet = spark.createDataFrame([(c, i) for i, c in enumerate(letters)], "letter string, letter_idx int")
+        got = {(r.pos, r.gram): r.w for r in W.rollup_weights(w, 1, n, length, alphabet, table).collect()}
+        want = {(p, g): sum(own.get((k, p, g[:k]), 0.0) for k in range(1, n + 1)) for g in set(asked) for p in range(length - n + 1)}
+        assert got == pytest.approx(want)
+        ends = {r.gram: r.w for r in W.end_weights(w, 1, n, length, alphabet, table).collect()}
+        assert ends == pytest.approx({g: sum(own.get((k, length - n + 1 + i, g[i + 1 : i + 1 + k]), 0.0) for k in range(1, n + 1) for i in range(n - k)) for g in set(asked)})
+    with pytest.raises(ValueError, match="at most"):
+        W.end_weights(w, 1, 14, 20, alphabet)
+
+
 def test_letters_outside_the_alphabet(spark, desc):
     s = spark.createDataFrame([(0, "AB"), (1, "AX"), (2, None), (3, "")], "id long, seq string")
     good, bad = G.split_valid(s, desc)

@@ -1,5 +1,6 @@
 """Spectra, Euler strings and reports."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -52,9 +53,32 @@ def test_histogram_and_density_match_numpy(spark):
     want, edges = np.histogram(x, 10, density=True)
     assert [r.density for r in rows] == pytest.approx(list(want)) and [r.low for r in rows] == pytest.approx(list(edges[:-1]))
     assert report.histogram(df, "g", "v", 10).where("g = 'one'").count() == 10
-    exact = [r.density for r in report.kde(df, "g", "v", 20).orderBy("point").collect()]
-    binned = [r.density for r in report.kde(df, "g", "v", 20, bins=2000).orderBy("point").collect()]
-    assert binned == pytest.approx(exact, abs=1e-3)
+    h = x.std(ddof=1) * 300 ** -0.2
+    at = np.array([r.x for r in report.kde(df, "g", "v", 20).orderBy("point").collect()])
+    want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(axis=1) / (300 * h * math.sqrt(2 * math.pi))
+    assert at[0] == pytest.approx(x.min() - np.ptp(x) / 2) and at[-1] == pytest.approx(x.max() + np.ptp(x) / 2)
+    for error in (1e-9, 0.01, 0.2):  # each value for itself; binned to nodes, by linear shares
+        got = [r.density for r in report.kde(df, "g", "v", 20, error).orderBy("point").collect()]
+        assert np.abs(np.array(got) - want).max() <= (error if error > 1e-9 else 1e-12) / h
+    assert report.kde(df, "g", "v", 20).where("g = 'one'").count() == 0
+
+
+@pytest.mark.parametrize("few,buckets", [(10, 4), (1, 2), (10_000, 1024)])
+def test_quantiles_by_selection(spark, monkeypatch, few, buckets):
+    """Ranks narrowed down by ranges give what sorting gives: with copies, skewed values, few values and none."""
+    for name, value in (("MOST_VALUES", 0), ("FEW", few), ("BUCKETS", buckets)):
+        monkeypatch.setattr(report, name, value)
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=200), "b": np.exp(rng.normal(size=150) * 4), "c": np.r_[np.full(120, 3.5), rng.normal(size=40)], "d": np.array([2.0]), "e": np.array([1.0, -4.0])}
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [("a", None), (None, 1.0), ("z", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.g, r.share): r.q for r in report.quantiles(df, "g", "v", shares).collect()}
+    assert set(got) == {(g, p) for g in groups for p in shares}
+    assert all(got[g, p] == pytest.approx(np.quantile(own, p)) for g, own in groups.items() for p in shares)
+    boxes = {r.g: r for r in report.box_summary(df, "g", "v").collect()}
+    monkeypatch.setattr(report, "MOST_VALUES", 10**6)
+    assert boxes["b"] == {r.g: r for r in report.box_summary(df, "g", "v").collect()}["b"]
 
 
 def test_profile(spark):
