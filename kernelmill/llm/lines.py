@@ -82,7 +82,7 @@ def drop_boilerplate(
         large = F.broadcast(large) if large.count() <= BROADCAST_SITES else large
         drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     src = pages.select(
-        _row_hash(pages).alias("hash"),
+        (F.lit(0) if large is None else _row_hash(pages)).alias("hash"),
         F.struct(*[pages[c] for c in pages.columns]).alias("row"),
         _host(pages[host]).alias("site"),
         F.split(pages[text], "\n").alias("all"),

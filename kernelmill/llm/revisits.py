@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import written
+
 # Query parameters that only track, and the headers that a 304 response may update.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid)$"
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -65,9 +67,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
         canonical_url(records["url"]).alias("canonical"),
         *[records[c] for c in own if c != "url"],
     )
-    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    lost = src.where(~placed & (F.col("kind") == "revisit"))
-    src = src.where(placed).withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    placed = records["url"].isNotNull() & records["ts"].isNotNull()
+    lost, src = src.where(~placed & (records["kind"] == "revisit")), src.where(placed)
+    # written once, as five steps read them: URLs are made canonical once
+    src = written(src.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds)), "revisits")
     light = src.withColumn("full", F.when(F.col("kind") == "response", full))
     last = light.where("full is not null").groupBy("canonical", "bucket").agg(
         F.max_by("full", F.struct("ts", "record_id")).alias("last")
