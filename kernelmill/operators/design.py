@@ -169,73 +169,78 @@ def complete_prefix(weights: DataFrame, prefixes: DataFrame, length: int, k: int
     return _finish(layer, None, length, k, by)
 
 
-class _Search:
-    """Bounds of partial strings, known from the right: `suffix` is their end, what stands before is free."""
+class _Norms:
+    """Bounds of the kernel of a string with itself, where its end is known and the letters before are free.
 
-    def __init__(self, letters, vectors, params: KernelParams, kernel: str, min_n: int, objective: str, weights: dict, layer: dict, length: int):
-        self.letters, self.kernel, self.n, self.min_n, self.length, self.objective = letters, kernel, params.n, min_n, length, objective
-        self.s = letter_matrix(vectors, params.sigma_c)[:-1, :-1] if kernel == "gs" else np.eye(len(letters))
+    A free letter stands for the one that gives least (or most) against each known letter, place by place, so known letters bound the cross part too;
+    only pairs of two different free places fall back on the least similarity of all.
+    """
+
+    def __init__(self, letters: list[str], vectors: np.ndarray, params: KernelParams, kernel: str, min_n: int, objective: str, length: int):
+        self.letters, self.n, self.min_n, self.length, self.objective = letters, params.n, min_n, length, objective
+        s = letter_matrix(vectors, params.sigma_c)[:-1, :-1] if kernel == "gs" else np.eye(len(letters))
         self.p = position_matrix(length, length, params.sigma_p)
-        self.weights, self.layer = weights, layer
-        # most and least that a pair of places can give when a letter of it is free
-        room = np.minimum(self.n, length - np.maximum(*np.indices((length, length))))
-        room = np.maximum(0, room - min_n + 1)
-        low, same = float(self.s.min()), room * np.eye(length)
-        self.high, self.low = self.p * room, np.where(np.eye(length) > 0, same, self.p * (low if min_n == 1 else low**min_n) * (room > 0))
-
-    def norm(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least, greatest) kernel with itself of strings that end with codes; both exact for whole strings."""
-        m, first = codes.shape[1], self.length - codes.shape[1]
-        s = self.s[codes[:, :, None], codes[:, None, :]]
+        self.least, self.most = (np.block([[s, f(s, axis=0)[:, None]], [f(s, axis=0)[None, :], np.full((1, 1), f(s))]]) for f in (np.min, np.max))
+
+    def norm(self, codes: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Kernels of coded strings with themselves under letter similarities s; a place is like itself."""
+        m = codes.shape[1]
+        s = s[codes[:, :, None], codes[:, None, :]]
+        s[:, np.arange(m), np.arange(m)] = 1.0
         total, chain = np.zeros_like(s), np.ones_like(s)
-        for t in range(self.n):
+        for t in range(min(self.n, m)):
             chain = chain[:, : m - t, : m - t] * s[:, t:, t:]
             if t + 1 >= self.min_n:
                 total[:, : m - t, : m - t] += chain
-            if m - t - 1 <= 0:
-                break
-        own = np.einsum("aij,ij->a", total, self.p[first:, first:])
-        free = np.ones((self.length, self.length), bool)
-        free[first:, first:] = False
-        return own + self.low[free].sum(), own + self.high[free].sum()
-
-    def bound(self, seqs: list[str]) -> np.ndarray:
-        """Most that the objective can be for strings that end so; the objective itself for whole strings."""
-        n, m = self.n, len(seqs[0])
-        first = self.length - m
-        number = {c: i for i, c in enumerate(self.letters)}
-        codes = np.array([[number[c] for c in x] for x in seqs])
-        best = np.array([self.layer[first, x[:n]] + sum(self.weights[first + j, x[j : j + n]] for j in range(1, m - n + 1)) for x in seqs])
-        low, high = self.norm(codes)
+        return np.einsum("aij,ij->a", total, self.p)
+
+    def bound(self, seqs: list[str], best: np.ndarray) -> np.ndarray:
+        """Most that the objective can be for strings that end so and score at most `best`; the objective itself for whole strings."""
+        number, free = {c: i for i, c in enumerate(self.letters)}, self.length - len(seqs[0])
+        codes = np.array([[len(self.letters)] * free + [number[c] for c in x] for x in seqs])
+        low = self.norm(codes, self.least)
         if self.objective == "distance":
             return 2 * best - low
+        high = self.norm(codes, self.most) if free and (best < 0).any() else low
         return best / np.sqrt(np.where(best >= 0, low, high))
 
 
 def _frontier(weights: DataFrame, descriptors: DataFrame, params: KernelParams, length: int, k: int, kernel: str, objective: str, min_n: int, max_frontier: int, floor: float = -np.inf) -> tuple[DataFrame, float, bool]:
-    """((seq, score) of the k best, the k-th best score, whether exact) for one model."""
+    """((seq, score) of the k best, the k-th best score, whether exact) for one model.
+
+    An ending carries the weights of its grams after the first (tail), and the best that all before can give comes by a join with the layer of its first
+    gram: weights and layers stay tables, of any size. Strings with a gram that has no weight don't occur.
+    """
     n = _gram_length(weights)
     if length < n:
         raise ValueError("length must be at least n")
     spark, letters = weights.sparkSession, letters_of(descriptors)
-    if len(letters) ** n * (length - n + 1) > 2_000_000:
-        raise ValueError("too many (position, gram) weights for a bound table")
-    table = {(r["pos"], r["gram"]): r["w"] for r in weights.select("pos", "gram", "w").collect()}
-    layer = {(r["layer"], r["gram"]): r["score"] for r in layer_max(weights, length).select("layer", "gram", "score").collect()}
-    search = _Search(letters, descriptor_matrix(descriptors), params, kernel, min_n, objective, table, layer, length)
-    shared = spark.sparkContext.broadcast(search)
+    weights = materialized(weights.select(*weights.columns), "bound-weights")
+    layers = materialized(layer_max(weights, length).select("layer", "gram", F.col("score").alias("best")), "bound-layers")
+    shared = spark.sparkContext.broadcast(_Norms(letters, descriptor_matrix(descriptors), params, kernel, min_n, objective, length))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for a in range(0, len(b), 20_000):
-                seqs = b["seq"].iloc[a : a + 20_000].tolist()
-                yield pd.DataFrame({"seq": seqs, "score": shared.value.bound(seqs)})
-
-    one = spark.createDataFrame([(c,) for c in letters], "c string")
-    last = weights.where(F.col("pos") == length - n).select(F.col("gram").alias("seq"))
-
-    def level(rows: DataFrame, above: float, most: int | None) -> tuple[DataFrame, bool]:
-        got = rows.mapInPandas(run, "seq string, score double").where(F.col("score") >= above)
+            for a in range(0, len(b), 10_000):
+                part = b.iloc[a : a + 10_000]
+                yield pd.DataFrame({"seq": part["seq"], "tail": part["tail"], "score": shared.value.bound(part["seq"].tolist(), part["best"].to_numpy(float))})
+
+    def bounded(rows: DataFrame, first: int) -> DataFrame:
+        """rows (seq, tail) with the bound of each as score."""
+        layer = layers.where(F.col("layer") == first).select(F.col("gram").alias("g"), "best")
+        found = rows.join(layer, F.substring("seq", 1, n) == F.col("g")).select("seq", "tail", (F.col("best") + F.col("tail")).alias("best"))
+        return found.mapInPandas(run, "seq string, tail double, score double")
+
+    def longer(rows: DataFrame, first: int) -> DataFrame:
+        """Endings that begin at `first`, with each letter before them."""
+        own = weights.where(F.col("pos") == first).select(F.col("gram").alias("g"), "w")
+        c = F.explode(F.array(*[F.lit(x) for x in letters])).alias("c")
+        return rows.join(own, F.substring("seq", 1, n) == F.col("g")).select("seq", (F.col("tail") + F.col("w")).alias("tail"), c).select(F.concat("c", "seq").alias("seq"), "tail")
+
+    last = weights.where(F.col("pos") == length - n).select(F.col("gram").alias("seq"), F.lit(0.0).alias("tail"))
+
+    def level(rows: DataFrame, first: int, above: float, most: int | None) -> tuple[DataFrame, bool]:
+        got = bounded(rows, first).where(F.col("score") >= above)
         if most is None:
             return materialized(got.repartition(spark.sparkContext.defaultParallelism, "seq"), "frontier"), True
         got = materialized(got, "frontier")
@@ -243,11 +248,11 @@ def _frontier(weights: DataFrame, descriptors: DataFrame, params: KernelParams,
         return (got if full else got.orderBy(F.desc("score"), "seq").limit(most)), full
 
     def sweep(above: float, most: int | None) -> tuple[DataFrame, bool]:
-        rows, exact = level(last, above, most)
-        for _ in range(length - n):
-            rows, full = level(F.broadcast(one).crossJoin(rows).select(F.concat("c", "seq").alias("seq")), above, most)
+        rows, exact = level(last, length - n, above, most)
+        for first in range(length - n - 1, -1, -1):
+            rows, full = level(longer(rows, first + 1), first, above, most)
             exact = exact and full
-        return rows, exact
+        return rows.select("seq", "score"), exact
 
     def kth(rows: DataFrame) -> float:
         best = rows.orderBy(F.desc("score")).limit(k).collect()

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -151,6 +152,35 @@ def test_designs_equal_full_enumeration(spark, strings, desc, shift):
     assert design.best_distance({3: w}, desc, p).first().distance == pytest.approx(best[0])
 
 
+def test_normalized_designs_over_twenty_letters(spark):
+    """Grams of five letters over twenty: bounds are joins, so no table of all 3.2 million grams is needed. Against all strings that the grams allow."""
+    rng, letters, size, p = random.Random(4), "ACDEFGHIKLMNPQRSTVWY", 8, KernelParams(1.1, 0.8, 5)
+    vec = {c: np.array([rng.gauss(0, 1) for _ in range(3)]) for c in letters}
+    desc = spark.createDataFrame([(c, i, v.tolist()) for i, (c, v) in enumerate(vec.items())], "letter string, letter_idx int, descriptors array<double>")
+    base = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(40)]
+    base += [x[:j] + rng.choice(letters) + x[j + 1 :] for x in base for j in (1, 6)]
+    w = {(i, x[i : i + 5]): rng.gauss(0.3, 1.0) for x in base for i in range(size - 4)}
+    whole = {g: v for (i, g), v in w.items() if i == 0}
+    for i in range(1, size - 4):
+        whole = {x + g[-1]: v + w[i, g] for x, v in whole.items() for (j, g) in w if j == i and g[:-1] == x[-4:]}
+    table = spark.createDataFrame([(0, i, g, v) for (i, g), v in w.items()], "model_id int, pos int, gram string, w double")
+    want = sorted(((v / math.sqrt(k(x, x, 1.1, 0.8, 5, vec)), x) for x, v in whole.items()), reverse=True)[:6]
+    got = design.k_best_normalized(table, desc, p, size, 6).orderBy("rank").collect()
+    assert [r.seq for r in got] == [x for _, x in want] and [r.score for r in got] == pytest.approx([v for v, _ in want]) and got[0].is_exact
+
+
+def test_bounds_hold(desc):
+    """No string that ends as given has a kernel with itself outside the bounds."""
+    vectors = np.array([v for _, _, v in LETTERS])
+    for kernel, min_n in (("gs", 1), ("exact", 1), ("exact", 2)):
+        b = design._Norms(list("ACB"), vectors, KernelParams(1.3, 0.9, 3), kernel, min_n, "normalized", 5)
+        for end in ("B", "AB", "CABA"):
+            codes = np.array([[3] * (5 - len(end)) + ["ACB".index(c) for c in end]])
+            low, high = b.norm(codes, b.least)[0], b.norm(codes, b.most)[0]
+            own = [k(x, x, 1.3, 0.9, 3, exact=kernel == "exact", min_n=min_n) for x in all_strings(5) if x.endswith(end)]
+            assert low <= min(own) + 1e-9 and max(own) <= high + 1e-9
+
+
 def test_design_limits(spark, strings, desc):
     w = W.gram_weights(strings.withColumnRenamed("y", "coef"), desc, KernelParams(1.3, 0.9, 2), 3, True).cache()
     assert design.k_best_strings(w, 3, 27).count() == 27
