@@ -22,6 +22,7 @@ from ..params import KernelParams
 from ..shared import at_most, materialized
 from ._blocks import letter_matrix, padded, pair_kernel, self_kernel
 from .kernels import descriptor_matrix
+from .tabled import TableModel, fit_tabled, predict_tabled, weights_of
 
 #: Features of which all pairs are summed up, strings whose pairs are, features that a model may hold, and cells of a table of weights.
 MOST_DENSE, MOST_ROWS, MOST_FEATURES, MOST_CELLS = 1000, 3000, 5_000_000, 20_000_000
@@ -91,6 +92,10 @@ class Features:
         return out.reshape(v.shape)
 
 
+class TooManyFeatures(ValueError):
+    """More features than a model may hold in the driver, or grams without a 64-bit number."""
+
+
 @dataclass
 class StringModel:
     """Coefficients u of the observed features, one column per target; a prediction is features · (M u) · scale + intercept."""
@@ -108,13 +113,13 @@ class StringModel:
 def observed_features(df: DataFrame, descriptors: DataFrame, n: int) -> Features:
     letters = letters_of(descriptors)
     if len(letters) ** n >= 2**62:
-        raise ValueError("grams of so many letters have no 64-bit number")
+        raise TooManyFeatures("features of grams of so many letters have no 64-bit number")
     table = F.create_map(*[F.lit(x) for i, c in enumerate(letters) for x in (c, i)])
     unknown = F.raise_error(F.lit("letter outside the alphabet")).cast("int")
     num = F.aggregate(chars("gram"), F.lit(0).cast("long"), lambda a, c: a * len(letters) + F.coalesce(table[c], unknown))
     found = gram_features(df.select("id", "seq"), 1, n).select("n", "pos", num.alias("num")).distinct().limit(MOST_FEATURES + 1).toArrow()
     if len(found) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} features")
+        raise TooManyFeatures(f"more than {MOST_FEATURES} features")
     cols = [found[c].to_numpy().astype(np.int64) for c in ("n", "pos", "num")]
     order = np.lexsort(cols[::-1])
     return Features(letters, descriptor_matrix(descriptors), *(c[order] for c in cols))
@@ -153,6 +158,11 @@ def coded_matrix(seqs: list[str], f: Features, params: KernelParams) -> Iterator
         yield of, np.concatenate(idx, axis=1), self_kernel(codes, letters, params.sigma_p, params.n)
 
 
+def _units(own: np.ndarray, params: KernelParams) -> np.ndarray:
+    """What a string's features count: 1 / sqrt(k(x, x)) in the normalised kernel, where an empty string has similarity 0 to all."""
+    return np.where(own > 0, 1 / np.sqrt(np.where(own > 0, own, 1.0)), 0.0) if params.normalized else np.ones(len(own))
+
+
 @dataclass
 class _Sums:
     """Sums over rows: G = F'SF (None where it is not formed), b = F'SY, g = F's, f = F'1, and scalars."""
@@ -215,7 +225,7 @@ def sums_by_fold(df: DataFrame, f: Features, params: KernelParams, targets: Sequ
                 G, b_, rest = total.setdefault(int(which), (np.zeros((d + 1) * (d + 1) if pairs else 0), np.zeros((d + 1, t + 2)), np.zeros(3 + 3 * t)))
                 ys, s = part[[f"y{j}" for j in range(t)]].to_numpy(float), part["s"].to_numpy(float)
                 for of, idx, own in coded_matrix(part["seq"].tolist(), f, params):
-                    v = 1 / np.sqrt(own) if params.normalized else np.ones(len(own))
+                    v = _units(own, params)
                     y, w = ys[of], s[of]
                     if pairs:
                         for k in range(0, len(of), 1000):
@@ -225,7 +235,7 @@ def sums_by_fold(df: DataFrame, f: Features, params: KernelParams, targets: Sequ
                     cols = np.concatenate([(w * v)[:, None] * y, (w * v)[:, None], v[:, None]], axis=1)
                     for j in range(t + 2):
                         b_[:, j] += np.bincount(idx.reshape(-1), np.repeat(cols[:, j], idx.shape[1]), d + 1)
-                    rest += np.concatenate([[len(of), w.sum(), len(of) if params.normalized else own.sum()], w @ y, y.sum(axis=0), w @ (y * y)])
+                    rest += np.concatenate([[len(of), w.sum(), (own > 0).sum() if params.normalized else own.sum()], w @ y, y.sum(axis=0), w @ (y * y)])
         for which, (G, b_, rest) in total.items():
             yield _pieces(which, np.concatenate([G, b_.reshape(-1), rest]))
 
@@ -292,7 +302,7 @@ def _rows_kernel(rows: list, f: Features, params: KernelParams) -> tuple[np.ndar
     z = padded(codes)
     k = pair_kernel(z, z, letter_matrix(f.vectors, params.sigma_c), params.sigma_p, params.n)
     if params.normalized:
-        v = 1 / np.sqrt(own_k)
+        v = _units(own_k, params)
         return k * np.outer(v, v), x[:, :-1] * v[:, None]
     return k, x[:, :-1]
 
@@ -385,17 +395,20 @@ def fit_ridge(
     center: bool = False,
     sample_weight: str | None = None,
     targets: Sequence[str] = ("y",),
-) -> StringModel:
+) -> StringModel | TableModel:
     """Kernel ridge regression of the columns `targets` on the strings of df (id, seq, ...), one alpha for all or for each.
 
     center: the kernel is centred and scaled by its variance, targets by their mean (all unweighted). Any number of
-    strings fits; a model may hold MOST_FEATURES different (n, pos, gram).
+    strings fits. Beyond MOST_FEATURES different (n, pos, gram) coefficients stay tables (tabled.py).
     """
     targets = list(targets)
     alphas = np.broadcast_to(np.asarray(alpha, float), (len(targets),)).copy()
     if (alphas <= 0).any():
         raise ValueError("alpha must be positive")
-    f = observed_features(df, descriptors, params.n)
+    try:
+        f = observed_features(df, descriptors, params.n)
+    except TooManyFeatures:
+        return fit_tabled(df, descriptors, params, alphas, center, sample_weight, targets)
     if len(f) > MOST_DENSE:
         few = training_rows(df, targets, sample_weight).limit(MOST_ROWS + 1).collect()
         if len(few) <= MOST_ROWS and len(few) * len(f) <= MOST_CELLS:
@@ -408,8 +421,11 @@ def fit_ridge(
     return _solve(found[0], f, params, alphas, center, targets)
 
 
-def model_weights(model: StringModel, grams: DataFrame) -> DataFrame:
+def model_weights(model: StringModel | TableModel, grams: DataFrame) -> DataFrame:
     """(n, pos, gram, target, w) for a table of distinct (n, pos, gram): M u for grams that training may not have seen."""
+    if isinstance(model, TableModel):
+        each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"v{j}").alias("w")) for j, t in enumerate(model.targets)])).alias("x")
+        return weights_of(model, grams).select("n", "pos", "gram", each).select("n", "pos", "gram", "x.target", "x.w")
     f, number = model.features, {c: i for i, c in enumerate(model.features.letters)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -439,7 +455,7 @@ def _weight_grids(model: StringModel, longest: int) -> list[np.ndarray] | None:
     return out
 
 
-def predict_ridge(model: StringModel, df: DataFrame) -> DataFrame:
+def predict_ridge(model: StringModel | TableModel, df: DataFrame) -> DataFrame:
     """(id, target, prediction) for every string of df (id, seq); ids must be different.
 
     Work is independent of the training size: weights of all grams at all positions go out with the tasks, whose one narrow pass adds
@@ -447,6 +463,8 @@ def predict_ridge(model: StringModel, df: DataFrame) -> DataFrame:
     """
     from .kernels import gs_self
 
+    if isinstance(model, TableModel):
+        return predict_tabled(model, df)
     longest = length_range(df).first()["max_len"] or 0
     grids = _weight_grids(model, longest)
     spark, params, letters = df.sparkSession, model.params, model.features.letters
@@ -479,7 +497,7 @@ def predict_ridge(model: StringModel, df: DataFrame) -> DataFrame:
     return rows.select("id", "target", (F.coalesce("sum", F.lit(0.0)) + F.col("b")).alias("prediction"))
 
 
-def dual_coefficients(model: StringModel, df: DataFrame, sample_weight: str | None = None) -> DataFrame:
+def dual_coefficients(model: StringModel | TableModel, df: DataFrame, sample_weight: str | None = None) -> DataFrame:
     """(id, target, coef): the coefficient of each training string, s (y - prediction) / alpha."""
     out = None
     s = F.lit(1.0) if sample_weight is None else F.col(sample_weight)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grams as G
 from ..functions import similarity as S
-from ..operators import centering, design, kernels, learn, report, spectrum, svm
+from ..operators import centering, design, kernels, learn, report, spectrum, svm, tabled
 from ..operators import weights as W
 from ..params import KernelParams
 from ..shared import materialized, shared_dir
@@ -553,6 +553,17 @@ def ridge_residuals_centred(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", (F.round(left, 5) + 0.0).alias("residual"))
 
 
+@query(f"WITH {EV} SELECT id, 0.0::DOUBLE AS residual FROM ev")
+def ridge_residuals_of_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a weighted fit whose coefficients stay tables: (K + alpha / s) c = y."""
+    s = I.event_strings(spark, d).withColumn("s", F.lit(0.5) + F.length("seq"))
+    s = materialized(s.withColumn("y", F.col("y") / 1000), "ridge")
+    model = tabled.fit_tabled(s, I.event_letters(spark), EVENT, 10.0, sample_weight="s", landmarks=256)
+    coef = materialized(learn.dual_coefficients(model, s, "s"), "duals")
+    rows = s.join(coef, "id").join(_kernel_sums(spark, s, coef), "id")
+    return rows.select("id", (F.round(F.col("f") + 10 * F.col("coef") / F.col("s") - F.col("y"), 5) + 0.0).alias("residual"))
+
+
 def _above_mean(spark: SparkSession, d: str) -> DataFrame:
     """The strings, with y 1 where their value is above the mean."""
     s = I.event_strings(spark, d)
