@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_features, length_range, letters_of
+from ..functions.grams import chars, gram_features, length_range, letters_of
 from ..params import KernelParams
 from ..shared import materialized
 from ._blocks import letter_matrix, padded, pair_kernel, position_matrix, self_kernel
@@ -25,6 +25,8 @@ from .kernels import descriptor_matrix
 
 #: Cells that a task smooths at once, letters of a string, landmarks, and steps of a fit.
 MOST_CELLS, MOST_PLACES, LANDMARKS, STEPS = 20_000_000, 5000, 64, 500
+#: Cells of a block of last halves with all first halves.
+BLOCK_CELLS = 1_000_000
 TOL = 1e-10
 
 
@@ -42,6 +44,18 @@ class TableModel:
     steps: int = 0
 
 
+@dataclass(frozen=True)
+class Alphabet:
+    """Letters in order, and their similarity with a zero row and column for padding."""
+
+    letters: tuple[str, ...]
+    sim: np.ndarray
+
+
+def alphabet_of(descriptors: DataFrame, params: KernelParams) -> Alphabet:
+    return Alphabet(tuple(letters_of(descriptors)), letter_matrix(descriptor_matrix(descriptors), params.sigma_c))
+
+
 # -- M by two exchanges ------------------------------------------------------------------------------------------------
 
 
@@ -68,7 +82,7 @@ def _placed(number: dict[str, int], grams: pa.ChunkedArray) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def smoothed(coefs: DataFrame, asked: DataFrame, descriptors: DataFrame, params: KernelParams, columns: Sequence[str], far: int | None = None) -> DataFrame:
+def smoothed(coefs: DataFrame, asked: DataFrame, alphabet: Alphabet, params: KernelParams, columns: Sequence[str], far: int | None = None) -> DataFrame:
     """(n, pos, gram, *columns): M v at the grams asked for (n, pos, gram), different ones; v: the columns of coefs (n, pos, gram, *columns), one row a feature.
 
     M is a product of a factor for the places and one for each letter. Grams that share their first half meet, and places and last letters are smoothed there;
@@ -76,14 +90,17 @@ def smoothed(coefs: DataFrame, asked: DataFrame, descriptors: DataFrame, params:
     are; messages are observed first halves times possible second halves, a packed row over the places for each. far: letters of the longest string, looked up
     where it isn't given.
     """
-    letters, columns = tuple(letters_of(descriptors)), list(columns)
+    letters, columns = alphabet.letters, list(columns)
     t, deep = len(columns), (params.n + 1) // 2
     if far is None:
         far = max(x.agg(F.max(F.col("pos") + F.col("n"))).first()[0] or 1 for x in (coefs, asked))
     if far > MOST_PLACES or far * len(letters) ** deep * t > MOST_CELLS:
         raise ValueError(f"strings of {far} letters and halves of {deep} letters over {len(letters)} outgrow a task")
-    s, sigma = letter_matrix(descriptor_matrix(descriptors), params.sigma_c)[:-1, :-1], params.sigma_p
+    s, sigma = alphabet.sim[:-1, :-1], params.sigma_p
     half = lambda x: x.withColumn("head", F.expr("substring(gram, 1, cast(n div 2 as int))")).withColumn("tail", F.expr("substring(gram, cast(n div 2 as int) + 1, n)"))
+    # last halves travel in blocks of neighbours, as many as a task takes with all first halves
+    size = len(letters)
+    width = {n: int(max(1, min(size ** (n - n // 2), BLOCK_CELLS // (size ** (n // 2) * far * t)))) for n in range(1, params.n + 1)}
 
     def tails(key: tuple, table: pa.Table) -> pa.Table:
         n = key[0].as_py()
@@ -92,25 +109,34 @@ def smoothed(coefs: DataFrame, asked: DataFrame, descriptors: DataFrame, params:
         grid = np.zeros((far, len(every), t))
         grid[table["pos"].to_numpy(), _placed(number, table["tail"])] = np.column_stack([table[c].to_numpy() for c in columns])
         grid = np.tensordot(position_matrix(far, far, sigma), grid, (1, 0)).transpose(1, 0, 2).reshape(len(every), far * t)
-        data = pa.array([x.tobytes() for x in _spread(grid, s, k)], pa.binary())
-        return pa.table({"n": pa.array([n] * len(every), pa.int32()), "head": pa.array([key[1].as_py()] * len(every)), "tail": pa.array(every), "data": data})
+        grid, at = _spread(grid, s, k), range(0, len(every), width[n])
+        data = pa.array([grid[a : a + width[n]].tobytes() for a in at], pa.binary())
+        return pa.table({"n": pa.array([n] * len(at), pa.int32()), "head": pa.array([key[1].as_py()] * len(at)), "block": pa.array(range(len(at)), pa.int64()), "data": data})
 
     kind = "n int, pos int, gram string" + "".join(f", {c} double" for c in columns)
 
     def heads(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        h = key[0].as_py() // 2
+        n, block = key[0].as_py(), key[1].as_py()
+        h = n // 2
         number, _ = _numbers(letters, h)
         out = np.zeros((len(right), t))
         if len(left) and len(right):
-            grid = np.zeros((len(number), far * t))
-            grid[_placed(number, left["head"])] = np.stack([np.frombuffer(x) for x in left["data"].to_pylist()])
-            grid = _spread(grid, s, h).reshape(len(number), far, t)
-            out = grid[_placed(number, right["head"]), right["pos"].to_numpy()]
+            rows = np.stack([np.frombuffer(x) for x in left["data"].to_pylist()])
+            grid = np.zeros((len(number), rows.shape[1]))
+            grid[_placed(number, left["head"])] = rows
+            grid = _spread(grid, s, h).reshape(len(number), -1, far, t)
+            tail = _placed(_numbers(letters, n - h)[0], right["tail"]) - block * width[n]
+            out = grid[_placed(number, right["head"]), tail, right["pos"].to_numpy()]
         return pa.table({**{c: right[c] for c in ("n", "pos", "gram")}, **{c: out[:, j] for j, c in enumerate(columns)}})
 
+    code = F.create_map(*[F.lit(x) for i, c in enumerate(letters) for x in (c, i)])
+    unknown = F.raise_error(F.lit("letter outside the alphabet")).cast("int")
+    number = F.aggregate(chars("tail"), F.lit(0).cast("long"), lambda a, c: a * size + F.coalesce(code[c], unknown))
+    widths = F.create_map(*[F.lit(x) for pair in width.items() for x in pair])
+    block = F.floor(number / widths[F.col("n")]).cast("long")
     typed = lambda x: x.select(F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), "gram", *[c for c in columns if c in x.columns])
-    packed = half(typed(coefs)).groupBy("n", "head").applyInArrow(tails, "n int, head string, tail string, data binary")
-    return packed.groupBy("n", "tail").cogroup(half(typed(asked)).groupBy("n", "tail")).applyInArrow(heads, kind)
+    packed = half(typed(coefs)).groupBy("n", "head").applyInArrow(tails, "n int, head string, block long, data binary")
+    return packed.groupBy("n", "block").cogroup(half(typed(asked)).withColumn("block", block).groupBy("n", "block")).applyInArrow(heads, kind)
 
 
 # -- the fit -----------------------------------------------------------------------------------------------------------
@@ -141,10 +167,9 @@ def _total(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: in
     return out
 
 
-def _with_landmarks(df: DataFrame, targets: Sequence[str], weight: str | None, marks: list[str], descriptors: DataFrame, params: KernelParams) -> DataFrame:
+def _with_landmarks(df: DataFrame, targets: Sequence[str], weight: str | None, marks: list[str], alphabet: Alphabet, params: KernelParams) -> DataFrame:
     """(id, seq, s, unit, y, near): s the root of the weight, unit what a string's features count, near its kernel with the landmarks."""
-    letters = {c: i for i, c in enumerate(letters_of(descriptors))}
-    sim = letter_matrix(descriptor_matrix(descriptors), params.sigma_c)
+    letters, sim = {c: i for i, c in enumerate(alphabet.letters)}, alphabet.sim
 
     def coded(seqs: list[str]) -> np.ndarray:
         if any(c not in letters for x in seqs for c in x):
@@ -170,12 +195,12 @@ def _with_landmarks(df: DataFrame, targets: Sequence[str], weight: str | None, m
     return rows.mapInArrow(run, f"id {dict(df.dtypes)['id']}, seq string, s double, unit double, y array<double>, near array<double>")
 
 
-def _kernel_times(rows: DataFrame, values: list, asked: DataFrame, far: int, descriptors: DataFrame, params: KernelParams) -> tuple[DataFrame, DataFrame]:
+def _kernel_times(rows: DataFrame, values: list, asked: DataFrame, far: int, alphabet: Alphabet, params: KernelParams) -> tuple[DataFrame, DataFrame]:
     """((id, q0, q1, ...) the sums of the kernel with all rows times their values, of strings with a letter; the sums by feature)."""
     names = [f"v{j}" for j in range(len(values))]
     given = rows.select(F.struct(*[(F.col("unit") * v).alias(c) for c, v in zip(names, values)]).alias("id"), "seq")
     coefs = gram_features(given, 1, params.n).groupBy("n", "pos", "gram").agg(*[F.sum(F.col("id")[c]).alias(c) for c in names])
-    w = smoothed(coefs, asked, descriptors, params, names, far)
+    w = smoothed(coefs, asked, alphabet, params, names, far)
     grams = gram_features(rows.select(F.struct("id", "unit").alias("id"), "seq"), 1, params.n)
     sums = grams.join(w, ["n", "pos", "gram"]).groupBy(F.col("id.id").alias("id"))
     return sums.agg(*[(F.first("id.unit") * F.sum(c)).alias(f"q{j}") for j, c in enumerate(names)]), coefs
@@ -201,12 +226,13 @@ def fit_tabled(
     marks = [r[0] for r in df.where("seq <> ''").select("seq").distinct().orderBy(F.xxhash64("seq"), "seq").limit(landmarks).collect()]
     if not marks:
         raise ValueError("no rows to fit")
-    rows = materialized(_with_landmarks(df, targets, sample_weight, marks, descriptors, params), "tabled-rows")
+    alphabet = alphabet_of(descriptors, params)
+    rows = materialized(_with_landmarks(df, targets, sample_weight, marks, alphabet, params), "tabled-rows")
     asked = materialized(gram_features(rows, 1, params.n).select("n", "pos", "gram").distinct(), "tabled-features")
     count, far, m = rows.count(), int(length_range(rows).first()["max_len"]), len(marks)
     scale, y_mean = 1.0, np.zeros(t)
     if center:
-        ones, _ = _kernel_times(rows, [F.lit(1.0)], asked, far, descriptors, params)
+        ones, _ = _kernel_times(rows, [F.lit(1.0)], asked, far, alphabet, params)
         mean = ones.agg(F.sum("q0")).first()[0] / count**2
         own = _own(rows, descriptors, params)
         if own - mean <= 0:
@@ -223,7 +249,7 @@ def fit_tabled(
     shift = np.eye(m + 1)[:, :m].copy()
     if center:
         shift[m] = -flat[-(m + 1) : -1] / count
-    root = shift @ _landmark_root(rows, marks, descriptors, params) * np.sqrt(scale)  # [near, 1] @ root is a row of B / s
+    root = shift @ _landmark_root(marks, alphabet, params) * np.sqrt(scale)  # [near, 1] @ root is a row of B / s
     gram = root.T @ flat[: (m + 1) ** 2].reshape(m + 1, m + 1) @ root
     inner = [np.linalg.inv((gram + gram.T) / 2 + a * np.eye(len(gram))) for a in alphas]
 
@@ -267,7 +293,7 @@ def fit_tabled(
         if center:
             sums = state.agg(*[F.sum(v) for v in value]).first()
             value = [v - F.lit(float(x) / count) for v, x in zip(value, sums)]
-        q, _ = _kernel_times(state, value, asked, far, descriptors, params)
+        q, _ = _kernel_times(state, value, asked, far, alphabet, params)
         state = materialized(state.join(q, "id", "left"), "tabled-step")
         got = [F.coalesce(F.col(f"q{j}"), F.lit(0.0)) for j in range(t)]
         means = np.array(state.agg(*[F.avg(x) for x in got]).first()) if center else np.zeros(t)
@@ -286,7 +312,7 @@ def fit_tabled(
     if center:
         sums = state.agg(*[F.sum(v) for v in c]).first()
         c = [v - F.lit(float(x) / count) for v, x in zip(c, sums)]
-    q, u = _kernel_times(state, c, asked, far, descriptors, params)
+    q, u = _kernel_times(state, c, asked, far, alphabet, params)
     intercept = y_mean
     if center:
         intercept = y_mean - scale * np.array(q.agg(*[F.sum(f"q{j}") for j in range(t)]).first()) / count
@@ -302,11 +328,11 @@ def _own(rows: DataFrame, descriptors: DataFrame, params: KernelParams) -> float
     return rows.select("id").join(gs_self(rows, descriptors, params), "id", "left").agg(F.avg(F.coalesce("k", F.lit(0.0)))).first()[0]
 
 
-def _landmark_root(rows: DataFrame, marks: list[str], descriptors: DataFrame, params: KernelParams) -> np.ndarray:
+def _landmark_root(marks: list[str], alphabet: Alphabet, params: KernelParams) -> np.ndarray:
     """R with R R' the inverse of the landmarks' own kernel, where it has one."""
-    letters = {c: i for i, c in enumerate(letters_of(descriptors))}
-    sim, z = letter_matrix(descriptor_matrix(descriptors), params.sigma_c), padded([[letters[c] for c in x] for x in marks])
-    k = pair_kernel(z, z, sim, params.sigma_p, params.n)
+    letters = {c: i for i, c in enumerate(alphabet.letters)}
+    z = padded([[letters[c] for c in x] for x in marks])
+    k = pair_kernel(z, z, alphabet.sim, params.sigma_p, params.n)
     if params.normalized:
         unit = 1 / np.sqrt(np.diag(k))
         k = k * unit[:, None] * unit
@@ -318,7 +344,7 @@ def _landmark_root(rows: DataFrame, marks: list[str], descriptors: DataFrame, pa
 def weights_of(model: TableModel, grams: DataFrame) -> DataFrame:
     """(n, pos, gram, v0, v1, ...) M u · scale for a table of (n, pos, gram), different ones."""
     names = [f"v{j}" for j in range(len(model.targets))]
-    w = smoothed(model.u, grams, model.descriptors, model.params, names)
+    w = smoothed(model.u, grams, alphabet_of(model.descriptors, model.params), model.params, names)
     return w.select("n", "pos", "gram", *[(F.col(c) * float(model.scale)).alias(c) for c in names])
 
 

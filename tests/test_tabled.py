@@ -23,15 +23,16 @@ def strings(spark, letters, n, least, most, seed=0):
     return spark.createDataFrame(rows, "id long, seq string, y double, z double, s double").repartition(3)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3])
-def test_smoothing_by_halves(spark, desc, n):
+@pytest.mark.parametrize("n,cells", [(1, 1), (2, 60), (3, 50), (3, 10**6)])
+def test_smoothing_by_halves(spark, desc, monkeypatch, n, cells):
+    monkeypatch.setattr(tabled, "BLOCK_CELLS", cells)
     vec = {c: np.array(v) for c, _, v in LETTERS}
     rng = np.random.default_rng(1)
     all_features = [(k, p, "".join(g)) for k in range(1, n + 1) for p in range(4) for g in itertools.product("ABC", repeat=k)]
     coefs = [(*f, float(rng.normal()), float(rng.normal())) for f in all_features if rng.random() < 0.3]
     asked = [f for f in all_features if rng.random() < 0.5]
     p = KernelParams(1.3, 0.9, n)
-    got = tabled.smoothed(spark.createDataFrame(coefs, "n int, pos int, gram string, v0 double, v1 double"), spark.createDataFrame(asked, "n int, pos int, gram string"), desc, p, ["v0", "v1"]).collect()
+    got = tabled.smoothed(spark.createDataFrame(coefs, "n int, pos int, gram string, v0 double, v1 double"), spark.createDataFrame(asked, "n int, pos int, gram string"), tabled.alphabet_of(desc, p), p, ["v0", "v1"]).collect()
     assert sorted((r.n, r.pos, r.gram) for r in got) == sorted(asked)
     for r in got:
         want = np.zeros(2)
@@ -69,7 +70,7 @@ def test_limits(spark, desc, monkeypatch):
         tabled.fit_tabled(df, desc, KernelParams(1.0, 1.0, 2))
     monkeypatch.setattr(tabled, "MOST_CELLS", 5)
     with pytest.raises(ValueError, match="outgrow"):
-        tabled.smoothed(spark.createDataFrame([(2, 0, "AB", 1.0)], "n int, pos int, gram string, v0 double"), spark.createDataFrame([(2, 0, "AB")], "n int, pos int, gram string"), desc, KernelParams(1.0, 1.0, 2), ["v0"])
+        tabled.smoothed(spark.createDataFrame([(2, 0, "AB", 1.0)], "n int, pos int, gram string, v0 double"), spark.createDataFrame([(2, 0, "AB")], "n int, pos int, gram string"), tabled.alphabet_of(desc, KernelParams(1.0, 1.0, 2)), KernelParams(1.0, 1.0, 2), ["v0"])
 
 
 def test_five_letters_over_twenty(spark):
