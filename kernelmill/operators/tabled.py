@@ -25,6 +25,8 @@ from .kernels import descriptor_matrix
 
 #: Cells that a task smooths at once, letters of a string, landmarks, and steps of a fit.
 MOST_CELLS, MOST_PLACES, LANDMARKS, STEPS = 20_000_000, 5000, 64, 500
+#: A feature with over a SHARES-th of all occurrences (and over LEAST) is dealt into parts of that size before joins: SHARES such features at most.
+SHARES, LEAST = 10_000, 10_000
 #: Cells of a block of last halves with all first halves.
 BLOCK_CELLS = 1_000_000
 TOL = 1e-10
@@ -139,6 +141,31 @@ def smoothed(coefs: DataFrame, asked: DataFrame, alphabet: Alphabet, params: Ker
     return packed.groupBy("n", "block").cogroup(half(typed(asked)).withColumn("block", block).groupBy("n", "block")).applyInArrow(heads, kind)
 
 
+_KEYS = ["n", "pos", "gram"]
+
+
+@dataclass
+class _Asked:
+    """The different features (n, pos, gram) of some strings, written, and (n, pos, gram, parts) of the frequent ones, SHARES rows at most."""
+
+    features: DataFrame
+    frequent: DataFrame
+
+
+def _asked(rows: DataFrame, n: int) -> _Asked:
+    counted = materialized(gram_features(rows.select("id", "seq"), 1, n).groupBy(_KEYS).agg(F.count("*").alias("found")), "tabled-features")
+    most = max(LEAST, (counted.agg(F.sum("found")).first()[0] or 0) // SHARES)
+    return _Asked(counted.select(_KEYS), counted.where(F.col("found") > most).select(*_KEYS, F.ceil(F.col("found") / most).cast("int").alias("parts")))
+
+
+def _weighed(grams: DataFrame, key: str, w: DataFrame, asked: _Asked) -> DataFrame:
+    """grams joined with their weights; a frequent feature's rows are dealt by a hash of `key`, its weight goes to all its parts."""
+    parts, small = F.coalesce(F.col("parts"), F.lit(1)), F.broadcast(asked.frequent)
+    left = grams.join(small, _KEYS, "left").withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("parts")
+    right = w.join(small, _KEYS, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [*_KEYS, "part"])
+
+
 # -- the fit -----------------------------------------------------------------------------------------------------------
 
 
@@ -195,14 +222,14 @@ def _with_landmarks(df: DataFrame, targets: Sequence[str], weight: str | None, m
     return rows.mapInArrow(run, f"id {dict(df.dtypes)['id']}, seq string, s double, unit double, y array<double>, near array<double>")
 
 
-def _kernel_times(rows: DataFrame, values: list, asked: DataFrame, far: int, alphabet: Alphabet, params: KernelParams) -> tuple[DataFrame, DataFrame]:
+def _kernel_times(rows: DataFrame, values: list, asked: _Asked, far: int, alphabet: Alphabet, params: KernelParams) -> tuple[DataFrame, DataFrame]:
     """((id, q0, q1, ...) the sums of the kernel with all rows times their values, of strings with a letter; the sums by feature)."""
     names = [f"v{j}" for j in range(len(values))]
     given = rows.select(F.struct(*[(F.col("unit") * v).alias(c) for c, v in zip(names, values)]).alias("id"), "seq")
     coefs = gram_features(given, 1, params.n).groupBy("n", "pos", "gram").agg(*[F.sum(F.col("id")[c]).alias(c) for c in names])
-    w = smoothed(coefs, asked, alphabet, params, names, far)
+    w = smoothed(coefs, asked.features, alphabet, params, names, far)
     grams = gram_features(rows.select(F.struct("id", "unit").alias("id"), "seq"), 1, params.n)
-    sums = grams.join(w, ["n", "pos", "gram"]).groupBy(F.col("id.id").alias("id"))
+    sums = _weighed(grams, "id.id", w, asked).groupBy(F.col("id.id").alias("id"))
     return sums.agg(*[(F.first("id.unit") * F.sum(c)).alias(f"q{j}") for j, c in enumerate(names)]), coefs
 
 
@@ -228,7 +255,7 @@ def fit_tabled(
         raise ValueError("no rows to fit")
     alphabet = alphabet_of(descriptors, params)
     rows = materialized(_with_landmarks(df, targets, sample_weight, marks, alphabet, params), "tabled-rows")
-    asked = materialized(gram_features(rows, 1, params.n).select("n", "pos", "gram").distinct(), "tabled-features")
+    asked = _asked(rows, params.n)
     count, far, m = rows.count(), int(length_range(rows).first()["max_len"]), len(marks)
     scale, y_mean = 1.0, np.zeros(t)
     if center:
@@ -353,8 +380,8 @@ def predict_tabled(model: TableModel, df: DataFrame) -> DataFrame:
     from .kernels import gs_self
 
     feats = gram_features(df.select("id", "seq"), 1, model.params.n)
-    w = weights_of(model, materialized(feats.select("n", "pos", "gram").distinct(), "tabled-asked"))
-    sums = feats.join(w, ["n", "pos", "gram"]).groupBy("id").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(len(model.targets))])
+    asked = _asked(df, model.params.n)
+    sums = _weighed(feats, "id", weights_of(model, asked.features), asked).groupBy("id").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(len(model.targets))])
     rows = df.select("id").join(sums, "id", "left")
     norm = F.lit(1.0)
     if model.params.normalized:

@@ -51,6 +51,10 @@ def test_fits_as_in_the_driver(spark, desc, monkeypatch, normalized, center, wei
     new = spark.createDataFrame([(100, "ABCABCAB"), (101, ""), (102, "BB")], "id long, seq string")
     wanted = learn.fit_ridge(df, desc, p, alpha, center, weight, ["y", "z"])
     monkeypatch.setattr(learn, "MOST_FEATURES", 10)
+    if weight and center:  # frequent features in parts
+        monkeypatch.setattr(tabled, "LEAST", 3)
+        asked = tabled._asked(df, 2)
+        assert 0 < asked.frequent.count() < asked.features.count() and asked.frequent.where("parts > 2").count()
     model = learn.fit_ridge(df, desc, p, alpha, center, weight, ["y", "z"])
     assert isinstance(model, tabled.TableModel) and model.steps <= 60
     for at in (df, new):
