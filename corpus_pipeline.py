@@ -27,7 +27,10 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, that of the smallest id stays."""
+    """Near-dedup: of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, that of the smallest id stays.
+
+    Candidates are operator 2's links (SimHash, vantage-point trees) and those of MinHash bands; each is verified on the shingles.
+    """
     return nearsets.one_of_each(docs)
 
 

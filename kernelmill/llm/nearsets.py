@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingle sets: candidates by MinHash bands, every link verified on the sets."""
+"""Near copies by the Jaccard similarity of word shingle sets: candidates by SimHash fingerprints in vantage-point trees, and by MinHash
+bands for those whose fingerprints are farther apart; every link verified on the sets."""
 
 from __future__ import annotations
 
@@ -10,9 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .simhash import BROADCAST_ROWS, components, keep_one, shingles
+from .simhash import BROADCAST_ROWS, _fingerprints, components, keep_one, near_links, shingles
 from .util import mix64, per_text, release, small_batches, written
 
+#: Shingles of the fingerprints, and bits that they may differ in, as operator 2 takes them.
+PRINT_SHINGLE, RADIUS = 3, 2
 #: A pair of similarity 0.8 shares one of BANDS keys of BAND_ROWS minima with probability 1 - 5e-7.
 BANDS, BAND_ROWS = 48, 6
 #: One bit of each of 256 minima. A pair of similarity 0.8 differs in 26 of them on average; 50 is five standard deviations more.
@@ -27,6 +30,7 @@ _ODD = _rng.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 _MIX = _rng.integers(0, 2**64, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 _SHIFT = _rng.integers(0, 2**64, BANDS, np.uint64)
 _WORDS = [f"s{k}" for k in range(SKETCH // 64)]
+_MARKS = [*_WORDS, "fp"]
 
 
 def shingle_set(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
@@ -45,6 +49,7 @@ def _minima(s: np.ndarray) -> np.ndarray:
 
 def _signatures(texts: list, shingle: int, seed: int) -> dict:
     out: dict[str, list] = {x: [] for x in ("h", "n", *_WORDS, "bands")}
+    out["fp"] = _fingerprints(texts, PRINT_SHINGLE, seed)
     for t in texts:
         s = shingle_set(t, shingle, seed)
         low = _minima(s)
@@ -58,16 +63,22 @@ def _signatures(texts: list, shingle: int, seed: int) -> dict:
     return out
 
 
-def _alike(n: np.ndarray, sketch: np.ndarray, p, q, part: tuple[int, int]) -> np.ndarray:
-    """Whether pairs of positions may reach the similarity, by their sizes and sketches."""
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of marks are near by their sketches or by their fingerprints."""
+    bits = np.bitwise_count(a ^ b)
+    return (bits[..., :-1].sum(axis=-1, dtype=np.int64) <= SKETCH_BITS) | (bits[..., -1] <= RADIUS)
+
+
+def _alike(n: np.ndarray, marks: np.ndarray, p, q, part: tuple[int, int]) -> np.ndarray:
+    """Whether pairs of positions may reach the similarity, by their sizes and marks."""
     a, b = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-    return (part[1] * a >= part[0] * b) & (np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=-1, dtype=np.int64) <= SKETCH_BITS)
+    return (part[1] * a >= part[0] * b) & _near(marks[p], marks[q])
 
 
-def _alike_to(n: np.ndarray, sketch: np.ndarray, size: int, of: np.ndarray, part: tuple[int, int]) -> np.ndarray:
+def _alike_to(n: np.ndarray, marks: np.ndarray, size: int, of: np.ndarray, part: tuple[int, int]) -> np.ndarray:
     """The same of all positions with one other set."""
     a, b = np.minimum(n, size), np.maximum(n, size)
-    return (part[1] * a >= part[0] * b) & (np.bitwise_count(sketch ^ of).sum(axis=-1, dtype=np.int64) <= SKETCH_BITS)
+    return (part[1] * a >= part[0] * b) & _near(marks, of)
 
 
 def _forest(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -139,11 +150,11 @@ def _close(items: list[np.ndarray], n: np.ndarray, of: np.ndarray, size: int, q:
 
 
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(h, n, sketch, items) of rows of sets; a set that stands twice is taken once."""
+    """(h, n, marks, items) of rows of sets; a set that stands twice is taken once."""
     h, pick = np.unique(t["h"].to_numpy(), return_index=True)
     t = t.take(pa.array(pick))
-    sketch = np.stack([t[x].to_numpy() for x in _WORDS], axis=1).view(np.uint64) if len(t) else np.empty((0, len(_WORDS)), np.uint64)
-    return h, t["n"].to_numpy().astype(np.int64), sketch, [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
+    marks = np.stack([t[x].to_numpy() for x in _MARKS], axis=1).view(np.uint64) if len(t) else np.empty((0, len(_MARKS)), np.uint64)
+    return h, t["n"].to_numpy().astype(np.int64), marks, [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
 
 
 def _labelled(t: pa.Table) -> pa.Table:
@@ -163,7 +174,7 @@ def _labelled(t: pa.Table) -> pa.Table:
 
 
 def _by_representatives(sets: DataFrame, part: tuple[int, int], group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), roots whose members must be compared outright) of large clusters. sets: (root, h, n, sketch, items).
+    """(links (a, b), roots whose members must be compared outright) of large clusters. sets: (root, h, n, marks, items).
 
     A few members of each cluster are compared with all of it. Most of a tight cluster is then connected, and pairs within the largest
     connected part need no comparison. Members outside of it are compared with all in the next rounds, ever more at once, so the pairs are as many
@@ -177,11 +188,11 @@ def _by_representatives(sets: DataFrame, part: tuple[int, int], group_rows: int)
     open_, links = slim, None
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, n, sketch, items = _columns(left)
-        rh, rn, rsketch, ritems = _columns(right)
+        h, n, marks, items = _columns(left)
+        rh, rn, rmarks, ritems = _columns(right)
         first, more = np.full(len(h), -1, np.int64), set()
         for p in range(len(rh)):
-            near = np.flatnonzero(_alike_to(n, sketch, rn[p], rsketch[p], part))
+            near = np.flatnonzero(_alike_to(n, marks, rn[p], rmarks[p], part))
             near = near[_close(items, n, ritems[p], int(rn[p]), near, part)]
             new = first[near] < 0
             more.update((p, k) for k in np.unique(first[near[~new]]).tolist())
@@ -202,7 +213,7 @@ def _by_representatives(sets: DataFrame, part: tuple[int, int], group_rows: int)
         salted = size.join(reps.select("root").distinct(), "root", "left_semi")
         rows = sets.join(salted, "root").withColumn("salt", F.pmod(F.xxhash64("h", F.lit("salt")), "salts"))
         own = sets.join(reps, ["root", "h"], "left_semi").join(salted, "root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        cols = ["root", "salt", "h", "n", *_WORDS, "items"]
+        cols = ["root", "salt", "h", "n", *_MARKS, "items"]
         found = rows.select(cols).groupBy("root", "salt").cogroup(own.select(*[F.col(c).alias(c) for c in cols]).groupBy("root", "salt")).applyInArrow(compare, "root long, h long, rep long, member boolean")
         found = written(found, "reps-found")
         got = found.select(F.col("rep").alias("a"), F.col("h").alias("b"))
@@ -226,45 +237,55 @@ def _by_representatives(sets: DataFrame, part: tuple[int, int], group_rows: int)
     return none if links is None else links, open_.select("root").distinct()
 
 
+def _fingerprint_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all nodes h with fingerprints (rows: h, fp) within RADIUS bits, by vantage-point trees."""
+    pairs = written(rows.select("h", "fp").distinct(), "sets-prints")
+    least = written(pairs.groupBy("fp").agg(F.min("h").alias("least")), "sets-fps")
+    trees = near_links(least.select("fp"), RADIUS)
+    trees = trees.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs.join(least, "fp").where("h != least").select(F.col("least").alias("a"), F.col("h").alias("b")).unionByName(trees)
+
+
 def near_sets(
     docs: DataFrame, text: str, carry: list[str], shingle: int = 5, part: tuple[int, int] = (4, 5), seed: int = 42, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """The carried columns, h (hash of the shingle set) and root, equal for rows whose sets are linked, over any number of links,
     by a Jaccard similarity of part[0] / part[1] or more. carry must tell texts apart, or name equal ones.
 
-    Equal sets are one node. Nodes that share a MinHash band, are of like size and have near sketches form clusters; in a cluster
-    all such pairs not yet connected are compared by their sets, and only verified pairs link. A cluster beyond group_rows is compared
+    Equal sets are one node (rows of one set may have several fingerprints: all link, pairs are compared by the least). Nodes whose SimHash fingerprints (as simhash.fingerprint makes them) differ in RADIUS bits or fewer, and nodes that share
+    a MinHash band, are of like size and have near sketches, form clusters; in a cluster all pairs of like size, near by sketch or fingerprint and not yet connected are compared by their sets, and only verified pairs link. A cluster beyond group_rows is compared
     with a few of its members first, which connects most of a tight one; what stays outside is compared with all. Groups of candidates, and clusters
     that this doesn't connect, are dealt into blocks, and each pair of blocks is compared: bounded in memory, quadratic in such a group. Texts without
     words are one node.
     """
-    fields = f"h long, n int, {', '.join(f'{x} long' for x in _WORDS)}, bands array<long>"
+    fields = f"h long, n int, {', '.join(f'{x} long' for x in _MARKS)}, bands array<long>"
     rows = per_text(docs, text, carry, fields, lambda: lambda texts: _signatures(texts, shingle, seed))
     rows = written(rows, "sets-rows")
-    first = [F.first(x).alias(x) for x in ("n", *_WORDS, "bands")]
+    first = [F.first(x).alias(x) for x in ("n", *_WORDS, "bands")] + [F.min("fp").alias("fp")]
     nodes = written(rows.groupBy("h").agg(F.min("row").alias("row"), *first), "sets-nodes")
 
-    banded = nodes.select("h", "n", *_WORDS, F.explode("bands").alias("g"))
+    banded = nodes.select("h", "n", *_MARKS, F.explode("bands").alias("g"))
     shared = written(banded.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "sets-bands")
     cut = lambda c, size: F.when(F.col(c) > 2 * size, F.ceil(F.col(c) / size)).otherwise(1)
     banded = _dealt(banded.join(shared, "g"), "g", cut("c", group_rows)).drop("c")
 
     def candidates(c: dict, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n, h, sketch = c["n"].astype(np.int64), c["h"], np.stack([c[x] for x in _WORDS], axis=1).view(np.uint64)
+        n, h, marks = c["n"].astype(np.int64), c["h"], np.stack([c[x] for x in _MARKS], axis=1).view(np.uint64)
         lead = np.repeat(at[:-1], np.diff(at))
-        hit = _alike(n, sketch, lead, np.arange(len(h)), part)
+        hit = _alike(n, marks, lead, np.arange(len(h)), part)
         yield h[lead[hit]], h[hit]
         missed = np.add.reduceat(~hit, at[:-1])
         for k in np.flatnonzero((missed > 0) & (np.diff(at) > 2)).tolist():  # some are not like the first
             i, j = at[k], at[k + 1]
-            found = list(_forest(j - i, lambda p, q: _alike(n, sketch, i + p, i + q, part)))
+            found = list(_forest(j - i, lambda p, q: _alike(n, marks, i + p, i + q, part)))
             if found:
                 p, q = np.array(found).T + i
                 yield h[p], h[q]
 
-    cluster = written(components(_by_group(banded, candidates)), "sets-clusters")
+    found = _fingerprint_links(rows.where("n > 0")).unionByName(_by_group(banded, candidates))
+    cluster = written(components(found), "sets-clusters")
     cluster = cluster.union(cluster.select("root", "root")).distinct()  # components leaves out the roots themselves
-    members = cluster.join(nodes, F.col("node") == F.col("h")).select("root", "h", "n", *_WORDS, "row")
+    members = cluster.join(nodes, F.col("node") == F.col("h")).select("root", "h", "n", *_MARKS, "row")
     total = members.groupBy("root").agg(F.count("*").alias("c"), F.sum(F.col("n") * F.lit(8)).alias("bytes"))
     blocks = F.greatest(cut("c", group_rows), cut("bytes", GROUP_BYTES))
     members = written(members.join(total, "root").withColumn("blocks", blocks).drop("c", "bytes"), "sets-members")
@@ -272,7 +293,7 @@ def near_sets(
     slim = docs.select(F.struct(*carry).alias("own"), docs[text].alias("text"))
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = slim.join(few, F.col("own").eqNullSafe(F.col("row"))).drop("own", "row")
-    sets = per_text(texts, "text", ["root", "h", "n", *_WORDS, "blocks"], "items binary", lambda: lambda t: {"items": [shingle_set(x, shingle, seed).tobytes() for x in t]})
+    sets = per_text(texts, "text", ["root", "h", "n", *_MARKS, "blocks"], "items binary", lambda: lambda t: {"items": [shingle_set(x, shingle, seed).tobytes() for x in t]})
     sets = sets.select("row.*", "items")
     extra = None
     if members.where("blocks > 1").limit(1).count():
@@ -285,11 +306,11 @@ def near_sets(
         for i, j in zip(at[:-1], at[1:]):
             h, pick = np.unique(c["h"][i:j], return_index=True)  # repeated rows bring a set twice
             pick = pick + i
-            sketch = np.stack([c[x][pick] for x in _WORDS], axis=1).view(np.uint64)
+            marks = np.stack([c[x][pick] for x in _MARKS], axis=1).view(np.uint64)
             n, items = c["n"][pick].astype(np.int64), [np.frombuffer(c["items"][k], np.uint64) for k in pick.tolist()]
 
             def near(p: int, q: np.ndarray) -> np.ndarray:
-                ok = _alike(n, sketch, p, q, part)
+                ok = _alike(n, marks, p, q, part)
                 ok[ok] = _close(items, n, items[p], int(n[p]), q[ok], part)
                 return ok
 

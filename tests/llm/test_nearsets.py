@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -76,3 +77,58 @@ def test_large_clusters_give_the_same_components(spark, rows, monkeypatch, round
     for r in nearsets.near_sets(slim, "text", ["doc_id", "key"], group_rows=10).collect():
         b.setdefault(r.root, []).append(r.doc_id)
     assert part(a) == part(b)
+
+
+def plain_print(text):
+    w = (text or "").encode().lower().split()
+    hs = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_stage_verifies_what_fingerprints_link(spark, monkeypatch):
+    """Without the bands the stage removes the near copies within two bits; texts within two bits whose sets are unlike stay."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = [say(rng.randrange(1, 80)) for _ in range(30)]
+    for _ in range(3):  # a line many times over: near in fingerprint whatever stands beside it
+        line = say(11)
+        texts += [" ".join([line] * 60 + [say(40)]) for _ in range(4)]
+        texts.append(texts[-1] + " end")
+    for _ in range(10):  # one word in eighty changed: many bits
+        w = say(80).split()
+        texts += [" ".join(w), " ".join(w[:40] + ["other"] + w[41:])]
+    texts += [None, " \n", "one two", "One  two"]
+    prints, sets = [plain_print(t) for t in texts], [plain_set(t) for t in texts]
+    gone, seen = set(), set()
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 2
+            alike = sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            seen.add((near, alike))
+            if near and alike:
+                gone.add(i)
+    assert len(seen) == 4
+    dealt = nearsets._dealt
+    monkeypatch.setattr(nearsets, "_dealt", lambda df, group, blocks: dealt(df.where(F.lit(group != "g")), group, blocks))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got) == sorted(set(range(len(texts))) - gone)
+
+
+def test_fingerprint_links_are_all_pairs(spark):
+    """A tight cluster, nodes of one fingerprint and a node of several, against comparison of all pairs."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = [base ^ sum(1 << b for b in range(64) if rng.random() < 0.05) for _ in range(300)] + [rng.getrandbits(64) for _ in range(300)]
+    pairs = [(k, f - (f >> 63 << 64)) for k, f in enumerate(fps)]
+    pairs += [(1000 + k, pairs[300 + k][1]) for k in range(20)] + [(k, pairs[280 + k][1]) for k in range(300, 310)] + pairs[:5]
+    want = {h: h for h, _ in pairs}
+    for h, f in pairs:
+        for g, e in pairs:
+            if ((f ^ e) & (2**64 - 1)).bit_count() <= 2 and want[h] != want[g]:
+                a, b = sorted((want[h], want[g]))
+                want = {k: a if x == b else x for k, x in want.items()}
+    df = spark.createDataFrame(pairs, "h long, fp long")
+    found = {r.node: r.root for r in nearsets.components(nearsets._fingerprint_links(df)).collect()}
+    assert {h: found.get(h, h) for h in want} == want
+    assert 50 < sum(h != r for h, r in want.items()) < 500
