@@ -13,7 +13,7 @@ def desc(spark):
     return spark.createDataFrame(LETTERS, "letter string, letter_idx int, descriptors array<double>")
 
 
-@pytest.mark.parametrize("center", [False])
+@pytest.mark.parametrize("center", [False, True])
 def test_equations_of_heavy_rows(spark, desc, center):
     """(K + alpha / s) c = y, and of a centred kernel (C + alpha / s) c = y - mean: duals amplify the errors of a fit by the weights."""
     df, p = strings(spark, "ABC", 200, 1, 8).selectExpr("id", "seq", "y", "2e4 * s AS s"), KernelParams(1.5, 1.2, 2)
