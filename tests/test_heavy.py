@@ -26,3 +26,17 @@ def test_equations_of_heavy_rows(spark, desc, center):
         means = K.mean(axis=0)
         K, y = (K - means[:, None] - means[None, :] + K.mean()) / (np.mean(np.diag(K)) - K.mean()), y - y.mean()
     assert np.abs(K @ c + c / s - y).max() < 5e-6
+
+
+def test_nested_predictions_of_a_small_alpha(spark, desc):
+    """Predictions out of fold are kernel sums with the duals of the chosen set's fit on the other folds. A small alpha weighs rows as many copies do."""
+    df, p = strings(spark, "ABC", 150, 1, 8).select("id", "seq", "y"), KernelParams(1.5, 1.2, 2)
+    got, _ = learn.nested_cv(df, desc, {"sigma_p": [1.5], "sigma_c": [1.2], "n": [2], "alpha": [5e-5]}, 3, 3, normalized=False)
+    found = {r.id: (r.fold, r.prediction) for r in got.collect()}
+    rows = df.collect()
+    K, _ = learn._rows_kernel(rows, learn.observed_features(df, desc, 2), p)
+    for fold in range(3):
+        train = df.where(df.id.isin([i for i, (own, _) in found.items() if own != fold]))
+        coef = {r.id: r.coef for r in learn.dual_coefficients(learn.fit_ridge(train, desc, p, 5e-5), train).collect()}
+        sums = K @ np.array([coef.get(r.id, 0.0) for r in rows])
+        assert max(abs(found[r.id][1] - v) for r, v in zip(rows, sums) if found[r.id][0] == fold) < 5e-6
