@@ -20,10 +20,13 @@ from ..shared import at_most
 from ._passes import CodedRows, padded_rows
 from .learn import MOST_CELLS, MOST_DENSE, StringModel, centre_of, coded_matrix, observed_features, predict_ridge, sums_by_fold
 
-#: Classes at most, and widths of the smoothed corner of the hinge: each fit starts from the one before.
-MOST_CLASSES, WIDTHS = 100, (3.0, 1.0, 0.3, 0.1, 0.03, 0.01)
+#: Classes at most, and widths of the smoothed corner of the hinge: each fit starts from the one before. Where a fit doesn't settle from there, widths between
+#: the two are taken first, down to this ratio of neighbours.
+MOST_CLASSES, WIDTHS, NARROWEST = 100, (3.0, 1.0, 0.3, 0.1, 0.03, 0.01), 0.97
 #: Newton steps for a width, products of a step, step lengths tried, and how far the gradient has to fall.
-NEWTON, PRODUCTS, LENGTHS, TOL = 60, 400, 0.5 ** np.arange(12), 1e-8
+NEWTON, PRODUCTS, LENGTHS, TOL = 60, 400, 0.5 ** np.arange(20), 1e-8
+#: The share of a penalty by which a step has to lower it for its value to decide.
+GAIN = 1e-9
 
 
 def _loss(margin: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +71,7 @@ def fit_svm(
     loss: `hinge`, with its corner rounded over 0.01 to both sides, so that the objective is within C * 0.0025 a string of the hinge's; or
     `squared`. The intercept has no penalty. center: the kernel is centred and scaled by its variance; as the intercept is free, centring
     alone changes nothing. Any number of strings fits; a model may hold MOST_FEATURES different (n, pos, gram). An error where a fit does not
-    settle in max_iter Newton steps for a width, or where a class is alone.
+    settle in max_iter Newton steps for a width next to one before, or where a class is alone.
     """
     if loss not in ("hinge", "squared"):
         raise ValueError("loss is hinge or squared")
@@ -80,20 +83,42 @@ def fit_svm(
         raise ValueError("two classes are needed")
     df = df.where("y is not null")
     scale = centre_of(sums_by_fold(df.withColumn("y", F.lit(0.0)), f, params, ["y"], None)[0], f, params)[2] if center else 1.0
-    rows, sign = _coded(df, f, params, sample_weight, classes), _signs(len(classes))
+    # strings of a class that are equal are one row of their weights' sum: the penalty is the same
+    s = F.lit(1.0) if sample_weight is None else F.col(sample_weight).cast("double")
+    rows, sign = _coded(df.groupBy("seq", "y").agg(F.sum(s).alias("s")), f, params, "s", classes), _signs(len(classes))
     d, pairs = len(f), sign.shape[1]
     if (d + 1) * pairs > MOST_CELLS:
         raise ValueError("more coefficients than a model may hold")
     dense = d <= MOST_DENSE and pairs * d * d <= MOST_CELLS // 4
     smooth = lambda x: f.apply(x, params) * scale
     u, b = np.zeros((d, pairs)), np.zeros(pairs)
-    for width in (None,) if loss == "squared" else WIDTHS:
-        last = width in (None, WIDTHS[-1])
-        u, b = _newton(rows, sign, u, b, smooth, C, width, dense, max_iter, TOL if last else 1e-3)
+    solved = lambda u, b, width, tol: _newton(rows, sign, u, b, smooth, C, width, dense, max_iter, tol)
+    u, b = solved(u, b, None, TOL) if loss == "squared" else _narrowed(solved, u, b)
     names = [(x, y) for i, x in enumerate(classes) for y in classes[i + 1 :]]
     return StringModel(params, f, u, np.full(pairs, float(C)), b, scale, [f"{x}|{y}" for x, y in names], names)
 
 
+class Unsettled(RuntimeError):
+    """A fit that did not settle."""
+
+
+def _narrowed(solved: Callable, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fit at the last of WIDTHS, from those at wider ones. The heavier the rows, the nearer to each other the widths have to be."""
+    at, ratio = WIDTHS[0], WIDTHS[1] / WIDTHS[0]
+    u, b = solved(u, b, at, 1e-3)
+    while at > WIDTHS[-1]:
+        width = WIDTHS[-1] if at * ratio < WIDTHS[-1] / ratio**0.5 else at * ratio
+        try:
+            u, b = solved(u, b, width, 1e-3 if width > WIDTHS[-1] else TOL)
+        except Unsettled:
+            ratio = max(ratio, width / at) ** 0.5
+            if ratio > NARROWEST:
+                raise
+        else:
+            at, ratio = width, max(ratio**1.5, WIDTHS[1] / WIDTHS[0])
+    return u, b
+
+
 def _newton(rows: CodedRows, signs: np.ndarray, u: np.ndarray, b: np.ndarray, smooth: Callable, C: float, width: float | None, dense: bool, most: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     d, pairs = u.shape
     mu, first = smooth(u), None
@@ -135,7 +160,9 @@ def _newton(rows: CodedRows, signs: np.ndarray, u: np.ndarray, b: np.ndarray, sm
         sign, s, v = signs[meta[:, 0].astype(int)], meta[:, 1:2], meta[:, 2:]
         at, move, used = block.dots(mu) * v + b, block.dots(mp) * v + pb, sign != 0
         for k, x in enumerate(LENGTHS):
-            t[0][k] += (C * s * _loss(sign * (at + x * move), width)[0] * used).sum(axis=0)
+            loss, slope, _ = _loss(sign * (at + x * move), width)
+            t[0][k] += (C * s * loss * used).sum(axis=0)
+            t[1][k] += (C * s * slope * sign * move).sum(axis=0)
 
     shapes = [(pairs,), (pairs,), (d + 1, pairs), (pairs,)] + ([(d + 1, pairs), (pairs, d + 1, d + 1)] if dense else [])
     for _ in range(most):
@@ -174,18 +201,22 @@ def _newton(rows: CodedRows, signs: np.ndarray, u: np.ndarray, b: np.ndarray, sm
             beta = np.where(open_, now / np.where(was > 0, was, 1.0), 0.0)
             p, pb, mp = r + beta * p, rb + beta * pb, mr + beta * mp
         mx = smooth(x)
-        (tried,) = rows.sums((padded_rows(mu), b, padded_rows(mx), xb), [(len(LENGTHS), pairs)], lengths, pairs)
+        tried, slope = rows.sums((padded_rows(mu), b, padded_rows(mx), xb), [(len(LENGTHS), pairs)] * 2, lengths, pairs)
         t = LENGTHS[:, None]
         tried = tried + ((u * mu).sum(axis=0) + 2 * t * (x * mu).sum(axis=0) + t**2 * (x * mx).sum(axis=0)) / 2
-        best = tried.argmin(axis=0)
-        better = live & (tried[best, np.arange(pairs)] < value)
+        slope = np.abs(slope + (x * mu).sum(axis=0) + t * (x * mx).sum(axis=0))
+        best, flat = tried.argmin(axis=0), slope.argmin(axis=0)
+        # a gain that sums of doubles don't tell from none is told by the slope, which is 0 at a convex function's least value
+        clear = value - tried[best, np.arange(pairs)] > GAIN * np.abs(value)
+        better = live & (clear | (slope[flat, np.arange(pairs)] < np.abs((gu * mx).sum(axis=0) + gb * xb)))
+        best = np.where(clear, best, flat)
         if not better.any():  # as exact as sums of doubles are
             if (norm[live] <= 1e-5 * np.maximum(first, 1e-3 * C)[live]).all():
                 return u, b
-            raise RuntimeError("the fit does not get better")
+            raise Unsettled("the fit does not get better")
         t = np.where(better, LENGTHS[best], 0.0)
         u, b, mu = u + t * x, b + t * xb, mu + t * mx
-    raise RuntimeError(f"the fit did not settle in {most} steps")
+    raise Unsettled(f"the fit did not settle in {most} steps")
 
 
 def predict_svm(model: StringModel, df: DataFrame) -> DataFrame:

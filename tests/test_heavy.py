@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kernelmill.operators import learn
+from kernelmill.operators import learn, svm
 from kernelmill.params import KernelParams
 from tests.test_tabled import LETTERS, strings
 
@@ -40,3 +40,16 @@ def test_nested_predictions_of_a_small_alpha(spark, desc):
         coef = {r.id: r.coef for r in learn.dual_coefficients(learn.fit_ridge(train, desc, p, 5e-5), train).collect()}
         sums = K @ np.array([coef.get(r.id, 0.0) for r in rows])
         assert max(abs(found[r.id][1] - v) for r, v in zip(rows, sums) if found[r.id][0] == fold) < 5e-6
+
+
+@pytest.mark.parametrize("normalized,C,weight", [(True, 1.0, 5e2)])
+def test_vectors_of_heavy_rows(spark, desc, normalized, C, weight):
+    """The conditions of the least penalty, f - b = K c and sum c = 0, where strings weigh what thousands of copies do."""
+    df, p = strings(spark, "ABC", 300, 1, 6).selectExpr("id", "seq", "double(z > 0 OR seq LIKE '%AB%') AS y", f"{weight} * s AS s"), KernelParams(1.5, 1.2, 2, normalized)
+    model = svm.fit_svm(df, desc, p, C, sample_weight="s")
+    got = {r.id: r.prediction for r in learn.predict_ridge(model, df).collect()}
+    coef = {r.id: r.coef for r in svm.svm_coefficients(model, df, sample_weight="s").collect()}
+    rows = df.collect()
+    K, _ = learn._rows_kernel(rows, learn.observed_features(df, desc, 2), p)
+    c, f = np.array([coef[r.id] for r in rows]), np.array([got[r.id] for r in rows])
+    assert abs(c.sum()) < 5e-6 and np.abs(f - model.intercept[0] - K @ c).max() < 5e-6
