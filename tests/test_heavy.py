@@ -42,7 +42,7 @@ def test_nested_predictions_of_a_small_alpha(spark, desc):
         assert max(abs(found[r.id][1] - v) for r, v in zip(rows, sums) if found[r.id][0] == fold) < 5e-6
 
 
-@pytest.mark.parametrize("normalized,C,weight", [(True, 1.0, 5e2)])
+@pytest.mark.parametrize("normalized,C,weight", [(True, 1.0, 5e2), (False, 0.01, 5e3)])
 def test_vectors_of_heavy_rows(spark, desc, normalized, C, weight):
     """The conditions of the least penalty, f - b = K c and sum c = 0, where strings weigh what thousands of copies do."""
     df, p = strings(spark, "ABC", 300, 1, 6).selectExpr("id", "seq", "double(z > 0 OR seq LIKE '%AB%') AS y", f"{weight} * s AS s"), KernelParams(1.5, 1.2, 2, normalized)
