@@ -194,8 +194,20 @@ def _total(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: in
     return out
 
 
+def _once(df: DataFrame, targets: Sequence[str], weight: str | None) -> DataFrame:
+    """(id, seq, w, times, y): the different strings with the sum of their weights, their number, and the weighted mean of each target. A fit's squared
+    errors of equal strings differ from those of their mean by a constant, so the fit is the same."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    lost = F.lit(float("nan"))  # a missing value spoils the fit, it isn't left out
+    sums = [F.sum(F.coalesce(w * F.col(c).cast("double"), lost)).alias(f"__y{j}") for j, c in enumerate(targets)]
+    rows = df.groupBy("seq").agg(F.min("id").alias("id"), F.sum(F.coalesce(w, lost)).alias("w"), F.count("*").cast("double").alias("times"), *sums)
+    y = F.array(*[F.when(F.col("w") == 0, 0.0).otherwise(F.try_divide(f"__y{j}", "w")) for j in range(len(targets))])
+    return rows.select("id", "seq", "w", "times", y.alias("y"))
+
+
 def _with_landmarks(df: DataFrame, targets: Sequence[str], weight: str | None, marks: list[str], alphabet: Alphabet, params: KernelParams) -> DataFrame:
-    """(id, seq, s, unit, y, near): s the root of the weight, unit what a string's features count, near its kernel with the landmarks."""
+    """(id, seq, s, unit, times, y, near) of the different strings: s the root of the weight, unit what a string's features count, near its kernel with the
+    landmarks."""
     letters, sim = {c: i for i, c in enumerate(alphabet.letters)}, alphabet.sim
 
     def coded(seqs: list[str]) -> np.ndarray:
@@ -215,11 +227,10 @@ def _with_landmarks(df: DataFrame, targets: Sequence[str], weight: str | None, m
             unit = units(x)
             near = (pair_kernel(x, z, sim, params.sigma_p, params.n) if x.shape[1] else np.zeros((len(x), len(z)))) * unit[:, None] * zu
             own = [b.column(c) for c in ("id", "seq", "s")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(unit), b.column("y"), _lists(near)], names=["id", "seq", "s", "unit", "y", "near"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(unit), b.column("times"), b.column("y"), _lists(near)], names=["id", "seq", "s", "unit", "times", "y", "near"])
 
-    s = F.lit(1.0) if weight is None else F.sqrt(F.col(weight).cast("double"))
-    rows = df.select("id", "seq", s.alias("s"), F.array(*[F.col(c).cast("double") for c in targets]).alias("y"))
-    return rows.mapInArrow(run, f"id {dict(df.dtypes)['id']}, seq string, s double, unit double, y array<double>, near array<double>")
+    rows = _once(df, targets, weight).select("id", "seq", F.sqrt("w").alias("s"), "times", "y")
+    return rows.mapInArrow(run, f"id {dict(df.dtypes)['id']}, seq string, s double, unit double, times double, y array<double>, near array<double>")
 
 
 def _kernel_times(rows: DataFrame, values: list, asked: _Asked, far: int, alphabet: Alphabet, params: KernelParams) -> tuple[DataFrame, DataFrame]:
@@ -243,8 +254,8 @@ def fit_tabled(
     targets: Sequence[str] = ("y",),
     landmarks: int = LANDMARKS,
 ) -> TableModel:
-    """What fit_ridge fits, with coefficients as tables: any number of strings and of features. Ids must be different. A step writes the strings once, with a vector's
-    values; all targets share the steps. Settled when the residual of each target has fallen to TOL of its values, else an error after STEPS steps."""
+    """What fit_ridge fits, with coefficients as tables: any number of strings and of features. Ids must be different. Equal strings are one row. A step writes the
+    different strings once, with a vector's values; all targets share the steps. Settled when the residual of each target has fallen to TOL of its values, else an error after STEPS steps."""
     targets = list(targets)
     t = len(targets)
     alphas = np.broadcast_to(np.asarray(alpha, float), (t,)).copy()
@@ -256,21 +267,21 @@ def fit_tabled(
     alphabet = alphabet_of(descriptors, params)
     rows = materialized(_with_landmarks(df, targets, sample_weight, marks, alphabet, params), "tabled-rows")
     asked = _asked(rows, params.n)
-    count, far, m = rows.count(), int(length_range(rows).first()["max_len"]), len(marks)
+    count, far, m = int(rows.agg(F.sum("times")).first()[0]), int(length_range(rows).first()["max_len"]), len(marks)
     scale, y_mean = 1.0, np.zeros(t)
     if center:
-        ones, _ = _kernel_times(rows, [F.lit(1.0)], asked, far, alphabet, params)
-        mean = ones.agg(F.sum("q0")).first()[0] / count**2
+        ones, _ = _kernel_times(rows, [F.col("times")], asked, far, alphabet, params)
+        mean = ones.join(rows.select("id", "times"), "id").agg(F.sum(F.col("times") * F.col("q0"))).first()[0] / count**2
         own = _own(rows, descriptors, params)
         if own - mean <= 0:
             raise ValueError("the kernel has no variance over these strings")
         scale = 1 / (own - mean)
-        y_mean = _total(rows, lambda b: _matrix(b, "y").sum(axis=0), t) / count
+        y_mean = np.array(df.agg(*[F.avg(F.col(c).cast("double")) for c in targets]).first(), float)
 
     # near (less its means) times root of the landmarks' own kernel: B B' is about the kernel, and (B B' + alpha) has an inverse by B'B
     def products(b: pa.RecordBatch) -> np.ndarray:
         x, s = np.column_stack([_matrix(b, "near"), np.ones(b.num_rows)]), b.column("s").to_numpy()
-        return np.concatenate([((x * (s * s)[:, None]).T @ x).reshape(-1), x.sum(axis=0)])
+        return np.concatenate([((x * (s * s)[:, None]).T @ x).reshape(-1), b.column("times").to_numpy() @ x])
 
     flat = _total(rows, products, (m + 1) ** 2 + m + 1)
     shift = np.eye(m + 1)[:, :m].copy()
@@ -285,8 +296,8 @@ def fit_tabled(
         x, r = np.column_stack([_matrix(b, "near"), np.ones(b.num_rows)]), _matrix(b, "r")
         return np.concatenate([(root.T @ (x.T @ (r * b.column("s").to_numpy()[:, None]))).reshape(-1), (r * r).sum(axis=0)])
 
-    names = ["id", "seq", "s", "unit", "near", "x", "r", "p"]
-    kind = f"id {dict(df.dtypes)['id']}, seq string, s double, unit double, near array<double>, x array<double>, r array<double>, p array<double>"
+    names = ["id", "seq", "s", "unit", "times", "near", "x", "r", "p"]
+    kind = f"id {dict(df.dtypes)['id']}, seq string, s double, unit double, times double, near array<double>, x array<double>, r array<double>, p array<double>"
 
     def turned(state: DataFrame, back: np.ndarray, beta: np.ndarray) -> DataFrame:
         """p becomes P r + beta p; back: for each target, what takes [near, 1] to the part that B knows."""
@@ -308,7 +319,7 @@ def fit_tabled(
 
     zeros = F.array(*[F.lit(0.0)] * t)
     first = F.array(*[F.col("s") * (F.col("y")[j] - float(y_mean[j])) for j in range(t)])
-    state = rows.select("id", "seq", "s", "unit", "near", zeros.alias("x"), first.alias("r"), zeros.alias("p"))
+    state = rows.select("id", "seq", "s", "unit", "times", "near", zeros.alias("x"), first.alias("r"), zeros.alias("p"))
     back, now, begin = conditioned(state)
     state, done = turned(state, back, np.zeros(t)), begin <= 0
     steps = 0
@@ -319,17 +330,17 @@ def fit_tabled(
         value = [F.col("s") * F.col("p")[j] for j in range(t)]
         if center:
             sums = state.agg(*[F.sum(v) for v in value]).first()
-            value = [v - F.lit(float(x) / count) for v, x in zip(value, sums)]
+            value = [v - F.col("times") * F.lit(float(x) / count) for v, x in zip(value, sums)]
         q, _ = _kernel_times(state, value, asked, far, alphabet, params)
         state = materialized(state.join(q, "id", "left"), "tabled-step")
         got = [F.coalesce(F.col(f"q{j}"), F.lit(0.0)) for j in range(t)]
-        means = np.array(state.agg(*[F.avg(x) for x in got]).first()) if center else np.zeros(t)
+        means = np.array(state.agg(*[F.sum(F.col("times") * x) / count for x in got]).first()) if center else np.zeros(t)
         ap = [F.col("s") * (got[j] - float(means[j])) * scale + float(alphas[j]) * F.col("p")[j] for j in range(t)]
         curve = np.array(state.agg(*[F.sum(F.col("p")[j] * ap[j]) for j in range(t)]).first())
         a = np.where(done, 0.0, now / np.where(done, 1.0, curve))
         x = F.array(*[F.col("x")[j] + float(a[j]) * F.col("p")[j] for j in range(t)])
         r = F.array(*[F.col("r")[j] - float(a[j]) * ap[j] for j in range(t)])
-        state = state.select("id", "seq", "s", "unit", "near", x.alias("x"), r.alias("r"), "p")
+        state = state.select("id", "seq", "s", "unit", "times", "near", x.alias("x"), r.alias("r"), "p")
         was = now
         back, now, rr = conditioned(state)
         beta = np.where(done, 0.0, now / np.where(done, 1.0, was))
@@ -338,21 +349,24 @@ def fit_tabled(
     c = [F.col("s") * F.col("x")[j] for j in range(t)]
     if center:
         sums = state.agg(*[F.sum(v) for v in c]).first()
-        c = [v - F.lit(float(x) / count) for v, x in zip(c, sums)]
+        c = [v - F.col("times") * F.lit(float(x) / count) for v, x in zip(c, sums)]
     q, u = _kernel_times(state, c, asked, far, alphabet, params)
     intercept = y_mean
     if center:
-        intercept = y_mean - scale * np.array(q.agg(*[F.sum(f"q{j}") for j in range(t)]).first()) / count
+        totals = q.join(state.select("id", "times"), "id").agg(*[F.sum(F.col("times") * F.col(f"q{j}")) for j in range(t)]).first()
+        intercept = y_mean - scale * np.array(totals) / count
     return TableModel(params, descriptors, materialized(u, "tabled-model"), alphas, intercept, scale, targets, steps)
 
 
 def _own(rows: DataFrame, descriptors: DataFrame, params: KernelParams) -> float:
-    """The mean kernel of the rows with themselves."""
+    """The mean kernel with themselves of the strings that the rows stand for."""
     from .kernels import gs_self
 
     if params.normalized:
-        return rows.agg(F.avg(F.when(F.col("unit") > 0, 1.0).otherwise(0.0))).first()[0]
-    return rows.select("id").join(gs_self(rows, descriptors, params), "id", "left").agg(F.avg(F.coalesce("k", F.lit(0.0)))).first()[0]
+        own = rows.select("times", F.when(F.col("unit") > 0, 1.0).otherwise(0.0).alias("k"))
+    else:
+        own = rows.select("id", "times").join(gs_self(rows, descriptors, params), "id", "left")
+    return own.agg(F.sum(F.col("times") * F.coalesce("k", F.lit(0.0))) / F.sum("times")).first()[0]
 
 
 def _landmark_root(marks: list[str], alphabet: Alphabet, params: KernelParams) -> np.ndarray:
